@@ -26,7 +26,7 @@ STEM_LENGTHS, LEAST_FAMILY = (4, 5, 6), 4
 FUZZY_LENGTH = 5
 WINDOW = 6
 TOKEN = re.compile(r"[^\W_]+")
-LEET = str.maketrans("0134578@$", "oleastbas")
+LEET = str.maketrans("0134578@$", "oieastbas")
 RUNS = re.compile(r"(.)\1{2,}")
 #: Words of report or denial near a hit, and words of address, in four languages.
 REPORT = frozenset("said says quote quoted quotes wrote called word term phrase insult reported claimed alleged sagte sagt zitat wort schrieb nannte begriff behauptete dit disait citation mot terme écrit insulte dijo dice cita palabra término escribió llamó insulto".split())
