@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, simhash, toxicity, url_filters
+from . import license_scan, quality_rules, simhash, suffix_dedup, toxicity, url_filters
 from .common import table
 
 
@@ -20,6 +21,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, within=2)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), size=200)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -28,5 +35,5 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_simhash, op7_quality_rules, op9_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_simhash, op5_suffix_dedup, op7_quality_rules, op9_url_filters)}
 ORACLE_SQL = {"op1_license_scan": license_scan.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.ORACLE}
