@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, quality_rules, simhash, suffix_dedup, toxicity, url_filters
+from . import decontamination, license_scan, quality_lm, quality_rules, simhash, suffix_dedup, toxicity, url_filters
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.quality_lm(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_simhash, op4_decontamination, op5_suffix_dedup, op7_quality_rules, op9_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_simhash, op4_decontamination, op5_suffix_dedup, op6_quality_lm, op7_quality_rules, op9_url_filters)}
 ORACLE_SQL = {"op1_license_scan": license_scan.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.ORACLE}
