@@ -43,6 +43,10 @@ class Lexicon:
     def __init__(self, terms: dict[str, float], stems: dict[str, float]) -> None:
         self.root: dict = {}
         self.memo: dict[str, tuple[int, float]] = {}
+        #: A word one edit from a term has either the term's first half in front or its second half at the end.
+        long = [t for t in terms if len(t) >= FUZZY_LENGTH]
+        self.heads = {(len(t), t[: len(t) // 2]) for t in long}
+        self.tails = {(len(t), t[len(t) // 2 :]) for t in long}
         for end, entries in (("$end", terms), ("$stem", stems)):
             for entry, gain in entries.items():
                 node = self.root
@@ -66,7 +70,7 @@ class Lexicon:
         plain = RUNS.sub(r"\1", word.translate(LEET)) if not word.isalpha() or RUNS.search(word) else word
         if plain != word and (found := self._exact(plain))[0]:
             return 1, found[1]
-        gain = self._fuzzy(self.root, plain, 0, 0, 0) if len(plain) >= FUZZY_LENGTH else 0.0
+        gain = self._fuzzy(self.root, plain, 0, 0, 0) if self._near(plain) else 0.0
         return (1, gain) if gain else self.NONE
 
     def _exact(self, word: str) -> tuple[int, float]:
@@ -79,6 +83,10 @@ class Lexicon:
                 stem = (2, node["$stem"])
         return (3, node["$end"]) if "$end" in node else stem
 
+    def _near(self, word: str) -> bool:
+        n = len(word)
+        return n >= FUZZY_LENGTH and any((m, word[: m // 2]) in self.heads or (m, word[m // 2 - m :]) in self.tails for m in (n - 1, n, n + 1))
+
     def _fuzzy(self, node: dict, word: str, at: int, edits: int, depth: int) -> float:
         """The best gain within one edit. The automaton's state is (at, edits); it walks the trie from node."""
         n = len(word)
