@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, pii, quality_lm, quality_rules, simhash, suffix_dedup, toxicity, url_filters
+from . import decontamination, license_scan, mixing, pii, quality_lm, quality_rules, simhash, suffix_dedup, toxicity, url_filters
 from .common import table
 
 #: The key of the surrogates; a production job passes its own secret.
@@ -42,6 +42,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing(table(spark, sf_dir, "documents"), mixing.domain_of(table(spark, sf_dir, "labels")), mixing.TARGETS)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -51,5 +55,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("entities").alias("n_replaced"), "entities")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_simhash, op4_decontamination, op5_suffix_dedup, op6_quality_lm, op7_quality_rules, op9_url_filters, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_simhash, op4_decontamination, op5_suffix_dedup, op6_quality_lm, op7_quality_rules, op8_mixing, op9_url_filters, op10_pii)}
 ORACLE_SQL = {"op1_license_scan": license_scan.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.ORACLE}
