@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,7 +40,13 @@ def dropped(df: DataFrame) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         if folder.getName().startswith("gradecube-"):
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    spark._jvm.System.gc()  # lets the context cleaner remove shuffle files that led to it
+    freed(df)
+
+
+def freed(df: DataFrame) -> None:
+    """Let the context cleaner remove the shuffle files of tables that are stored by now."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

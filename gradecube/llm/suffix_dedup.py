@@ -18,25 +18,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, freed, stored
 
 SIZE, GRAM = 200, 32
-#: Minimizers with more distinct neighbourhoods than this are told apart by a shuffle of their suffixes, not in one task.
-GROUP_LIMIT = 2000
+#: Minimizers with more distinct neighbourhoods than this are told apart by a shuffle of their suffixes, not in one
+#: task; at this limit a task holds some 15 MB of bytes and 150 MB of hashes.
+GROUP_LIMIT = 50_000
 PLACE_BITS = 20
 MASK = np.uint64((1 << PLACE_BITS) - 1)
 CHUNK = 1 << 17
-TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
+TABLES = np.random.default_rng(7).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-def grams(x: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each size-byte string of x; size is a power of two."""
-    h, width = TABLE[x], 1
-    while width < size:
-        h = h[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + h[width:]
-        width *= 2
-    return h
+def grams(x: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each size-byte string of x, by the first or the second of two polynomials."""
+    power = lambda n: np.uint64(pow(BASES[which], n, 1 << 64))
+    h, width = TABLES[which][x], 1
+    out, done = None, 0
+    while True:
+        if size & width:
+            out, done = (h, width) if out is None else (out[: len(x) - done - width + 1] * power(width) + h[done:], done + width)
+            if done == size:
+                return out
+        h, width = h[:-width] * power(width) + h[width:], 2 * width
 
 
 def least(x: np.ndarray, span: int) -> np.ndarray:
@@ -128,22 +133,24 @@ def equal_in_groups(cuts: DataFrame, size: int) -> DataFrame:
     """key, s, e of the bytes that equal suffixes cover, for groups that one task holds; cuts are sorted by kh in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         def solve(group: list) -> list:
             if len(group) < 2:
                 return []
-            hashes = [[xxhash.xxh3_128_digest(cut[i : i + size]) for i in range(len(cut) - size + 1)] for _, _, cut in group]
-            seen: dict[bytes, bool] = {}
-            for hs in hashes:
-                for h in hs:
-                    seen[h] = h in seen
-            out = []
-            for (key, s, _), hs in zip(group, hashes, strict=True):
-                flags = np.fromiter((seen[h] for h in hs), dtype=bool, count=len(hs))
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-                out += [(key, s + x, s + y - 1 + size) for x, y in edges.reshape(-1, 2).tolist()]
-            return out
+            x = np.frombuffer(b"".join(cut for _, _, cut in group), dtype=np.uint8)
+            ends = np.cumsum([len(cut) for _, _, cut in group])
+            begins = np.concatenate([[0], ends[:-1]])
+            h = np.stack([grams(x, size, k) for k in (0, 1)], axis=1)
+            inside = np.zeros(len(h) + 1, dtype=np.int8)  # a string that crosses from one cut to the next is none
+            np.add.at(inside, begins, 1)
+            np.add.at(inside, ends - size + 1, -1)
+            at = np.flatnonzero(np.cumsum(inside[:-1]))
+            order = at[np.lexsort((h[at, 1], h[at, 0]))]
+            same = np.concatenate([[False], (h[order[1:]] == h[order[:-1]]).all(axis=1), [False]])
+            flags = np.zeros(len(x) + 1, dtype=np.int8)
+            flags[order[same[1:] | same[:-1]]] = 1
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags])))
+            edges = edges.reshape(-1, 2)
+            return [(group[g][0], group[g][1] + i - int(begins[g]), group[g][1] + j - 1 - int(begins[g]) + size) for i, j, g in zip(edges[:, 0].tolist(), edges[:, 1].tolist(), (np.searchsorted(begins, edges[:, 0], "right") - 1).tolist(), strict=True)]
 
         group: list = []
         last, out = None, []
@@ -186,8 +193,9 @@ def repeated_spans(texts: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     """
     runs = stored(runs_of(texts, size, gram))
     tag = F.xxhash64("key", "a").alias("tag")
-    alive = runs.select("kh", tag).groupBy("kh").agg(F.min("tag").alias("t0"), F.max("tag").alias("t1")).where("t0 <> t1").select("kh")
-    shared = stored(runs.select("*", tag).join(alive, "kh", "left_semi"))
+    alive = stored(runs.select("kh", tag).groupBy("kh").agg(F.min("tag").alias("t0"), F.max("tag").alias("t1")).where("t0 <> t1").select("kh"))
+    freed(alive)
+    shared = stored(runs.join(alive, "kh", "left_semi").select("*", tag))
     dropped(runs)
     wide = stored(shared.groupBy("kh", "uh").agg(F.min("tag").alias("t0"), F.max("tag").alias("t1")))
     twin = F.col("uh").isNotNull() & (F.col("t0") != F.col("t1"))
@@ -201,6 +209,7 @@ def repeated_spans(texts: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     of = texts.join(lists.join(first, "key"), "key").where(F.col("id").eqNullSafe(F.col("first")))
     cuts = stored(cut_out(of, size))
     dropped(shared)
+    dropped(wide)
     many = stored(cuts.groupBy("kh").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_LIMIT).select("kh"))
     small = stored(equal_in_groups(cuts.join(many, "kh", "left_anti").repartition("kh").sortWithinPartitions("kh"), size))
     spans = whole.unionByName(small)
