@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +20,12 @@ from .common import stored, words
 #: The classifier learns from at most this many labelled rows of each domain, those with the least hash of doc_id.
 MOST_ROWS = 4000
 #: Words whose presence tells domains apart, at most; they need this many labelled documents of one domain.
-MOST_WORDS, LEAST_SUPPORT = 150, 8
-STEPS, STORE_EVERY, PULL = 30, 10, 1e-3
+#: and a share of its documents this many times that of any other domain.
+MOST_WORDS, LEAST_SUPPORT, LEAST_RATIO = 150, 8, 4.0
+STEPS, STORE_EVERY, PULL = 24, 12, 1e-3
 SYMBOLS, CAPITALS, ENDS = "#*$%&|<>@=+/\\_~^", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!?"
 #: Feature bins: name, number of bins.
+HITS = 5
 BINS = {"symbols": 8, "capitals": 8, "ends": 8, "word_length": 10, "variety": 10, "length": 16}
 TARGETS = {"clean": 0.9, "junk": 0.06, "toxic": 0.04}
 
@@ -33,9 +36,8 @@ class Mix:
 
     domains: list[str]
     prior: list[float]
-    lexicon: list[str] = field(default_factory=list)
-    bins: dict[str, list[list[float]]] = field(default_factory=dict)
-    present: list[list[float]] = field(default_factory=list)
+    lexicon: list[list[str]] = field(default_factory=list)  #: the words of each domain
+    bins: list[list[list[float]]] = field(default_factory=list)  #: log share of each bin, by feature and domain
     history: list[list[float]] = field(default_factory=list)
 
 
@@ -49,8 +51,8 @@ def binned(share: Column, bins: int, scale: float) -> Column:
     return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.coalesce(share, F.lit(0.0)) * scale))).cast("int")
 
 
-def featured(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame:
-    """The columns keep, n_tokens, bins (array, in the order of BINS) and hits (lexicon words of the text)."""
+def featured(docs: DataFrame, lexicon: list[list[str]], keep: list[str]) -> DataFrame:
+    """The columns keep, n_tokens and bins: an array in the order of BINS, then how many words of each domain's are met."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(*keep, text.alias("_t"))
     share = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))) / F.nullif(F.length("_t"), F.lit(0))
@@ -64,19 +66,24 @@ def featured(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame:
         binned(F.size(F.array_distinct("_w")) / F.nullif(n, F.lit(0)), BINS["variety"], 10.0),
         binned(F.log2(n + 1.0), BINS["length"], 1.0),
     )
-    hits = F.array_sort(F.array_intersect("_w", F.array(*map(F.lit, lexicon)))) if lexicon else F.array().cast("array<string>")
-    return d.select(*keep, n.cast("long").alias("n_tokens"), bins.alias("bins"), hits.alias("hits"))
+    hits = [F.least(F.lit(HITS - 1), F.size(F.array_intersect("_w", F.array(*map(F.lit, ws))))) if ws else F.lit(0) for ws in lexicon]
+    return d.select(*keep, n.cast("long").alias("n_tokens"), F.concat(bins, F.array(*hits)).alias("bins") if hits else bins.alias("bins"))
 
 
-def learn_words(sample: DataFrame, sizes: dict[str, int]) -> list[str]:
-    """The words that tell most about the domain, by the gain of their presence."""
+def learn_words(sample: DataFrame, sizes: dict[str, int]) -> list[list[str]]:
+    """The words that tell most about each domain, by the gain of their presence."""
     text = F.lower(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ".,;:!?()\"", ""))
     counts = sample.select("domain", F.explode(F.array_distinct(words(text))).alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(sizes)])
     rates = [(F.col(f"n{k}") + 0.5) / (n + 1.0) for k, n in enumerate(sizes.values())]
     overall = sum(rates[1:], rates[0]) / len(rates)
     gain = sum((r * F.log(r / overall) for r in rates[1:]), rates[0] * F.log(rates[0] / overall))
     enough = F.greatest(F.lit(0), *[F.col(f"n{k}") for k in range(len(sizes))]) >= LEAST_SUPPORT
-    return [r.w for r in counts.where(enough).select("w", F.round(gain, 12).alias("g")).orderBy(F.desc("g"), "w").limit(MOST_WORDS).collect()]
+    by_rate = F.sort_array(F.array(*rates), asc=False)
+    if len(rates) > 1:
+        enough = enough & (F.get(by_rate, 0) >= LEAST_RATIO * F.get(by_rate, 1))
+    owner = F.array_position(F.array(*rates), F.get(by_rate, 0)) - 1
+    top = counts.where(enough).select("w", owner.alias("k"), F.round(gain, 12).alias("g")).orderBy(F.desc("g"), "w").limit(MOST_WORDS).collect()
+    return [[r.w for r in top if r.k == k] for k in range(len(sizes))]
 
 
 def learn(docs: DataFrame, domains: DataFrame, names: list[str]) -> Mix:
@@ -96,24 +103,18 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str]) -> Mix:
     f = stored(featured(sample, mix.lexicon, ["domain"]))
     of_bins = f.select("domain", F.posexplode("bins").alias("f", "b")).groupBy("domain", "f", "b").agg(F.count("*").alias("n")).collect()
     got = {(r.domain, r.f, r.b): r.n for r in of_bins}
-    for k, (name, size) in enumerate(BINS.items()):
-        mix.bins[name] = [[math.log((got.get((d, k, b), 0) + 0.5) / (n[d] + 0.5 * size)) for b in range(size)] for d in names]
-    seen = {(r.domain, r.w): r.n for r in f.select("domain", F.explode("hits").alias("w")).groupBy("domain", "w").agg(F.count("*").alias("n")).collect()}
-    mix.present = [[(seen.get((d, w), 0) + 0.5) / (n[d] + 1.0) for w in mix.lexicon] for d in names]
+    for k, size in enumerate([*BINS.values(), *[HITS] * len(names)]):
+        mix.bins.append([[math.log((got.get((d, k, b), 0) + 0.5) / (n[d] + 0.5 * size)) for b in range(size)] for d in names])
     return mix
 
 
 def posteriors(mix: Mix) -> Column:
-    """The array of domain posteriors from bins and hits."""
+    """The array of domain posteriors from bins."""
     logs = []
     for k, prior in enumerate(mix.prior):
         x = F.lit(math.log(prior))
-        for j, table in enumerate(mix.bins.values()):
+        for j, table in enumerate(mix.bins):
             x = x + F.get(F.array(*map(F.lit, table[k])), F.get("bins", j))
-        if mix.lexicon:
-            base = sum(math.log1p(-p) for p in mix.present[k])
-            gains = F.map_from_arrays(F.array(*map(F.lit, mix.lexicon)), F.array(*[F.lit(math.log(p / (1 - p))) for p in mix.present[k]]))
-            x = x + base + _sum_of(gains)
         logs.append(x)
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     e = [F.exp(x - top) for x in logs]
@@ -121,10 +122,6 @@ def posteriors(mix: Mix) -> Column:
     return F.array(*[F.round(x / total, 6) for x in e])
 
 
-def _sum_of(gains: Column) -> Column:
-    return F.aggregate("hits", F.lit(0.0), lambda acc, w: acc + F.element_at(gains, w))
-
-
 def rate(history: list[list[float]], p: Column, start: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
     """The rate after the steps of history, and the point that the next step looks from; each step has the gradient of each domain and its momentum."""
     r0, y0 = start or (F.lit(1.0), F.lit(1.0))
@@ -143,14 +140,17 @@ def rate(history: list[list[float]], p: Column, start: tuple[Column, Column] | N
 
 
 def solve(kinds: DataFrame, targets: list[float]) -> list[list[float]]:
-    """The steps of the descent over kinds (p, tokens): each reads one row of sums."""
+    """The steps of the descent over kinds (p, tokens): each reads one row of sums.
+
+    Squared errors are weighed by the inverse of the posteriors' second moments, which makes all directions alike.
+    """
     size = len(targets)
-    first = kinds.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.get("p", k)) for k in range(size)]).first()
+    first = kinds.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.get("p", j) * F.get("p", k)) for j in range(size) for k in range(size)]).first()
     total = float(first[0] or 0)
     if not total:
         return []
-    shares = [max(float(x) / total, 1e-6) for x in first[1:]]
-    goal = [t / sum(targets) for t in targets]
+    weigh = np.linalg.inv(np.array([float(x) / total for x in first[1:]]).reshape(size, size) + 1e-6 * np.eye(size))
+    goal = np.array(targets) / sum(targets)
     history: list[list[float]] = []
     state = stored(kinds.select("p", "tokens", F.lit(1.0).alias("r"), F.lit(1.0).alias("y")))
     recent: list[list[float]] = []
@@ -159,7 +159,7 @@ def solve(kinds: DataFrame, targets: list[float]) -> list[list[float]]:
         _, y = rate(recent, F.col("p"), (F.col("r"), F.col("y")))
         sums = state.select("tokens", "p", y.alias("y")).agg(*[F.sum(F.col("y") * F.col("tokens") * F.get("p", j)) for j in range(size)]).first()
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        step = [(float(s) / total - g) / share for s, g, share in zip(sums, goal, shares, strict=True)] + [(t - 1) / after]
+        step = [*map(float, weigh @ (np.array([float(x) for x in sums]) / total - goal)), (t - 1) / after]
         t = after
         history.append(step)
         recent.append(step)
