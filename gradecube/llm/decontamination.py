@@ -74,6 +74,8 @@ class Matcher:
         self.bags = [Counter(ws) for ws in self.items]
         self.allowed = [edits_allowed(len(ws), most) for ws in self.items]
         self.tables = tables_for(recall, SAMPLED)
+        pairs = sorted({k * (len(vocabulary) + 2) + x for k, ws in enumerate(self.items) for x in ws})
+        self.own_words = np.array(pairs, dtype=np.int64)
         classes: dict[int, list[tuple[int, int]]] = {}
         for k, ws in enumerate(self.items):
             size = min(len(ws), WIDEST)
@@ -103,26 +105,28 @@ class Matcher:
         out = []
         for _ in range(self.tables):
             times = np.sort(rng.choice(2 * width, size=min(SAMPLED, 2 * width), replace=False))
-            out.append((rng.integers(0, 2, (int(times[-1]) + 1, len(self.vocabulary) + 1), dtype=np.int8), times))
+            steps = rng.integers(0, 2, (int(times[-1]) + 1, len(self.vocabulary) + 2), dtype=np.int8).astype(np.int64)
+            steps[:, -1] = 0
+            out.append((steps, times))
         return out
 
-    @staticmethod
-    def signatures(codes: np.ndarray, starts: np.ndarray, width: int, plan: list) -> list[np.ndarray]:
+    def signatures(self, codes: np.ndarray, starts: np.ndarray, width: int, plan: list) -> Iterator[np.ndarray]:
         """The CGK walk of each window, kept at the sampled times: it writes the word it stands on, then moves on or stays."""
-        out = []
+        past = len(self.vocabulary) + 1  # stands behind each window, where every walk stays
+        windows = np.full((len(starts), width + 1), past, dtype=np.int64)
+        windows[:, :width] = codes[starts[:, None] + np.arange(width)]
+        windows = windows.ravel()
         for steps, times in plan:
-            at = np.zeros(len(starts), dtype=np.int64)
+            at = np.arange(0, len(windows), width + 1)
             sign = np.zeros(len(starts), dtype=np.uint64)
             sampled = set(times.tolist())
-            for t in range(len(steps)):
-                inside = at < width
-                word = np.where(inside, codes[starts + np.minimum(at, width - 1)], 0)
+            for t, step in enumerate(steps):
+                word = windows.take(at)
                 if t in sampled:
-                    sign = (sign ^ (word + np.where(inside, 1, 0)).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    sign = (sign ^ (word + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     sign ^= sign >> np.uint64(29)
-                at += np.where(inside, steps[t][word], 0)
-            out.append(sign)
-        return out
+                at += step.take(word)
+            yield sign
 
     def search(self, codes: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(document, item) to distance, first and end word. Documents begin at begins; a 0 code parts them."""
@@ -141,6 +145,8 @@ class Matcher:
                 n = high[hit] - low[hit]
                 where = np.repeat(at[hit], n)
                 which = starts[order[np.repeat(low[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]]
+                fits = self.shares(codes, where, which[:, 0], width)
+                where, which = where[fits], which[fits]
                 docs = np.searchsorted(begins, where, "right") - 1
                 for p, d, (k, o) in zip((where - which[:, 1]).tolist(), docs.tolist(), which.tolist(), strict=True):
                     slack = self.allowed[k] + 1
@@ -150,6 +156,17 @@ class Matcher:
                     self.verify(codes, int(begins[d]), int(ends[d]), d, k, p, best)
         return best
 
+    def shares(self, codes: np.ndarray, where: np.ndarray, item: np.ndarray, width: int) -> np.ndarray:
+        """Which windows have no more words foreign to their item than it allows edits; all that hold a match do."""
+        allowed = np.array(self.allowed)
+        out = np.zeros(len(where), dtype=bool)
+        for at in range(0, len(where), 1 << 14):
+            k = item[at : at + (1 << 14)]
+            wanted = k[:, None] * (len(self.vocabulary) + 2) + codes[where[at : at + (1 << 14), None] + np.arange(width)]
+            place = np.minimum(np.searchsorted(self.own_words, wanted), len(self.own_words) - 1)
+            out[at : at + (1 << 14)] = (self.own_words[place] != wanted).sum(axis=1) <= allowed[k]
+        return out
+
     def verify(self, codes: np.ndarray, begin: int, end: int, d: int, k: int, p: int, best: dict) -> None:
         item, most = self.items[k], self.allowed[k]
         low, high = max(begin, p - 2 * most - 1), min(end, p + len(item) + 2 * most + 1)
