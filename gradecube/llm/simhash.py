@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -182,3 +183,131 @@ def near_duplicates(docs: DataFrame, size: int = 3, within: int = 2) -> DataFram
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For a similarity, so many 64-bit words are drawn from each shingle; pairs of the similarity 0.8 are candidates with
+#: probability 0.8, of 0.85 with 0.92 and of 0.9 with 0.99; the words together tell the similarity to within 0.02.
+WORDS = 16
+#: In buckets over PAIR_LIMIT all members are held against this many, and those like none of them against all.
+LEADERS = 8
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def wide_fingerprint(text: str | None, size: int, words: int = WORDS) -> np.ndarray:
+    """The SimHash of a text over words * 64 bits, as unsigned words."""
+    import xxhash
+
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(ws) - size + 1
+    if not ws:
+        return np.zeros(words, dtype="<u8")
+    shingles = [b" ".join(ws)] if n < 1 else list(map(b" ".join, zip(*(ws[k : n + k] for k in range(size)), strict=True)))
+    steps = np.arange(1, words + 1, dtype=np.uint64) * MIX[0]
+    ones = np.zeros(words * BITS, dtype=np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=len(shingles))
+    for at in range(0, len(h), 255):
+        x = h[at : at + 255, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * MIX[1]
+        x = (x ^ (x >> np.uint64(27))) * MIX[2]
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text digest (hex) and the wide fingerprint of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() or "" for t in b.column(1)]
+            fps = np.stack([wide_fingerprint(t, size) for t in texts]).view("<i8") if texts else np.zeros((0, WORDS), "<i8")
+            digest = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()[:32] for t in texts]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * WORDS + 1, WORDS, dtype=np.int32)), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.string()), flat], names=["doc_id", "digest", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, digest string, fp array<long>")
+
+
+def farthest(similarity: float) -> int:
+    """How many of all bits may differ at a Jaccard similarity of shingle sets, by the angle between their vectors."""
+    return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * BITS)
+
+
+def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
+    """Verified edges (a, b) between digests whose wide fingerprints are as near as the similarity asks.
+
+    Each word has a partition plan of its own, so pairs within two bits in any word are sure to be candidates.
+    """
+    n_bits = farthest(similarity)
+    parts: list[tuple[int, list[int], int]] = []
+    for j, (n, both) in enumerate(bit_counts_by_word(fps)):
+        groups = correlated_groups(n, both, 3)
+        p = np.diag(both) / max(n, 1)
+        agree = p * p + (1 - p) * (1 - p)
+        cost = [[0.0, *(float(n) * n * np.prod(agree[g]) * (1 + t * ((1 - agree[g]) / agree[g]).sum()) + n * len(flips(len(g), t)) for t in (0, 1))] for g in groups]
+        parts += [(j, g, t) for g, t in zip(groups, allotted(cost, 0)[1], strict=True) if t >= 0]
+    values = [F.struct(F.lit(k).alias("k"), packed(F.get("fp", j), g).alias("v")) for k, (j, g, _) in enumerate(parts)]
+    index = stored(fps.select("digest", F.inline(F.array(*values))))
+    sizes = index.groupBy("k", "v").agg(F.count("*").alias("c")).where("c > 1")
+    hot = stored(sizes.where(F.col("c") > PAIR_LIMIT).select("k", "v"))
+    shared = index.join(sizes.where(F.col("c") <= PAIR_LIMIT).select("k", "v"), ["k", "v"])
+    probes = shared.select("k", "v", F.col("digest").alias("b"))
+    for k, (_, g, t) in enumerate(parts):
+        if t > 0:
+            moved = F.explode(F.transform(F.array(*map(F.lit, flips(len(g), t)[1:] if t else [])), lambda x: F.col("v").bitwiseXOR(x.cast("long"))))
+            probes = probes.unionByName(index.where(F.col("k") == k).select("k", moved.alias("v"), F.col("digest").alias("b")))
+    pairs = shared.select("k", "v", F.col("digest").alias("a")).join(probes, ["k", "v"]).where("a <> b")
+    crowd = stored(index.join(hot, ["k", "v"], "left_semi"))
+    leaders = crowd.groupBy("k", "v").agg(F.slice(F.array_sort(F.collect_set(F.when(F.xxhash64("digest", "k") % 64 == 0, F.col("digest")))), 1, LEADERS).alias("l"), F.min("digest").alias("m"))
+    leaders = leaders.select("k", "v", F.explode(F.array_union("l", F.array("m"))).alias("a"))
+    stars = crowd.join(leaders, ["k", "v"]).select("k", "v", "a", F.col("digest").alias("b")).where("a <> b")
+    edge = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stored(verified(edge(pairs.unionByName(stars)).distinct(), fps, n_bits))
+    tied = stored(stars.join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_semi").select("k", "v", F.col("b").alias("digest")).unionByName(leaders.select("k", "v", F.col("a").alias("digest"))))
+    strays = crowd.join(tied, ["k", "v", "digest"], "left_anti").select("k", "v", F.col("digest").alias("a"))
+    rest = strays.join(crowd.select("k", "v", F.col("digest").alias("b")), ["k", "v"]).where("a <> b")
+    return links.unionByName(verified(edge(rest).distinct(), fps, n_bits))
+
+
+def verified(pairs: DataFrame, fps: DataFrame, n_bits: int) -> DataFrame:
+    one = fps.select(F.col("digest").alias("a"), F.col("fp").alias("fa"))
+    two = fps.select(F.col("digest").alias("b"), F.col("fp").alias("fb"))
+    differ = sum((F.bit_count(F.get("fa", j).bitwiseXOR(F.get("fb", j))) for j in range(1, WORDS)), F.bit_count(F.get("fa", 0).bitwiseXOR(F.get("fb", 0))))
+    return pairs.join(one, "a").join(two, "b").where(differ <= n_bits).select("a", "b")
+
+
+def bit_counts_by_word(fps: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """bit_counts of each word of wide fingerprints, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, both = 0, np.zeros((WORDS, BITS, BITS))
+        for b in batches:
+            v = np.ascontiguousarray(b.column(0).flatten().to_numpy(zero_copy_only=False).astype("<i8")).reshape(-1, WORDS)
+            n += len(v)
+            for at in range(0, len(v), 1 << 14):
+                for j in range(WORDS):
+                    bits = np.unpackbits(np.ascontiguousarray(v[at : at + (1 << 14), j]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                    both[j] += bits.T @ bits
+        yield pa.RecordBatch.from_arrays([pa.array(range(both.size + 1), pa.int32()), pa.array([n, *map(int, both.ravel())], pa.int64())], names=["k", "n"])
+
+    sums = dict(fps.select("fp").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect())
+    both = np.array([sums.get(k + 1, 0) for k in range(WORDS * BITS * BITS)], dtype=float).reshape(WORDS, BITS, BITS)
+    return [(sums.get(0, 0), x) for x in both]
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, one for each group of texts alike in their word shingles by at least the similarity.
+
+    Kept is the row with the least doc_id of its group (rows without one come last, equal rows leave one). Texts that
+    are the same meet in one row before any join. Null and empty texts are alike and leave one. Columns pass
+    unchanged whatever their names; empty tables give no rows.
+    """
+    own = stored(wide_fingerprints(docs, size))
+    fps = stored(own.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"), F.min("fp").alias("fp")))
+    roots = components(similar_links(fps.select("digest", "fp"), similarity))
+    named = fps.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
+    kept = named.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("x")).select(F.col("x.digest").alias("_digest"), F.coalesce(F.col("x.first.id").cast("string"), F.lit("\0")).alias("_id"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256), 1, 32).alias("_digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"))
+    one = marked.join(kept, ["_digest", "_id"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_digest", "_id").orderBy(F.lit(0))))
+    return one.where("_k = 1").select("_row.*")

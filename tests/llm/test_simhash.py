@@ -76,3 +76,29 @@ def test_thresholds_sum_and_cost():
     groups = simhash.correlated_groups(10, np.eye(64) * 5, 3)
     assert sorted(b for g in groups for b in g) == list(range(64))
     assert len(simhash.flips(21, 1)) == 22 and len(simhash.flips(64, 1)) == 65
+
+
+def test_one_of_each(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", 4)
+    rnd = random.Random(9)
+    prose = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    rows, k = [], 0
+    alone = []
+    for _ in range(40):
+        alone.append(k)
+        rows.append((k, " ".join(prose(200)), "a"))
+        k += 1
+    firsts = []
+    for _ in range(4):
+        base = prose(300)
+        firsts.append(k)
+        for _ in range(15):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                copy[rnd.randrange(300)] = "edited"
+            rows.append((k, " ".join(copy), "b"))
+            k += 1
+    rows += [(k, None, "c"), (k + 1, "", "c"), (None, "", "c"), (0, rows[0][1], "a"), (None, rows[1][1], "a")]
+    got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, digest string")).collect())
+    assert got == [*alone, *firsts, k]
+    assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
