@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import stored
 
 #: The classifier learns from at most this many labelled rows of each domain, those with the least hash of doc_id.
 MOST_ROWS = 4000
@@ -23,7 +23,9 @@ MOST_ROWS = 4000
 #: and a share of its documents this many times that of any other domain.
 MOST_WORDS, LEAST_SUPPORT, LEAST_RATIO = 150, 8, 4.0
 STEPS, STORE_EVERY, PULL = 24, 12, 1e-3
-SYMBOLS, CAPITALS, ENDS = "#*$%&|<>@=+/\\_~^", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!?"
+SYMBOLS, CAPITALS, ENDS = r"[#*$%&|<>@=+/\\_~^]", "[A-Z]", "[!?]"
+#: Tokens are parted by blanks and these marks.
+GAP = r"[\x20\x09-\x0D.,;:!?()\"]+"
 #: Feature bins: name, number of bins.
 HITS = 5
 BINS = {"symbols": 8, "capitals": 8, "ends": 8, "word_length": 10, "variety": 10, "length": 16}
@@ -51,29 +53,36 @@ def binned(share: Column, bins: int, scale: float) -> Column:
     return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.coalesce(share, F.lit(0.0)) * scale))).cast("int")
 
 
+def tokens(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), GAP), "")
+
+
 def featured(docs: DataFrame, lexicon: list[list[str]], keep: list[str]) -> DataFrame:
     """The columns keep, n_tokens and bins: an array in the order of BINS, then how many words of each domain's are met."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(*keep, text.alias("_t"))
-    share = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))) / F.nullif(F.length("_t"), F.lit(0))
-    d = d.select(*keep, F.length("_t").alias("_n"), share(SYMBOLS).alias("_s"), share(CAPITALS).alias("_c"), share(ENDS).alias("_e"), words(F.lower(F.translate("_t", ".,;:!?()\"", ""))).alias("_w"))
-    n = F.size("_w")
+    share = lambda chars: F.regexp_count("_t", F.lit(chars)) / F.nullif(F.length("_t"), F.lit(0))
+    d = d.select(*keep, F.length("_t").alias("_n"), share(SYMBOLS).alias("_s"), share(CAPITALS).alias("_c"), share(ENDS).alias("_e"), tokens(F.col("_t")).alias("_w"))
+    known = F.array(*[F.lit(w) for ws in lexicon for w in ws]) if any(lexicon) else F.array().cast("array<string>")
+    counts = [*keep, "_n", "_s", "_c", "_e"]
+    d = d.select(*counts, F.size("_w").alias("_k"), F.array_distinct("_w").alias("_u")).select(*counts, "_k", F.size("_u").alias("_d"), F.array_intersect("_u", known).alias("_h"))
+    n = F.col("_k")
     bins = F.array(
         binned(F.col("_s"), BINS["symbols"], 40.0),
         binned(F.col("_c"), BINS["capitals"], 20.0),
         binned(F.col("_e"), BINS["ends"], 40.0),
         binned(F.col("_n") / F.nullif(n, F.lit(0)), BINS["word_length"], 1.0),
-        binned(F.size(F.array_distinct("_w")) / F.nullif(n, F.lit(0)), BINS["variety"], 10.0),
+        binned(F.col("_d") / F.nullif(n, F.lit(0)), BINS["variety"], 10.0),
         binned(F.log2(n + 1.0), BINS["length"], 1.0),
     )
-    hits = [F.least(F.lit(HITS - 1), F.size(F.array_intersect("_w", F.array(*map(F.lit, ws))))) if ws else F.lit(0) for ws in lexicon]
+    hits = [F.least(F.lit(HITS - 1), F.size(F.array_intersect("_h", F.array(*map(F.lit, ws))))) if ws else F.lit(0) for ws in lexicon]
     return d.select(*keep, n.cast("long").alias("n_tokens"), F.concat(bins, F.array(*hits)).alias("bins") if hits else bins.alias("bins"))
 
 
 def learn_words(sample: DataFrame, sizes: dict[str, int]) -> list[list[str]]:
     """The words that tell most about each domain, by the gain of their presence."""
-    text = F.lower(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ".,;:!?()\"", ""))
-    counts = sample.select("domain", F.explode(F.array_distinct(words(text))).alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(sizes)])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counts = sample.select("domain", F.explode(F.array_distinct(tokens(text))).alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(sizes)])
     rates = [(F.col(f"n{k}") + 0.5) / (n + 1.0) for k, n in enumerate(sizes.values())]
     overall = sum(rates[1:], rates[0]) / len(rates)
     gain = sum((r * F.log(r / overall) for r in rates[1:]), rates[0] * F.log(rates[0] / overall))
@@ -108,18 +117,17 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str]) -> Mix:
     return mix
 
 
-def posteriors(mix: Mix) -> Column:
-    """The array of domain posteriors from bins."""
+def with_posteriors(rows: DataFrame, mix: Mix, name: str = "p") -> DataFrame:
+    """rows with the array of domain posteriors from bins, in steps that keep the plan small."""
     logs = []
     for k, prior in enumerate(mix.prior):
         x = F.lit(math.log(prior))
         for j, table in enumerate(mix.bins):
             x = x + F.get(F.array(*map(F.lit, table[k])), F.get("bins", j))
         logs.append(x)
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    e = [F.exp(x - top) for x in logs]
-    total = sum(e[1:], e[0])
-    return F.array(*[F.round(x / total, 6) for x in e])
+    out = rows.withColumn(name, F.array(*logs))
+    out = out.withColumn(name, F.transform(name, lambda x: F.exp(x - F.array_max(name))))
+    return out.withColumn(name, F.transform(name, lambda x: F.round(x / F.aggregate(name, F.lit(0.0), lambda a, y: a + y), 6)))
 
 
 def rate(history: list[list[float]], p: Column, start: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
@@ -175,7 +183,7 @@ def fit(docs: DataFrame, domains: DataFrame, targets: dict[str, float]) -> tuple
     names = sorted(targets)
     mix = learn(docs, domains, names)
     keep = [c for c in ("doc_id", "source") if c in docs.columns]
-    rows = stored(featured(docs, mix.lexicon, keep).select(*keep, "n_tokens", posteriors(mix).alias("p")))
+    rows = stored(with_posteriors(featured(docs, mix.lexicon, keep), mix).select(*keep, "n_tokens", "p"))
     kinds = rows.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("tokens"))
     mix.history = solve(kinds, [targets[d] for d in names])
     return mix, rows
@@ -212,7 +220,8 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None
     """docs with rate and copies beside their columns, without the documents that get no copy."""
     mix, _ = fit(docs, domains, TARGETS if targets is None else targets)
     keep = [c for c in docs.columns if c not in ("rate", "copies")]
-    rows = featured(docs, mix.lexicon, keep).withColumn("p", posteriors(mix))
-    r, _ = rate(mix.history, F.col("p"))
-    out = rows.select(*keep, r.alias("rate")).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "text", "doc_id")
+    rows = with_posteriors(featured(packed, mix.lexicon, ["_row", "doc_id"]), mix, "_p")
+    r, _ = rate(mix.history, F.col("_p"))
+    out = rows.select("_row.*", r.alias("rate")).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
     return out.where("copies > 0")
