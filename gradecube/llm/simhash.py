@@ -291,9 +291,10 @@ def bit_counts_by_word(fps: DataFrame) -> list[tuple[int, np.ndarray]]:
                     both[j] += bits.T @ bits
         yield pa.RecordBatch.from_arrays([pa.array(range(both.size + 1), pa.int32()), pa.array([n, *map(int, both.ravel())], pa.int64())], names=["k", "n"])
 
-    sums = dict(fps.select("fp").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect())
-    both = np.array([sums.get(k + 1, 0) for k in range(WORDS * BITS * BITS)], dtype=float).reshape(WORDS, BITS, BITS)
-    return [(sums.get(0, 0), x) for x in both]
+    sums = fps.select("fp").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    flat = np.zeros(WORDS * BITS * BITS + 1)
+    flat[sums["k"].to_numpy()] = sums["n"].to_numpy()
+    return [(int(flat[0]), x) for x in flat[1:].reshape(WORDS, BITS, BITS)]
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
