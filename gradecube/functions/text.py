@@ -105,7 +105,7 @@ def short_name(name: Column, alias: Column, most: int = 12) -> Column:
 
 def duration(seconds: Column) -> Column:
     minutes = F.floor(seconds / 60)
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).otherwise(F.format_string("%dm %.1fs", minutes.cast("int"), seconds - minutes * 60))
+    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).when(seconds >= 60, F.format_string("%dm %.1fs", minutes.cast("int"), seconds - minutes * 60))
 
 
 def bar(value: Column, most: float = 10.0, width: int = 25) -> Column:

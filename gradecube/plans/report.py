@@ -37,5 +37,5 @@ def parsed_table(df: DataFrame) -> list[list[str]]:
     """The cells of the first table of a report read as text lines (column value)."""
     from pyspark.sql import functions as F
 
-    cells = F.filter(F.transform(F.split("value", r"\|"), F.trim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split("value", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return [r.c for r in df.where(F.ltrim("value").startswith("|") & ~F.col("value").rlike(r"^\|[-:|]+\|$")).select(cells.alias("c")).collect()]

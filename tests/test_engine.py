@@ -1,0 +1,216 @@
+"""Hand-checked cases, invariants, ingest and the interfaces that no table covers."""
+
+import json
+import math
+import random
+
+import pytest
+from gradecube.functions import coercion, special, stats, text
+from gradecube.operators import agreement, benchmark, elo, incremental, names, sampling, scores
+from gradecube.plans import report
+from gradecube.sources import json_files, responders
+from gradecube.streaming import live
+from gradecube import schemas
+from pyspark.sql import functions as F
+
+CUBE = "mode string, evaluator string, evaluator_ord int, question string, q_ord int, model string, model_ord int, score double"
+
+CELLS = [
+    ('{"score": 7}', 7, 7, 7, 7),
+    ('{"score": 7.5}', 7.5, 7.5, 7.5, 7.5),
+    ('{"score": "7"}', 7, 7, None, 7),
+    ('{"score": "7.5"}', 7.5, None, None, 7.5),
+    ('{"score": " 8 "}', 8, 8, None, 8),
+    ('{"score": "-3"}', None, None, None, -3),
+    ('{"score": "1e1"}', None, None, None, 10),
+    ('{"score": "7..5"}', None, None, None, None),
+    ('{"score": "8/10"}', None, None, None, None),
+    ('{"score": "7d"}', None, None, None, None),
+    ('{"score": true}', 1, 1, 1, 1),
+    ('{"score": null}', None, None, None, None),
+    ('{"reason": "x"}', None, None, None, None),
+    ("null", None, None, None, None),
+    ("7", None, None, 7, 7),
+    ('"7"', None, None, None, 7),
+]
+
+
+def test_coercion_policies(spark):
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(CELLS)], "k int, cell string")
+    out = df.select("k", *[coercion.POLICIES[p](F.col("cell")).alias(p) for p in ("lenient", "elo", "strict", "cast")]).collect()
+    for r in out:
+        assert tuple(r)[1:] == CELLS[r.k][1:], CELLS[r.k]
+    nan = spark.createDataFrame([('{"score": "nan"}',)], "cell string").select(coercion.cast(F.col("cell")), coercion.lenient(F.col("cell"))).first()
+    assert math.isnan(nan[0]) and nan[1] is None
+
+
+def cube(spark, cells):
+    ms = sorted({c[1] for c in cells} | {c[3] for c in cells})
+    qs = sorted({c[2] for c in cells})
+    return spark.createDataFrame([(mode, e, ms.index(e), q, qs.index(q), m, ms.index(m), float(s)) for mode, e, q, m, s in cells], CUBE)
+
+
+def made(seed=1, n=5, q=8):
+    rnd = random.Random(seed)
+    return [(mode, f"m{e}", f"q{k}", f"m{m}", rnd.randint(1, 10)) for mode in ("shuffle_blind", "shuffle_only", "blind_only") for e in range(n) for k in range(q) for m in range(n)]
+
+
+def test_special_functions():
+    assert special.t_two_sided(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
+    assert special.gamma_tail(2, 9.487729 / 2) == pytest.approx(0.05, abs=1e-6)
+    assert special.gamma_tail(0.5, 3.841459 / 2) == pytest.approx(0.05, abs=1e-6)
+    for df, t in ((1, 12.7062), (2, 4.3027), (5, 2.5706), (10, 2.2281), (30, 2.0423), (100, 1.9840)):
+        assert special.t_critical(df) == pytest.approx(t, abs=1e-4)
+    assert special.t_two_sided(1, 1) == pytest.approx(0.5) and special.t_two_sided(1, 2) == pytest.approx(1 - 1 / math.sqrt(3))
+
+
+def test_statistics_of_small_samples(spark):
+    one = spark.range(1)
+    low, high = stats.wilson(F.lit(0), F.lit(0))
+    assert tuple(one.select(low, high).first()) == (0.0, 0.0)
+    for r, n in ((0.5, 3), (1.0, 10)):
+        assert tuple(one.select(*stats.fisher(F.lit(r), F.lit(n))).first()) == (r, r)
+    flat = spark.createDataFrame([(2.0, 1.0), (2.0, 5.0)], "x double, y double")
+    assert flat.agg(stats.pearson("x", "y")).first()[0] == 0.0
+    d = lambda *v: one.select(stats.cohens_d(*map(F.lit, v))).first()[0]
+    assert d(5.0, 1.0, 1, 4.0, 1.0, 9) is None and d(5.0, 0.0, 4, 4.0, 0.0, 9) is None
+    tail = one.select(stats.normal_tail(F.lit(1.959964))).first()[0]
+    assert tail == pytest.approx(0.05, abs=1e-6)
+
+
+def test_elo(spark):
+    two = cube(spark, [("shuffle_blind", "j", "q", "a", 9), ("shuffle_blind", "j", "q", "b", 3)])
+    assert sorted(r.elo for r in elo.ratings(elo.matches(two)).collect()) == [1484, 1516]
+    c = cube(spark, made())
+    m = elo.matches(c)
+    rows = sorted(map(tuple, m.where("mode = 'blind_only'").select("ord", "a", "b", "outcome").collect()))
+    want: dict = {}
+    for _, a, b, o in rows:
+        ra, rb = want.get(a, 1500.0), want.get(b, 1500.0)
+        gain = 32 * (o - 1 / (1 + 10 ** ((rb - ra) / 400)))
+        want[a], want[b] = ra + gain, rb - gain
+    got = {r.model_ord: r.rating for r in elo.ratings(m).where("mode = 'blind_only'").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+    assert sum(got.values()) / len(got) == pytest.approx(1500)
+    t = elo.tallies(m)
+    assert t.agg(F.sum(F.col("wins") + F.col("losses") + F.col("ties"))).first()[0] == 2 * m.count()
+
+
+def test_score_invariants(spark):
+    c = cube(spark, made(2))
+    s = scores.peer_stats(c).collect()
+    assert all(r.n + r.n_self == 40 for r in s)
+    roster = c.select("model", "model_ord").distinct().unionByName(spark.createDataFrame([("none", 9)], "model string, model_ord int"))
+    b = {r.model: r for r in scores.bias_analysis(c, roster).collect()}
+    assert len(b) == 6 and b["none"].base == 0 == b["none"].name_bias
+    assert scores.bias_analysis(c.where("mode <> 'blind_only'"), roster).count() == 0
+    r = {(x.judge1, x.judge2): x.r for x in agreement.matrix(c).collect()}
+    assert all(r[a, b] == r[b, a] for a, b in r) and all(r[a, a] == 1 for a, _ in r)
+    assert agreement.pairs(c.where("q_ord = 0 AND model_ord < 2")).where("r <> 0").count() == 0  # two common cells
+
+
+def test_sampling():
+    assert sampling.filled_quotas({"easy": 2, "hard": 10, "medium": 10}, 15) == {"easy": 2, "hard": 7, "medium": 6}
+    assert sampling.filled_quotas({"a": 1, "b": 1}, 9) == {"a": 1, "b": 1} and sampling.even_quotas({"a": 1, "b": 9}, 7) == {"a": 1, "b": 3}
+
+
+def test_blind_labels_beyond_z(spark):
+    rows = spark.createDataFrame([("g", f"m{k:02d}") for k in range(30)], "g string, model string")
+    labels = {r.label for r in sampling.blind_labels(rows, ["g"], "model").collect()}
+    assert len(labels) == 30 and {"Response A", "Response Z", "Response AA", "Response AD"} <= labels
+
+
+def test_names(spark):
+    roster = spark.createDataFrame([("alpha-large", 0), ("alpha", 1), ("beta", 2)], "name string, ordinal int")
+    said = spark.createDataFrame([("alpha",), (" [BETA] ",), ("alph",), ("",), ("gamma",)], "name string")
+    assert {r.name: r.model for r in names.matched(said, roster).collect()} == {"alpha": "alpha", " [BETA] ": "beta", "alph": "alpha-large", "": "alpha-large", "gamma": None}
+
+
+def test_text(spark):
+    one = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x"))).first()[0]
+    assert one(text.gold_answer, "a #### 3\nb #### 1,234.5") == 1234.5 and one(text.gold_answer, "none") is None
+    assert one(text.model_answer, "so we have 12 apples") == 12 and one(text.model_answer, "") is None
+    assert one(text.sanitized, "‘a’ “b” – c… d") == "'a' \"b\" - c... d"
+    assert one(text.without_thoughts, "<think>a\nb</think>  c") == "c"
+    assert one(text.error_class, "Rate limit 429") == "retry" and one(text.error_class, "Permission denied 500") == "final"
+    got = lambda x: one(lambda c: text.extracted_json(c).cast("string"), x)
+    assert json.loads(got('Here: ```json\n{"a": 1}\n```')) == {"a": 1} and got("no json") is None
+    assert json.loads(got('So {"m": {"flags": []}} it is')) == []  # brackets come before braces
+    assert one(text.duration, None) is None
+    assert spark.range(1).select(text.duration(F.lit(12.34)), text.duration(F.lit(123.4))).first()[:] == ("12.3s", "2m 3.4s")
+
+
+def test_unknown_answer_equals_unknown_gold(spark):
+    rows = spark.createDataFrame([("?", "?"), ("A", "B")], "letter string, gold string")
+    assert rows.where("letter = gold").count() == 1
+
+
+def test_json_round(spark, tmp_path):
+    cells = {"x": {"score": 7}, "y": {"score": "8"}, "z": 3}
+    doc = {"revision": "r1", "evaluations_by_mode": {"shuffle_blind": {"x": {"q?": cells}}}}
+    (tmp_path / "scores_r1.json").write_text(json.dumps(doc))
+    df = json_files.load(spark, str(tmp_path), "scores", "r1", schemas.EVALUATIONS)
+    assert {r.model: r.score for r in json_files.score_facts(df).collect()} == {"x": 7, "y": 8, "z": None}
+    assert {r.model: r.score for r in json_files.score_facts(df, "strict").collect()} == {"x": 7, "y": None, "z": 3}
+    assert json_files.latest_revision(spark, str(tmp_path), "scores") == "r1"
+    assert json_files.load_optional(spark, str(tmp_path), "other", "r1", schemas.EVALUATIONS).count() == 0
+    asked = {"questions_by_model": {"a": [{"question": "one"}, {"category": "c", "question": "two"}], "b": [{"category": "d", "question": "two"}, {"question": "Error: x"}]}}
+    (tmp_path / "asked_r1.json").write_text(json.dumps(asked))
+    q = json_files.questions(json_files.load(spark, str(tmp_path), "asked", "r1", schemas.QUESTIONS))
+    assert {(r.question, r.source_model, r.category) for r in q.collect()} == {("one", "a", "general"), ("two", "b", "d")}
+    facts = json_files.score_facts(df)
+    json_files.save(facts, str(tmp_path / "facts"))
+    assert spark.read.parquet(str(tmp_path / "facts")).where("mode = 'shuffle_blind'").count() == 3
+
+
+def test_registry_and_filters(spark):
+    m = json_files.registry(spark, [{"provider": "p", "model_id": "a1", "name": "Alpha", "cost": (1, 2)}, {"provider": "p", "model_id": "b1", "name": "Beta"}])
+    assert [r.name for r in json_files.active(m, include=["ALPHA", "beta"], exclude=["beta"]).collect()] == ["Alpha"]
+    q = spark.createDataFrame([("current events",), ("logic",)], "category string")
+    assert json_files.active_categories(q, include=["Event"]).count() == 1 == json_files.active_categories(q, exclude=["event"]).count()
+
+
+def test_responders(spark):
+    calls = []
+
+    def flaky(model, prompt):
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("429 rate limit")
+        return "ok", 1, 1
+
+    waits: list = []
+    assert responders.retried(flaky, "m", "p", waits.append)[0] == "ok" and waits == [4, 8]
+    with pytest.raises(RuntimeError):
+        responders.retried(lambda m, p: (_ for _ in ()).throw(RuntimeError("401")), "m", "p", waits.append)
+    prompts = spark.createDataFrame([("m", "one"), ("m", "two")], "model string, prompt string")
+    out = responders.respond(prompts).collect()
+    assert len(out) == 2 and all(r.error is None and r.text.startswith("The answer is") for r in out)
+
+
+def test_resume_and_merge(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    assert [r.k for r in incremental.to_do(a, a.where("k = 1"), ["k"]).collect()] == [2]
+    assert incremental.merged(a, a).count() == 4
+    assert [r.v for r in benchmark.first_truth(a.unionByName(spark.createDataFrame([(3, "x")], "k int, v string")), "v", "k").where("v = 'x'").collect()] == ["x"]
+
+
+def test_report(spark):
+    c = cube(spark, made(3))
+    qs = spark.createDataFrame([(f"q{k}", "cat", f"m{k % 5}") for k in range(8)], "question string, category string, source_model string")
+    models = spark.createDataFrame([(f"m{k}", "P" if k % 2 else "Q") for k in range(5)], "name string, provider string")
+    md = report.report(c, qs, models)
+    assert md.count("## ") == 8 and "| m3" in md
+    lines = spark.createDataFrame([(x,) for x in report.table(scores.peer_rankings(c)).split("\n")], "value string")
+    assert report.parsed_table(lines)[0][:2] == ["rank", "model"]
+
+
+def test_stream(spark, tmp_path):
+    c = cube(spark, made(4))
+    c.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(c.schema).parquet(str(tmp_path / "in"))
+    q = live.start(stream, str(tmp_path / "cp"), "totals")
+    q.processAllAvailable()
+    q.stop()
+    key = lambda df: sorted(map(tuple, df.select("mode", "model", "total", "n").collect()))
+    assert key(spark.table("totals")) == key(live.peer_totals(c))
