@@ -32,6 +32,8 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 THRESHOLD = 0.8
+#: Sizes just at a bound stay in despite rounding.
+EDGE = 1e-9
 #: The scan takes at most this many templates, as they are sent to every executor.
 MOST_TEMPLATES = 5000
 
@@ -50,7 +52,7 @@ def bigrams(ws: Column) -> Column:
 
 def size_bounds(size: int, threshold: float) -> tuple[float, float]:
     """Bigram set sizes that can reach the threshold against a template of this size: Dice is at most 2 min / (sum)."""
-    return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+    return size * threshold / (2 - threshold) - EDGE, size * (2 - threshold) / threshold + EDGE
 
 
 def template_sizes(templates: list[tuple[str, str]]) -> list[int]:
@@ -71,7 +73,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     match nothing; empty tables give no rows; repeated rows each match. A segment that fits several templates of
     a licence has one row, with the best coefficient. Segments whose size rules out every template are dropped
     before their bigrams are made. Returns doc_id, license, segment (line number, from 0; the whole text is -1,
-    paragraphs count down from -2), dice.
+    paragraphs of several lines count down from -2), dice.
     """
     templates = TEMPLATES if templates is None else templates
     if len(templates) > MOST_TEMPLATES:
@@ -97,7 +99,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     s = s.select("doc_id", "rid", "segment", bigrams(F.col("ws")).alias("_b")).where(F.size("_b").between(low, high))
     s = s.select("doc_id", "rid", "segment", F.size("_b").alias("size"), F.explode("_b").alias("gram"))
     hits = s.join(F.broadcast(t), "gram")  # at most MOST_TEMPLATES short texts
-    hits = hits.where((F.col("size") * (2 - threshold) >= F.col("tsize") * threshold) & (F.col("tsize") * (2 - threshold) >= F.col("size") * threshold))
+    hits = hits.where((F.col("size") * (2 - threshold) + EDGE >= F.col("tsize") * threshold) & (F.col("tsize") * (2 - threshold) + EDGE >= F.col("size") * threshold))
     shared = hits.groupBy("doc_id", "rid", "segment", "template", "license", "size", "tsize").agg(F.count("*").alias("both"))
     dice = 2.0 * F.col("both") / (F.col("size") + F.col("tsize"))
     return shared.select("doc_id", "rid", "segment", "license", dice.alias("dice")).where(F.col("dice") >= threshold).groupBy("doc_id", "rid", "segment", "license").agg(F.max("dice").alias("dice")).drop("rid")
