@@ -38,12 +38,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
-    """children (key, parent, n, bad) with the posterior a, b of each, under a beta prior around its parent's mean.
+    """children (key, parent, n, bad) with the posterior a, b of each, under a beta prior around its parent's mean without the child's own outcomes.
 
     The prior's weight comes from the moments of all children about their parents: it is large where they
     differ no more than binomial noise would have them.
     """
-    c = children.join(parents.select(parent, F.col("mean").alias("prior")), parent)
+    up = parents.select(parent, F.col("a").alias("pa"), F.col("b").alias("pb"))
+    c = children.join(up, parent).withColumn("prior", (F.col("pa") - F.col("bad")) / (F.col("pa") + F.col("pb") - F.col("n"))).drop("pa", "pb")
     p = F.col("bad") / F.nullif(F.col("n"), F.lit(0))
     noise = F.col("prior") * (1 - F.col("prior"))
     spread = c.groupBy(F.lit(0).alias("one")).agg(
@@ -77,7 +78,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     total = lambda d, *keys: d.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = total(hosts, "domain", "suffix").withColumn("root", F.lit(0))
     suffixes = total(domains, "suffix", "root")
-    root = total(suffixes, "root").select("root", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("mean"))
+    root = total(suffixes, "root").select("root", (F.col("bad") + 1.0).alias("a"), (F.col("n") - F.col("bad") + 1.0).alias("b"))
     suffixes = shrunk(suffixes, root, "suffix", "root")
     domains = shrunk(domains, suffixes, "domain", "suffix")
     hosts = shrunk(hosts, domains, "host", "domain")
@@ -98,7 +99,7 @@ def _oracle() -> str:
         rule, says = f"CASE WHEN {fits} THEN '{name}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {says} END"
 
     def level(name: str, kids: str, parent: str, key: str, up: str) -> str:
-        return f"""{name}_c AS (SELECT c.{key}, c.{up}, c.n, c.bad, p.mean AS prior FROM {kids} c JOIN {parent} p USING ({up})),
+        return f"""{name}_c AS (SELECT c.{key}, c.{up}, c.n, c.bad, (p.a - c.bad) / (p.a + p.b - c.n) AS prior FROM {kids} c JOIN {parent} p USING ({up})),
 {name}_s AS (SELECT coalesce(sum(n * (bad / nullif(n, 0) - prior) * (bad / nullif(n, 0) - prior)), 0) AS s, coalesce(sum(CASE WHEN n > 0 THEN prior * (1 - prior) END), 0) AS e, coalesce(sum(n), 0)::DOUBLE AS t, coalesce(avg(prior * (1 - prior)), 0) AS v FROM {name}_c),
 {name}_k AS (SELECT greatest({LEAST_K}, least({MOST_K}, coalesce(CASE WHEN (s - e) / nullif(t, 0) > 0 THEN v / ((s - e) / nullif(t, 0)) - 1 END, {MOST_K}))) AS k FROM {name}_s),
 {name} AS (SELECT {key}, {up}, k * prior + bad AS a, k * (1 - prior) + n - bad AS b, (k * prior + bad) / (k + n) AS mean FROM {name}_c, {name}_k)"""
@@ -112,7 +113,7 @@ h2 AS (SELECT *, {sql["suffix"]} AS suffix FROM h1),
 hs AS (SELECT *, {sql["domain"]} AS domain FROM h2),
 ds AS (SELECT domain, suffix, 0 AS root, sum(n) AS n, sum(bad) AS bad FROM hs GROUP BY 1, 2),
 ss AS (SELECT suffix, root, sum(n) AS n, sum(bad) AS bad FROM ds GROUP BY 1, 2),
-rt AS (SELECT root, (sum(bad) + 1) / (sum(n) + 2) AS mean FROM ss GROUP BY 1),
+rt AS (SELECT root, sum(bad) + 1.0::DOUBLE AS a, sum(n) - sum(bad) + 1.0::DOUBLE AS b FROM ss GROUP BY 1),
 {level("sx", "ss", "rt", "suffix", "root")},
 {level("dx", "ds", "sx", "domain", "suffix")},
 {level("hx", "hs", "dx", "host", "domain")}
