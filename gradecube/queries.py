@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .functions import coercion, special, stats, text
-from .operators import agreement, benchmark, costs, elo, incremental, inference, names, questions, rules, sampling, scores
+from .functions import coercion, prompts, special, stats, text
+from .operators import agreement, benchmark, catalog, costs, elo, incremental, inference, names, questions, rules, sampling, scores
 from .plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -671,6 +671,101 @@ def topic_counts(s, d):
     return rules.topics(_rule_rows(s, d)).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+# dimensions and work
+SUBJECTS = ["anatomy", "college_medicine", "virology", "econometrics", "high_school_physics", "philosophy", "professional_law", "machine_learning"]
+
+
+def _subjects(s, d):
+    return fx.questions(s, d).select("q_ord", F.get(F.array(*map(F.lit, SUBJECTS)), F.col("q_ord") % 8).alias("subject"))
+
+
+SUBJECT = f", sj AS (SELECT q_ord, ({SUBJECTS!r})[q_ord % 8 + 1] AS subject FROM f_questions), sg AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{x}')" for g, xs in catalog.SUBJECT_GROUPS.items() for x in xs.split()) + ") v(grp, subject))\n"
+
+
+@query(SUBJECT + "SELECT grp, count(*) AS n, count(DISTINCT subject) AS subjects FROM sj JOIN sg USING (subject) GROUP BY 1")
+def subject_group_counts(s, d):
+    j = _subjects(s, d).join(F.broadcast(catalog.subject_groups(s)), "subject")
+    return j.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
+
+
+@query(SUBJECT + "SELECT q_ord, subject FROM sj SEMI JOIN (SELECT subject FROM sg WHERE lower(grp) = 'medical') g USING (subject)")
+def subject_subset(s, d):
+    return catalog.of_group(_subjects(s, d), "Medical")
+
+
+TRUTHFUL = ["Statistics", "Proverbs", "Health", "Politics", "History", "Confusion: Other", "Law"]
+
+
+@query(f", tc AS (SELECT q_ord, ({TRUTHFUL!r})[q_ord % 7 + 1] AS own FROM f_questions) SELECT q_ord, CASE " + " ".join(f"WHEN own IN ({', '.join(repr(x) for x in xs)}) THEN '{n}'" for n, xs in catalog.CATEGORY_MAP.items()) + f" ELSE '{catalog.DEFAULT_CATEGORY}' END AS category FROM tc")
+def mapped_categories(s, d):
+    own = F.get(F.array(*map(F.lit, TRUTHFUL)), F.col("q_ord") % 7)
+    return fx.questions(s, d).select("q_ord", catalog.mapped_category(own).alias("category"))
+
+
+@query("SELECT q_ord, CASE WHEN q_ord % 3 = 0 THEN 0 ELSE 1 END::int AS correct_index FROM f_questions WHERE q_ord % 3 <> 2")
+def valid_choice_rows(s, d):
+    o = F.col("q_ord") % 3
+    labels = F.when(o == 0, F.array(F.lit(1), F.lit(0))).when(o == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(0)))
+    rows = fx.questions(s, d).select("q_ord", F.array(F.lit("a"), F.lit("b")).alias("choices"), labels.alias("labels"))
+    return catalog.valid_choices(rows).select("q_ord", "correct_index")
+
+
+@query("SELECT mode, name AS evaluator, question FROM f_questions CROSS JOIN f_models CROSS JOIN (VALUES ('shuffle_only'), ('blind_only'), ('shuffle_blind')) v(mode)")
+def evaluation_tasks(s, d):
+    t = catalog.evaluation_tasks(fx.models(s, d).select(F.col("name").alias("evaluator")), fx.questions(s, d).select("question"), ["shuffle_only", "blind_only", "shuffle_blind"])
+    return t.select("mode", "evaluator", "question")
+
+
+@query("SELECT q_ord, count(*) AS models, sum(out_tok)::bigint AS out_tok FROM f_answers GROUP BY 1")
+def nested_answers(s, d):
+    n = catalog.nested_answers(fx.answers(s, d))
+    total = F.aggregate(F.map_values("answers"), F.lit(0).cast("long"), lambda t, a: t + a["out_tok"])
+    return n.select("q_ord", F.size("answers").cast("long").alias("models"), total.alias("out_tok"))
+
+
+@query("SELECT ordinal, name FROM f_models WHERE lower(name) = (SELECT lower(min(name)) FROM f_models)")
+def judge_lookup(s, d):
+    m = fx.models(s, d)
+    return m.join(F.broadcast(m.agg(F.lower(F.min("name")).alias("k"))), F.lower("name") == F.col("k")).select("ordinal", "name")
+
+
+@query("SELECT q_ord, concat('A. ', question, chr(10), 'B. ', category) AS block FROM f_questions")
+def choice_blocks(s, d):
+    return fx.questions(s, d).select("q_ord", prompts.choices_block(F.array("question", "category")).alias("block"))
+
+
+@query(LABELS + "SELECT evaluator, question, count(*) AS n, string_agg('--- ' || label || ' ---' || chr(10) || model, chr(10) || chr(10) ORDER BY label) AS block FROM ll GROUP BY 1, 2")
+def response_blocks(s, d):
+    g = _labels(s, d).groupBy("evaluator", "question").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("label", F.col("model").alias("text")))).alias("r"))
+    return g.select("evaluator", "question", "n", prompts.responses_block(F.col("r")).alias("block"))
+
+
+@query(GRADED + f", er AS (SELECT model, {DIFFICULTY} AS difficulty, count(*) FILTER (NOT correct) * 100.0::double / count(*) AS rate FROM gr GROUP BY 1, 2), rm AS (SELECT model, CASE WHEN avg(length(text)) / nullif(avg(out_tok), 0) < 0.00008 THEN 'CoT' ELSE 'Standard' END AS kind FROM f_answers GROUP BY 1) SELECT kind, count(*) AS models, round(avg(rate), 4) AS hard_rate FROM er JOIN rm USING (model) WHERE difficulty = 'hard' GROUP BY 1")
+def hard_error_rate(s, d):
+    rows = benchmark.graded(fx.answers(s, d), fx.gold(s, d)).withColumn("difficulty", F.expr(DIFFICULTY))
+    rates = rows.where("difficulty = 'hard'").groupBy("model").agg((F.count_if(~F.col("correct")) * 100.0 / F.count("*")).alias("rate"))
+    kinds = fx.answers(s, d).groupBy("model").agg(F.when(F.avg(F.length("text")) / F.nullif(F.avg("out_tok"), F.lit(0)) < 0.00008, "CoT").otherwise("Standard").alias("kind"))
+    return rates.join(kinds, "model").groupBy("kind").agg(F.count("*").alias("models"), F.round(F.avg("rate"), 4).alias("hard_rate"))
+
+
+@query("SELECT category, count(*) AS n FROM f_questions WHERE contains(lower(category), 'high') OR contains(lower(category), 'low') GROUP BY 1")
+def category_filter(s, d):
+    from .sources.json_files import active_categories
+
+    return active_categories(fx.questions(s, d), include=["HIGH", "low"]).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT name, CASE name WHEN 'NATION_1' THEN 0.2 ELSE 0.7 END::double AS temperature FROM f_models")
+def model_temperatures(s, d):
+    return catalog.temperatures(fx.models(s, d), {"NATION_1": 0.2}, 0.7)
+
+
+@query("SELECT mode, count(*) AS done, concat('[', repeat('#', (count(*) * 20 // (12 * 12 * 100))::int), repeat('-', (20 - count(*) * 20 // (12 * 12 * 100))::int), '] ', count(*)::varchar, '/14400 (', (count(*) * 100 // 14400)::varchar, '%)') AS bar FROM f_scores GROUP BY 1")
+def progress_bars(s, d):
+    g = fx.scores(s, d).groupBy("mode").agg(F.count("*").alias("done"))
+    return g.select("mode", "done", catalog.progress(F.col("done"), F.lit(14400).cast("long"), 20).alias("bar"))
+
+
 # runs
 @query("SELECT evaluator, question, model FROM f_scores WHERE mode = 'shuffle_blind' AND NOT EXISTS (SELECT 1 FROM f_scores b WHERE b.mode = 'blind_only' AND b.evaluator = f_scores.evaluator AND b.question = f_scores.question AND b.model = f_scores.model)")
 def resume_anti_join(s, d):
