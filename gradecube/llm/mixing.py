@@ -223,5 +223,7 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "text", "doc_id")
     rows = with_posteriors(featured(packed, mix.lexicon, ["_row", "doc_id"]), mix, "_p")
     r, _ = rate(mix.history, F.col("_p"))
+    # a column that is not deterministic keeps the filter below from being unfolded into every step of the rate
+    r = r + 0.0 * F.monotonically_increasing_id()
     out = rows.select("_row.*", r.alias("rate")).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
     return out.where("copies > 0")
