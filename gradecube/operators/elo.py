@@ -7,6 +7,7 @@ there with spilling, and folded as a stream that holds one rating a model.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,13 +20,13 @@ START, K, SCALE, SEED = 1500.0, 32.0, 400.0, 42
 
 
 def matches(cube: DataFrame, seed: int = SEED) -> DataFrame:
-    """mode, a, b (model_ord), outcome of a (1, 0.5, 0) and the md5 key that orders the fold."""
+    """mode, evaluator_ord, q_ord, a, b (model_ord), outcome of a (1, 0.5, 0) and the md5 key that orders the fold."""
     c = cube.where(is_peer())
     a = c.select("mode", "evaluator_ord", "q_ord", F.col("model_ord").alias("a"), F.col("score").alias("x"))
     b = c.select("mode", "evaluator_ord", "q_ord", F.col("model_ord").alias("b"), F.col("score").alias("y"))
     j = a.join(b, ["mode", "evaluator_ord", "q_ord"]).where("a < b")
     outcome = F.when(F.col("x") > F.col("y"), 1.0).when(F.col("x") < F.col("y"), 0.0).otherwise(0.5)
-    return j.select("mode", "a", "b", outcome.alias("outcome"), F.md5(F.concat_ws("|", F.lit(str(seed)), "evaluator_ord", "q_ord", "a", "b")).alias("ord"))
+    return j.select("mode", "evaluator_ord", "q_ord", "a", "b", outcome.alias("outcome"), F.md5(F.concat_ws("|", F.lit(str(seed)), "evaluator_ord", "q_ord", "a", "b")).alias("ord"))
 
 
 def tallies(m: DataFrame) -> DataFrame:
@@ -66,3 +67,28 @@ def against_peer(elo: DataFrame, peer: DataFrame) -> DataFrame:
     r = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "model_ord")).cast("long")
     out = j.withColumn("peer_rank", r("peer")).withColumn("elo_rank", r("elo"))
     return out.select("model", "elo", F.round("peer", 4).alias("peer"), "peer_rank", "elo_rank", (F.col("peer_rank") - F.col("elo_rank")).alias("rank_diff"))
+
+
+def ratings_in_drawn_order(cube: DataFrame, seed: int | None = SEED, start: float = START, k: float = K) -> DataFrame:
+    """As ratings(), with the matches of a mode in list order shuffled by Python's generator; no shuffle for seed None.
+
+    For parity with single-process runs: a mode's matches are held in one task, some 40 bytes each, so this is for
+    cubes whose matches fit there; ratings() has no such bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict = {}
+        for batch in batches:
+            for g, a, b, o in zip(*(batch.column(c).to_pylist() for c in ("mode", "a", "b", "outcome")), strict=True):
+                groups.setdefault(g, []).append((a, b, o))
+        out = []
+        for g, rows in groups.items():
+            if seed is not None:
+                random.Random(seed).shuffle(rows)
+            table: dict = {}
+            for a, b, o in rows:
+                step(table, a, b, o, k, SCALE, start)
+            out += [(g, i, r) for i, r in table.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([round(x[2]) for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["mode", "model_ord", "elo", "rating"])
+
+    return matches(cube).repartition("mode").sortWithinPartitions("mode", "evaluator_ord", "q_ord", "a", "b").mapInArrow(run, "mode string, model_ord int, elo long, rating double")

@@ -210,7 +210,7 @@ wl AS (SELECT mode, model_ord, count(*) FILTER (o = 1) AS wins, count(*) FILTER
 
 @query(MATCHES + "SELECT mode, a, b, outcome, ord FROM mt")
 def pairwise_outcomes(s, d):
-    return elo.matches(fx.scores(s, d))
+    return elo.matches(fx.scores(s, d)).select("mode", "a", "b", "outcome", "ord")
 
 
 @query(MATCHES + "SELECT mode, model_ord, wins, losses, ties FROM wl")
@@ -228,6 +228,11 @@ def elo_ratings(s, d):
     return elo.ratings(elo.matches(fx.scores(s, d))).select("mode", "model_ord", "elo", F.round("rating", 6).alias("rating"))
 
 
+@query()
+def elo_ratings_drawn_order(s, d):
+    return elo.ratings_in_drawn_order(fx.scores(s, d)).select("mode", "model_ord", "elo", F.round("rating", 6).alias("rating"))
+
+
 def _elo_and_peer(s, d):
     cube = fx.scores(s, d)
     base = elo.ratings(elo.matches(cube.where("mode = 'shuffle_blind'")))

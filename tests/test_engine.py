@@ -92,6 +92,13 @@ def test_elo(spark):
     got = {r.model_ord: r.rating for r in elo.ratings(m).where("mode = 'blind_only'").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
     assert sum(got.values()) / len(got) == pytest.approx(1500)
+    listed = sorted(map(tuple, m.where("mode = 'blind_only'").select("evaluator_ord", "q_ord", "a", "b", "outcome").collect()))
+    random.Random(42).shuffle(listed)
+    drawn: dict = {}
+    for _, _, a, b, o in listed:
+        elo.step(drawn, a, b, o)
+    got = {r.model_ord: r.rating for r in elo.ratings_in_drawn_order(c).where("mode = 'blind_only'").collect()}
+    assert all(got[k] == pytest.approx(drawn[k], abs=1e-9) for k in drawn) and got.keys() == drawn.keys()
     t = elo.tallies(m)
     assert t.agg(F.sum(F.col("wins") + F.col("losses") + F.col("ties"))).first()[0] == 2 * m.count()
 
