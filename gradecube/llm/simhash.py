@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 from .components import components
 
 BITS = 64
@@ -66,15 +66,18 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
     return sums.get(0, 0), np.array([sums.get(k + 1, 0) for k in range(BITS * BITS)], dtype=float).reshape(BITS, BITS)
 
 
-def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
-    """The 64 bits in m groups of nearly equal size, correlated bits together."""
+def even_sizes(m: int) -> list[int]:
+    return [BITS // m + (g < BITS % m) for g in range(m)]
+
+
+def correlated_groups(n: int, both: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Groups of the 64 bits of the given sizes, correlated bits together."""
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(p * (1 - p))
     phi = np.abs((both / max(n, 1) - np.outer(p, p)) / np.maximum(np.outer(spread, spread), 1e-9))
     np.fill_diagonal(phi, 0)
     free, groups = set(range(BITS)), []
-    for g in range(m):
-        size = BITS // m + (g < BITS % m)
+    for size in sizes:
         rest = sorted(free)
         group = [max(rest, key=lambda i: (phi[i, rest].max(), -i))]
         while len(group) < size:
@@ -117,7 +120,7 @@ def flips(width: int, radius: int) -> list[int]:
 def plan(fps: DataFrame, within: int) -> list[tuple[list[int], int]]:
     """Groups of bits with the radius to probe each at: fingerprints within the distance agree in one group to its radius."""
     n, both = bit_counts(fps)
-    options = [correlated_groups(n, both, m) for m in range(2, within + 3)]
+    options = [correlated_groups(n, both, even_sizes(m)) for m in range(2, within + 3)]
     groups = [(i, g) for i, groups in enumerate(options) for g in groups]
     values = F.array(*[F.struct(F.lit(k).alias("k"), packed(F.col("fp"), g).alias("v")) for k, (_, g) in enumerate(groups)])
     sizes = fps.select(F.inline(values)).groupBy("k", "v").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum(F.col("c").cast("double") * F.least("c", F.lit(PAIR_LIMIT))).alias("pairs"))
@@ -186,10 +189,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, within: int = 2) -> DataFram
 
 
 #: For a similarity, so many 64-bit words are drawn from each shingle; pairs of the similarity 0.8 are candidates with
-#: probability 0.8, of 0.85 with 0.92 and of 0.9 with 0.99; the words together tell the similarity to within 0.02.
-WORDS = 16
-#: In buckets over PAIR_LIMIT all members are held against this many, and those like none of them against all.
-LEADERS = 8
+#: probability 0.9, of 0.85 with 0.98; the words together tell the similarity to within 0.02.
+WORDS = 24
+BY_CHANCE = 4
+#: In buckets over PAIR_LIMIT all members are held against so many leaders, then against as many drawn from the members
+#: that no leader was like, in so many rounds; pairs without a common leader are left to their other partitions.
+LEADERS, ROUNDS = 4, 3
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -234,47 +239,98 @@ def farthest(similarity: float) -> int:
     return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * BITS)
 
 
+def wide_plan(fps: DataFrame) -> list[tuple[list[tuple[int, int]], int]]:
+    """Partitions of the (word, bit) places, correlated ones together, each with its radius.
+
+    They are wide enough that a fingerprint meets few others by chance however many there are: some
+    BY_CHANCE bits more than it takes to number them. Radii come from the dynamic programme, three partitions at a time.
+    """
+    counted = bit_counts_by_word(fps)
+    n = counted[0][0]
+    width = max(8, min(BITS, math.ceil(math.log2(max(n, 2))) + BY_CHANCE))
+    places: list[list[tuple[int, int]]] = []
+    spare: list[tuple[int, int]] = []
+    shares = {}
+    for j, (_, both) in enumerate(counted):
+        groups = correlated_groups(n, both, [width] * (BITS // width))
+        places += [[(j, b) for b in g] for g in groups]
+        spare += [(j, b) for b in range(BITS) if not any(b in g for g in groups)]
+        p = np.diag(both) / max(n, 1)
+        shares.update({(j, b): x for b, x in enumerate(p * p + (1 - p) * (1 - p))})
+    places += [spare[k : k + width] for k in range(0, len(spare) - width + 1, width)]
+    out = []
+    for k in range(0, len(places), 3):
+        cost = []
+        for g in places[k : k + 3]:
+            agree = np.array([shares[x] for x in g])
+            cost.append([0.0, *(float(n) * n * np.prod(agree) * (1 + t * ((1 - agree) / agree).sum()) + n * len(flips(len(g), t)) for t in (0, 1))])
+        out += [(g, t) for g, t in zip(places[k : k + 3], allotted(cost, 0)[1], strict=True) if t >= 0]
+    return out
+
+
+def partitioned(fps: DataFrame, parts: list[tuple[list[tuple[int, int]], int]]) -> DataFrame:
+    """node, k, v: the value v of each node's bits in partition k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8")).view("<u8").reshape(-1, WORDS)
+            v = np.zeros((len(parts), len(words)), dtype=np.uint64)
+            for k, (places, _) in enumerate(parts):
+                for i, (j, bit) in enumerate(places):
+                    v[k] |= (words[:, j] >> np.uint64(bit) & np.uint64(1)) << np.uint64(i)
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(node, len(parts))), pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), len(words))), pa.array(v.ravel().view(np.int64))], names=["node", "k", "v"])
+
+    return fps.select("node", "fp").mapInArrow(run, "node long, k int, v long")
+
+
 def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
-    """Verified edges (a, b) between digests whose wide fingerprints are as near as the similarity asks.
+    """Verified edges (a, b) between nodes whose wide fingerprints are as near as the similarity asks.
 
-    Each word has a partition plan of its own, so pairs within two bits in any word are sure to be candidates.
+    Pairs that differ in fewer bits than there are partitions are sure to be candidates.
     """
     n_bits = farthest(similarity)
-    parts: list[tuple[int, list[int], int]] = []
-    for j, (n, both) in enumerate(bit_counts_by_word(fps)):
-        groups = correlated_groups(n, both, 3)
-        p = np.diag(both) / max(n, 1)
-        agree = p * p + (1 - p) * (1 - p)
-        cost = [[0.0, *(float(n) * n * np.prod(agree[g]) * (1 + t * ((1 - agree[g]) / agree[g]).sum()) + n * len(flips(len(g), t)) for t in (0, 1))] for g in groups]
-        parts += [(j, g, t) for g, t in zip(groups, allotted(cost, 0)[1], strict=True) if t >= 0]
-    values = [F.struct(F.lit(k).alias("k"), packed(F.get("fp", j), g).alias("v")) for k, (j, g, _) in enumerate(parts)]
-    index = stored(fps.select("digest", F.inline(F.array(*values))))
-    sizes = index.groupBy("k", "v").agg(F.count("*").alias("c")).where("c > 1")
-    hot = stored(sizes.where(F.col("c") > PAIR_LIMIT).select("k", "v"))
-    shared = index.join(sizes.where(F.col("c") <= PAIR_LIMIT).select("k", "v"), ["k", "v"])
-    probes = shared.select("k", "v", F.col("digest").alias("b"))
-    for k, (_, g, t) in enumerate(parts):
+    parts = wide_plan(fps)
+    index = stored(partitioned(fps, parts))
+    sizes = stored(index.groupBy("k", "v").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = sizes.where(F.col("c") > PAIR_LIMIT).select("k", "v")
+    shared = stored(index.join(sizes.where(F.col("c") <= PAIR_LIMIT).select("k", "v"), ["k", "v"], "left_semi"))
+    probes = shared.select("k", "v", F.col("node").alias("b"))
+    for k, (g, t) in enumerate(parts):
         if t > 0:
-            moved = F.explode(F.transform(F.array(*map(F.lit, flips(len(g), t)[1:] if t else [])), lambda x: F.col("v").bitwiseXOR(x.cast("long"))))
-            probes = probes.unionByName(index.where(F.col("k") == k).select("k", moved.alias("v"), F.col("digest").alias("b")))
-    pairs = shared.select("k", "v", F.col("digest").alias("a")).join(probes, ["k", "v"]).where("a <> b")
+            moved = F.explode(F.transform(F.array(*map(F.lit, flips(len(g), t)[1:])), lambda x: F.col("v").bitwiseXOR(x.cast("long"))))
+            probes = probes.unionByName(index.where(F.col("k") == k).select("k", moved.alias("v"), F.col("node").alias("b")))
+    pairs = shared.select("k", "v", F.col("node").alias("a")).join(probes, ["k", "v"]).where("a <> b")
     crowd = stored(index.join(hot, ["k", "v"], "left_semi"))
-    leaders = crowd.groupBy("k", "v").agg(F.slice(F.array_sort(F.collect_set(F.when(F.xxhash64("digest", "k") % 64 == 0, F.col("digest")))), 1, LEADERS).alias("l"), F.min("digest").alias("m"))
-    leaders = leaders.select("k", "v", F.explode(F.array_union("l", F.array("m"))).alias("a"))
-    stars = crowd.join(leaders, ["k", "v"]).select("k", "v", "a", F.col("digest").alias("b")).where("a <> b")
     edge = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = stored(verified(edge(pairs.unionByName(stars)).distinct(), fps, n_bits))
-    tied = stored(stars.join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_semi").select("k", "v", F.col("b").alias("digest")).unionByName(leaders.select("k", "v", F.col("a").alias("digest"))))
-    strays = crowd.join(tied, ["k", "v", "digest"], "left_anti").select("k", "v", F.col("digest").alias("a"))
-    rest = strays.join(crowd.select("k", "v", F.col("digest").alias("b")), ["k", "v"]).where("a <> b")
-    return links.unionByName(verified(edge(rest).distinct(), fps, n_bits))
+    out = stored(verified(edge(pairs).distinct(), fps, n_bits))
+    strays = crowd
+    for _ in range(ROUNDS):
+        least = [F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
+        leaders = strays.groupBy("k", "v").agg(*least).select("k", "v", F.explode(F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)]))).alias("a"))
+        leaders = stored(leaders)
+        stars = crowd.join(leaders, ["k", "v"]).select("k", "v", "a", F.col("node").alias("b")).where("a <> b")
+        links = stored(verified(edge(stars).distinct(), fps, n_bits))
+        both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tied = stars.join(both_ways, ["a", "b"], "left_semi").select("k", "v", F.col("b").alias("node")).unionByName(leaders.select("k", "v", F.col("a").alias("node")))
+        strays = stored(strays.join(stored(tied), ["k", "v", "node"], "left_anti"))
+        out = out.unionByName(links)
+    for t in (index, shared, crowd):
+        dropped(t)
+    return out
 
 
 def verified(pairs: DataFrame, fps: DataFrame, n_bits: int) -> DataFrame:
-    one = fps.select(F.col("digest").alias("a"), F.col("fp").alias("fa"))
-    two = fps.select(F.col("digest").alias("b"), F.col("fp").alias("fb"))
-    differ = sum((F.bit_count(F.get("fa", j).bitwiseXOR(F.get("fb", j))) for j in range(1, WORDS)), F.bit_count(F.get("fa", 0).bitwiseXOR(F.get("fb", 0))))
-    return pairs.join(one, "a").join(two, "b").where(differ <= n_bits).select("a", "b")
+    """The pairs that differ in at most so many bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.ascontiguousarray(b.column(k).flatten().to_numpy(zero_copy_only=False).astype("<i8")).view("<u8").reshape(-1, WORDS) for k in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n_bits))
+
+    one = fps.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
+    two = fps.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
 def bit_counts_by_word(fps: DataFrame) -> list[tuple[int, np.ndarray]]:
@@ -305,9 +361,9 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     unchanged whatever their names; empty tables give no rows.
     """
     own = stored(wide_fingerprints(docs, size))
-    fps = stored(own.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"), F.min("fp").alias("fp")))
-    roots = components(similar_links(fps.select("digest", "fp"), similarity))
-    named = fps.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
+    fps = stored(own.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"), F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(similar_links(fps.select("node", "fp"), similarity))
+    named = fps.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("x")).select(F.col("x.digest").alias("_digest"), F.coalesce(F.col("x.first.id").cast("string"), F.lit("\0")).alias("_id"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256), 1, 32).alias("_digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"))
     one = marked.join(kept, ["_digest", "_id"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_digest", "_id").orderBy(F.lit(0))))

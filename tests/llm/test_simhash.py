@@ -73,7 +73,7 @@ def test_empty_and_clashing_columns(spark):
 def test_thresholds_sum_and_cost():
     cost, ts = simhash.allotted([[0, 5, 9, 20], [0, 1, 30, 40], [0, 2, 3, 50]], 0)
     assert sum(ts) == 0 and cost == 4 and ts == [-1, 0, 1]
-    groups = simhash.correlated_groups(10, np.eye(64) * 5, 3)
+    groups = simhash.correlated_groups(10, np.eye(64) * 5, simhash.even_sizes(3))
     assert sorted(b for g in groups for b in g) == list(range(64))
     assert len(simhash.flips(21, 1)) == 22 and len(simhash.flips(64, 1)) == 65
 
