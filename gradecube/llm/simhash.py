@@ -188,10 +188,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, within: int = 2) -> DataFram
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For a similarity, so many 64-bit words are drawn from each shingle; pairs of the similarity 0.8 are candidates with
-#: probability 0.9, of 0.85 with 0.98; the words together tell the similarity to within 0.02.
+#: For a similarity, so many 64-bit words are drawn from each shingle; the words together tell it to within 0.02.
 WORDS = 24
 BY_CHANCE = 4
+#: Pairs just at the similarity are candidates with this probability at least, however many texts there are.
+RECALL = 0.95
 #: In buckets over PAIR_LIMIT all members are held against so many leaders, then against as many drawn from the members
 #: that no leader was like, in so many rounds; pairs without a common leader are left to their other partitions.
 LEADERS, ROUNDS = 4, 3
@@ -239,15 +240,54 @@ def farthest(similarity: float) -> int:
     return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * BITS)
 
 
-def wide_plan(fps: DataFrame) -> list[tuple[list[tuple[int, int]], int]]:
-    """Partitions of the (word, bit) places, correlated ones together, each with its radius.
+def wide_width(n: int) -> int:
+    """The bits of a partition: some BY_CHANCE more than it takes to number n texts, so that few meet by chance."""
+    return max(8, min(BITS, math.ceil(math.log2(max(n, 2))) + BY_CHANCE))
 
-    They are wide enough that a fingerprint meets few others by chance however many there are: some
-    BY_CHANCE bits more than it takes to number them. Radii come from the dynamic programme, three partitions at a time.
+
+def found(width: int, count: int, similarity: float) -> float:
+    """The probability that a pair of the similarity agrees in one of so many partitions drawn from all bits.
+
+    Partitions share bits, so what a pair's number of differing bits does to all of them is averaged over that number.
+    """
+    total = WORDS * BITS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differ = np.arange(total + 1)
+    weight = np.exp(-((differ - p * total) ** 2) / (2 * max(p * (1 - p) * total, 1e-9)))
+    agree = np.prod([np.maximum(total - differ - i, 0) / (total - i) for i in range(width)], axis=0)
+    return float(1 - (weight * (1 - agree) ** count).sum() / weight.sum())
+
+
+def partition_count(n: int, similarity: float) -> int:
+    """How many partitions find pairs of the similarity among n texts with probability RECALL."""
+    width, low, high = wide_width(n), 0, WORDS * BITS // wide_width(n)
+    while found(width, high, similarity) < RECALL:
+        low, high = high, 2 * high
+    while low + 1 < high and high > WORDS * BITS // width:
+        mid = (low + high) // 2
+        low, high = (low, mid) if found(width, mid, similarity) >= RECALL else (mid, high)
+    return high
+
+
+def drawn_places(count: int, width: int) -> list[list[tuple[int, int]]]:
+    """So many partitions of all bits, drawn anew after each round of disjoint ones."""
+    rng, out = np.random.default_rng(42), []
+    while len(out) < count:
+        order = rng.permutation(WORDS * BITS)
+        out += [[(int(x) // BITS, int(x) % BITS) for x in order[k : k + width]] for k in range(0, len(order) - width + 1, width)]
+    return out[:count]
+
+
+def wide_plan(fps: DataFrame, similarity: float) -> list[tuple[list[tuple[int, int]], int]]:
+    """Partitions of the (word, bit) places, each with its radius.
+
+    First come disjoint ones, correlated places together; as the width grows with the texts, others are drawn from all
+    places until pairs of the similarity are found with probability RECALL. Radii come from the dynamic programme,
+    three partitions at a time.
     """
     counted = bit_counts_by_word(fps)
     n = counted[0][0]
-    width = max(8, min(BITS, math.ceil(math.log2(max(n, 2))) + BY_CHANCE))
+    width = wide_width(n)
     places: list[list[tuple[int, int]]] = []
     spare: list[tuple[int, int]] = []
     shares = {}
@@ -258,6 +298,7 @@ def wide_plan(fps: DataFrame) -> list[tuple[list[tuple[int, int]], int]]:
         p = np.diag(both) / max(n, 1)
         shares.update({(j, b): x for b, x in enumerate(p * p + (1 - p) * (1 - p))})
     places += [spare[k : k + width] for k in range(0, len(spare) - width + 1, width)]
+    places += drawn_places(partition_count(n, similarity) - len(places), width)
     out = []
     for k in range(0, len(places), 3):
         cost = []
@@ -290,7 +331,7 @@ def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
     Pairs that differ in fewer bits than there are partitions are sure to be candidates.
     """
     n_bits = farthest(similarity)
-    parts = wide_plan(fps)
+    parts = wide_plan(fps, similarity)
     index = stored(partitioned(fps, parts))
     sizes = stored(index.groupBy("k", "v").agg(F.count("*").alias("c")).where("c > 1"))
     hot = sizes.where(F.col("c") > PAIR_LIMIT).select("k", "v")

@@ -102,3 +102,16 @@ def test_one_of_each(spark, monkeypatch):
     got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, digest string")).collect())
     assert got == [*alone, *firsts, k]
     assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_recall_holds_whatever_the_number_of_texts():
+    rng = np.random.default_rng(1)
+    share = np.arccos(2 * 0.8 / 1.8) / np.pi
+    for n in (10_000, 200_000, 1_000_000, 10_000_000):
+        width, count = simhash.wide_width(n), simhash.partition_count(n, 0.8)
+        places = simhash.drawn_places(count, width)
+        differ = rng.random((2000, simhash.WORDS * 64)) < share
+        met = np.zeros(2000, dtype=bool)
+        for g in places:
+            met |= ~differ[:, [j * 64 + b for j, b in g]].any(axis=1)
+        assert len(places) == count and met.mean() >= simhash.RECALL - 0.015, (n, width, count, met.mean())
