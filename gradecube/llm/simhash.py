@@ -194,7 +194,7 @@ BY_CHANCE = 4
 #: Pairs just at the similarity are candidates with this probability at least, however many texts there are.
 RECALL = 0.95
 #: In buckets over PAIR_LIMIT all members are held against so many leaders, then against as many drawn from the members
-#: that no leader was like, in so many rounds; pairs without a common leader are left to their other partitions.
+#: that no leader was like, in so many rounds; then all pairs that no link connects by then are held against each other.
 LEADERS, ROUNDS = 4, 3
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -326,9 +326,9 @@ def partitioned(fps: DataFrame, parts: list[tuple[list[tuple[int, int]], int]])
 
 
 def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
-    """Verified edges (a, b) between nodes whose wide fingerprints are as near as the similarity asks.
+    """Edges (a, b) that connect what pairs of candidates connect whose wide fingerprints are as near as the similarity asks.
 
-    Pairs that differ in fewer bits than there are partitions are sure to be candidates.
+    Pairs that differ in fewer bits than there are disjoint partitions are sure to be candidates.
     """
     n_bits = farthest(similarity)
     parts = wide_plan(fps, similarity)
@@ -356,9 +356,21 @@ def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
         tied = stars.join(both_ways, ["a", "b"], "left_semi").select("k", "v", F.col("b").alias("node")).unionByName(leaders.select("k", "v", F.col("a").alias("node")))
         strays = stored(strays.join(stored(tied), ["k", "v", "node"], "left_anti"))
         out = out.unionByName(links)
+    roots = stored(components(out))
+    rest = stored(verified(still_apart(crowd, roots).distinct(), fps, n_bits))
     for t in (index, shared, crowd):
         dropped(t)
-    return out
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
+
+
+def still_apart(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of large buckets that are in different components, dealt out by blocks of PAIR_LIMIT texts."""
+    named = stored(crowd.join(roots, "node", "left").select("k", "v", "node", F.coalesce("root", "node").alias("root")))
+    open_ = named.groupBy("k", "v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PAIR_LIMIT).cast("int").alias("blocks"))
+    named = stored(named.join(open_.where("low < high").select("k", "v", "blocks"), ["k", "v"]))
+    one = named.select("k", "v", F.col("node").alias("a"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    two = named.select("k", "v", F.col("node").alias("b"), F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    return one.join(two, ["k", "v", "block"]).where("ra <> rb AND a < b").select("a", "b")
 
 
 def verified(pairs: DataFrame, fps: DataFrame, n_bits: int) -> DataFrame:

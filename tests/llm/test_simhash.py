@@ -115,3 +115,23 @@ def test_recall_holds_whatever_the_number_of_texts():
         for g in places:
             met |= ~differ[:, [j * 64 + b for j, b in g]].any(axis=1)
         assert len(places) == count and met.mean() >= simhash.RECALL - 0.015, (n, width, count, met.mean())
+
+
+def wide(rnd, low, near=None):
+    """A wide fingerprint with the given low byte, at random or six bits from another."""
+    words = [rnd.getrandbits(64) for _ in range(simhash.WORDS)] if near is None else [w ^ (1 << 40) if j < 6 else w for j, w in enumerate(near)]
+    return [words[0] >> 8 << 8 | low, *words[1:]]
+
+
+def linked(spark, fps):
+    rows = [(k, [w - (1 << 64) if w >> 63 else w for w in x]) for k, x in enumerate(fps)]
+    return {(r.node, r.root) for r in components(simhash.similar_links(spark.createDataFrame(rows, "node long, fp array<long>"), 0.8)).collect()}
+
+
+def test_all_small_families_of_a_large_bucket_are_found(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", 4)
+    monkeypatch.setattr(simhash, "wide_plan", lambda *_: [([(0, b) for b in range(8)], 0)])
+    rnd = random.Random(3)
+    firsts = [wide(rnd, 7) for _ in range(30)]
+    got = linked(spark, firsts + [wide(rnd, 7, x) for x in firsts])
+    assert got == {(k + d, k) for k in range(30) for d in (0, 30)}
