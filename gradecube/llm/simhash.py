@@ -310,67 +310,71 @@ def wide_plan(fps: DataFrame, similarity: float) -> list[tuple[list[tuple[int, i
 
 
 def partitioned(fps: DataFrame, parts: list[tuple[list[tuple[int, int]], int]]) -> DataFrame:
-    """node, k, v: the value v of each node's bits in partition k."""
+    """node, key: the bucket of each node in each partition, and under -1 - node those within the partition's radius.
+
+    A key is the value of the partition's bits, told apart from those of other partitions by bits of its own; where two
+    partitions share a key all the same, that only adds candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8")).view("<u8").reshape(-1, WORDS)
-            v = np.zeros((len(parts), len(words)), dtype=np.uint64)
-            for k, (places, _) in enumerate(parts):
-                for i, (j, bit) in enumerate(places):
-                    v[k] |= (words[:, j] >> np.uint64(bit) & np.uint64(1)) << np.uint64(i)
+            words = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8")).view("<u8").reshape(-1, WORDS).T.copy()
             node = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(node, len(parts))), pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), len(words))), pa.array(v.ravel().view(np.int64))], names=["node", "k", "v"])
+            for at in range(0, len(parts), 16):
+                nodes, keys = [], []
+                for k, (places, radius) in enumerate(parts[at : at + 16], at):
+                    v = np.full(len(node), (k + 1) * int(MIX[0]) % (1 << 64), dtype=np.uint64)
+                    for i, (j, bit) in enumerate(places):
+                        v ^= (words[j] >> np.uint64(bit) & np.uint64(1)) << np.uint64(i)
+                    for mask in flips(len(places), radius):
+                        nodes.append(-1 - node if mask else node)
+                        keys.append(v ^ np.uint64(mask % (1 << 64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "key"])
 
-    return fps.select("node", "fp").mapInArrow(run, "node long, k int, v long")
+    return fps.select("node", "fp").mapInArrow(run, "node long, key long")
 
 
 def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect what pairs of candidates connect whose wide fingerprints are as near as the similarity asks.
 
-    Pairs that differ in fewer bits than there are disjoint partitions are sure to be candidates.
+    Pairs that differ in fewer bits than there are disjoint partitions are sure to be candidates: probes of radius 1
+    reach every bucket, whether it holds one text or is large.
     """
     n_bits = farthest(similarity)
-    parts = wide_plan(fps, similarity)
-    index = stored(partitioned(fps, parts))
-    sizes = stored(index.groupBy("k", "v").agg(F.count("*").alias("c")).where("c > 1"))
-    hot = sizes.where(F.col("c") > PAIR_LIMIT).select("k", "v")
-    shared = stored(index.join(sizes.where(F.col("c") <= PAIR_LIMIT).select("k", "v"), ["k", "v"], "left_semi"))
-    probes = shared.select("k", "v", F.col("node").alias("b"))
-    for k, (g, t) in enumerate(parts):
-        if t > 0:
-            moved = F.explode(F.transform(F.array(*map(F.lit, flips(len(g), t)[1:])), lambda x: F.col("v").bitwiseXOR(x.cast("long"))))
-            probes = probes.unionByName(index.where(F.col("k") == k).select("k", moved.alias("v"), F.col("node").alias("b")))
-    pairs = shared.select("k", "v", F.col("node").alias("a")).join(probes, ["k", "v"]).where("a <> b")
-    crowd = stored(index.join(hot, ["k", "v"], "left_semi"))
+    key = Window.partitionBy("key")
+    index = partitioned(fps, wide_plan(fps, similarity)).withColumn("own", F.count(F.when(F.col("node") >= 0, 1)).over(key)).withColumn("c", F.count("*").over(key))
+    met = stored(index.where("own > 0 AND c > 1").select("key", "c", (F.col("node") >= 0).alias("own"), F.when(F.col("node") < 0, -1 - F.col("node")).otherwise(F.col("node")).alias("node")))
+    shared = met.where(F.col("c") <= PAIR_LIMIT)
+    pairs = shared.where("own").select("key", F.col("node").alias("a")).join(shared.select("key", "own", F.col("node").alias("b")), "key").where("a < b OR NOT own AND a <> b")
+    crowd = stored(met.where(F.col("c") > PAIR_LIMIT).select("key", "node", "own"))
     edge = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     out = stored(verified(edge(pairs).distinct(), fps, n_bits))
     strays = crowd
     for _ in range(ROUNDS):
         least = [F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
-        leaders = strays.groupBy("k", "v").agg(*least).select("k", "v", F.explode(F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)]))).alias("a"))
+        leaders = strays.where("own").groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)]))).alias("a"))
         leaders = stored(leaders)
-        stars = crowd.join(leaders, ["k", "v"]).select("k", "v", "a", F.col("node").alias("b")).where("a <> b")
+        stars = crowd.join(leaders, "key").select("key", "a", F.col("node").alias("b")).where("a <> b")
         links = stored(verified(edge(stars).distinct(), fps, n_bits))
         both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tied = stars.join(both_ways, ["a", "b"], "left_semi").select("k", "v", F.col("b").alias("node")).unionByName(leaders.select("k", "v", F.col("a").alias("node")))
-        strays = stored(strays.join(stored(tied), ["k", "v", "node"], "left_anti"))
+        tied = stars.join(both_ways, ["a", "b"], "left_semi").select("key", F.col("b").alias("node")).unionByName(leaders.select("key", F.col("a").alias("node")))
+        strays = stored(strays.join(stored(tied), ["key", "node"], "left_anti"))
         out = out.unionByName(links)
     roots = stored(components(out))
-    rest = stored(verified(still_apart(crowd, roots).distinct(), fps, n_bits))
-    for t in (index, shared, crowd):
+    rest = stored(verified(edge(still_apart(crowd, roots)).distinct(), fps, n_bits))
+    for t in (met, crowd):
         dropped(t)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 
 
 def still_apart(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (a, b) of large buckets that are in different components, dealt out by blocks of PAIR_LIMIT texts."""
-    named = stored(crowd.join(roots, "node", "left").select("k", "v", "node", F.coalesce("root", "node").alias("root")))
-    open_ = named.groupBy("k", "v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PAIR_LIMIT).cast("int").alias("blocks"))
-    named = stored(named.join(open_.where("low < high").select("k", "v", "blocks"), ["k", "v"]))
-    one = named.select("k", "v", F.col("node").alias("a"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    two = named.select("k", "v", F.col("node").alias("b"), F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    return one.join(two, ["k", "v", "block"]).where("ra <> rb AND a < b").select("a", "b")
+    named = stored(crowd.join(roots, "node", "left").select("key", "node", "own", F.coalesce("root", "node").alias("root")))
+    open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PAIR_LIMIT).cast("int").alias("blocks"))
+    named = stored(named.join(open_.where("low < high").select("key", "blocks"), "key"))
+    one = named.where("own").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    two = named.select("key", "own", F.col("node").alias("b"), F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    return one.join(two, ["key", "block"]).where("ra <> rb AND (a < b OR NOT own)").select("a", "b")
 
 
 def verified(pairs: DataFrame, fps: DataFrame, n_bits: int) -> DataFrame:

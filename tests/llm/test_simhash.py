@@ -135,3 +135,12 @@ def test_all_small_families_of_a_large_bucket_are_found(spark, monkeypatch):
     firsts = [wide(rnd, 7) for _ in range(30)]
     got = linked(spark, firsts + [wide(rnd, 7, x) for x in firsts])
     assert got == {(k + d, k) for k in range(30) for d in (0, 30)}
+
+
+def test_probes_of_radius_one_reach_single_texts_and_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", 4)
+    monkeypatch.setattr(simhash, "wide_plan", lambda *_: [([(0, b) for b in range(8)], 1)])
+    rnd = random.Random(4)
+    single, crowd = wide(rnd, 0b11), [wide(rnd, 0b11110000) for _ in range(20)]
+    fps = [single, wide(rnd, 0b10, single), *crowd, *(wide(rnd, 0b11110000 ^ 1 << j, x) for j, x in enumerate(crowd[:3])), wide(rnd, 0b11110011, crowd[3])]
+    assert linked(spark, fps) == {(0, 0), (1, 0), *((k, k) for k in (2, 3, 4)), *((k + 20, k) for k in (2, 3, 4))}
