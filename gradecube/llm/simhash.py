@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -191,6 +191,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, within: int = 2) -> DataFram
 #: For a similarity, so many 64-bit words are drawn from each shingle; the words together tell it to within 0.02.
 WORDS = 24
 BY_CHANCE = 4
+#: Pairs pass on to their texts if they differ in up to so many standard errors more bits than the similarity gives.
+LEEWAY = 3
 #: Pairs just at the similarity are candidates with this probability at least, however many texts there are.
 RECALL = 0.95
 #: In buckets over PAIR_LIMIT all members are held against so many leaders, then against as many drawn from the members
@@ -199,15 +201,22 @@ LEADERS, ROUNDS = 4, 3
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+def shingle_set(text: str | None, size: int) -> set[bytes]:
+    """The word shingles of a text; a shorter text is one itself, one without words has none."""
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(ws) - size + 1
+    if n < 1:
+        return {b" ".join(ws)} if ws else set()
+    return set(map(b" ".join, zip(*(ws[k : n + k] for k in range(size)), strict=True)))
+
+
 def wide_fingerprint(text: str | None, size: int, words: int = WORDS) -> np.ndarray:
-    """The SimHash of a text over words * 64 bits, as unsigned words."""
+    """The SimHash of a text's set of shingles over words * 64 bits, as unsigned words."""
     import xxhash
 
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(ws) - size + 1
-    if not ws:
+    shingles = shingle_set(text, size)
+    if not shingles:
         return np.zeros(words, dtype="<u8")
-    shingles = [b" ".join(ws)] if n < 1 else list(map(b" ".join, zip(*(ws[k : n + k] for k in range(size)), strict=True)))
     steps = np.arange(1, words + 1, dtype=np.uint64) * MIX[0]
     ones = np.zeros(words * BITS, dtype=np.int64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=len(shingles))
@@ -236,8 +245,9 @@ def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
 
 def farthest(similarity: float) -> int:
-    """How many of all bits may differ at a Jaccard similarity of shingle sets, by the angle between their vectors."""
-    return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * BITS)
+    """How many of all bits may differ at a Jaccard similarity of shingle sets, by the angle between their vectors, and LEEWAY."""
+    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, WORDS * BITS
+    return int(p * n + LEEWAY * math.sqrt(p * (1 - p) * n))
 
 
 def wide_width(n: int) -> int:
@@ -334,8 +344,11 @@ def partitioned(fps: DataFrame, parts: list[tuple[list[tuple[int, int]], int]])
     return fps.select("node", "fp").mapInArrow(run, "node long, key long")
 
 
-def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect what pairs of candidates connect whose wide fingerprints are as near as the similarity asks.
+def similar_links(fps: DataFrame, similarity: float, texts: Callable[[DataFrame], DataFrame] | None = None, size: int = 5) -> DataFrame:
+    """Edges (a, b) that connect what pairs of candidates connect that are as similar as asked.
+
+    Candidates whose wide fingerprints are near enough are settled by the shingles of their texts, which texts() gives
+    as (node, text) for a table of nodes; without it the fingerprints decide.
 
     Pairs that differ in fewer bits than there are disjoint partitions are sure to be candidates: probes of radius 1
     reach every bucket, whether it holds one text or is large.
@@ -360,8 +373,10 @@ def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
         tied = stars.join(both_ways, ["a", "b"], "left_semi").select("key", F.col("b").alias("node")).unionByName(leaders.select("key", F.col("a").alias("node")))
         strays = stored(strays.join(stored(tied), ["key", "node"], "left_anti"))
         out = out.unionByName(links)
-    roots = stored(components(out))
-    rest = stored(verified(edge(still_apart(crowd, roots)).distinct(), fps, n_bits))
+    known = stored(texts(out.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct())) if texts else None
+    exact = lambda d: d if known is None else stored(alike(d, known, similarity, size))
+    roots = stored(components(exact(out.distinct())))
+    rest = exact(stored(verified(edge(still_apart(crowd, roots)).distinct(), fps, n_bits)))
     for t in (met, crowd):
         dropped(t)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
@@ -390,6 +405,27 @@ def verified(pairs: DataFrame, fps: DataFrame, n_bits: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs whose sets of shingles have at least the Jaccard similarity; texts without words are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, set()
+        for b in batches:
+            keep = []
+            for node, ta, tb in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                x = shingle_set(ta.as_py(), size)
+                if node != last:
+                    last, y = node, shingle_set(tb.as_py(), size)
+                both = len(x & y)
+                either = len(x) + len(y) - both
+                keep.append(not either or both / either >= similarity)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
 def bit_counts_by_word(fps: DataFrame) -> list[tuple[int, np.ndarray]]:
     """bit_counts of each word of wide fingerprints, in one pass."""
 
@@ -419,9 +455,17 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     """
     own = stored(wide_fingerprints(docs, size))
     fps = stored(own.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"), F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(similar_links(fps.select("node", "fp"), similarity))
+    text_of = lambda d: F.coalesce(d["text"].cast("string"), F.lit(""))
+    digest = F.substring(F.sha2(text_of(docs).cast("binary"), 256), 1, 32).alias("_digest")
+    doc_id = F.coalesce(docs["doc_id"].cast("string"), F.lit("\0")).alias("_id")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        wanted = fps.join(nodes, "node", "left_semi").select(F.col("digest").alias("_digest"), F.coalesce(F.col("first.id").cast("string"), F.lit("\0")).alias("_id"), "node")
+        return docs.select(digest, doc_id, text_of(docs).alias("text")).join(wanted, ["_digest", "_id"]).groupBy("_digest", "_id", "node").agg(F.min("text").alias("text")).select("node", "text")
+
+    roots = components(similar_links(fps.select("node", "fp"), similarity, texts, size))
     named = fps.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("x")).select(F.col("x.digest").alias("_digest"), F.coalesce(F.col("x.first.id").cast("string"), F.lit("\0")).alias("_id"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256), 1, 32).alias("_digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest, doc_id)
     one = marked.join(kept, ["_digest", "_id"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_digest", "_id").orderBy(F.lit(0))))
     return one.where("_k = 1").select("_row.*")

@@ -144,3 +144,15 @@ def test_probes_of_radius_one_reach_single_texts_and_large_buckets(spark, monkey
     single, crowd = wide(rnd, 0b11), [wide(rnd, 0b11110000) for _ in range(20)]
     fps = [single, wide(rnd, 0b10, single), *crowd, *(wide(rnd, 0b11110000 ^ 1 << j, x) for j, x in enumerate(crowd[:3])), wide(rnd, 0b11110011, crowd[3])]
     assert linked(spark, fps) == {(0, 0), (1, 0), *((k, k) for k in (2, 3, 4)), *((k + 20, k) for k in (2, 3, 4))}
+
+
+def test_exact_similarity_decides(spark):
+    rnd = random.Random(6)
+    rows, want = [], set()
+    for k in range(0, 400, 2):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(204)]
+        n = 22 if k % 4 else 23  # of 200 shingles each, 178 are shared (J = 178/222 = 0.802) or 177 (0.794)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words[:-n] + [f"x{k}y{j}" for j in range(n)]))]
+        want |= {k} if k % 4 else {k, k + 1}
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not want - got and len(got - want) <= 15  # of 100 pairs at the limit some five are no candidates
