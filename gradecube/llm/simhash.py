@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -145,14 +146,14 @@ def plan(fps: DataFrame, within: int) -> list[tuple[list[int], int]]:
 
 
 def links(fps: DataFrame, within: int) -> DataFrame:
-    """Edges (a, b) that connect exactly what fingerprints within the distance connect (distance 1 and 2).
+    """Edges (a, b) that connect exactly what fingerprints within the distance of two connect.
 
     Small buckets give their verified pairs. A bucket over PAIR_LIMIT gives no pairs: its fingerprints and all
     that probe it are tied to the values one bit away, for two fingerprints differ in at most two bits just when
     they share such a value. So rows stay in proportion to fingerprints, however large a bucket.
     """
-    if within not in (1, 2):
-        raise ValueError("within must be 1 or 2")
+    if within != 2:
+        raise ValueError("within must be 2")
     parts = plan(fps, within)
     index = stored(fps.select("fp", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), packed(F.col("fp"), g).alias("v")) for k, (g, _) in enumerate(parts)]))))
     sizes = index.groupBy("k", "v").agg(F.count("*").alias("c"))
@@ -195,9 +196,13 @@ BY_CHANCE = 4
 LEEWAY = 3
 #: Pairs just at the similarity are candidates with this probability at least, however many texts there are.
 RECALL = 0.95
-#: In buckets over PAIR_LIMIT all members are held against so many leaders, then against as many drawn from the members
-#: that no leader was like, in so many rounds; then all pairs that no link connects by then are held against each other.
-LEADERS, ROUNDS = 4, 3
+#: Buckets of at most this many texts are compared in one task, where texts first name so many of the nearest others.
+TASK_LIMIT, NEAREST = 2000, 4
+#: Larger buckets are parted by so many further bits at a time, in ways that keep this share of the pairs just at the
+#: similarity, up to so many times.
+SPLIT_BITS, SPLIT_RECALL, LEVELS = 8, 0.99, 3
+#: Partitions of the (word, bit) places, each with its radius.
+Parts = list[tuple[list[tuple[int, int]], int]]
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -279,16 +284,16 @@ def partition_count(n: int, similarity: float) -> int:
     return high
 
 
-def drawn_places(count: int, width: int) -> list[list[tuple[int, int]]]:
+def drawn_places(count: int, width: int, seed: int = 0) -> list[list[tuple[int, int]]]:
     """So many partitions of all bits, drawn anew after each round of disjoint ones."""
-    rng, out = np.random.default_rng(42), []
+    rng, out = np.random.default_rng(42 + seed), []
     while len(out) < count:
         order = rng.permutation(WORDS * BITS)
         out += [[(int(x) // BITS, int(x) % BITS) for x in order[k : k + width]] for k in range(0, len(order) - width + 1, width)]
     return out[:count]
 
 
-def wide_plan(fps: DataFrame, similarity: float) -> list[tuple[list[tuple[int, int]], int]]:
+def wide_plan(fps: DataFrame, similarity: float) -> Parts:
     """Partitions of the (word, bit) places, each with its radius.
 
     First come disjoint ones, correlated places together; as the width grows with the texts, others are drawn from all
@@ -319,77 +324,177 @@ def wide_plan(fps: DataFrame, similarity: float) -> list[tuple[list[tuple[int, i
     return out
 
 
-def partitioned(fps: DataFrame, parts: list[tuple[list[tuple[int, int]], int]]) -> DataFrame:
-    """node, key: the bucket of each node in each partition, and under -1 - node those within the partition's radius.
+def part_values(words: np.ndarray, k: int, places: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of partition k of fingerprints whose words are in rows, told apart from other partitions' by bits of its own."""
+    v = np.full(words.shape[1], (k + 1) * int(MIX[0]) % (1 << 64), dtype=np.uint64)
+    for i, (j, bit) in enumerate(places):
+        v ^= (words[j] >> np.uint64(bit) & np.uint64(1)) << np.uint64(i)
+    return v
 
-    A key is the value of the partition's bits, told apart from those of other partitions by bits of its own; where two
-    partitions share a key all the same, that only adds candidates.
+
+def partitioned(fps: DataFrame, parts: Parts) -> DataFrame:
+    """node, part, key: the bucket of each node in each partition, and those within the partition's radius.
+
+    Where two partitions share a key all the same, that only adds candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8")).view("<u8").reshape(-1, WORDS).T.copy()
+            words = fp_words(b.column(1)).T.copy()
             node = b.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(parts), 16):
-                nodes, keys = [], []
+                nodes, of, keys = [], [], []
                 for k, (places, radius) in enumerate(parts[at : at + 16], at):
-                    v = np.full(len(node), (k + 1) * int(MIX[0]) % (1 << 64), dtype=np.uint64)
-                    for i, (j, bit) in enumerate(places):
-                        v ^= (words[j] >> np.uint64(bit) & np.uint64(1)) << np.uint64(i)
+                    v = part_values(words, k, places)
                     for mask in flips(len(places), radius):
-                        nodes.append(-1 - node if mask else node)
+                        nodes.append(node)
+                        of.append(np.full(len(node), k, dtype=np.int32))
                         keys.append(v ^ np.uint64(mask % (1 << 64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(of)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "part", "key"])
 
-    return fps.select("node", "fp").mapInArrow(run, "node long, key long")
+    return fps.select("node", "fp").mapInArrow(run, "node long, part int, key long")
 
 
 def similar_links(fps: DataFrame, similarity: float, texts: Callable[[DataFrame], DataFrame] | None = None, size: int = 5) -> DataFrame:
     """Edges (a, b) that connect what pairs of candidates connect that are as similar as asked.
 
+    First each text meets the least node of its bucket; this joins groups of copies however large, and settles buckets
+    of two. Left are buckets where other members are still apart. There each text names its nearest ones by fingerprint
+    among those it is not connected to, and then all of them, so that pairs already connected are never written out.
     Candidates whose wide fingerprints are near enough are settled by the shingles of their texts, which texts() gives
-    as (node, text) for a table of nodes; without it the fingerprints decide.
-
-    Pairs that differ in fewer bits than there are disjoint partitions are sure to be candidates: probes of radius 1
-    reach every bucket, whether it holds one text or is large.
+    as (node, text) for a table of nodes; without it the fingerprints decide. Pairs that differ in fewer bits than there
+    are disjoint partitions are sure to be candidates.
     """
     n_bits = farthest(similarity)
-    key = Window.partitionBy("key")
-    index = partitioned(fps, wide_plan(fps, similarity)).withColumn("own", F.count(F.when(F.col("node") >= 0, 1)).over(key)).withColumn("c", F.count("*").over(key))
-    met = stored(index.where("own > 0 AND c > 1").select("key", "c", (F.col("node") >= 0).alias("own"), F.when(F.col("node") < 0, -1 - F.col("node")).otherwise(F.col("node")).alias("node")))
-    shared = met.where(F.col("c") <= PAIR_LIMIT)
-    pairs = shared.where("own").select("key", F.col("node").alias("a")).join(shared.select("key", "own", F.col("node").alias("b")), "key").where("a < b OR NOT own AND a <> b")
-    crowd = stored(met.where(F.col("c") > PAIR_LIMIT).select("key", "node", "own"))
-    edge = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    out = stored(verified(edge(pairs).distinct(), fps, n_bits))
-    strays = crowd
-    for _ in range(ROUNDS):
-        least = [F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
-        leaders = strays.where("own").groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)]))).alias("a"))
-        leaders = stored(leaders)
-        stars = crowd.join(leaders, "key").select("key", "a", F.col("node").alias("b")).where("a <> b")
-        links = stored(verified(edge(stars).distinct(), fps, n_bits))
-        both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tied = stars.join(both_ways, ["a", "b"], "left_semi").select("key", F.col("b").alias("node")).unionByName(leaders.select("key", F.col("a").alias("node")))
-        strays = stored(strays.join(stored(tied), ["key", "node"], "left_anti"))
-        out = out.unionByName(links)
-    known = stored(texts(out.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct())) if texts else None
-    exact = lambda d: d if known is None else stored(alike(d, known, similarity, size))
-    roots = stored(components(exact(out.distinct())))
-    rest = exact(stored(verified(edge(still_apart(crowd, roots)).distinct(), fps, n_bits)))
-    for t in (met, crowd):
-        dropped(t)
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
-
-
-def still_apart(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) of large buckets that are in different components, dealt out by blocks of PAIR_LIMIT texts."""
-    named = stored(crowd.join(roots, "node", "left").select("key", "node", "own", F.coalesce("root", "node").alias("root")))
-    open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PAIR_LIMIT).cast("int").alias("blocks"))
-    named = stored(named.join(open_.where("low < high").select("key", "blocks"), "key"))
-    one = named.where("own").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    two = named.select("key", "own", F.col("node").alias("b"), F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    return one.join(two, ["key", "block"]).where("ra <> rb AND (a < b OR NOT own)").select("a", "b")
+    parts = wide_plan(fps, similarity)
+    index = partitioned(fps, parts)
+    sizes = stored(index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lead"), F.max("node").alias("last")).where("c > 1"))
+    crowd = stored(index.join(sizes.where("c > 2").select("key", "lead"), "key").where("node <> lead"))
+    pairs = lambda d, a, b: d.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
+    tried = stored(pairs(sizes.where("c = 2").select("lead", F.col("last").alias("node")).unionByName(crowd.select("lead", "node")), "lead", "node"))
+    near = stored(verified(tried, fps, n_bits))
+    known = stored(texts(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct())) if texts else None
+    out = near if known is None else stored(alike(near, known, similarity, size))
+    for most in (NEAREST, None):
+        roots = stored(components(out))
+        open_, split = apart(crowd.select("key", "part", "node"), roots, fps, similarity)
+        named = stored(pairs(nearest(open_, split, fps, parts, n_bits, most), "a", "b").join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(named)
+        links = named if known is None else stored(alike(named, known, similarity, size))
+        out = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+    dropped(sizes)
+    return out
+
+
+def opened(rows: DataFrame) -> DataFrame:
+    """rows (key, part, node, root) of buckets that hold two roots, with the size c of the bucket."""
+    two = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "c")
+    return stored(rows.select("key", "part", "node", "root").join(two, "key"))
+
+
+def apart(crowd: DataFrame, roots: DataFrame, fps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """key, part, node, root of buckets of at most TASK_LIMIT members that are not all connected; node, part of larger ones.
+
+    Larger buckets are parted by further bits, in as many ways as find pairs of the similarity with probability
+    SPLIT_RECALL, up to LEVELS times; what is large even then goes out in pairs of blocks, which meet every pair.
+    """
+    columns = ["key", "part", "node", "root"]
+    rows = opened(crowd.join(roots, "node", "left").select("key", "part", "node", F.coalesce("root", "node").alias("root")))
+    out, large = rows.where(F.col("c") <= TASK_LIMIT), rows.where(F.col("c") > TASK_LIMIT)
+    split = large.select("node", "part")
+    for level in range(LEVELS):
+        if not large.head(1):
+            return out.select(columns), split
+        rows = opened(subdivided(large, fps, level, similarity))
+        out, large = out.unionByName(rows.where(F.col("c") <= TASK_LIMIT)), rows.where(F.col("c") > TASK_LIMIT)
+    n = F.ceil(F.col("c") / TASK_LIMIT).cast("int")
+    dealt = large.withColumn("i", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), n - 1)))
+    blocks = dealt.withColumn("key", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
+    return out.select(columns).unionByName(blocks.select(columns)), split
+
+
+def subdivided(rows: DataFrame, fps: DataFrame, level: int, similarity: float) -> DataFrame:
+    """rows (key, part, node, root) under the keys of parts of their buckets: one a row for each drawn group of SPLIT_BITS bits."""
+    count = 1
+    while found(SPLIT_BITS, count, similarity) < SPLIT_RECALL:
+        count += 1
+    places = drawn_places(count, SPLIT_BITS, level + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = fp_words(b.column(4)).T.copy()
+            key = b.column(0).to_numpy(zero_copy_only=False).view("<u8")
+            for k, group in enumerate(places):
+                v = np.full(len(key), k + 1, dtype=np.uint64)
+                for j, bit in group:
+                    v = v << np.uint64(1) | (words[j] >> np.uint64(bit) & np.uint64(1))
+                v = (key ^ (v * MIX[0])) * MIX[1]
+                yield pa.RecordBatch.from_arrays([pa.array((v ^ (v >> np.uint64(31))).view(np.int64)), *b.columns[1:4]], names=["key", "part", "node", "root"])
+
+    return rows.join(fps, "node").select("key", "part", "node", "root", "fp").mapInArrow(run, "key long, part int, node long, root long")
+
+
+def nearest(rows: DataFrame, split: DataFrame, fps: DataFrame, parts: Parts, n_bits: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket and different roots within so many bits: the nearest ones of each text, or with most None all.
+
+    A pair that meets in several buckets is written out in the first partition only, unless that bucket was parted.
+    """
+
+    def met_before(part: int, fp: np.ndarray, parted: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), dtype=bool)
+        for p in range(part if len(i) else 0):
+            v = part_values(fp.T, p, parts[p][0])
+            out |= (v[i] == v[k]) & ~parted[i, p]
+        return out
+
+    def of_bucket(part: int, node: np.ndarray, root: np.ndarray, fp: np.ndarray, parted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        one, two = [], []
+        for at in range(0, len(node), 64):
+            far = np.zeros((min(64, len(node) - at), len(node)), dtype=np.uint16)
+            for j in range(WORDS):
+                far += np.bitwise_count(fp[at : at + 64, j, None] ^ fp[None, :, j])
+            far[root[at : at + 64, None] == root] = np.iinfo(np.uint16).max
+            if most is not None and most < len(node):
+                i, k = np.nonzero((far <= n_bits) & (far <= np.partition(far, most - 1, axis=1)[:, most - 1 : most]))
+            else:
+                i, k = np.nonzero(far <= n_bits)
+            one.append(at + i)
+            two.append(k)
+        i, k = np.concatenate(one), np.concatenate(two)
+        i, k = np.minimum(i, k), np.maximum(i, k)
+        pair = np.unique(i.astype(np.int64) * len(node) + k)
+        for at in range(0, len(pair), 1 << 17):
+            i, k = np.divmod(pair[at : at + (1 << 17)], len(node))
+            new = ~met_before(part, fp, parted, i, k)
+            yield node[i[new]], node[k[new]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in itertools.chain(batches, [None]):
+            if b is not None and b.num_rows:
+                parted = np.zeros((b.num_rows, len(parts)), dtype=bool)
+                for r, ps in enumerate(b.column(5).to_pylist()):
+                    parted[r, ps or []] = True
+                held.append((*(b.column(k).to_numpy(zero_copy_only=False) for k in range(4)), fp_words(b.column(4)), parted))
+            if not held or (b is not None and len(held) > 1 and held[-1][0][-1] == held[0][0][0]):
+                continue
+            key, part, node, root, fp, parted = (np.concatenate(x) for x in zip(*held, strict=True))
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            if b is not None:
+                edges.pop()  # the last bucket may go on in the next batch
+            for s, e in itertools.pairwise(edges):
+                for x, y in of_bucket(int(part[s:e].min()), node[s:e], root[s:e], fp[s:e], parted[s:e]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            held = [tuple(x[edges[-1] :] for x in (key, part, node, root, fp, parted))] if b is not None else []
+
+    parted = split.groupBy("node").agg(F.collect_set("part").alias("parted"))
+    dealt = rows.join(fps, "node").join(parted, "node", "left").select("key", "part", "node", "root", "fp", "parted").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def fp_words(column: pa.Array) -> np.ndarray:
+    """The unsigned words of a column of wide fingerprints, a row each."""
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype("<i8")).view("<u8").reshape(-1, WORDS)
 
 
 def verified(pairs: DataFrame, fps: DataFrame, n_bits: int) -> DataFrame:
@@ -397,7 +502,7 @@ def verified(pairs: DataFrame, fps: DataFrame, n_bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.ascontiguousarray(b.column(k).flatten().to_numpy(zero_copy_only=False).astype("<i8")).view("<u8").reshape(-1, WORDS) for k in (2, 3))
+            x, y = (fp_words(b.column(k)) for k in (2, 3))
             yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n_bits))
 
     one = fps.select(F.col("node").alias("a"), F.col("fp").alias("fa"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -79,7 +80,7 @@ def test_thresholds_sum_and_cost():
 
 
 def test_one_of_each(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIR_LIMIT", 4)
+    monkeypatch.setattr(simhash, "TASK_LIMIT", 4)
     rnd = random.Random(9)
     prose = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
     rows, k = [], 0
@@ -129,7 +130,7 @@ def linked(spark, fps):
 
 
 def test_all_small_families_of_a_large_bucket_are_found(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIR_LIMIT", 4)
+    monkeypatch.setattr(simhash, "TASK_LIMIT", 4)
     monkeypatch.setattr(simhash, "wide_plan", lambda *_: [([(0, b) for b in range(8)], 0)])
     rnd = random.Random(3)
     firsts = [wide(rnd, 7) for _ in range(30)]
@@ -138,12 +139,12 @@ def test_all_small_families_of_a_large_bucket_are_found(spark, monkeypatch):
 
 
 def test_probes_of_radius_one_reach_single_texts_and_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIR_LIMIT", 4)
+    monkeypatch.setattr(simhash, "TASK_LIMIT", 4)
     monkeypatch.setattr(simhash, "wide_plan", lambda *_: [([(0, b) for b in range(8)], 1)])
     rnd = random.Random(4)
     single, crowd = wide(rnd, 0b11), [wide(rnd, 0b11110000) for _ in range(20)]
     fps = [single, wide(rnd, 0b10, single), *crowd, *(wide(rnd, 0b11110000 ^ 1 << j, x) for j, x in enumerate(crowd[:3])), wide(rnd, 0b11110011, crowd[3])]
-    assert linked(spark, fps) == {(0, 0), (1, 0), *((k, k) for k in (2, 3, 4)), *((k + 20, k) for k in (2, 3, 4))}
+    assert linked(spark, fps) == {(0, 0), (1, 0), *((k, k) for k in (2, 3, 4, 5)), *((k + 20, k) for k in (2, 3, 4, 5))}
 
 
 def test_exact_similarity_decides(spark):
@@ -156,3 +157,61 @@ def test_exact_similarity_decides(spark):
         want |= {k} if k % 4 else {k, k + 1}
     got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not want - got and len(got - want) <= 15  # of 100 pairs at the limit some five are no candidates
+
+
+def jaccard_links(texts):
+    """All pairs of texts alike by 0.8 or more, and their similarity."""
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    both = {}
+    for ks in holders.values():
+        for a, b in itertools.combinations(ks, 2):
+            both[a, b] = both.get((a, b), 0) + 1
+    return {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in both.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= 0.8}
+
+
+def test_recall_against_brute_force_with_a_hot_group(spark, monkeypatch):
+    rnd = random.Random(8)
+    prose = lambda n: [f"w{rnd.randrange(20000)}" for _ in range(n)]
+    texts, base = [], prose(160)
+    for _ in range(350):  # a hot group around one text, edited so much that most of its pairs are under 0.8
+        copy = list(base)
+        for _ in range(rnd.randint(0, 12)):
+            copy[rnd.randrange(160)] = f"x{rnd.randrange(10**6)}"
+        texts.append(copy)
+    for _ in range(1500):
+        one = prose(rnd.randint(60, 300))
+        two = list(one)
+        for _ in range(rnd.randint(0, max(1, len(one) // 40))):
+            two[rnd.randrange(len(one))] = f"y{rnd.randrange(10**6)}"
+        texts += [one, two]
+    texts += [prose(80) for _ in range(1500)]
+    texts = sorted({" ".join(t) for t in texts})
+    pairs = jaccard_links(texts)
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    fps = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(fps, "doc_id long, text string")
+    wide = simhash.stored(simhash.wide_fingerprints(df, 5).select(simhash.F.col("doc_id").alias("node"), "fp"))
+    known = df.withColumnRenamed("doc_id", "node")
+    for limit in (2000, 40):
+        monkeypatch.setattr(simhash, "TASK_LIMIT", limit)
+        monkeypatch.setattr(simhash, "SPLIT_BITS", 3)
+        edges = simhash.similar_links(wide, 0.8, lambda nodes: known.join(nodes, "node", "left_semi"))
+        got = {r.node: r.root for r in components(edges).collect()}
+        met = [p for p in pairs if got.get(p[0], -1) == got.get(p[1], -2)]
+        assert len(met) >= 0.97 * len(pairs), (limit, len(met), len(pairs))
+        low = [p for p, j in pairs.items() if j < 0.83]
+        assert len(low) > 100 and sum(got.get(a, -1) == got.get(b, -2) for a, b in low) >= 0.9 * len(low)
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        assert all(find(k) == find(r) for k, r in got.items())
