@@ -3,7 +3,8 @@
 Numbers, addresses and secrets go through a keyed permutation of all strings of their format, so that one entity
 has one surrogate everywhere and two entities never share one. Names get names of the same gender and script, made
 from syllables. All distinct entities then pass a check: where two of a type share a surrogate, or a surrogate is
-itself an entity of the corpus, later ones try again until none does.
+itself an entity of the corpus, later ones try again: in their format first, then, as it may be full, in a longer one,
+and in the end by a marked digest, so that the check always ends.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])")
 IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
-PHONE = re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?(?![\w])|(?<![\w+])\+[0-9]{8,15}(?![\w])")
+PHONE = re.compile(r"(?<![\w+.])0[1-9](?:[ .-][0-9]{2}){4}(?![\w]|[.-][0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-][0-9]{1,4}){3,6}(?![\w]|[.-][0-9])|(?<![\w+.,-])0[0-9]{9,10}(?![\w]|[.,-][0-9])|(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?(?![\w])|(?<![\w+])\+[0-9]{8,15}(?![\w])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
@@ -39,7 +40,8 @@ SYLLABLES = {
     "cyrillic": ("ба ве да ку ла ма на па ра са та фе".split(), "ва ле ли ма ми на ни ра ро си та ти".split(), {"m": "рин мир тор лав".split(), "f": "на ла ра ина".split(), "n": "лен рин".split(), "family": "ский енко вич дзе".split()}),
     "greek": ("α βα δε κο λα μα νι πα ρα σο τι φι".split(), "κα λε λι μα νε νι ρα ρι σα τε".split(), {"m": "ος ης ας ιος".split(), "f": "ία α η ώ".split(), "n": "ις ων".split(), "family": "ίδης άκης όπου ίου".split()}),
 }
-MOST_ROUNDS = 12
+#: Attempts within the entity's own format; the next ones up to MARKED are longer, from there on a marked digest stands.
+OWN_FORMAT, MARKED = 4, 6
 
 
 def prf(key: bytes, *parts: object) -> int:
@@ -124,11 +126,14 @@ def made_name(kind: str, canonical: str, attempt: int, key: bytes) -> str:
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     """What stands for the canonical form of an entity."""
     tweak = f"{kind}/{attempt}"
+    if attempt >= MARKED:
+        return f"[{kind}-{prf(key, kind, canonical, attempt) % (1 << 96):024x}]"
+    more = (lambda x: x + "".join(LOWER[prf(key, tweak, canonical, k) % 26] for k in range(4 * (attempt - OWN_FORMAT + 1)))) if attempt >= OWN_FORMAT else str
     if kind == "email":
         local, _, domain = canonical.partition("@")
         labels = domain.split(".")
         kept = 2 if len(labels) > 1 and labels[-2] == "example" else 1
-        return permuted_text(local, key, tweak + domain) + "@" + ".".join([*(permuted_text(x, key, f"label/{attempt}") for x in labels[:-kept]), *labels[-kept:]])
+        return more(permuted_text(local, key, tweak + domain)) + "@" + ".".join([*(permuted_text(x, key, f"label/{attempt}") for x in labels[:-kept]), *labels[-kept:]])
     if kind == "ip":
         x = int.from_bytes(bytes(o := octets(canonical)), "big")
         while True:
@@ -158,14 +163,17 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         m = KEPT.match(canonical)
         head = m.group() if m else ""
         rest = canonical[len(head) :]
-        return head + permuted_text(rest, key, tweak + head, hexadecimal=all(c in HEX or not c.isalnum() for c in rest))
+        hexadecimal = any(c in LOWER for c in rest)
+        return head + more(permuted_text(rest, key, tweak + head, hexadecimal=hexadecimal and all(c in HEX or not c.isalnum() for c in rest)))
     if kind == "ssn":
         return permuted_text(canonical, key, tweak)
     return made_name(kind, canonical, attempt, key)
 
 
 def laid_out(kind: str, original: str, value: str) -> str:
-    """value in the layout and case of original."""
+    """value in the layout and case of original; a marked digest as it is."""
+    if value.startswith("[") and value.endswith("]"):
+        return value
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(c for c in value if c.isalnum())
         return "".join(next(chars) if c.isalnum() else c for c in original)
@@ -244,23 +252,31 @@ def with_surrogates(table: DataFrame, key: bytes) -> DataFrame:
             kinds, forms, attempts = (c.to_pylist() for c in b.columns)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([surrogate(k, c, a, key) for k, c, a in zip(kinds, forms, attempts, strict=True)], pa.string())], names=["kind", "canonical", "attempt", "surrogate"])
 
-    return table.select("kind", "canonical", "attempt").mapInArrow(run, "kind string, canonical string, attempt int, surrogate string")
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.select("kind", "canonical", "attempt").repartition(tasks, "kind", "canonical").mapInArrow(run, "kind string, canonical string, attempt int, surrogate string")
 
 
 def checked_attempts(docs: DataFrame, key: bytes) -> DataFrame:
-    """kind, canonical, attempt of the entities whose first surrogate clashed; in the end no two of a kind share one, nor is one an entity."""
+    """kind, canonical, attempt of the entities whose first surrogate clashed; in the end no two of a type share one, nor is one an entity.
+
+    All names are one type, whatever their kind. An entity that has tried MARKED times has a digest of 96 bits, which
+    is no entity, so there are at most MARKED rounds.
+    """
+    of_type = F.when(F.col("kind").rlike("^(given|family)"), "name").otherwise(F.col("kind")).alias("type")
     found = stored(distinct_entities(docs))
     table = stored(with_surrogates(found.withColumn("attempt", F.lit(0)), key))
-    for _ in range(MOST_ROUNDS):
-        holders = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical"))["canonical"].alias("holder"), F.count("*").alias("n"))
-        twice = table.join(holders.where("n > 1"), ["kind", "surrogate"]).where("canonical <> holder").select("kind", "canonical")
-        taken = table.join(found.select("kind", F.col("canonical").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "canonical")
+    for _ in range(MARKED):
+        typed = table.select("*", of_type)
+        own = F.struct("attempt", "kind", "canonical")
+        holders = typed.groupBy("type", "surrogate").agg(F.min(own).alias("holder"), F.count("*").alias("n")).where("n > 1")
+        twice = typed.join(holders, ["type", "surrogate"]).where(own != F.col("holder")).select("kind", "canonical")
+        taken = typed.join(found.select(of_type, F.col("canonical").alias("surrogate")).distinct(), ["type", "surrogate"], "left_semi").select("kind", "canonical")
         again = stored(twice.unionByName(taken).distinct())
         if not again.head(1):
-            return table.where("attempt > 0").select("kind", "canonical", "attempt")
+            break
         moved = with_surrogates(table.join(again, ["kind", "canonical"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
         table = stored(table.join(again, ["kind", "canonical"], "left_anti").unionByName(moved))
-    raise RuntimeError("surrogates still clash")
+    return table.where("attempt > 0").select("kind", "canonical", "attempt")
 
 
 def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int], memo: dict) -> tuple[str, list[dict]]:
@@ -289,7 +305,9 @@ def pseudonymised(docs: DataFrame, key: bytes, only_text: bool = False) -> DataF
     and names after a form of address, with their later mentions in the text. Null texts stay null, empty ones
     empty; texts of any length are read whole; repeated rows get equal surrogates. Empty tables give no rows.
     A card keeps its first digit and check sum, a phone number its country code, an IP address its kind of range,
-    a name its gender, script and case; every layout is kept.
+    a name its gender, script and case; every layout is kept. Where a format has too few free values, e-mail addresses
+    and secrets get longer, and what still clashes is replaced by a digest in brackets. Numbers of ten or more digits
+    without a break, a plus or a leading 0 are not taken for phone numbers.
     """
     clashes = checked_attempts(docs, key)
     columns = [c for c in docs.columns if only_text or c != "entities"]

@@ -84,3 +84,50 @@ def test_odd_rows(spark):
     assert by[1][0].text is None and by[2][0].text == "" and "414" not in by[None][0].text
     assert by[3][0].text == by[3][1].text and "a1@b" not in by[3][0].text and len(by[3][0].entities) == 1
     assert P.pseudonymised(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_full_formats_end_and_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, f"write to {c}@example.com or to {c}@example.com") for k, c in enumerate(letters)]
+    out = {r.doc_id: r.text for r in P.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    seen = {}
+    for k, c in enumerate(letters):
+        a, b = re.fullmatch(r"write to (\S+) or to (\S+)", out[k]).groups()
+        assert a == b and re.fullmatch(r"[a-z]+@example\.com", a)
+        seen[c] = a
+    assert len(set(seen.values())) == 26 and not set(seen.values()) & {f"{c}@example.com" for c in letters}
+    assert re.fullmatch(r"\[ip-[0-9a-f]{24}\]", P.laid_out("ip", "10.0.0.1", P.surrogate("ip", "10.0.0.1", P.MARKED, KEY)))
+
+
+def test_whole_corpus_against_brute_force(spark):
+    """Every mention of an entity has one surrogate, different entities have different ones, and none is an entity."""
+    rnd = random.Random(12)
+    given = ["".join(p) for p in itertools.product(["Ми", "Ра", "То"], ["ла", "ри"], ["на", "лен", "рин"])]
+    make = [
+        lambda: f"pin {rnd.randrange(100, 160)}-{rnd.randrange(10, 13)}-{rnd.randrange(1000, 1010)}",
+        lambda: f"10.0.{rnd.randrange(3)}.{rnd.randrange(30)}",
+        lambda: f"{rnd.choice('abcde')}{rnd.randrange(10)}@example.org",
+        lambda: f"token={rnd.randrange(100000, 100300)}",
+        lambda: f"{rnd.choice(['г-н', 'Dr'])} {rnd.choice(given)} Петров",
+        lambda: rnd.choice(["06 12 34 56 78", "01.23.45.67.89", "+33 6 12 34 56 78", "+34 612 34 56 78", "0612345678"]),
+    ]
+    rows = [(k, " and ".join(rnd.choice(make)() for _ in range(rnd.randint(0, 5)))) for k in range(400)]
+    out = {r.doc_id: r for r in P.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), KEY).collect()}
+    stands, count = {}, 0
+    for k, t in rows:
+        found, got = P.entities(t), out[k].entities
+        assert [f[2] for f in found] == [e.kind for e in got]
+        at = new_at = 0
+        for (s, e, kind, canonical), g in zip(found, got, strict=True):
+            assert t[at:s] == out[k].text[new_at : g.start]  # all else stays
+            at, new_at = e, g.end
+            value = out[k].text[g.start : g.end]
+            stands.setdefault((kind, canonical), set()).add(re.sub("[ .]", "", value) if kind == "phone" else value)
+            count += 1
+        assert t[at:] == out[k].text[new_at:]
+    assert count > 500 and all(len(v) == 1 for v in stands.values())
+    for names in (True, False):
+        own = {key: next(iter(v)) for key, v in stands.items() if key[0].startswith(("given", "family")) == names}
+        assert len({(names or key[0], v) for key, v in own.items()}) == len(own)
+        assert not {(names or key[0], v.lower()) for key, v in own.items()} & {(names or key[0], key[1]) for key in own}
+    assert all(v.pop().isdigit() for (kind, c), v in stands.items() if kind == "secret" and c.isdigit())
