@@ -40,3 +40,24 @@ def test_segments_against_plain_dice(spark):
     assert got[4, -1, "MIT"] == 1 and got[5, -2, "MIT"] == 1 and (6, 0, "MIT") not in got
     assert len([r for r in out if r.doc_id == 3]) == 2 * len([r for r in out if r.doc_id is None])
     assert L.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_and_whole_licence_texts(spark):
+    """A notice wrapped over lines is found however often it is repeated, and the twin agrees."""
+    import duckdb
+
+    mit = next(t for n, t in L.TEMPLATES if n == "MIT" and len(t) > 300)
+    wrapped = lambda t: "\n".join(" ".join(t.split()[k : k + 12]) for k in range(0, len(t.split()), 12))
+    rows = [(n, "\n".join([wrapped(mit)] * n)) for n in (1, 2, 4, 5, 6, 8, 12, 50)]
+    rows += [(100 + k, f"Copyright 2020 A. Nother\n\n{wrapped(t)}") for k, (_, t) in enumerate(L.TEMPLATES[-6:])]
+    rows += [(200, " ".join(["Released under the MIT License."] * 200)), (201, "many other words " * 3000), (202, "\n" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.segment, r.license, round(r.dice, 9)) for r in L.license_scan(df).collect()}
+    whole = {(i, name) for i, s, name, _ in got if s == -1}
+    assert {(n, "MIT") for n in (1, 2, 4, 5, 6, 8, 12, 50)} <= whole
+    assert {(100 + k, name) for k, (name, _) in enumerate(L.TEMPLATES[-6:])} <= {(i, name) for i, _, name, _ in got}
+    assert (200, 0, "MIT") in {g[:3] for g in got} and not {g for g in got if g[0] in (201, 202)}
+    con = duckdb.connect()
+    documents = df.toPandas()
+    con.register("documents", documents)
+    assert {(i, s, n, round(d, 9)) for i, s, n, d in con.sql(f"SELECT doc_id, segment, license, dice FROM ({L.ORACLE})").fetchall()} == got
