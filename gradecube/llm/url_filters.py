@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Rule, verdict; the part before the first slash is a host, the rest a path prefix.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 #: Public suffixes of two labels.
@@ -12,14 +14,16 @@ TWO_LABEL_SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp ne.jp
 #: A host goes when the lower bound of its share of bad pages is over BLOCK_OVER; Z standard deviations below the mean.
 BLOCK_OVER, Z = 0.5, 1.6448536269514722
 LEAST_K, MOST_K = 1.0, 10000.0
+#: Hosts with more than this share of the pages, so fewer than its inverse, are joined by broadcast, the others by shuffle.
+HOT_SHARE = 1 / 4096
 
 
 def parts_sql(url: str = "url") -> dict[str, str]:
     """Host, path, reputation host, registered domain and suffix as SQL that Spark and DuckDB both take."""
     return {
-        "host": rf"coalesce(translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')",
-        "path": rf"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1), '')",
-        "site": "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')",
+        "host": rf"coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')",
+        "path": rf"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')",
+        "site": "regexp_replace(regexp_replace(replace(replace(host, chr(10), ''), chr(13), ''), '^.*@', ''), ':[0-9]*$', '')",
         "suffix": "CASE WHEN regexp_like(site, '^[0-9.]*$') OR site LIKE '[%' THEN '' WHEN regexp_extract(site, '([^.]*[.][^.]*)$', 1) IN ("
         + ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
         + ") THEN regexp_extract(site, '([^.]*[.][^.]*)$', 1) ELSE regexp_extract(site, '([^.]*)$', 1) END",
@@ -38,7 +42,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
-    """children (key, parent, n, bad) with the posterior a, b of each, under a beta prior around its parent's mean without the child's own outcomes.
+    """children (key, parent, n, bad and others) with the posterior a, b of each, under a beta prior around its parent's mean without the child's own outcomes.
 
     The prior's weight comes from the moments of all children about their parents: it is large where they
     differ no more than binomial noise would have them.
@@ -47,17 +51,16 @@ def shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str) -> Da
     c = children.join(up, parent).withColumn("prior", (F.col("pa") - F.col("bad")) / (F.col("pa") + F.col("pb") - F.col("n"))).drop("pa", "pb")
     p = F.col("bad") / F.nullif(F.col("n"), F.lit(0))
     noise = F.col("prior") * (1 - F.col("prior"))
-    spread = c.groupBy(F.lit(0).alias("one")).agg(
-        F.coalesce(F.sum(F.col("n") * (p - F.col("prior")) * (p - F.col("prior"))), F.lit(0.0)).alias("s"),
-        F.coalesce(F.sum(F.when(F.col("n") > 0, noise)), F.lit(0.0)).alias("e"),
-        F.coalesce(F.sum(F.col("n")), F.lit(0)).cast("double").alias("t"),
-        F.coalesce(F.avg(noise), F.lit(0.0)).alias("v"),
+    sums = c.agg(
+        F.coalesce(F.sum(F.col("n") * (p - F.col("prior")) * (p - F.col("prior"))), F.lit(0.0)),
+        F.coalesce(F.sum(F.when(F.col("n") > 0, noise)), F.lit(0.0)),
+        F.coalesce(F.sum(F.col("n")), F.lit(0)).cast("double"),
+        F.coalesce(F.avg(noise), F.lit(0.0)),
     )
-    between = (F.col("s") - F.col("e")) / F.nullif(F.col("t"), F.lit(0.0))
-    weight = spread.select("one", F.greatest(F.lit(LEAST_K), F.least(F.lit(MOST_K), F.coalesce(F.when(between > 0, F.col("v") / between - 1), F.lit(MOST_K)))).alias("k"))
-    c = c.withColumn("one", F.lit(0)).join(F.broadcast(weight), "one")  # weight is one row
-    c = c.select(key, parent, (F.col("k") * F.col("prior") + F.col("bad")).alias("a"), (F.col("k") * (1 - F.col("prior")) + F.col("n") - F.col("bad")).alias("b"))
-    return c.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
+    s, e, t, v = sums.first()
+    k = max(LEAST_K, min(MOST_K, v / ((s - e) / t) - 1)) if t and (s - e) / t > 0 else MOST_K
+    a, b = F.lit(k) * F.col("prior") + F.col("bad"), F.lit(k) * (1 - F.col("prior")) + F.col("n") - F.col("bad")
+    return c.select(*children.columns, a.alias("a"), b.alias("b")).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | None = None, block_over: float = BLOCK_OVER) -> DataFrame:
@@ -73,19 +76,23 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     p = pages.select("page_id", "url").select("page_id", F.expr(sql["host"]).alias("host"), F.expr(sql["path"]).alias("path"))
     bad = F.when(F.col("quality").isNull() & F.col("toxic").isNull(), None).otherwise((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1))
     known = labels.select(F.col("doc_id").alias("page_id"), bad.cast("long").alias("bad"))
-    seen = p.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = seen.withColumn("site", F.expr(sql["site"])).withColumn("suffix", F.expr(sql["suffix"])).withColumn("domain", F.expr(sql["domain"]))
+    seen = p.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("pages"))
+    hosts = stored(seen.withColumn("site", F.expr(sql["site"])).withColumn("suffix", F.expr(sql["suffix"])).withColumn("domain", F.expr(sql["domain"])).drop("site"))
     total = lambda d, *keys: d.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = total(hosts, "domain", "suffix").withColumn("root", F.lit(0))
-    suffixes = total(domains, "suffix", "root")
+    domains = stored(total(hosts, "domain", "suffix"))
+    suffixes = stored(total(domains, "suffix").withColumn("root", F.lit(0)))
     root = total(suffixes, "root").select("root", (F.col("bad") + 1.0).alias("a"), (F.col("n") - F.col("bad") + 1.0).alias("b"))
-    suffixes = shrunk(suffixes, root, "suffix", "root")
-    domains = shrunk(domains, suffixes, "domain", "suffix")
+    suffixes = stored(shrunk(suffixes, root, "suffix", "root"))
+    domains = stored(shrunk(domains, suffixes, "domain", "suffix"))
     hosts = shrunk(hosts, domains, "host", "domain")
     total_ab = F.col("a") + F.col("b")
     bound = F.col("mean") - Z * F.sqrt(F.col("a") * F.col("b") / (total_ab * total_ab * (total_ab + 1)))
+    hosts = stored(hosts.select("host", "pages", F.greatest(F.lit(0.0), bound).alias("bound")))
     rule, says = rule_of(F.col("host"), F.col("path"), rules or RULES)
-    out = p.join(hosts.select("host", F.greatest(F.lit(0.0), bound).alias("bound")), "host")
+    limit = HOT_SHARE * (hosts.agg(F.sum("pages")).first()[0] or 0)
+    hot = F.broadcast(hosts.where(F.col("pages") > limit).select("host", "bound"))  # fewer than 1 / HOT_SHARE rows
+    cold = hosts.where(F.col("pages") <= limit).select("host", "bound")
+    out = p.join(hot, "host").unionByName(p.join(hot, "host", "left_anti").join(cold, "host"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, F.when(F.col("bound") > block_over, "block").otherwise("allow")).alias("verdict"), F.round("bound", 6).alias("bound"))
 
 

@@ -55,3 +55,29 @@ def test_registered_domains(spark):
     for name in ("site", "suffix", "domain"):
         df = df.selectExpr("*", f"{sql[name]} AS {name}")
     assert {r.host: (r.suffix, r.domain) for r in df.collect()} == hosts
+
+
+def test_line_breaks_and_few_exchanges(spark, monkeypatch):
+    import duckdb
+
+    rows = [(1, "x\ny://a.net/x"), (2, "http://b\n.org/fr/x\ny?z"), (3, "a\rb://C.example.com/de/\n"), (4, None), (5, "none"), (6, "u://"), (6, "u://")]
+    rows += [(k, f"http://h{k % 7}.example.org/p{k}") for k in range(10, 80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(10, 40)], "doc_id long, quality int, toxic int")
+    want = None
+    for share in (U.HOT_SHARE, 0.05, 1.0):
+        monkeypatch.setattr(U, "HOT_SHARE", share)
+        out = U.url_filter(pages, labels)
+        got = sorted(map(str, out.collect()))
+        assert want is None or got == want
+        want = got
+    by = {r.page_id: r for r in out.collect()}
+    assert (by[1].host, by[1].path, by[1].rule, by[1].verdict) == ("a.net", "/x", "net/", "block")
+    assert by[3].host == "c.example.com" and by[3].rule == "example.com/de/"
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") < 40
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    con.register("labels", labels.toPandas())
+    twin = con.sql(U.ORACLE).fetchall()
+    assert sorted((a, b, c, d, e, round(f, 6)) for a, b, c, d, e, f in twin if d) == sorted(tuple(r) for r in out.collect() if r.rule)
+    assert sorted((a, b, c, e, round(f, 6)) for a, b, c, d, e, f in twin) == sorted((r.page_id, r.host, r.path, r.verdict, r.bound) for r in out.collect())
