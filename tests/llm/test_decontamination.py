@@ -65,3 +65,24 @@ def test_blocks_and_odd_rows(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.item_id), r.distance) for r in out.collect()) == [("4", "7", 0), ("4", "7", 0), ("None", "None", 0)]
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
+
+
+def test_same_rows_however_dealt_and_recall_at_the_limit(spark):
+    """600 texts with passages at exactly the allowed edits, in 1, 7 and 60 partitions."""
+    rnd = random.Random(21)
+    prose = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    items = [(k, prose(rnd.randint(10, 140))) for k in range(60)]
+    docs, planted = [], set()
+    for k in range(600):
+        i, item = rnd.choice(items)
+        p = list(item)
+        for j in sorted(rnd.sample(range(len(p)), D.edits_allowed(len(p), D.MOST_EDITS)), reverse=True):
+            p[j : j + 1] = rnd.choice([[], ["new"], [p[j], "extra"]])
+        docs.append((k, " ".join(prose(rnd.randint(0, 80)) + p + prose(rnd.randint(0, 80)))))
+        planted.add((k, i))
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    got = [sorted(map(tuple, D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), bench).collect())) for n in (1, 7, 60)]
+    assert got[0] == got[1] == got[2]
+    found = {r[:2] for r in got[0]}
+    print("recall at 20 % edits", len(found & planted) / len(planted))
+    assert len(found & planted) >= 0.95 * len(planted)
