@@ -1,99 +1,102 @@
-"""Operator 6: interpolated modified Kneser-Ney over character classes, trained on trusted text.
-
-The model is of order 4 over 64 symbols, so its tables have at most 64**4 rows however much text they are counted
-from; counts, continuation counts, context totals and back-off probabilities are Spark tables sharded by n-gram or
-context and joined on those keys.
+"""Operator 6: interpolated modified Kneser-Ney over characters, trained on trusted text.
+
+N-grams are strings of ORDER characters, as they stand in the text, so the tables grow with what the corpus holds.
+Counts, continuation counts, context totals and back-off weights are Spark tables sharded by n-gram or context and
+joined on those keys. Documents are scored by joins too: of each document the n-grams outside a head of fixed size go,
+summed by document and n-gram, to a table of all such n-grams, whose probabilities back off from join to join. The
+head, the most frequent n-grams, is sent to the executors, which spares the shuffle of most of the text and changes
+no result.
 """
 
 from __future__ import annotations
 
 import contextlib
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
 
-ORDER, SYMBOLS = 4, 64
+ORDER = 5
+#: What stands before the start of a text.
+START = "\x02"
+#: At most so many n-grams are sent to the executors.
+HEAD = 1 << 18
 #: Documents above this quantile of the trusted documents' perplexity in their language, times the margin, go.
 QUANTILE, MARGIN = 0.99, 1.05
 #: A text goes only if its perplexity is so many standard errors above the limit.
 DEVIATIONS = 2.0
-#: A language has a quantile of its own from so many trusted documents; at most so many languages have one.
-FEWEST, MOST_LANGUAGES = 20, 2000
-#: Characters with a symbol of their own, after 0 for the start of a text.
-OWN = " \nabcdefghijklmnopqrstuvwxyzäöüßéèêàâîôûçñíóáúœë"
-CLASSES = [".", ",", "!?;:", "-'\"’“”„«»", "()[]{}", "#*$%&|<>@=+/\\_~^"]
-
-
-def symbol(c: str) -> int:
-    if c in OWN:
-        return 1 + OWN.index(c)
-    k = 1 + len(OWN)
-    if c.isupper():
-        return k
-    if c.isdigit():
-        return k + 1
-    for j, chars in enumerate(CLASSES):
-        if c in chars:
-            return k + 2 + j
-    k += 2 + len(CLASSES)
-    if c.isspace():
-        return 1
-    if c.islower():
-        return k + ord(c) % 4
-    return k + 4 + ord(c) % 2 if c.isalpha() else SYMBOLS - 1
-
-
-WIDE = 0x3000
-
-
-def symbol_table() -> np.ndarray:
-    return np.array([symbol(chr(k)) for k in range(WIDE)] + [symbol("一"), symbol("丁")], dtype=np.int32)
-
-
-def gram_codes(text: str, lookup: np.ndarray) -> np.ndarray:
-    """One code of ORDER symbols for each character of a text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    s = lookup[np.where(points < WIDE, points, WIDE + (points & 1))]
-    s = np.concatenate([np.zeros(ORDER - 1, dtype=np.int32), s])
-    code = s[: len(points)].copy()
-    for k in range(1, ORDER):
-        code = code * SYMBOLS + s[k : k + len(points)]
-    return code
+#: A language has a quantile of its own from so many trusted documents.
+FEWEST = 20
+#: Characters worked on at a time.
+PIECE = 1 << 20
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer((START * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def gram_hashes(x: np.ndarray) -> np.ndarray:
+    """A hash of each ORDER consecutive code points."""
+    n = len(x) - ORDER + 1
+    h = np.zeros(max(n, 0), dtype=np.uint64)
+    for k in range(ORDER):
+        h = (h + x[k : k + n] + np.uint64(1)) * BASE
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def gram_strings(x: np.ndarray, at: np.ndarray) -> list[str]:
+    """The n-grams that begin at those places."""
+    rows = np.ascontiguousarray(x[at[:, None] + np.arange(ORDER)]).astype("<u4")
+    text = rows.tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[k : k + ORDER].encode("utf-8", "replace").decode("utf-8") for k in range(0, len(text), ORDER)]
+
+
+def gathered(texts: Iterator[tuple[int, str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of about PIECE characters of several texts, where their n-grams begin, and whose text each is of."""
+    parts, begins, owners, size = [], [], [], 0
+    for i, text in texts:
+        x = points(text)
+        for at in range(0, len(x) - ORDER + 1, PIECE):
+            piece = x[at : at + PIECE + ORDER - 1]
+            begins.append(np.arange(size, size + len(piece) - ORDER + 1))
+            owners.append(np.full(len(begins[-1]), i))
+            parts.append(piece)
+            size += len(piece)
+            if size > PIECE:
+                yield np.concatenate(parts), np.concatenate(begins), np.concatenate(owners)
+                parts, begins, owners, size = [], [], [], 0
+    if parts:
+        yield np.concatenate(parts), np.concatenate(begins), np.concatenate(owners)
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """g, n: how often each n-gram occurs, summed in each task and then by n-gram."""
+    """g, n: how often each n-gram occurs, summed in pieces and then by n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, total = symbol_table(), np.zeros(SYMBOLS**ORDER, dtype=np.uint32)
-        waiting: list = []
-        size = 0
+        known: dict[str, int] = {}
 
-        def add() -> None:
-            g, n = np.unique(np.concatenate(waiting), return_counts=True)
-            total[g] += n.astype(np.uint32)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(known.keys(), pa.string()), pa.array(known.values(), pa.int64())], names=["g", "n"])
 
-        for b in batches:
-            for t in b.column(0):
-                codes = gram_codes(t.as_py() or "", lookup)
-                waiting.append(codes)
-                size += len(codes)
-                if size > 1_000_000:
-                    add()
-                    waiting, size = [], 0
-        if waiting:
-            add()
-        g = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(total[g].astype(np.int64))], names=["g", "n"])
+        every = ((0, t.as_py() or "") for b in batches for t in b.column(0))
+        for x, at, _ in gathered(every):
+            _, first, n = np.unique(gram_hashes(x)[at], return_index=True, return_counts=True)
+            for g, c in zip(gram_strings(x, at[first]), n.tolist(), strict=True):
+                known[g] = known.get(g, 0) + c
+            if len(known) > 500_000:
+                yield out()
+                known = {}
+        yield out()
 
-    return texts.select("text").mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(grams: DataFrame) -> list[float]:
@@ -108,78 +111,116 @@ def discount(n: Column, d: list[float]) -> Column:
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """order, g, p of every n-gram seen, and order, g (a context), b, its back-off weight."""
-    grams = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: the symbols that precede
-        grams[k] = stored(grams[k + 1].groupBy((F.col("g") % SYMBOLS**k).cast("int").alias("g")).agg(F.count("*").alias("n")))
-    lower, out = None, None
-    for k in range(1, ORDER + 1):
-        d = discounts(grams[k])
-        t = grams[k].select("g", F.col("n").cast("double").alias("n"), F.floor(F.col("g") / SYMBOLS).cast("int").alias("ctx"), (F.col("g") % SYMBOLS ** (k - 1)).cast("int").alias("low"))
-        contexts = t.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum(F.least("n", discount(F.col("n"), d))).alias("mass")).select("ctx", "total", (F.col("mass") / F.col("total")).alias("b"))
-        t = t.join(contexts, "ctx")
-        t = t.join(lower, "low") if lower is not None else t.withColumn("q", F.lit(1.0 / SYMBOLS))
-        own = F.greatest(F.lit(0.0), F.col("n") - discount(F.col("n"), d)) / F.col("total")
-        level = stored(t.select(F.col("g"), (own + F.col("b") * F.col("q")).alias("p")))
-        lower = level.select(F.col("g").alias("low"), F.col("p").alias("q"))
-        rows = level.select(F.lit(k).alias("k"), "g", "p", F.lit(None).cast("double").alias("b")).unionByName(contexts.select(F.lit(k).alias("k"), F.col("ctx").alias("g"), F.lit(None).cast("double").alias("p"), "b"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def last(gram: Column, k: int) -> Column:
+    """The last k characters of an n-gram of at least k."""
+    return F.substring(gram, -k, k) if k else F.lit("")
 
 
 class Model:
-    """Log probabilities in natural order of n-gram codes, and the limits of the languages."""
-
-    def __init__(self, levels: dict[int, tuple[np.ndarray, ...]], limits: dict[str, float], limit: float) -> None:
-        self.levels, self.limits, self.limit = levels, limits, limit
-
-    def dense(self) -> np.ndarray:
-        """-log p of every n-gram as float32; unseen ones back off."""
-        p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-        for k in range(1, ORDER + 1):
-            g, prob, ctx, b = self.levels[k]
-            weight = np.ones(SYMBOLS ** (k - 1), dtype=np.float32 if k == ORDER else np.float64)
-            weight[ctx] = b
-            if k > 1:
-                p = (weight.reshape(SYMBOLS, -1, 1) * p.astype(weight.dtype).reshape(1, -1, SYMBOLS)).ravel()
-            else:
-                p = p * weight[0]
-            p[g] = prob
-        p = p.astype(np.float32, copy=False)
-        return np.negative(np.log(p, out=p), out=p)
-
-
-def perplexity(text: str, lookup: np.ndarray, loss: np.ndarray) -> tuple[float | None, float | None]:
-    """The perplexity of a text, and what it is DEVIATIONS standard errors lower, which short texts are judged by."""
-    x = loss[gram_codes(text, lookup)]
-    if not len(x):
-        return None, None
-    mean = float(x.mean(dtype=np.float64))
-    return math.exp(mean), math.exp(mean - DEVIATIONS * float(x.std(dtype=np.float64)) / math.sqrt(len(x)))
-
-
-def scored(docs: DataFrame, model: Model, keep_only: bool = False) -> DataFrame:
-    """docs with perplexity and kept beside their columns doc_id and lang; with keep_only the kept rows of docs as they are."""
-    packed = pickle.dumps(model.levels)
-    limits, limit = model.limits, model.limit
-    names = docs.columns if keep_only else ["doc_id", "lang"]
+    """Sharded tables by order: grams (g, p) and contexts (c, b); the probability of a character never seen."""
+
+    def __init__(self, grams: dict[int, DataFrame], contexts: dict[int, DataFrame], unseen: float, head: Broadcast) -> None:
+        self.grams, self.contexts, self.unseen, self.head = grams, contexts, unseen, head
+
+
+def kneser_ney(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame], float]:
+    """The tables of each order, from the counts of the highest."""
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: the characters that precede
+        levels[k] = stored(levels[k + 1].groupBy(last(F.col("g"), k).alias("g")).agg(F.count("*").alias("n")))
+    symbols = levels[1].count() + 1
+    grams, contexts, unseen = {}, {}, 1.0 / symbols
+    for k in range(1, ORDER + 1):
+        d = discounts(levels[k])
+        t = levels[k].select("g", F.col("n").cast("double").alias("n"), F.substring("g", 1, k - 1).alias("c"), last(F.col("g"), k - 1).alias("low"))
+        own = F.greatest(F.lit(0.0), F.col("n") - discount(F.col("n"), d)) / F.col("total")
+        sums = [F.sum("n").alias("total"), F.sum(F.least("n", discount(F.col("n"), d))).alias("mass")]
+        if k == 1:  # one context
+            total, mass = t.agg(*sums).first()
+            b = mass / total if total else 1.0
+            t = t.withColumn("total", F.lit(total).cast("double")).withColumn("b", F.lit(b)).withColumn("q", F.lit(1.0 / symbols))
+            unseen *= b
+        else:
+            contexts[k] = stored(t.groupBy("c").agg(*sums).select("c", "total", (F.col("mass") / F.col("total")).alias("b")))
+            t = t.join(contexts[k], "c").join(grams[k - 1].select(F.col("g").alias("low"), F.col("p").alias("q")), "low")
+        grams[k] = stored(t.select("g", "n", (own + F.col("b") * F.col("q")).alias("p")))
+    return grams, contexts, unseen
+
+
+def head_of(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and losses of the most frequent n-grams: as many steps of frequency as stay within the limit."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    held, low = 0, None
+    for r in sorted(grams.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):  # some 8 steps for each doubling
+        if held + r.n > most:
+            break
+        held, low = held + r.n, r.s
+    rows = [] if low is None else grams.where(step >= low).select("g", "p").collect()  # at most `most`
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    x = np.frombuffer("".join(r.g for r in rows).encode("utf-32-le"), dtype="<u4")
+    h = gram_hashes(x)[::ORDER]
+    order = np.argsort(h)
+    return h[order], -np.log(np.array([r.p for r in rows]))[order]
+
+
+def summed(texts: DataFrame, head: Broadcast) -> DataFrame:
+    """The columns of texts but for text, with size, loss and square (sums over the n-grams of the head) and rest: the others and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, loss = symbol_table(), Model(pickle.loads(packed), {}, 0.0).dense()
+        known, losses = head.value
         for b in batches:
-            text, lang = b.column("text"), b.column("lang")
-            ppl = [perplexity(t.as_py() or "", lookup, loss) for t in text]
-            kept = [low is not None and low <= limits.get(x.as_py() or "", limit) for (_, low), x in zip(ppl, lang, strict=True)]
-            if keep_only:
-                yield b.filter(pa.array(kept, pa.bool_()))
-            else:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lang, pa.array([p for p, _ in ppl], pa.float64()), pa.array(kept, pa.bool_())], names=[*names, "perplexity", "kept"])
-
-    if keep_only:
-        return docs.mapInArrow(run, docs.schema)
-    d = docs.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    return d.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, perplexity double, kept boolean")
+            n = b.num_rows
+            size, loss, square = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            rest: list[list[dict]] = [[] for _ in range(n)]
+            for x, at, owner in gathered((i, t.as_py() or "") for i, t in enumerate(b.column(b.num_columns - 1))):
+                values, first, of = np.unique(gram_hashes(x)[at], return_index=True, return_inverse=True)
+                place = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+                met = known[place] == values if len(known) else np.zeros(len(values), bool)
+                own = np.where(met, losses[place], 0.0) if len(known) else np.zeros(len(values))
+                size += np.bincount(owner, minlength=n)
+                loss += np.bincount(owner, own[of], n)
+                square += np.bincount(owner, own[of] ** 2, n)
+                new = np.flatnonzero(~met)
+                if len(new):
+                    number = np.zeros(len(values), np.int64)
+                    number[new] = np.arange(len(new))
+                    names = gram_strings(x, at[first[new]])
+                    out = ~met[of]
+                    pairs, count = np.unique(owner[out] * len(new) + number[of[out]], return_counts=True)
+                    for p, c in zip(pairs.tolist(), count.tolist(), strict=True):
+                        rest[p // len(new)].append({"g": names[p % len(new)], "n": c})
+            kind = pa.list_(pa.struct([("g", pa.string()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size), pa.array(loss), pa.array(square), pa.array(rest, kind)], names=[*b.schema.names[:-1], "size", "loss", "square", "rest"])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text"]
+    return texts.select(*[c for c in texts.columns if c != "text"], "text").mapInArrow(run, ", ".join([*kept, "size long", "loss double", "square double", "rest array<struct<g:string,n:long>>"]))
+
+
+def backed_off(grams: DataFrame, model: Model) -> DataFrame:
+    """g, p of each n-gram: its own probability where it was seen, else the context's weight times that of a shorter one."""
+    t = grams.select("g", F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("p"))
+    for k in range(ORDER, 0, -1):
+        found = model.grams[k].select(F.col("g").alias("_g"), F.col("p").alias("_p"))
+        t = t.join(found, last(F.col("g"), k) == F.col("_g"), "left").select("g", "w", F.coalesce("p", F.col("w") * F.col("_p")).alias("p"))
+        if k > 1:
+            context = F.substring(last(F.col("g"), k), 1, k - 1)
+            weights = model.contexts[k].select(F.col("c").alias("_c"), F.col("b").alias("_b"))
+            t = t.join(weights, context == F.col("_c"), "left").select("g", (F.col("w") * F.coalesce("_b", F.lit(1.0))).alias("w"), "p")
+    return t.select("g", F.coalesce("p", F.col("w") * F.lit(model.unseen)).alias("p"))
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of docs but for text, with perplexity and low: what it is DEVIATIONS standard errors lower; null without text."""
+    keep = [c for c in docs.columns if c != "text"]
+    own = stored(summed(docs.select(*keep, F.monotonically_increasing_id().alias("_row"), "text"), model.head))
+    rest = own.select("_row", F.inline("rest"))
+    loss = backed_off(stored(rest.select("g").distinct()), model).select("g", (-F.log("p")).alias("x"))
+    others = rest.join(loss, "g").groupBy("_row").agg(F.sum(F.col("n") * F.col("x")).alias("_l"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("_s"))
+    n = F.nullif(F.col("size"), F.lit(0))
+    mean = (F.col("loss") + F.coalesce("_l", F.lit(0.0))) / n
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("square") + F.coalesce("_s", F.lit(0.0))) / n - mean * mean) / n)
+    return own.drop("rest").join(others, "_row", "left").select(*keep, F.exp(mean).alias("perplexity"), F.exp(mean - DEVIATIONS * spread).alias("low"))
 
 
 @contextlib.contextmanager
@@ -194,35 +235,48 @@ def prefiltered(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> Model:
-    """The model of all documents labelled with quality 1, and each language's limit from their perplexities."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of all documents labelled with quality 1, and these documents: lang, text."""
     good = labels.where("quality = 1").select("doc_id")
     texts = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     with prefiltered(docs.sparkSession):
-        trusted = stored(texts.join(good.hint("merge"), "doc_id", "left_semi"))  # labels grow with the input, so they are never broadcast
-    counts = stored(gram_counts(trusted))
-    table = kneser_ney(counts).toPandas()  # at most 2 * ORDER * 64**4 rows whatever the input
-    levels = {}
-    for k in range(1, ORDER + 1):
-        t = table[table.k == k]
-        grams, contexts = t[t.p.notna()], t[t.b.notna()]
-        levels[k] = (grams.g.to_numpy(), grams.p.to_numpy(np.float32), contexts.g.to_numpy(), contexts.b.to_numpy(np.float32))
-    model = Model(levels, {}, math.inf)
-    ppl = stored(scored(trusted, model).where("perplexity IS NOT NULL"))
+        trusted = stored(texts.join(good.hint("merge"), "doc_id", "left_semi").select("lang", "text"))  # labels grow with the input, so they are never broadcast
+    grams, contexts, unseen = kneser_ney(stored(gram_counts(trusted)))
+    head = docs.sparkSession.sparkContext.broadcast(head_of(grams[ORDER], HEAD))
+    return Model(grams, contexts, unseen, head), trusted
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> DataFrame:
+    """The columns of docs but for text, with perplexity and kept; docs: text, lang without nulls and others, labels as in quality_lm."""
+    model, trusted = fit(docs, labels)
+    ppl = stored(perplexities(trusted, model).where("perplexity IS NOT NULL"))
     q = F.percentile_approx("perplexity", quantile, 100_000)
-    by = ppl.groupBy("lang").agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    limits = stored(ppl.groupBy("lang").agg((q * margin).alias("_limit"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).select("lang", "_limit"))
     overall = ppl.agg(q).first()[0]
-    model.limits = {r.lang: r.q * margin for r in by}
-    model.limit = overall * margin if overall is not None else math.inf
-    return model
+    all_limit = F.lit(overall * margin if overall is not None else math.inf)
+    scored = perplexities(docs, model).join(limits, "lang", "left")
+    return scored.withColumn("kept", F.coalesce(F.col("low") <= F.coalesce("_limit", all_limit), F.lit(False))).drop("_limit", "low")
 
 
 def quality_lm(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, perplexity (a character) and kept of each document.
 
     docs: doc_id, text, lang; labels: doc_id, quality; other columns are not read. Null and empty texts have no
-    perplexity and are not kept. A null lang counts as a language of its own; languages with few trusted documents
-    have the limit of all. Without trusted documents the model is uniform and all texts are kept. Repeated rows
-    each give a row and count as often in training. Empty tables give no rows.
+    perplexity and are not kept. A null lang counts as a language of its own, as an empty one; languages with few
+    trusted documents have the limit of all. A document is kept unless its perplexity is over the quantile of its
+    language's trusted documents times the margin by DEVIATIONS standard errors, which spares short texts. Without
+    trusted documents all texts with a character are kept. Repeated rows each give a row and count as often in
+    training. Empty tables give no rows.
     """
-    return scored(docs, fit(docs, labels, quantile, margin))
+    own = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("lang").cast("string").alias("own_lang"), F.col("text").cast("string").alias("text"))
+    return judged(own, labels, quantile, margin).select("doc_id", F.col("own_lang").alias("lang"), "perplexity", "kept")
+
+
+def kept_only(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs that quality_lm keeps, as they are; the verdict depends on text and lang alone."""
+    text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    key = F.sha2(F.concat(F.octet_length(lang).cast("string"), F.lit(" "), lang, text), 256)
+    rows = docs.select(F.col("doc_id"), lang.alias("lang"), key.alias("key"), F.col("text").cast("string").alias("text"))
+    gone = judged(rows, labels, quantile, margin).where("NOT kept").select(F.col("key").alias("_key")).distinct()
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+    return marked.join(stored(gone), "_key", "left_anti").select("_row.*")

@@ -3,17 +3,17 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from gradecube.llm import quality_lm as Q
 
 
 def brute(texts):
-    """Interpolated modified Kneser-Ney by plain dictionaries; gives log p of a tuple of symbols."""
-    lookup = Q.symbol_table()
-    grams = {4: Counter()}
+    """Interpolated modified Kneser-Ney by plain dictionaries; gives the probability of the last character of a string."""
+    grams = {Q.ORDER: Counter()}
     for t in texts:
-        s = [0, 0, 0, *(int(lookup[ord(c)]) for c in t)]
-        grams[4].update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-    for k in (3, 2, 1):
+        s = Q.START * (Q.ORDER - 1) + t
+        grams[Q.ORDER].update(s[i : i + Q.ORDER] for i in range(len(t)))
+    for k in range(Q.ORDER - 1, 0, -1):
         grams[k] = Counter(g[1:] for g in grams[k + 1])
     ds, totals, masses = {}, {}, {}
     for k, g in grams.items():
@@ -28,7 +28,7 @@ def brute(texts):
     def p(g):
         k = len(g)
         if not k:
-            return 1 / 64
+            return 1 / (len(grams[1]) + 1)
         total = totals[k][g[:-1]]
         if not total:
             return p(g[1:])
@@ -36,22 +36,50 @@ def brute(texts):
         own = max(0, c - ds[k][min(c, 3) - 1]) if c else 0
         return own / total + masses[k][g[:-1]] / total * p(g[1:])
 
-    return p
+    return p, sorted(grams[1])
 
 
-def test_matches_plain_model(spark):
+def losses(p, t):
+    s = Q.START * (Q.ORDER - 1) + t
+    return np.array([-math.log(p(s[i : i + Q.ORDER])) for i in range(len(t))])
+
+
+@pytest.mark.parametrize("head", [0, 40, 1 << 18])
+def test_whole_documents_match_brute_force(spark, monkeypatch, head):
+    """Perplexities, limits and verdicts, however much of the model is sent to the executors."""
+    monkeypatch.setattr(Q, "HEAD", head)
+    monkeypatch.setattr(Q, "PIECE", 37)
     rnd = random.Random(1)
-    texts = ["".join(rnd.choices("abc de.", k=rnd.randint(0, 80))) for _ in range(40)]
-    docs = spark.createDataFrame([(k, t, "en", 1.5) for k, t in enumerate(texts)], "doc_id long, text string, lang string, perplexity double")
-    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
-    model = Q.fit(docs, labels)
-    p, loss, lookup = brute(texts), model.dense(), Q.symbol_table()
-    for t in [*texts, "ABC zzz 99", "abcabc"]:
-        s = [0, 0, 0, *(int(lookup[ord(c)]) for c in t)]
-        want = [-math.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)]
-        assert np.allclose(loss[Q.gram_codes(t, lookup)], want, rtol=1e-4)
-    rows = np.exp(-loss.reshape(-1, 64)).sum(axis=1)
-    assert np.allclose(rows, 1, atol=1e-3)  # every context's probabilities sum to one
+    letters = {"en": "abcde .", "ru": "абвгд .", None: "abc日本"}
+    rows = []
+    for k in range(150):
+        lang = rnd.choice(["en", "ru", "ru", None])
+        odd = rnd.random() < 0.15
+        rows.append((k, "".join(rnd.choices("xyz%&😀" if odd else letters[lang], k=rnd.randint(0, 90))), lang))
+    rows += [(200, None, "en"), (201, "", "ru"), (7, rows[7][1], rows[7][2]), (None, "abc de", "xx")]
+    labels = [(k, 1 if k % 3 else 0) for k in range(0, 120)]
+    docs = spark.createDataFrame([(i, t, la, 1.5, "r") for i, t, la in rows], "doc_id long, text string, lang string, perplexity double, rest string")
+    out = Q.quality_lm(docs, spark.createDataFrame(labels, "doc_id long, quality int"), quantile=0.8, margin=1.0).collect()
+    good = {i for i, q in labels if q == 1}
+    trusted = [(t or "", la or "") for i, t, la in rows if i in good]
+    p, symbols = brute([t for t, _ in trusted])
+    assert abs(sum(p("bcd" + c) for c in [*symbols, "\x00"]) - 1) < 1e-9
+    ppl = lambda t: math.exp(losses(p, t).mean()) if t else None
+    quantile = lambda v: sorted(v)[max(0, math.ceil(0.8 * len(v)) - 1)]
+    by = {}
+    for t, la in trusted:
+        if t:
+            by.setdefault(la, []).append(ppl(t))
+    overall = quantile([x for v in by.values() for x in v])
+    limits = {la: quantile(v) for la, v in by.items() if len(v) >= Q.FEWEST}
+    assert len(limits) >= 2
+    want = Counter()
+    for i, t, la in rows:
+        x = losses(p, t or "")
+        low = math.exp(x.mean() - Q.DEVIATIONS * x.std() / math.sqrt(len(x))) if len(x) else None
+        want[i, la, round(ppl(t), 6) if t else None, low is not None and low <= limits.get(la or "", overall)] += 1
+    got = Counter((r.doc_id, r.lang, None if r.perplexity is None else round(r.perplexity, 6), r.kept) for r in out)
+    assert got == want and len({k[3] for k in want}) == 2
 
 
 def test_keeps_prose_drops_junk_and_odd_rows(spark):
@@ -65,7 +93,7 @@ def test_keeps_prose_drops_junk_and_odd_rows(spark):
     assert len(out) == len(rows)
     kept = Counter(r.doc_id for r in out if r.kept)
     assert sum(kept[k] for k in range(120)) >= 117 and not any(kept[k] for k in range(120, 142)) and kept[142] and kept[None]
-    same = Q.scored(docs, Q.fit(docs, labels), keep_only=True)
+    same = Q.kept_only(docs, labels)
     assert same.columns == docs.columns and Counter(r.doc_id for r in same.collect()) == kept
 
 
@@ -74,3 +102,4 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.kept for r in Q.quality_lm(docs, none).collect()] == [True]
     assert Q.quality_lm(docs.limit(0), none).count() == 0
+    assert Q.kept_only(docs.limit(0), none).count() == 0
