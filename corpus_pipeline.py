@@ -15,7 +15,7 @@ from gradecube.llm.queries import KEY
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose Kneser-Ney perplexity is under the limit of their language; the others go."""
-    return quality_lm.scored(docs, quality_lm.fit(docs, table(spark, sf_dir, "labels")), keep_only=True)
+    return quality_lm.kept_only(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
