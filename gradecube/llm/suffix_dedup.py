@@ -1,11 +1,14 @@
 """Operator 5: repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are told apart only to the threshold of SIZE bytes, in passes from the front digit on. The first digit is
-a suffix's minimizer: the least hash among the GRAM-byte strings of its first SIZE bytes, with its place. Adjacent
-suffixes that share a minimizer move as one run, so a pass sorts a row for some 85 suffixes rather than one each.
-Runs whose digit is alone drop out. The second digit is the whole neighbourhood in which every suffix with that
-minimizer ends; where it repeats, all of the run's strings do. What is left is split into single suffixes of SIZE
-bytes, and equal groups of those are the repeated strings.
+Suffixes are ordered only through their first SIZE bytes, by passes from the most significant digit on; what is alone
+in its group drops out of all later passes, and the groups left after the last pass are exactly the repeated strings.
+Digits are eight bytes of the suffix, compared as they are.
+
+Before that, suffixes are dealt out so that equal ones meet. A suffix goes with its minimizer: the least hash among the
+GRAM-byte strings of its first SIZE bytes, which equal suffixes share, so none is lost. Adjacent suffixes that share a
+minimizer move as one run, a row for some 85 of them. Runs whose minimizer is alone drop out. Where the whole
+neighbourhood in which every suffix with that minimizer ends occurs again, all of the run's strings do; neighbourhoods
+are told apart by the hashes of minimizer and neighbourhood, 128 bits together.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .common import dropped, freed, stored
 
 SIZE, GRAM = 200, 32
 #: Minimizers with more distinct neighbourhoods than this are told apart by a shuffle of their suffixes, not in one
-#: task; at this limit a task holds some 15 MB of bytes and 150 MB of hashes.
-GROUP_LIMIT = 50_000
+#: task; at this limit a task holds some 3 MB of bytes and 30 MB of digits and places.
+GROUP_LIMIT = 8000
 PLACE_BITS = 20
 MASK = np.uint64((1 << PLACE_BITS) - 1)
 CHUNK = 1 << 17
@@ -129,6 +132,36 @@ def cut_out(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("data", "key", "runs").mapInArrow(run, "kh long, key binary, s int, cut binary")
 
 
+def equal_suffixes(x: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Those of the places whose next size bytes also begin at another of the places."""
+    width = min(8, size)
+    padded = np.concatenate([x, np.zeros(8, np.uint8)])
+    words = np.zeros(len(x), dtype=np.uint64)
+    for k in range(width):
+        words = words << np.uint64(8) | padded[k : k + len(x)]
+    depths = sorted({*range(0, size - width + 1, width), size - width})
+    digit = words[at]
+    order = np.argsort(digit, kind="stable")
+    at, digit = at[order], digit[order]
+    new = np.concatenate([[True], digit[1:] != digit[:-1]])[: len(at)]  # where a group begins
+    for depth in [*depths[1:], None]:
+        counts = np.diff(np.append(np.flatnonzero(new), len(at)))
+        held = np.repeat(counts > 1, counts)
+        at, new = at[held], new[held]
+        if depth is None or not len(at):
+            break
+        starts = np.flatnonzero(new)
+        counts = np.diff(np.append(starts, len(at)))
+        digit = words[at + depth]
+        parted = np.logical_or.reduceat(digit != np.repeat(digit[starts], counts), starts)
+        if parted.any():  # only groups whose digits differ are sorted
+            rows = np.flatnonzero(np.repeat(parted, counts))
+            order = np.lexsort((digit[rows], np.cumsum(new)[rows]))
+            at[rows], digit[rows] = at[rows][order], digit[rows][order]
+            new[1:] |= digit[1:] != digit[:-1]
+    return at
+
+
 def equal_in_groups(cuts: DataFrame, size: int) -> DataFrame:
     """key, s, e of the bytes that equal suffixes cover, for groups that one task holds; cuts are sorted by kh in each partition."""
 
@@ -139,15 +172,12 @@ def equal_in_groups(cuts: DataFrame, size: int) -> DataFrame:
             x = np.frombuffer(b"".join(cut for _, _, cut in group), dtype=np.uint8)
             ends = np.cumsum([len(cut) for _, _, cut in group])
             begins = np.concatenate([[0], ends[:-1]])
-            h = np.stack([grams(x, size, k) for k in (0, 1)], axis=1)
-            inside = np.zeros(len(h) + 1, dtype=np.int8)  # a string that crosses from one cut to the next is none
+            inside = np.zeros(len(x) + 1, dtype=np.int8)  # a string that crosses from one cut to the next is none
             np.add.at(inside, begins, 1)
             np.add.at(inside, ends - size + 1, -1)
             at = np.flatnonzero(np.cumsum(inside[:-1]))
-            order = at[np.lexsort((h[at, 1], h[at, 0]))]
-            same = np.concatenate([[False], (h[order[1:]] == h[order[:-1]]).all(axis=1), [False]])
             flags = np.zeros(len(x) + 1, dtype=np.int8)
-            flags[order[same[1:] | same[:-1]]] = 1
+            flags[equal_suffixes(x, at, size)] = 1
             edges = np.flatnonzero(np.diff(np.concatenate([[0], flags])))
             edges = edges.reshape(-1, 2)
             return [(group[g][0], group[g][1] + i - int(begins[g]), group[g][1] + j - 1 - int(begins[g]) + size) for i, j, g in zip(edges[:, 0].tolist(), edges[:, 1].tolist(), (np.searchsorted(begins, edges[:, 0], "right") - 1).tolist(), strict=True)]
@@ -170,15 +200,25 @@ def equal_in_groups(cuts: DataFrame, size: int) -> DataFrame:
 
 
 def equal_by_shuffle(cuts: DataFrame, size: int) -> DataFrame:
-    """The same for groups of any size: a row for each suffix, told apart by pre-aggregated hashes."""
+    """The same for groups of any size: a row for each suffix, told apart by pre-aggregated hashes of 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        def batch(h: list, of: list, at: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(of, pa.binary()), pa.array(at, pa.int32())], names=["h", "key", "s"])
+
         for b in batches:
+            h, of, at = [], [], []
             for key, s, cut in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n = len(cut) - size + 1
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(cut[i : i + size]) for i in range(n)], pa.binary()), pa.array([key] * n, pa.binary()), pa.array(range(s, s + n), pa.int32())], names=["h", "key", "s"])
+                h += [xxhash.xxh3_128_digest(cut[i : i + size]) for i in range(n)]
+                of += [key] * n
+                at += range(s, s + n)
+                if len(h) > 100_000:
+                    yield batch(h, of, at)
+                    h, of, at = [], [], []
+            yield batch(h, of, at)
 
     rows = stored(cuts.select("key", "s", "cut").mapInArrow(run, "h binary, key binary, s int"))
     tag = F.xxhash64("key", "s")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from gradecube.llm import suffix_dedup as S
 
@@ -61,3 +62,13 @@ def test_empty_and_null_ids(spark):
     assert S.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     out = S.suffix_dedup(spark.createDataFrame([(None, "x" * 300), (1, "y" * 100), (1, "y" * 100)], "doc_id long, text string")).collect()
     assert sorted((r.n_bytes, len(r.removed)) for r in out) == [(100, 0), (100, 0), (300, 1)]
+
+
+def test_radix_sort_is_exact():
+    rnd = random.Random(3)
+    for size in (1, 3, 8, 11, 16, 20):
+        for _ in range(20):
+            x = np.frombuffer(bytes(rnd.choices(b"ab" if size > 3 else b"abcdefgh", k=rnd.randint(size, 400))), dtype=np.uint8)
+            at = np.array(sorted(rnd.sample(range(len(x) - size + 1), rnd.randint(0, len(x) - size + 1))), dtype=np.int64)
+            strings = [x[i : i + size].tobytes() for i in at]
+            assert sorted(S.equal_suffixes(x, at, size)) == [i for i, t in zip(at.tolist(), strings) if strings.count(t) > 1]
