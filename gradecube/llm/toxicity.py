@@ -16,14 +16,14 @@ from .common import in_train
 
 #: At most this many labelled rows of each class are learnt from: those with the least hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
-#: At most this many terms and stems are kept, by their log-likelihood ratio.
-MOST_TERMS = 4_000
+#: At most this many terms and stems are kept, by their log-likelihood ratio; learnt words have SHORTEST to LONGEST letters.
+MOST_TERMS, SHORTEST, LONGEST = 4_000, 3, 40
 #: A term needs this many toxic documents, and this many times the clean documents' share.
 LEAST_SUPPORT, LEAST_RATIO = 6, 12.0
 #: A stem also needs this many different words below it.
 STEM_LENGTHS, LEAST_FAMILY = (4, 5, 6), 4
-#: Words shorter than this match without edits; longer ones with one.
-FUZZY_LENGTH = 5
+#: Terms and words shorter than this match without edits; longer ones with one edit or swap, and from LONG_LENGTH on with two edits.
+FUZZY_LENGTH, LONG_LENGTH = 5, 10
 WINDOW = 6
 TOKEN = re.compile(r"[^\W_]+")
 LEET = str.maketrans("0134578@$", "oieastbas")
@@ -47,6 +47,8 @@ class Lexicon:
         long = [t for t in terms if len(t) >= FUZZY_LENGTH]
         self.heads = {(len(t), t[: len(t) // 2]) for t in long}
         self.tails = {(len(t), t[len(t) // 2 :]) for t in long}
+        #: A word two edits from a term has one third of it in place, give or take two letters.
+        self.thirds = {(len(t), k, part) for t in terms if len(t) >= LONG_LENGTH for k, part in enumerate(thirds(t, len(t)))}
         for end, entries in (("$end", terms), ("$stem", stems)):
             for entry, gain in entries.items():
                 node = self.root
@@ -70,7 +72,9 @@ class Lexicon:
         plain = RUNS.sub(r"\1", word.translate(LEET)) if not word.isalpha() or RUNS.search(word) else word
         if plain != word and (found := self._exact(plain))[0]:
             return 1, found[1]
-        gain = self._fuzzy(self.root, plain, 0, 0, 0) if self._near(plain) else 0.0
+        gain = self._fuzzy(self.root, plain, 0, 0, 0, 1) if self._near(plain) else 0.0
+        if not gain and self._near_twice(plain):
+            gain = self._fuzzy(self.root, plain, 0, 0, 0, 2)
         return (1, gain) if gain else self.NONE
 
     def _exact(self, word: str) -> tuple[int, float]:
@@ -84,27 +88,48 @@ class Lexicon:
         return (3, node["$end"]) if "$end" in node else stem
 
     def _near(self, word: str) -> bool:
+        n, h = len(word), len(word) // 2
+        if n < FUZZY_LENGTH:
+            return False
+        if any((m, word[: m // 2]) in self.heads or (m, word[m // 2 - m :]) in self.tails for m in (n - 1, n, n + 1)):
+            return True
+        return self._exact(word[: h - 1] + word[h] + word[h - 1] + word[h + 1 :])[0] == 3  # a swap across the halves
+
+    def _near_twice(self, word: str) -> bool:
         n = len(word)
-        return n >= FUZZY_LENGTH and any((m, word[: m // 2]) in self.heads or (m, word[m // 2 - m :]) in self.tails for m in (n - 1, n, n + 1))
-
-    def _fuzzy(self, node: dict, word: str, at: int, edits: int, depth: int) -> float:
-        """The best gain within one edit. The automaton's state is (at, edits); it walks the trie from node."""
+        if n < LONG_LENGTH - 2 or not self.thirds:
+            return False
+        for m in range(n - 2, n + 3):
+            t, last = m // 3, m - 2 * (m // 3)
+            if (m, 0, word[:t]) in self.thirds or (m, 2, word[-last:]) in self.thirds or any((m, 1, word[t + k : 2 * t + k]) in self.thirds for k in range(-2, 3)):
+                return True
+        return False
+
+    def _fuzzy(self, node: dict, word: str, at: int, edits: int, depth: int, most: int) -> float:
+        """The best gain within so many edits (a swap is one, where only one is allowed). The automaton's state is (at, edits); it walks the trie from node."""
         n = len(word)
-        best = node["$end"] if "$end" in node and depth >= FUZZY_LENGTH and n - at + edits <= 1 else 0.0
+        long_enough = depth >= (FUZZY_LENGTH if most == 1 else LONG_LENGTH)
+        best = node["$end"] if "$end" in node and long_enough and n - at + edits <= most else 0.0
         if at < n and (child := node.get(word[at])) is not None:
-            best = max(best, self._fuzzy(child, word, at + 1, edits, depth + 1))
-        if edits:
+            best = max(best, self._fuzzy(child, word, at + 1, edits, depth + 1, most))
+        if edits == most:
             return best
         if at < n:
-            best = max(best, self._fuzzy(node, word, at + 1, 1, depth))
+            best = max(best, self._fuzzy(node, word, at + 1, edits + 1, depth, most))
         for c, child in node.items():
             if len(c) == 1:
                 if at < n and c != word[at]:
-                    best = max(best, self._fuzzy(child, word, at + 1, 1, depth + 1))
-                best = max(best, self._fuzzy(child, word, at, 1, depth + 1))
+                    best = max(best, self._fuzzy(child, word, at + 1, edits + 1, depth + 1, most))
+                best = max(best, self._fuzzy(child, word, at, edits + 1, depth + 1, most))
+        if most == 1 and at + 1 < n and (child := node.get(word[at + 1], {}).get(word[at])) is not None:
+            best = max(best, self._fuzzy(child, word, at + 2, edits + 1, depth + 2, most))
         return best
 
 
+def thirds(text: str, m: int) -> tuple[str, str, str]:
+    return text[: m // 3], text[m // 3 : 2 * (m // 3)], text[2 * (m // 3) :]
+
+
 def quoted_spans(text: str) -> list[tuple[int, int]]:
     """Places between quotation marks on one line."""
     spans, start, closer = [], -1, ""
@@ -145,11 +170,11 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the rows learnt from; the ids sent to all executors are at most MOST_TOXIC + MOST_CLEAN."""
+    """text, toxic of the rows learnt from, one for each id; the ids sent to all executors are at most MOST_TOXIC + MOST_CLEAN."""
     known = labels.where(in_train(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda x, n: known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(1, MOST_TOXIC).unionByName(pick(0, MOST_CLEAN))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
 def learn_terms(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -159,8 +184,8 @@ def learn_terms(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         counts: Counter = Counter()
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {w for w in TOKEN.findall((text or "").lower()) if len(w) <= 40}
-                counts.update((w, toxic) for w in found if len(w) >= 3)
+                found = {w for w in TOKEN.findall((text or "").lower()) if len(w) <= LONGEST}
+                counts.update((w, toxic) for w in found if len(w) >= SHORTEST)
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([counts[k] if k[1] else 0 for k in keys], pa.int64()), pa.array([0 if k[1] else counts[k] for k in keys], pa.int64())], names=["w", "t", "c"])
 
@@ -219,7 +244,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """doc_id, held_out, score, predicted and hits (how many lexicon hits) of each document.
 
     docs: doc_id, text; labels: doc_id, toxic, learnt from only where held_out is false, on at most MOST_TOXIC and
-    MOST_CLEAN rows; other columns are not read. Null and empty texts score as texts without hits. A doc_id
+    MOST_CLEAN rows, one for each doc_id; other columns are not read. The lexicon holds at most MOST_TERMS terms and as
+    many stems, of words of SHORTEST to LONGEST letters. Null and empty texts score as texts without hits. A doc_id
     labelled twice counts as toxic if either label is 1; null labels are not learnt from. Without labels of both
     classes every score is the share of toxic labels (0 without any). Repeated rows each give a row.
     """

@@ -4,30 +4,45 @@ import zlib
 from gradecube.llm import toxicity as T
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
+def edits(a, b, swaps=False):
+    """Edit distance; with swaps, two letters side by side may change places as one edit."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
+        row = [i]
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if swaps and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def test_automaton_matches_edit_distance():
     rnd = random.Random(2)
-    terms = {"".join(rnd.choices("abc", k=rnd.randint(5, 8))): float(k + 1) for k in range(30)}
+    terms = {"".join(rnd.choices("abcd", k=rnd.choice([3, 5, 6, 7, 8, 10, 11, 12]))): float(k + 1) for k in range(40)}
     lexicon = T.Lexicon(terms, {})
-    for _ in range(2000):
-        w = "".join(rnd.choices("abc", k=rnd.randint(5, 9)))
-        if T.RUNS.search(w):
+    kinds = set()
+    for k in range(4000):
+        w = list(rnd.choice(list(terms))) if k % 2 else rnd.choices("abcd", k=rnd.randint(3, 13))
+        for _ in range(rnd.randint(0, 3) if k % 2 else 0):
+            j = rnd.randrange(max(1, len(w) - 1))
+            if len(w) < 2:
+                break
+            w[j : j + 2] = rnd.choice([[w[j + 1], w[j]], [w[j]], [w[j], "a", w[j + 1]], ["d", w[j + 1]]])
+        w = "".join(w)
+        if T.RUNS.search(w) or len(w) < 3:
             continue
-        want = (3, terms[w]) if w in terms else max(((1, g) for t, g in terms.items() if edits(w, t) <= 1), default=(0, 0.0))
+        one = max((g for t, g in terms.items() if min(len(t), len(w)) >= T.FUZZY_LENGTH and edits(w, t, True) <= 1), default=0.0)
+        two = max((g for t, g in terms.items() if len(t) >= T.LONG_LENGTH and edits(w, t) <= 2), default=0.0)
+        want = (3, terms[w]) if w in terms else (1, one or two) if one or two else (0, 0.0)
         assert lexicon.find(w) == want, w
+        kinds.add((want[0], bool(one)))
+    assert kinds >= {(3, True), (1, True), (1, False), (0, False)}
 
 
 def test_spelling_and_context():
     lexicon = T.Lexicon({"idiot": 5.0}, {"lowei": 4.0})
-    assert lexicon.find("1d10t") == (1, 5.0) and lexicon.find("idiooot") == (1, 5.0) and lexicon.find("idoit") == (0, 0.0)
+    assert lexicon.find("1d10t") == (1, 5.0) and lexicon.find("idiooot") == (1, 5.0) and lexicon.find("idoit") == (1, 5.0)
     assert lexicon.find("loweigen") == (2, 4.0) and lexicon.find("lowei") == (2, 4.0)
     plain, quoted, said, you = (T.features(x, lexicon)[0] for x in ("an idiot here", 'an "idiot" here', "he said idiot here", "you idiot here"))
     assert you > plain > said > quoted > 0
