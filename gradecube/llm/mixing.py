@@ -22,7 +22,8 @@ MOST_ROWS = 4000
 #: Words whose presence tells domains apart, at most; they need this many labelled documents of one domain.
 #: and a share of its documents this many times that of any other domain.
 MOST_WORDS, LEAST_SUPPORT, LEAST_RATIO = 150, 8, 4.0
-STEPS, STORE_EVERY, PULL = 24, 12, 1e-3
+#: The descent ends when a step moves no domain's share of the tokens by more than TOLERANCE, or after MOST_STEPS.
+MOST_STEPS, TOLERANCE, STORE_EVERY, PULL = 96, 1e-6, 12, 1e-3
 SYMBOLS, CAPITALS, ENDS = r"[#*$%&|<>@=+/\\_~^]", "[A-Z]", "[!?]"
 #: Tokens are parted by blanks and these marks.
 GAP = r"[\x20\x09-\x0D.,;:!?()\"]+"
@@ -162,27 +163,30 @@ def solve(kinds: DataFrame, targets: list[float]) -> list[list[float]]:
     history: list[list[float]] = []
     state = stored(kinds.select("p", "tokens", F.lit(1.0).alias("r"), F.lit(1.0).alias("y")))
     recent: list[list[float]] = []
-    t = 1.0
-    for k in range(STEPS):
+    t, before = 1.0, None
+    for _ in range(MOST_STEPS):
         _, y = rate(recent, F.col("p"), (F.col("r"), F.col("y")))
         sums = state.select("tokens", "p", y.alias("y")).agg(*[F.sum(F.col("y") * F.col("tokens") * F.get("p", j)) for j in range(size)]).first()
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        step = [*map(float, weigh @ (np.array([float(x) for x in sums]) / total - goal)), (t - 1) / after]
+        shares = np.array([float(x) for x in sums]) / total
+        if before is not None and np.abs(shares - before).max() <= TOLERANCE:
+            break
+        before = shares
+        step = [*map(float, weigh @ (shares - goal)), (t - 1) / after]
         t = after
         history.append(step)
         recent.append(step)
-        if len(recent) == STORE_EVERY and k + 1 < STEPS:
+        if len(recent) == STORE_EVERY:
             r, y = rate(recent, F.col("p"), (F.col("r"), F.col("y")))
             state = stored(state.select("p", "tokens", r.alias("r"), y.alias("y")))
             recent = []
     return history
 
 
-def fit(docs: DataFrame, domains: DataFrame, targets: dict[str, float]) -> tuple[Mix, DataFrame]:
-    """What was learnt, and doc_id, source, n_tokens, p of each document."""
+def fit(docs: DataFrame, domains: DataFrame, targets: dict[str, float], keep: list[str]) -> tuple[Mix, DataFrame]:
+    """What was learnt, and the columns keep, n_tokens, p of each document, stored."""
     names = sorted(targets)
     mix = learn(docs, domains, names)
-    keep = [c for c in ("doc_id", "source") if c in docs.columns]
     rows = stored(with_posteriors(featured(docs, mix.lexicon, keep), mix).select(*keep, "n_tokens", "p"))
     kinds = rows.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("tokens"))
     mix.history = solve(kinds, [targets[d] for d in names])
@@ -205,8 +209,10 @@ def mixing(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None
     unit. Other columns are not read; labels of other domains count for nothing. Null and empty texts have no
     tokens, a posterior from that, and a rate that moves no total. Without labels all posteriors are alike. Targets
     out of reach are met as nearly as nonnegative rates allow. Repeated rows each give a row; empty tables none.
+    The classifier has bounds of its own: it learns from at most MOST_ROWS labelled rows a domain, and counts up to
+    HITS - 1 of each domain's words, of which it knows MOST_WORDS in all.
     """
-    mix, rows = fit(docs, domains, TARGETS if targets is None else targets)
+    mix, rows = fit(docs, domains, TARGETS if targets is None else targets, [c for c in ("doc_id", "source") if c in docs.columns])
     return finished(rows, mix)
 
 
@@ -217,13 +223,19 @@ def copies(rate: Column, doc_id: Column, seed: str = "mix") -> Column:
 
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs with rate and copies beside their columns, without the documents that get no copy."""
-    mix, _ = fit(docs, domains, TARGETS if targets is None else targets)
-    keep = [c for c in docs.columns if c not in ("rate", "copies")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "text", "doc_id")
-    rows = with_posteriors(featured(packed, mix.lexicon, ["_row", "doc_id"]), mix, "_p")
-    r, _ = rate(mix.history, F.col("_p"))
-    # a column that is not deterministic keeps the filter below from being unfolded into every step of the rate
-    r = r + 0.0 * F.monotonically_increasing_id()
-    out = rows.select("_row.*", r.alias("rate")).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
-    return out.where("copies > 0")
+    """docs with rate and copies beside their columns, without the documents that get no copy.
+
+    Columns pass unchanged; where docs has a column rate or copies, the new one's name ends in an underscore. Null and
+    empty texts have a rate like others and move no total; a null doc_id draws like any one id, so all rows without one
+    round alike, as do repeated rows. Empty tables give no rows.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "doc_id")
+    mix, rows = fit(packed, domains, TARGETS if targets is None else targets, ["_row", "doc_id"])
+    r, _ = rate(mix.history, F.col("p"))
+    names = {}
+    for name in ("rate", "copies"):
+        names[name] = name
+        while names[name] in docs.columns:
+            names[name] += "_"
+    out = rows.select("_row", "doc_id", r.alias("_rate")).withColumn("_copies", copies(F.col("_rate"), F.col("doc_id")))
+    return out.where("_copies > 0").select("_row.*", F.col("_rate").alias(names["rate"]), F.col("_copies").alias(names["copies"]))

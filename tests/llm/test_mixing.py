@@ -35,7 +35,7 @@ def solved(rows, targets):
 def test_totals_and_rates(spark, targets):
     docs, labels = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string, source string, rate double")
-    mix, rows = M.fit(d, M.domain_of(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), targets)
+    mix, rows = M.fit(d, M.domain_of(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), targets, ["doc_id"])
     got = sorted(rows.withColumn("rate", M.rate(mix.history, F.col("p"))[0]).collect(), key=lambda r: r.doc_id)
     want = solved(got, [targets[k] for k in mix.domains])
     assert all(r.rate >= 0 for r in got) and np.allclose([r.rate for r in got], want, atol=0.02)
@@ -55,7 +55,9 @@ def test_odd_rows(spark):
     out = M.mixing(d, domains).collect()
     assert len(out) == len(docs) and all(r.rate >= 0 and abs(r.p_clean + r.p_junk + r.p_toxic - 1) < 1e-5 for r in out)
     took = M.mixed(d, domains)
-    assert took.columns == ["doc_id", "text", "source", "rate", "copies"] and all(r.copies > 0 for r in took.collect())
+    assert took.columns == ["doc_id", "text", "source", "rate", "rate_", "copies"] and all(r.copies > 0 for r in took.collect())
+    own = {(i, t, s, x) for i, t, s, x in docs}
+    assert {(r.doc_id, r.text, r.source, r["rate"]) for r in took.collect()} <= own
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(abs(r.rate - 1) < 1e-4 for r in M.mixing(d, M.domain_of(none)).collect())
     assert M.mixing(d.limit(0), domains).count() == 0
