@@ -14,30 +14,51 @@ from gradecube.llm.queries import KEY
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose Kneser-Ney perplexity is under the limit of their language; the others go."""
+    """Documents whose Kneser-Ney perplexity is under the limit of their language; the others go.
+
+    Null and empty texts go. The verdict depends on text and lang alone, so repeated rows and ties share it. Without
+    labelled rows all documents with a text stay; empty tables give no rows.
+    """
     return quality_lm.kept_only(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: that with the least doc_id."""
+    """One document of each group of SimHash near-duplicates: that with the least doc_id.
+
+    Rows without a doc_id come last, of equal rows one stays; null and empty texts are alike. Empty tables give no rows.
+    """
     return simhash.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of the benchmark.
+
+    The verdict depends on the text alone: documents that share a doc_id, or have none, go only for their own text.
+    Null and empty texts stay, repeated rows go together. An empty benchmark leaves all; empty tables give no rows.
+    """
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    found = decontamination.decontaminate(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     leaks = stored(found.select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest.alias("_digest"))
+    return marked.join(leaks, F.col("_digest") == F.col("_leak"), "left_anti").select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates in place of personal data; n_chars follows the new text."""
+    """All documents, with surrogates in place of personal data; n_chars follows the new text.
+
+    Null texts stay null, with a null n_chars, and empty ones empty; repeated rows get equal texts. Empty tables give
+    no rows.
+    """
     out = pii.pseudonymised(docs, KEY, only_text=True)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their rate and number of copies; those drawn no copy go."""
+    """The documents with their rate and number of copies; those drawn no copy go.
+
+    Null and empty texts have rates too; repeated rows, and all rows without a doc_id, round alike. Without labelled
+    rows all rates are one. Empty tables give no rows.
+    """
     return mixing.mixed(docs, mixing.domain_of(table(spark, sf_dir, "labels")))
 
 
