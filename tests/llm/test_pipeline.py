@@ -34,3 +34,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert last and all(r.copies > 0 for r in last) and {r.doc_id for r in last} <= set(fourth)
     whole = C.run(spark, sf)
     assert {r.doc_id: r.text for r in whole.collect()}.items() <= {k: r.text for k, r in fourth.items()}.items()
+
+
+def test_empty_tables_and_odd_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kind in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
+    item = " ".join(f"word{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"before {item} after", "en", "a", 1), (None, "clean text", "en", "a", 1), (7, item, "en", "a", 1), (7, "other text", None, None, None), (8, None, "en", "a", 0)]
+    out = C.benchmark_decontamination(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+    assert sorted(str(r.text) for r in out.collect()) == ["None", "clean text", "other text"]
