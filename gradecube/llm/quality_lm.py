@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ORDER = 5
+ORDER = 4
 #: What stands before the start of a text.
 START = "\x02"
 #: At most so many n-grams are sent to the executors.
-HEAD = 1 << 18
+HEAD = 1 << 16
 #: Documents above this quantile of the trusted documents' perplexity in their language, times the margin, go.
 QUANTILE, MARGIN = 0.99, 1.05
 #: A text goes only if its perplexity is so many standard errors above the limit.
@@ -155,13 +155,13 @@ def head_of(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if held + r.n > most:
             break
         held, low = held + r.n, r.s
-    rows = [] if low is None else grams.where(step >= low).select("g", "p").collect()  # at most `most`
-    if not rows:
+    if low is None:
         return np.zeros(0, np.uint64), np.zeros(0)
-    x = np.frombuffer("".join(r.g for r in rows).encode("utf-32-le"), dtype="<u4")
+    rows = grams.where(step >= low).select("g", "p").toArrow()  # at most `most`
+    x = np.frombuffer("".join(rows["g"].to_pylist()).encode("utf-32-le"), dtype="<u4")
     h = gram_hashes(x)[::ORDER]
     order = np.argsort(h)
-    return h[order], -np.log(np.array([r.p for r in rows]))[order]
+    return h[order], -np.log(rows["p"].to_numpy())[order]
 
 
 def summed(texts: DataFrame, head: Broadcast) -> DataFrame:
