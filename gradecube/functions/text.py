@@ -127,7 +127,7 @@ def _any_of(text: Column, terms: list[str]) -> Column:
 def extracted_json(text: Column) -> Column:
     """The first JSON value a reply holds, as variant: all of it, a fenced part, from "[" to "]", from "{" to "}"."""
     t = F.trim(text)
-    fenced = F.transform(F.slice(F.split(t, "```"), 2, 1000), lambda x: F.try_parse_json(F.regexp_replace(F.trim(x), "^(json|JSON)", "")))
+    fenced = F.transform(F.filter(F.split(t, "```"), lambda _, k: k > 0), lambda x: F.try_parse_json(F.regexp_replace(F.trim(x), "^(json|JSON)", "")))
     def between(left: str, right: str) -> Column:
         a, b = F.instr(t, left), F.length(t) - F.instr(F.reverse(t), right) + 1
         return F.when((a > 0) & (F.instr(t, right) > 0) & (b > a), F.try_parse_json(F.substr(t, a, b - a + 1)))

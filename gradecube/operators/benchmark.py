@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special, stats
@@ -13,7 +13,7 @@ from .scores import BASE, peer_cells, peer_stats, rank_by
 
 def graded(answers: DataFrame, gold: DataFrame) -> DataFrame:
     """Each answer with its extracted number and whether it is right; questions without a gold answer drop out."""
-    g = F.broadcast(gold.where(F.col("gold_num").isNotNull()).select("q_ord", "gold_num"))
+    g = gold.where(F.col("gold_num").isNotNull()).select("q_ord", "gold_num")
     return answers.join(g, "q_ord").withColumn("extracted", model_answer(F.col("text"))).withColumn("correct", numbers_match(F.col("extracted"), F.col("gold_num")))
 
 
@@ -63,6 +63,25 @@ def correlated_with_p(c: DataFrame) -> DataFrame:
     return r.select("n", "pearson", special.pearson_p("pearson", F.col("n").cast("double")).alias("pearson_p"), "spearman", special.pearson_p("spearman", F.col("n").cast("double")).alias("spearman_p"))
 
 
+def fit_quality(c: DataFrame) -> DataFrame:
+    """The share of the truth's variance that the line on peer scores explains, and what the report concludes from it."""
+    r = correlation(c, "peer", "truth").join(c.agg(F.count_distinct("truth").alias("truths")), how="cross")  # one row each
+    p = special.pearson_p("pearson", F.col("n").cast("double"))
+    return r.select("n", "pearson", F.round(F.col("pearson") * F.col("pearson"), 6).alias("r2"), conclusion(F.col("pearson"), p, F.col("truths")).alias("conclusion"))
+
+
+def conclusion(r: Column, p: Column, truths: Column) -> Column:
+    """What a validation report says of a correlation, its p-value and the number of different accuracies."""
+    sure = p < 0.05
+    return F.when((r >= 0.7) & sure, "strongly correlates").when((r >= 0.5) & sure, "moderate correlation").when(truths == 1, "cannot determine").otherwise("weak/no correlation")
+
+
+def misjudged(c: DataFrame) -> DataFrame:
+    """The models that peers rank furthest above and below their accuracy."""
+    first = lambda sign: F.max_by("model", F.struct(sign * F.col("rank_diff"), -F.col("model_ord")))
+    return c.agg(first(-1.0).alias("over_rated"), F.min("rank_diff").cast("double").alias("over_diff"), first(1.0).alias("under_rated"), F.max("rank_diff").cast("double").alias("under_diff"))
+
+
 def rank_agreement(c: DataFrame) -> DataFrame:
     d = F.abs("rank_diff")
     return c.agg(F.count("*").alias("n"), F.count_if(d < 0.5).alias("exact"), F.count_if(d <= 1.5).alias("within_1"), F.round(F.avg(d), 4).alias("mean_diff"), F.max(d).cast("double").alias("max_diff"), F.round(F.avg("accuracy"), 4).alias("mean_accuracy"), F.round(F.stddev_pop("accuracy"), 4).alias("sd_accuracy"), F.round(F.max("accuracy") - F.min("accuracy"), 4).alias("range_accuracy"))

@@ -56,7 +56,7 @@ def efficiency(peer: DataFrame, answers: DataFrame, models: DataFrame, exponent:
 
 def estimated_input(answers: DataFrame, questions: DataFrame, web: bool = False) -> DataFrame:
     """Mean estimated input tokens over the questions a model answered: a quarter of the characters, 50, and 2000 with a search."""
-    q = F.broadcast(questions.select("q_ord", "question"))
+    q = questions.select("q_ord", "question")
     tokens = estimated_tokens(F.col("question")) + 50 + (2000 if web else 0)
     return answers.where(F.trim("text") != "").join(q, "q_ord").groupBy("model").agg(F.floor(F.avg(tokens)).cast("long").alias("tokens"))
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .scores import is_peer
 
 START, K, SCALE, SEED = 1500.0, 32.0, 400.0, 42
+#: In list order shuffled by Python, a mode may have at most so many matches: they are held in one task.
+MOST_DRAWN = 10_000_000
 
 
 def matches(cube: DataFrame, seed: int = SEED) -> DataFrame:
@@ -61,6 +63,13 @@ def ratings(m: DataFrame, start: float = START, k: float = K) -> DataFrame:
     return dealt.mapInArrow(run, "mode string, model_ord int, elo long, rating double")
 
 
+def standings(m: DataFrame, roster: DataFrame) -> DataFrame:
+    """rank, model, elo, win_rate and the tally W-L-T of each model of the matches of one mode."""
+    t = tallies(m).join(ratings(m), ["mode", "model_ord"]).join(roster.select("model", "model_ord"), "model_ord")
+    rank = F.row_number().over(Window.orderBy(F.desc("elo"), "model_ord")).cast("long")
+    return t.select(rank.alias("rank"), "model", "elo", F.round("win_rate", 1).alias("win_rate"), F.concat_ws("-", "wins", "losses", "ties").alias("tally"))
+
+
 def against_peer(elo: DataFrame, peer: DataFrame) -> DataFrame:
     """Elo beside peer rank; peer has model, model_ord, peer. Models that miss one have 0 there."""
     j = peer.join(elo.select("model_ord", "elo"), "model_ord", "left").na.fill(0, ["elo"])
@@ -72,9 +81,12 @@ def against_peer(elo: DataFrame, peer: DataFrame) -> DataFrame:
 def ratings_in_drawn_order(cube: DataFrame, seed: int | None = SEED, start: float = START, k: float = K) -> DataFrame:
     """As ratings(), with the matches of a mode in list order shuffled by Python's generator; no shuffle for seed None.
 
-    For parity with single-process runs: a mode's matches are held in one task, some 40 bytes each, so this is for
-    cubes whose matches fit there; ratings() has no such bound.
+    For parity with single-process runs: a mode's matches are held in one task, so more than MOST_DRAWN of a mode are
+    refused; ratings() has no such bound.
     """
+    m = matches(cube)
+    if m.groupBy("mode").count().where(F.col("count") > MOST_DRAWN).head(1):
+        raise ValueError(f"a mode has over {MOST_DRAWN} matches; use ratings()")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict = {}
@@ -91,4 +103,4 @@ def ratings_in_drawn_order(cube: DataFrame, seed: int | None = SEED, start: floa
             out += [(g, i, r) for i, r in table.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([round(x[2]) for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["mode", "model_ord", "elo", "rating"])
 
-    return matches(cube).repartition("mode").sortWithinPartitions("mode", "evaluator_ord", "q_ord", "a", "b").mapInArrow(run, "mode string, model_ord int, elo long, rating double")
+    return m.repartition("mode").sortWithinPartitions("mode", "evaluator_ord", "q_ord", "a", "b").mapInArrow(run, "mode string, model_ord int, elo long, rating double")

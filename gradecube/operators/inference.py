@@ -12,7 +12,7 @@ LEAST = 3
 
 
 def with_source(cube: DataFrame, questions: DataFrame, mode: str = BASE) -> DataFrame:
-    return peer_cells(cube, mode).join(F.broadcast(questions.select("question", "source_model")), "question")
+    return peer_cells(cube, mode).join(questions.select("question", "source_model"), "question")
 
 
 def home_advantage(cube: DataFrame, questions: DataFrame) -> DataFrame:
@@ -68,7 +68,10 @@ def kruskal(cube: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def mid_rank(x: Column, *parts: str) -> Column:
-    """Rank from the highest value down; ties share the mean of their places."""
+    """Rank from the highest value down; ties share the mean of their places.
+
+    Without parts all rows are ranked in one task, so this is for tables of one row a model.
+    """
     return F.rank().over(Window.partitionBy(*parts).orderBy(x.desc())) + (F.count("*").over(Window.partitionBy(*parts, x)) - 1) / 2.0
 
 

@@ -13,17 +13,15 @@ def key(*parts: Column | str, seed: int = SEED) -> Column:
 
 
 def filled_quotas(available: dict[str, int], target: int) -> dict[str, int]:
-    """Even shares, with what small strata leave handed round again until the target or the end is reached."""
-    taken = dict.fromkeys(available, 0)
-    left = min(target, sum(available.values()))
-    while left:
-        open_ = [s for s in available if available[s] > taken[s]]
-        share = max(1, left // len(open_))
-        for s in open_:
-            n = min(share, available[s] - taken[s], left)
-            taken[s] += n
-            left -= n
-    return taken
+    """Quotas as water fills vessels: the highest whole level whose volume is within the target, the rest to the first strata above it."""
+    volume = lambda level: sum(min(n, level) for n in available.values())
+    low, high = 0, max(available.values(), default=0)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if volume(middle) <= target else (low, middle - 1)
+    deeper = [s for s, n in available.items() if n > low]
+    extra = set(deeper[: max(0, target - volume(low))])
+    return {s: min(n, low) + (s in extra) for s, n in available.items()}
 
 
 def even_quotas(available: dict[str, int], target: int) -> dict[str, int]:

@@ -100,7 +100,7 @@ def cross_matrix(cube: DataFrame, mode: str = BASE) -> DataFrame:
 
 def category_rankings(cube: DataFrame, questions: DataFrame, roster: DataFrame, mode: str = BASE) -> DataFrame:
     """Rank and mean of every roster model in each category and overall; 0 without scores."""
-    cells = peer_cells(cube, mode).join(F.broadcast(questions.select("question", "category")), "question", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
+    cells = peer_cells(cube, mode).join(questions.select("question", "category"), "question", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
     means = cells.groupingSets([("model", "category"), ("model",)], "model", "category").agg(F.avg("score").alias("score"), F.grouping("category").alias("g"))
     means = means.select("model", F.when(F.col("g") == 1, "overall").otherwise(F.col("category")).alias("category"), "score")
     every = roster.select("model", "model_ord").join(F.broadcast(means.select("category").distinct()), how="cross")  # two small dimensions

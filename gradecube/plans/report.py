@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import agreement, inference, questions, scores
+from ..operators import agreement, benchmark, costs, elo, inference, questions, scores
 
 
 def table(df: DataFrame, right: tuple[str, ...] = ()) -> str:
@@ -17,25 +18,75 @@ def table(df: DataFrame, right: tuple[str, ...] = ()) -> str:
     return "\n".join([line(df.columns), rule, *map(line, rows)])
 
 
-def report(cube: DataFrame, qs: DataFrame, models: DataFrame) -> str:
+def report(cube: DataFrame, qs: DataFrame, models: DataFrame, answers: DataFrame | None = None, samples: DataFrame | None = None) -> str:
+    """The evaluation report; costs need answers (with q_ord, model, model_ord, in_tok, out_tok) and run times samples (model, seconds)."""
     stats = questions.question_stats(cube)
+    roster = cube.select("model", "model_ord").distinct()
     home = inference.home_advantage(cube, qs)
+    outcomes = elo.matches(cube.where(F.col("mode") == scores.BASE))
     parts = [
         ("Peer rankings", scores.peer_rankings(cube).orderBy("rank")),
+        ("Rankings by category", scores.category_rankings(cube, qs, roster)),
+        ("Question coverage", scores.coverage(qs)),
+        ("Elo", elo.standings(outcomes, roster).orderBy("rank")),
+        ("Self bias", scores.self_bias(cube)),
         ("Judge generosity", scores.judge_generosity(cube).orderBy("rank")),
         ("Position bias", scores.position_bias(cube).orderBy("position")),
         ("Judge agreement", agreement.extremes(cube)),
         ("Providers", inference.provider_means(cube, models).orderBy("provider")),
+        ("Differences between providers", inference.kruskal(cube, models)),
         ("Home advantage", home.orderBy("model")),
+        ("Home advantage in all", inference.home_summary(home)),
         ("Hardest questions", questions.top(stats, "mean", False)),
+        ("Easiest questions", questions.top(stats, "mean", True)),
         ("Most disputed questions", questions.top(stats, "sd", True)),
+        ("Most agreed questions", questions.top(stats, "sd", False)),
     ]
+    if answers is not None:
+        parts.append(("Costs", costs.cost_table(answers, models)))
+        parts.append(("Efficiency", costs.efficiency(scores.peer_stats(cube).select("model", "model_ord", "peer"), answers, models)))
+    if samples is not None:
+        parts.append(("Run times", costs.timing(samples).orderBy("model")))
     return "\n\n".join(f"## {title}\n\n{table(df)}" for title, df in parts) + "\n"
 
 
-def parsed_table(df: DataFrame) -> list[list[str]]:
-    """The cells of the first table of a report read as text lines (column value)."""
-    from pyspark.sql import functions as F
+def validation_report(cube: DataFrame, accuracies: DataFrame, name: str) -> str:
+    """How peer scores agree with a benchmark of known answers; accuracies as benchmark.accuracy() gives them."""
+    c = benchmark.comparison(cube, accuracies)
+    parts = [
+        ("Scores and ranks", benchmark.shown(c).orderBy("peer_rank")),
+        ("Accuracy", accuracies.select("model", "correct", "total", "accuracy").orderBy(F.desc("accuracy"), "model")),
+        ("Accuracy intervals", benchmark.accuracy_intervals(accuracies).orderBy("model")),
+        ("Peer score intervals", benchmark.score_intervals(cube).orderBy("model")),
+        ("Correlation", benchmark.correlated(c)),
+        ("Significance", benchmark.correlated_with_p(c)),
+        ("Rank agreement", benchmark.rank_agreement(c)),
+        ("Over- and under-rated", benchmark.misjudged(c)),
+        ("Ablation", benchmark.ablation(cube, accuracies)),
+        ("Conclusion", benchmark.fit_quality(c)),
+    ]
+    return f"# {name}\n\n" + "\n\n".join(f"## {title}\n\n{table(df)}" for title, df in parts) + "\n"
+
+
+def parsed_table(df: DataFrame, names: tuple[str, ...] = ()) -> list[list[str]]:
+    """The cells of the first table whose header holds the names, from a report read as text lines (column value).
+
+    The table ends at its first line that is none of its own; a report is a small file, which one task reads in order.
+    """
+    out: list[list[str]] = []
+    for r in df.select("value", F.monotonically_increasing_id().alias("k")).orderBy("k").select("value").collect():
+        line = (r.value or "").strip()
+        if not line.startswith("|"):
+            if out:
+                break
+            continue
+        cells = [c.strip() for c in line.strip("|").split("|")]
+        if (out and set(line) <= set("|-: ")) or (not out and not all(any(n in c for c in cells) for n in names)):
+            continue
+        out.append([c for c in cells if c])
+    return out
+
 
-    cells = F.filter(F.transform(F.split("value", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    return [r.c for r in df.where(F.ltrim("value").startswith("|") & ~F.col("value").rlike(r"^\|[-:|]+\|$")).select(cells.alias("c")).collect()]
+def ranked_score(cell: Column) -> Column:
+    """The score of a cell such as "1 (8.72)"; null without one."""
+    return F.regexp_extract(cell, r"\(([0-9.]+)\)", 1).try_cast("double")

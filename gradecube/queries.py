@@ -223,7 +223,25 @@ def elo_win_rates(s, d):
     return elo.tallies(elo.matches(fx.scores(s, d))).select("mode", "model_ord", "win_rate")
 
 
-@query()
+#: The fold as a recursion over the matches of each mode in order; a state is the list of all ratings.
+FOLD = MATCHES.replace("wl AS", "mk AS MATERIALIZED (SELECT mode, a, b, outcome, row_number() OVER (PARTITION BY mode ORDER BY ord) AS k FROM mt),\nwl AS") + """, el AS (SELECT mode, 0::bigint AS k, list_transform(range(0, 12), lambda i: 1500.0::double) AS r FROM (SELECT DISTINCT mode FROM mk)
+  UNION ALL SELECT el.mode, mk.k, list_transform(range(0, 12), lambda i: CASE i WHEN mk.a THEN r[i + 1] + 32.0::double * (outcome - 1 / (1 + pow(10::double, (r[mk.b + 1] - r[i + 1]) / 400.0::double)))
+    WHEN mk.b THEN r[i + 1] + 32.0::double * (1 / (1 + pow(10::double, (r[i + 1] - r[mk.a + 1]) / 400.0::double)) - outcome) ELSE r[i + 1] END) AS r FROM el JOIN mk ON el.mode = mk.mode AND mk.k = el.k + 1),
+rt AS (SELECT mode, model_ord, rating, round_even(rating, 0)::bigint AS elo FROM (SELECT mode, unnest(range(0, 12))::int AS model_ord, unnest(r) AS rating FROM (SELECT mode, arg_max(r, k) AS r FROM el GROUP BY 1)) SEMI JOIN wl USING (mode, model_ord))
+"""
+
+
+def fold_sql(rest: str) -> str:
+    """Full SQL that may read rt, the ratings after the fold."""
+    return (fx.SQL + FOLD).replace("WITH ", "WITH RECURSIVE ", 1) + rest
+
+
+VERSUS = STATS + """, ev AS (SELECT model, model_ord, coalesce(elo, 0) AS elo, peer FROM st LEFT JOIN (SELECT * FROM rt WHERE mode = 'shuffle_blind') USING (model_ord) WHERE n > 0),
+vs AS (SELECT model, elo, round(peer, 4) AS peer, row_number() OVER (ORDER BY peer DESC, model_ord) AS peer_rank, row_number() OVER (ORDER BY elo DESC, model_ord) AS elo_rank FROM ev)
+"""
+
+
+@query(fold_sql("SELECT mode, model_ord, elo, round(rating, 6) AS rating FROM rt"), tables=False)
 def elo_ratings(s, d):
     return elo.ratings(elo.matches(fx.scores(s, d))).select("mode", "model_ord", "elo", F.round("rating", 6).alias("rating"))
 
@@ -239,12 +257,16 @@ def _elo_and_peer(s, d):
     return elo.against_peer(base, scores.peer_stats(cube).select("model", "model_ord", "peer"))
 
 
-@query()
+@query(fold_sql(VERSUS + "SELECT model, elo, peer, peer_rank, elo_rank, peer_rank - elo_rank AS rank_diff FROM vs"), tables=False)
 def elo_vs_peer(s, d):
     return _elo_and_peer(s, d)
 
 
-@query()
+def _elo_correlation_sql() -> str:
+    return fold_sql(VERSUS + RANKED.format("SELECT peer AS x, elo::double AS y FROM vs") + CORR)
+
+
+@query(fold_sql(""), tables=False)
 def elo_peer_correlation(s, d):
     return inference.correlation(_elo_and_peer(s, d).withColumn("elo", F.col("elo").cast("double")), "peer", "elo")
 
@@ -323,6 +345,9 @@ CORR = f"""SELECT count(*) AS n, round({pearson_sql("x", "y")}, 6) AS pearson, r
 RANKED = ", rk AS (SELECT *, rank() OVER (ORDER BY x DESC) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y DESC) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM ({}))\n"
 
 
+ORACLE_SQL["elo_peer_correlation"] = _elo_correlation_sql()
+
+
 @query(GP + RANKED.format("SELECT given AS x, peer AS y FROM gp") + CORR)
 def generosity_vs_peer_ols(s, d):
     return inference.correlation(inference.generosity_and_peer(fx.scores(s, d)), "given", "peer")
@@ -541,6 +566,26 @@ def peer_truth_comparison(s, d):
     return benchmark.shown(_compared(s, d))
 
 
+@query(COMPARED + "SELECT arg_min(model, (rank_diff, model_ord)) AS over_rated, min(rank_diff)::double AS over_diff, arg_min(model, (-rank_diff, model_ord)) AS under_rated, max(rank_diff)::double AS under_diff FROM (SELECT *, peer_rank - truth_rank AS rank_diff FROM cp)")
+def over_and_under_rated(s, d):
+    return benchmark.misjudged(_compared(s, d))
+
+
+@query(PT + f", co AS ({CORR}) SELECT n, pearson, round(pearson * pearson, 6) AS r2 FROM co")
+def explained_variance(s, d):
+    return benchmark.fit_quality(_compared(s, d)).drop("conclusion")
+
+
+@query()
+def validation_conclusion(s, d):
+    return benchmark.fit_quality(_compared(s, d))
+
+
+@query(MATCHES + "SELECT mode, model_ord, concat_ws('-', wins, losses, ties) AS tally FROM wl")
+def elo_tally_text(s, d):
+    return elo.tallies(elo.matches(fx.scores(s, d))).select("mode", "model_ord", F.concat_ws("-", "wins", "losses", "ties").alias("tally"))
+
+
 @query(PT + f", co AS ({CORR}) SELECT n, pearson, spearman, CASE WHEN abs(pearson) >= 0.8 THEN 'strong' WHEN abs(pearson) >= 0.6 THEN 'moderate' WHEN abs(pearson) >= 0.4 THEN 'weak' ELSE 'very weak' END AS strength FROM co")
 def peer_truth_correlation(s, d):
     return benchmark.correlated(_compared(s, d))

@@ -207,9 +207,28 @@ def test_report(spark):
     qs = spark.createDataFrame([(f"q{k}", "cat", f"m{k % 5}") for k in range(8)], "question string, category string, source_model string")
     models = spark.createDataFrame([(f"m{k}", "P" if k % 2 else "Q") for k in range(5)], "name string, provider string")
     md = report.report(c, qs, models)
-    assert md.count("## ") == 8 and "| m3" in md
+    assert md.count("## ") == 16 and "| m3" in md and "## Elo" in md
     lines = spark.createDataFrame([(x,) for x in report.table(scores.peer_rankings(c)).split("\n")], "value string")
     assert report.parsed_table(lines)[0][:2] == ["rank", "model"]
+    text = "| a | b |\n|---|---|\n| 1 | 2 |\n\ntext\n| Model | Overall | x |\n|:--|--:|---|\n| m1 | 1 (8.72) |  |\n| m2 | 2 (7.5) | - |\nend\n| m3 | 9 |"
+    found = report.parsed_table(spark.createDataFrame([(x,) for x in text.split("\n")], "value string").coalesce(1), ("Model", "Overall"))
+    assert found == [["Model", "Overall", "x"], ["m1", "1 (8.72)"], ["m2", "2 (7.5)", "-"]]
+    cells = spark.createDataFrame([("1 (8.72)",), ("-",), (None,)], "c string")
+    assert [r[0] for r in cells.select(report.ranked_score(cells.c)).collect()] == [8.72, None, None]
+    acc = spark.createDataFrame([(f"m{k}", k, 5 + k, 10, 50.0 + 10 * k, 5.0 + k) for k in range(5)], "model string, model_ord int, correct long, total long, accuracy double, mean double")
+    md = report.validation_report(c, acc, "Test")
+    assert md.startswith("# Test") and md.count("## ") == 10 and "over_rated" in md
+
+
+def test_quotas_fill_like_water():
+    rnd = random.Random(3)
+    for _ in range(300):
+        available = {f"s{k}": rnd.randint(0, 9) for k in range(rnd.randint(0, 6))}
+        target = rnd.randint(0, 40)
+        got = sampling.filled_quotas(available, target)
+        assert sum(got.values()) == min(target, sum(available.values())) and all(got[s] <= n for s, n in available.items())
+        open_ = [q for s, q in got.items() if q < available[s]]
+        assert not open_ or max(got.values()) <= min(open_) + 1  # no stratum has two more than one that could take more
 
 
 def test_stream(spark, tmp_path):
