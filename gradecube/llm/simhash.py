@@ -196,8 +196,9 @@ BY_CHANCE = 4
 LEEWAY = 3
 #: Pairs just at the similarity are candidates with this probability at least, however many texts there are.
 RECALL = 0.95
-#: Buckets of at most this many texts are compared in one task, where texts first name so many of the nearest others.
-TASK_LIMIT, NEAREST = 2000, 4
+#: Buckets of at most this many texts are compared in one task, where they name all pairs up to so many a text, else the
+#: nearest others of each.
+TASK_LIMIT, MANY, NEAREST = 2000, 32, 4
 #: Larger buckets are parted by so many further bits at a time, in ways that keep this share of the pairs just at the
 #: similarity, up to so many times.
 SPLIT_BITS, SPLIT_RECALL, LEVELS = 8, 0.99, 3
@@ -359,8 +360,9 @@ def similar_links(fps: DataFrame, similarity: float, texts: Callable[[DataFrame]
     """Edges (a, b) that connect what pairs of candidates connect that are as similar as asked.
 
     First each text meets the least node of its bucket; this joins groups of copies however large, and settles buckets
-    of two. Left are buckets where other members are still apart. There each text names its nearest ones by fingerprint
-    among those it is not connected to, and then all of them, so that pairs already connected are never written out.
+    of two. Left are buckets where other members are still apart. There each text names those near it by fingerprint
+    that it is not connected to. A bucket with more than MANY such pairs a text names only the NEAREST ones of each and
+    comes again, with what is connected by then and a higher limit, until it has named all.
     Candidates whose wide fingerprints are near enough are settled by the shingles of their texts, which texts() gives
     as (node, text) for a table of nodes; without it the fingerprints decide. Pairs that differ in fewer bits than there
     are disjoint partitions are sure to be candidates.
@@ -375,15 +377,21 @@ def similar_links(fps: DataFrame, similarity: float, texts: Callable[[DataFrame]
     near = stored(verified(tried, fps, n_bits))
     known = stored(texts(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct())) if texts else None
     out = near if known is None else stored(alike(near, known, similarity, size))
-    for most in (NEAREST, None):
-        roots = stored(components(out))
-        open_, split = apart(crowd.select("key", "part", "node"), roots, fps, similarity)
-        named = stored(pairs(nearest(open_, split, fps, parts, n_bits, most), "a", "b").join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(named)
+    roots = stored(components(out))
+    rows, split = apart(crowd.select("key", "part", "node"), roots, fps, similarity)
+    most = MANY
+    while True:
+        met = stored(nearest(rows, split, fps, parts, n_bits, most))
+        named = stored(pairs(met.where("left IS NULL"), "a", "b").join(tried, ["a", "b"], "left_anti"))
         links = named if known is None else stored(alike(named, known, similarity, size))
         out = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
-    dropped(sizes)
-    return out
+        left = met.where("left IS NOT NULL").select(F.col("left").alias("key")).distinct()
+        if not left.head(1):
+            dropped(sizes)
+            return out
+        tried, most, roots = tried.unionByName(named), 4 * most, stored(components(out))
+        again = rows.join(left, "key").select("key", "part", "node").join(roots, "node", "left")
+        rows = opened(again.select("key", "part", "node", F.coalesce("root", "node").alias("root")))
 
 
 def opened(rows: DataFrame) -> DataFrame:
@@ -434,12 +442,14 @@ def subdivided(rows: DataFrame, fps: DataFrame, level: int, similarity: float) -
     return rows.join(fps, "node").select("key", "part", "node", "root", "fp").mapInArrow(run, "key long, part int, node long, root long")
 
 
-def nearest(rows: DataFrame, split: DataFrame, fps: DataFrame, parts: Parts, n_bits: int, most: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket and different roots within so many bits: the nearest ones of each text, or with most None all.
+def nearest(rows: DataFrame, split: DataFrame, fps: DataFrame, parts: Parts, n_bits: int, most: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different roots within so many bits; left is the key of a bucket that has more than most a text.
 
     A pair that meets in several buckets is written out in the first partition only, unless that bucket was parted.
     """
 
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.int64())])
+
     def met_before(part: int, fp: np.ndarray, parted: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), dtype=bool)
         for p in range(part if len(i) else 0):
@@ -447,26 +457,32 @@ def nearest(rows: DataFrame, split: DataFrame, fps: DataFrame, parts: Parts, n_b
             out |= (v[i] == v[k]) & ~parted[i, p]
         return out
 
-    def of_bucket(part: int, node: np.ndarray, root: np.ndarray, fp: np.ndarray, parted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(root: np.ndarray, fp: np.ndarray, nearest_only: bool) -> tuple[np.ndarray, np.ndarray]:
         one, two = [], []
-        for at in range(0, len(node), 64):
-            far = np.zeros((min(64, len(node) - at), len(node)), dtype=np.uint16)
+        for at in range(0, len(root), 64):
+            far = np.zeros((min(64, len(root) - at), len(root)), dtype=np.uint16)
             for j in range(WORDS):
                 far += np.bitwise_count(fp[at : at + 64, j, None] ^ fp[None, :, j])
             far[root[at : at + 64, None] == root] = np.iinfo(np.uint16).max
-            if most is not None and most < len(node):
-                i, k = np.nonzero((far <= n_bits) & (far <= np.partition(far, most - 1, axis=1)[:, most - 1 : most]))
-            else:
-                i, k = np.nonzero(far <= n_bits)
+            hit = far <= n_bits
+            if nearest_only and NEAREST < len(root):
+                hit &= far <= np.partition(far, NEAREST - 1, axis=1)[:, NEAREST - 1 : NEAREST]
+            i, k = np.nonzero(hit)
             one.append(at + i)
             two.append(k)
-        i, k = np.concatenate(one), np.concatenate(two)
-        i, k = np.minimum(i, k), np.maximum(i, k)
-        pair = np.unique(i.astype(np.int64) * len(node) + k)
+        return np.concatenate(one), np.concatenate(two)
+
+    def of_bucket(key: int, part: int, node: np.ndarray, root: np.ndarray, fp: np.ndarray, parted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, k = near(root, fp, False)  # both ways
+        if len(i) > 2 * most * len(node):
+            i, k = near(root, fp, True)
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([key])], schema=kinds)
+        pair = np.unique(np.minimum(i, k).astype(np.int64) * len(node) + np.maximum(i, k))
         for at in range(0, len(pair), 1 << 17):
             i, k = np.divmod(pair[at : at + (1 << 17)], len(node))
             new = ~met_before(part, fp, parted, i, k)
-            yield node[i[new]], node[k[new]]
+            x, y = node[i[new]], node[k[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -483,13 +499,12 @@ def nearest(rows: DataFrame, split: DataFrame, fps: DataFrame, parts: Parts, n_b
             if b is not None:
                 edges.pop()  # the last bucket may go on in the next batch
             for s, e in itertools.pairwise(edges):
-                for x, y in of_bucket(int(part[s:e].min()), node[s:e], root[s:e], fp[s:e], parted[s:e]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                yield from of_bucket(int(key[s]), int(part[s:e].min()), node[s:e], root[s:e], fp[s:e], parted[s:e])
             held = [tuple(x[edges[-1] :] for x in (key, part, node, root, fp, parted))] if b is not None else []
 
     parted = split.groupBy("node").agg(F.collect_set("part").alias("parted"))
     dealt = rows.join(fps, "node").join(parted, "node", "left").select("key", "part", "node", "root", "fp", "parted").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, left long")
 
 
 def fp_words(column: pa.Array) -> np.ndarray:
