@@ -143,3 +143,8 @@ def text_colour(hex_colour: Column) -> Column:
 
     light = 0.2126 * channel(2) + 0.7152 * channel(4) + 0.0722 * channel(6)
     return F.when(light < 0.5, "white").otherwise("black")
+
+
+def exponent(x: Column) -> Column:
+    """A number in raised digits, 2.0 as a single one."""
+    return F.translate(F.when(x == 2, F.lit("2")).otherwise(x.cast("string")), "0123456789.", "⁰¹²³⁴⁵⁶⁷⁸⁹·")

@@ -91,3 +91,18 @@ def progress(done: Column, total: Column, width: int = 30) -> Column:
     full = F.floor(F.coalesce(done * width / F.nullif(total, F.lit(0)), F.lit(0))).cast("int")
     share = F.floor(F.coalesce(done * 100 / F.nullif(total, F.lit(0)), F.lit(0))).cast("int")
     return F.concat(F.lit("["), F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full), F.lit("] "), done.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), share.cast("string"), F.lit("%)"))
+
+
+#: Provider, parts of the model id of which one must occur, label.
+REASONING = [
+    ("google", ["thinking"], "thinking: OFF (disabled)"),
+    ("openai", ["nano", "mini"], "reasoning: default (may use internal CoT)"),
+    ("anthropic", [""], "extended thinking: OFF"),
+    ("deepseek", [""], "reasoning: default (may use internal CoT)"),
+]
+
+
+def reasoning_label(provider: Column, model_id: Column) -> Column:
+    """How a model reasons by its provider and id; "standard" where no rule fits."""
+    rules = [F.when((provider == p) & F.exists(F.array(*map(F.lit, parts)), lambda x: F.contains(model_id, x)), label) for p, parts, label in REASONING]
+    return F.coalesce(*rules, F.lit("standard"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import coercion, prompts, special, stats, text
 from .operators import agreement, benchmark, catalog, costs, elo, incremental, inference, names, questions, rules, sampling, scores
-from .plans import views
+from .plans import single, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -867,3 +867,36 @@ def trend_line(s, d):
 @query(", h AS (SELECT name, (ordinal::bigint * 1398101) % 16777216 AS v FROM f_models), c AS (SELECT name, concat('#', lpad(upper(to_hex(v)), 6, '0')) AS background, (v // 65536) / 255.0 AS r, (v // 256 % 256) / 255.0 AS g, (v % 256) / 255.0 AS b FROM h) SELECT name, background, CASE WHEN 0.2126 * CASE WHEN r <= 0.03928 THEN r / 12.92 ELSE ((r + 0.055) / 1.055) ** 2.4 END + 0.7152 * CASE WHEN g <= 0.03928 THEN g / 12.92 ELSE ((g + 0.055) / 1.055) ** 2.4 END + 0.0722 * CASE WHEN b <= 0.03928 THEN b / 12.92 ELSE ((b + 0.055) / 1.055) ** 2.4 END < 0.5 THEN 'white' ELSE 'black' END AS text FROM c")
 def text_colour_wcag(s, d):
     return views.text_colours(fx.models(s, d))
+
+
+# single questions
+def results_sql(mode: str) -> str:
+    return f"""SELECT question, model, model_ord, nullif(avg(score) FILTER (evaluator <> model), 0) AS peer, max(score) FILTER (evaluator = model) AS self
+  FROM (SELECT DISTINCT question FROM f_scores WHERE mode = '{mode}') CROSS JOIN roster LEFT JOIN (SELECT question, model, evaluator, score FROM f_scores WHERE mode = '{mode}') USING (question, model) GROUP BY 1, 2, 3"""
+
+
+RANKED = "row_number() OVER (PARTITION BY question ORDER BY coalesce({0}, 0) DESC, model_ord) AS rank"
+MODELS = [f"NATION_{k}" for k in range(fx.N_MODELS)]
+
+
+@query(ROSTER + f", g AS ({results_sql('shuffle_blind')}) SELECT question, {RANKED.format('peer')}, model, round(peer, 4) AS peer, self, round(self - peer, 4) AS self_bias FROM g")
+def question_results(s, d):
+    return single.question_results(fx.scores(s, d), MODELS)
+
+
+@query(ROSTER + f", g AS ({results_sql('shuffle_only')}), b AS ({results_sql('shuffle_blind')}) SELECT question, {RANKED.format('g.peer').replace('model_ord', 'g.model_ord')}, model, round(g.peer, 4) AS score, round(b.peer - g.peer, 4) AS name_bias FROM g LEFT JOIN b USING (question, model)")
+def question_name_bias(s, d):
+    return single.question_name_bias(fx.scores(s, d), MODELS)
+
+
+@query(", p AS (SELECT name, ['google', 'openai', 'anthropic', 'deepseek', 'xai'][ordinal % 5 + 1] AS provider, concat(lower(name), ['-mini', '-thinking', '-nano', ''][ordinal % 4 + 1]) AS model_id FROM f_models) SELECT name, CASE WHEN provider = 'google' AND model_id LIKE '%thinking%' THEN 'thinking: OFF (disabled)' WHEN provider = 'anthropic' THEN 'extended thinking: OFF' WHEN provider = 'deepseek' OR provider = 'openai' AND (model_id LIKE '%nano%' OR model_id LIKE '%mini%') THEN 'reasoning: default (may use internal CoT)' ELSE 'standard' END AS label FROM p")
+def reasoning_labels(s, d):
+    of = lambda *values: F.get(F.array(*map(F.lit, values)), F.col("ordinal") % len(values))
+    m = fx.models(s, d)
+    return m.select("name", catalog.reasoning_label(of("google", "openai", "anthropic", "deepseek", "xai"), F.concat(F.lower("name"), of("-mini", "-thinking", "-nano", ""))).alias("label"))
+
+
+@query("SELECT model, translate(CASE WHEN peer = 2 THEN '2' ELSE peer::varchar END, '0123456789.', '⁰¹²³⁴⁵⁶⁷⁸⁹·') AS shown FROM (SELECT model, round(avg(score), 1) AS peer FROM peer GROUP BY 1)")
+def raised_digits(s, d):
+    peer = fx.scores(s, d).where("mode = 'shuffle_blind' AND evaluator <> model").groupBy("model").agg(F.round(F.avg("score"), 1).alias("peer"))
+    return peer.select("model", text.exponent(F.col("peer")).alias("shown"))

@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import NEVER_RETRY, RETRY
+from ..operators.catalog import reasoning_label
 
 Responder = Callable[[str, str], tuple[str, int, int]]
 MOST_TRIES, FIRST_WAIT = 5, 4.0
@@ -56,3 +58,21 @@ def respond(prompts: DataFrame, make: Callable[[], Responder] = lambda: made_up)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string()))], names=["model", "prompt", "text", "in_tok", "out_tok", "seconds", "error"])
 
     return prompts.select("model", "prompt").mapInArrow(run, "model string, prompt string, text string, in_tok long, out_tok long, seconds double, error string")
+
+
+def health(models: DataFrame, make: Callable[[], Responder] = lambda: made_up) -> DataFrame:
+    """model, healthy, seconds, error, reasoning of models (name, provider, model_id), each asked once."""
+    label = reasoning_label(F.col("provider"), F.col("model_id"))
+    asked = respond(models.select(F.col("name").alias("model"), F.lit("Reply with OK.").alias("prompt")), make)
+    said = asked.select("model", (F.col("error").isNull() & (F.trim("text") != "")).alias("healthy"), "seconds", "error")
+    return said.join(models.select(F.col("name").alias("model"), label.alias("reasoning")), "model")
+
+
+def searched(questions: DataFrame, make: Callable[[], Responder], most: int = 250) -> DataFrame:
+    """question, grounding, success, seconds: what a search engine (a responder) says of each question; failures leave no text.
+
+    questions hold one row a question; most is the length of what each line of a reply keeps.
+    """
+    found = respond(questions.select(F.lit("search").alias("model"), F.col("question").alias("prompt")), make)
+    kept = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.left(x, F.lit(most))), "\n")
+    return found.select(F.col("prompt").alias("question"), F.coalesce(kept, F.lit("")).alias("grounding"), (F.col("error").isNull() & (F.trim("text") != "")).alias("success"), "seconds")

@@ -7,8 +7,8 @@ import random
 import pytest
 from gradecube.functions import coercion, special, stats, text
 from gradecube.operators import agreement, benchmark, elo, incremental, names, sampling, scores
-from gradecube.plans import report
-from gradecube.sources import json_files, responders
+from gradecube.plans import report, single
+from gradecube.sources import benchmarks, json_files, responders
 from gradecube.streaming import live
 from gradecube import schemas
 from pyspark.sql import functions as F
@@ -240,3 +240,38 @@ def test_stream(spark, tmp_path):
     q.stop()
     key = lambda df: sorted(map(tuple, df.select("mode", "model", "total", "n").collect()))
     assert key(spark.table("totals")) == key(live.peer_totals(c))
+
+
+def test_single_question_results(spark):
+    cells = [("shuffle_blind", "a", "q", "b", 8), ("shuffle_blind", "b", "q", "a", 6), ("shuffle_blind", "a", "q", "a", 9), ("shuffle_only", "a", "q", "b", 7)]
+    c = cube(spark, cells)
+    got = [tuple(r) for r in single.question_results(c, ["a", "b", "z"]).orderBy("rank").collect()]
+    assert got == [("q", 1, "b", 8.0, None, None), ("q", 2, "a", 6.0, 9.0, 3.0), ("q", 3, "z", None, None, None)]
+    got = [tuple(r) for r in single.question_name_bias(c, ["a", "b"]).orderBy("rank").collect()]
+    assert got == [("q", 1, "b", 7.0, 1.0), ("q", 2, "a", None, None)]
+
+
+def test_benchmark_readers(spark):
+    m = spark.createDataFrame([("q", "Step one\nso 3\n#### 1,003"), ("n", None)], "question string, answer string")
+    got = {r.question: r for r in benchmarks.math_problems(m).collect()}
+    assert got["q"].gold_num == 1003 and got["q"].difficulty and got["n"].gold_num is None
+    s = spark.createDataFrame([("q", "law", ["x"], 0), ("r", None, ["y"], 0)], "question string, subject string, choices array<string>, answer int")
+    assert [r.subject for r in benchmarks.subject_questions(s).orderBy("question").collect()] == ["law", "unknown"]
+    assert benchmarks.subject_questions(s, ["law"]).count() == 1
+    t = spark.createDataFrame([("q", ["x", "y"], [0, 1]), ("r", ["x"], [0])], "question string, choices array<string>, labels array<int>")
+    g = spark.createDataFrame([("q", "nowhere")], "question string, category string")
+    assert [(r.question, r.category, r.correct_index) for r in benchmarks.truthful_questions(t, g).collect()] == [("q", "factual knowledge", 1)]
+
+
+def test_health_and_search(spark):
+    def search(model, prompt):
+        if prompt == "bad":
+            raise ValueError("invalid key")
+        return "x" * 300 + "\nshort", 1, 1
+
+    ms = spark.createDataFrame([("a", "anthropic", "m"), ("b", "xai", "n")], "name string, provider string, model_id string")
+    assert [(r.model, r.healthy, r.reasoning) for r in responders.health(ms).orderBy("model").collect()] == [("a", True, "extended thinking: OFF"), ("b", True, "standard")]
+    qs = spark.createDataFrame([("bad",), ("good",)], "question string")
+    got = {r.question: r for r in responders.searched(qs, lambda: search).collect()}
+    assert got["good"].success and got["good"].grounding == "x" * 250 + "\nshort"
+    assert not got["bad"].success and got["bad"].grounding == ""
