@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, mixing, pii, quality_lm, quality_rules, simhash, suffix_dedup, toxicity, url_filters
+from . import decontamination, license_scan, manifest, mixing, packing, pii, quality_lm, quality_rules, simhash, spelling, suffix_dedup, toxicity, url_filters
 from .common import table
 
 #: The key of the surrogates; a production job passes its own secret.
@@ -55,5 +55,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("entities").alias("n_replaced"), "entities")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_simhash, op4_decontamination, op5_suffix_dedup, op6_quality_lm, op7_quality_rules, op8_mixing, op9_url_filters, op10_pii)}
-ORACLE_SQL = {"op1_license_scan": license_scan.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.ORACLE}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slip_every=199)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.op13_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_simhash, op4_decontamination, op5_suffix_dedup, op6_quality_lm, op7_quality_rules, op8_mixing, op9_url_filters, op10_pii, op11_spelling, op12_packing, op13_manifest)}
+ORACLE_SQL = {"op1_license_scan": license_scan.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.ORACLE, "op11_spelling": spelling.ORACLE, "op13_manifest": manifest.ORACLE}
