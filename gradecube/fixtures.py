@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +87,62 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).where("mode = 'shuffle_blind'").select("evaluator_ord", "q_ord", "model_ord", F.get(F.array(*map(F.lit, CELLS)), kind).alias("cell"))
 
 
+def talk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, question, category: each user turn of the conversations, once; a third are of current events."""
+    c = read(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id", "turn").agg(F.coalesce(F.min("text"), F.lit("")).alias("question"))
+    category = F.when(F.col("conv_id") % 3 == 0, "Current events").otherwise("general")
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "question", category.alias("category"))
+
+
+def region_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A roster of five models, each of a provider of its own."""
+    key = F.col("r_regionkey")
+    return read(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lower("r_name").alias("provider"), F.col("r_name").alias("model_id"), key.cast("int").alias("ordinal"), (0.25 + key * 0.25).cast("double").alias("in_per_m"), (1 + key).cast("double").alias("out_per_m"))
+
+
+def drawn(*parts: str) -> int:
+    return int(hashlib.md5("|".join(parts).encode()).hexdigest()[:8], 16)
+
+
+class Canned:
+    """A client whose replies depend on model and prompt alone: some calls fail, some answers are blank, some grades odd."""
+
+    def __init__(self, provider: str):
+        self.provider = provider
+
+    def ask(self, model_id: str, prompt: str) -> tuple[str, int, int]:
+        text = self.found(prompt) if self.provider == "search" else self.grades(model_id, prompt) if "Reply with JSON" in prompt else self.answer(model_id, prompt)
+        return text, len(prompt) // 4, len(text) // 4
+
+    def found(self, prompt: str) -> str:
+        x = drawn("search", prompt)
+        return f"Found {x % 1000}." if x % 5 else ""
+
+    def answer(self, model_id: str, prompt: str) -> str:
+        x = drawn(model_id, prompt)
+        if x % 16 == 0:
+            raise ValueError("invalid request")
+        return " " if x % 16 == 1 else f"The answer is {x % 100}."
+
+    def grades(self, model_id: str, prompt: str) -> str:
+        question, rest = prompt.split("Question: ", 1)[1].split("\n\n--- ", 1)
+        labels = re.findall(r"^--- (.+) ---$", "--- " + rest, re.M)
+        kind = drawn(model_id, question, labels[0]) % 16
+        if kind == 0:
+            raise ValueError("content policy")
+        if kind == 1:
+            return "I cannot grade these."
+        out = {}
+        for label in labels:
+            score = drawn(model_id, question, label) % 10 + 1
+            cell = {"reason": "as seen"} if kind == 6 else {"reason": "as seen", "score": str(score) if kind == 5 else score}
+            out[label.removeprefix("Response ") if kind == 4 else label] = cell
+        text = json.dumps(out)
+        return f"```json\n{text}\n```" if kind == 2 else f"My grades are {text} as asked." if kind == 3 else text
+
+
 _CELL_SQL = ", ".join("'" + c.replace("'", "''") + "'" for c in CELLS)
+_drawn_sql = lambda parts: f"('0x' || substr(md5(concat({parts})), 1, 8))::bigint"
 #: The same tables as DuckDB common table expressions.
 SQL = f"""WITH f_models AS (SELECT cast(n_nationkey AS int) AS ordinal, n_name AS name, r_name AS provider, cast(0.25 + n_nationkey * 0.25 AS double) AS in_per_m, cast(1 + n_nationkey AS double) AS out_per_m
   FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < {N_MODELS}),
@@ -101,5 +160,14 @@ f_answers AS (SELECT q_ord, model, model_ord, in_tok, out_tok, num, CASE (q_ord
       sum(cast(l_quantity AS int))::bigint AS s, sum(cast(l_quantity AS int) * 10)::bigint AS in_tok, sum(cast(floor(l_extendedprice) AS bigint))::bigint AS out_tok FROM lineitem GROUP BY 1, 2, 3) a) b),
 f_grounding AS (SELECT q_ord, category, q_ord % 5 = 0 AS skipped, CASE WHEN q_ord % 5 <> 0 THEN q_ord % 7 <> 0 END AS success, CASE WHEN q_ord % 5 <> 0 THEN (q_ord % 9) / 2.0 ELSE 0 END::double AS duration FROM f_questions),
 f_cells AS (SELECT evaluator_ord, q_ord, model_ord, ([{_CELL_SQL}])[(q_ord * 5 + model_ord * 3 + evaluator_ord) % {len(CELLS)} + 1] AS cell FROM f_scores WHERE mode = 'shuffle_blind'),
+f_talk AS (SELECT concat(conv_id, ':', turn) AS question_id, coalesce(min(text), '') AS question, CASE WHEN conv_id % 3 = 0 THEN 'Current events' ELSE 'general' END AS category FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+f_regions AS (SELECT r_name AS name, r_regionkey AS ordinal, 0.25 + r_regionkey * 0.25 AS in_per_m, 1 + r_regionkey AS out_per_m FROM region),
+f_searches AS (SELECT question_id, category, x IS NULL AS skipped, x % 5 <> 0 AS success, CASE WHEN x % 5 <> 0 THEN concat('Found ', x % 1000, '.') END AS grounding, CASE WHEN x % 5 <> 0 THEN 0.008 ELSE 0 END::double AS cost
+  FROM (SELECT *, CASE WHEN category = 'Current events' THEN {_drawn_sql("'search', '|', substr(question, 1, 400)")} END AS x FROM f_talk) s),
+f_replies AS (SELECT question_id, name, x, CASE x % 16 WHEN 0 THEN 'Error: invalid request' WHEN 1 THEN ' ' ELSE concat('The answer is ', x % 100, '.') END AS text, CASE WHEN x % 16 = 0 THEN 0 ELSE length(prompt) // 4 END AS in_tok,
+    in_per_m, out_per_m FROM (SELECT *, {_drawn_sql("name, '|', prompt")} AS x FROM (SELECT q.question_id, m.*, concat(CASE WHEN grounding IS NOT NULL THEN concat('Recent sources:', chr(10), grounding, chr(10), chr(10)) END,
+      'Answer this question clearly and briefly.', chr(10), chr(10), question) AS prompt FROM f_talk q JOIN f_searches USING (question_id) CROSS JOIN f_regions m) p) r),
+f_given AS (SELECT question_id, name AS model, text, in_tok, out_tok, round((in_tok * in_per_m + out_tok * out_per_m) / 1e6, 6) AS cost, x % 16 = 1 AS refused, CASE WHEN x % 16 = 0 THEN 'invalid request' END AS error
+  FROM (SELECT *, CASE WHEN x % 16 = 0 THEN 0 ELSE length(text) // 4 END AS out_tok FROM f_replies) g),
 peer AS (SELECT * FROM f_scores WHERE mode = 'shuffle_blind' AND evaluator <> model)
 """

@@ -19,7 +19,11 @@ def question_prompt(n: int, categories: Column) -> Column:
 def answer_prompt(question: Column, grounding: Column | None = None) -> Column:
     """The question, after what a search found if anything."""
     base = F.format_string(ANSWER, question)
-    return base if grounding is None else F.when(F.coalesce(grounding, F.lit("")) == "", base).otherwise(F.concat(F.lit("Recent sources:\n"), grounding, F.lit("\n\n"), base))
+    return base if grounding is None else grounded(base, grounding)
+
+
+def grounded(prompt: Column, grounding: Column) -> Column:
+    return F.when(F.coalesce(grounding, F.lit("")) == "", prompt).otherwise(F.concat(F.lit("Recent sources:\n"), grounding, F.lit("\n\n"), prompt))
 
 
 def responses_block(labelled: Column) -> Column:

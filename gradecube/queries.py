@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import coercion, prompts, special, stats, text
 from .operators import agreement, benchmark, catalog, costs, elo, incremental, inference, names, questions, rules, sampling, scores
-from .plans import single, views
+from .plans import phases, single, views
+from .sources import folders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -900,3 +901,43 @@ def reasoning_labels(s, d):
 def raised_digits(s, d):
     peer = fx.scores(s, d).where("mode = 'shuffle_blind' AND evaluator <> model").groupBy("model").agg(F.round(F.avg("score"), 1).alias("peer"))
     return peer.select("model", text.exponent(F.col("peer")).alias("shown"))
+
+
+# the phases that ask models
+def phase_answers(s, d):
+    """Answers to every user turn after searches, and the searches."""
+    asked_of = fx.talk_questions(s, d)
+    log = phases.fetched(asked_of, fx.Canned, "search", 0.008)
+    return phases.answers(asked_of, fx.region_models(s, d), folders.scratch(s, "answers"), "r1", fx.Canned, grounding=log, batches=4), log
+
+
+@query("SELECT question_id, category, skipped, success, grounding, cost FROM f_searches")
+def grounding_fetch(s, d):
+    return phases.fetched(fx.talk_questions(s, d), fx.Canned, "search", 0.008).drop("seconds")
+
+
+@query("SELECT question_id, model, text, in_tok, out_tok, cost, refused, error FROM f_given")
+def answer_phase(s, d):
+    return phase_answers(s, d)[0].select("question_id", "model", "text", "in_tok", "out_tok", "cost", "refused", "error")
+
+
+@query(""", t AS (SELECT CASE WHEN grouping(model) = 1 THEN 'TOTAL' ELSE model END AS model, grouping(model) AS g, count(*) AS calls, sum(in_tok)::bigint AS in_tok, sum(out_tok)::bigint AS out_tok, round(sum(cost), 4) AS llm_cost, count(*) FILTER (refused) AS refused,
+  count(error) AS errors FROM f_given GROUP BY ROLLUP (model)), s AS (SELECT round(coalesce(sum(cost), 0), 4) AS cost FROM f_searches)
+SELECT model, calls, in_tok, out_tok, llm_cost, CASE WHEN g = 1 THEN s.cost ELSE 0 END AS search_cost, round(llm_cost + CASE WHEN g = 1 THEN s.cost ELSE 0 END, 4) AS total_cost, refused, errors FROM t CROSS JOIN s""")
+def answer_totals(s, d):
+    return phases.answer_totals(*phase_answers(s, d))
+
+
+_MODE_SQL = "VALUES ('shuffle_only', true, false), ('blind_only', false, true), ('shuffle_blind', true, true)"
+
+
+@query(f""", modes AS (SELECT * FROM ({_MODE_SQL}) t(mode, shuffle, blind)),
+shown AS (SELECT mode, question_id, question, name AS model, CASE WHEN blind THEN concat('Response ', chr((64 + row_number() OVER w)::int)) ELSE name END AS label, row_number() OVER w AS place FROM modes CROSS JOIN f_talk CROSS JOIN f_regions
+  WINDOW w AS (PARTITION BY mode, question_id ORDER BY CASE WHEN shuffle THEN md5(concat('42|', question_id, '|', name)) ELSE lpad(ordinal::varchar, 9, '0') END)),
+judged AS (SELECT s.*, e.name AS evaluator, {fx._drawn_sql("e.name, '|', s.question, '|', s.label")} % 10 + 1 AS drawn, {fx._drawn_sql("e.name, '|', s.question, '|', f.label")} % 16 AS kind FROM shown s CROSS JOIN f_regions e JOIN shown f ON f.mode = s.mode AND f.question_id = s.question_id AND f.place = 1)
+SELECT mode, evaluator, question_id, model, CASE WHEN kind <> 6 THEN drawn END::double AS score, NULL::varchar AS error FROM judged WHERE kind > 1
+UNION ALL SELECT mode, evaluator, question_id, NULL, NULL, CASE kind WHEN 0 THEN 'content policy' ELSE 'no grades in the reply' END FROM judged WHERE kind <= 1 AND place = 1""")
+def evaluation_phase(s, d):
+    asked_of, roster_ = fx.talk_questions(s, d), fx.region_models(s, d)
+    cells = phases.evaluations(asked_of, phase_answers(s, d)[0], roster_, folders.scratch(s, "cells"), "r1", fx.Canned)
+    return cells.select("mode", "evaluator", "question_id", "model", "score", "error")
