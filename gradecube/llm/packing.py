@@ -214,7 +214,7 @@ def planned(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
         filled(capacity, 0, counts[capacity])
     total = sum(counts[n] for n in large)
     starts = np.cumsum([0, *(counts[n] for n in large)])  # large documents in order, longest first
-    cuts = sorted({round(total * k / groups) for k in range(groups + 1)})
+    cuts = sorted({round(total * k / groups) for k in range(groups + 1)}) if len(large) > groups else starts.tolist()  # so few lengths need no rounding
     sizes: list[int] = []
     bounds: list[int] = []
     for at in cuts[:-1]:
