@@ -28,8 +28,9 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") < N_QUESTIONS)
-    return o.select(F.col("o_orderkey").cast("int").alias("q_ord"), named("Q", F.col("o_orderkey")).alias("question"), F.col("o_orderpriority").alias("category"), named("NATION_", F.col("o_custkey") % N_MODELS).alias("source_model"))
+    """A question stands for all orders with one remainder; it has the category and the source of the first of them."""
+    o = read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % N_QUESTIONS).cast("int").alias("q_ord")).agg(F.min_by(F.struct("o_orderpriority", "o_custkey"), "o_orderkey").alias("o"))
+    return o.select("q_ord", named("Q", F.col("q_ord")).alias("question"), F.col("o.o_orderpriority").alias("category"), named("NATION_", F.col("o.o_custkey") % N_MODELS).alias("source_model"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,65 @@ def region_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lower("r_name").alias("provider"), F.col("r_name").alias("model_id"), key.cast("int").alias("ordinal"), (0.25 + key * 0.25).cast("double").alias("in_per_m"), (1 + key).cast("double").alias("out_per_m"))
 
 
+#: Sentences that the rules look for, put after the texts of questions.
+PHRASES = ["A block on a plane at an angle of incline 30 degrees with friction", "A car must accelerate to reach a velocity", "Sound exits one medium and enters a denser one", "A fire hose has a nozzle with water velocity", "The patient has high blood pressure", "The pendulum has a period of two seconds", "Freud described attachment", "An ideal gas law question at constant volume", "Which folkways does a society hold", "The coefficient of kinetic friction is 0.2", "Who held the world record in 1886", "A lens of focal length 10", "Hormones act on cells"]
+PLAIN_ANSWERS = ["10 m/s", "20 m/s", "5 m/s", "1 m/s"]
+SUBJECTS = ["anatomy", "college_medicine", "virology", "econometrics", "college_medicine", "philosophy", "professional_law", "machine_learning"]
+
+
+def subject_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_ord, question, choices, subject: each user turn of the conversations, most with a sentence that some rule looks for, and each item of the benchmark."""
+    c = read(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id", "turn").agg(F.coalesce(F.min("text"), F.lit("")).alias("t"))
+    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_ord"), "t")
+    b = read(spark, sf_dir, "benchmark").groupBy("item_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("t")).select((-1 - F.col("item_id")).alias("q_ord"), "t")
+    o = F.pmod("q_ord", F.lit(16 * 8 + 5))
+    phrase = F.coalesce(F.get(F.array(*map(F.lit, PHRASES)), (o % 16).cast("int")), F.lit(""))
+    choices = F.when(o % 2 == 0, F.array(*map(F.lit, PLAIN_ANSWERS))).otherwise(F.slice(F.split("t", " "), 1, 4))
+    return c.unionByName(b).select("q_ord", F.concat("t", F.lit(" "), phrase).alias("question"), choices.alias("choices"), F.get(F.array(*map(F.lit, SUBJECTS)), (o % 8).cast("int")).alias("subject"))
+
+
+#: The same as DuckDB common table expressions.
+SUBJECT_SQL = f""", f_texts AS (SELECT conv_id * 1000 + turn AS q_ord, coalesce(min(text), '') AS t FROM conversations WHERE role = 'user' GROUP BY conv_id, turn UNION ALL SELECT -1 - item_id, coalesce(min(text), '') FROM benchmark GROUP BY item_id),
+f_subject AS (SELECT q_ord, concat(t, ' ', ({PHRASES!r})[o % 16 + 1]) AS question, CASE WHEN o % 2 = 0 THEN {PLAIN_ANSWERS!r} ELSE string_split(t, ' ')[1:4] END AS choices, ({SUBJECTS!r})[o % 8 + 1] AS subject FROM (SELECT *, ((q_ord % 133) + 133) % 133 AS o FROM f_texts) x)
+"""
+
+
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw cells with models' names as judges write them: bracketed, in lower case, cut short or unknown."""
+    c = cells(spark, sf_dir)
+    k, kind = F.col("model_ord").cast("string"), (F.col("q_ord") + F.col("model_ord") + F.col("evaluator_ord")) % 6
+    written = F.when(kind == 1, F.concat(F.lit("["), named("NATION_", k), F.lit("]"))).when(kind == 2, F.concat(F.lit(" nation_"), k, F.lit(" "))).when(kind == 3, F.lit("nation")).when(kind == 4, F.concat(F.lit("other "), k)).otherwise(named("NATION_", k))
+    judge = F.when(F.col("evaluator_ord") == 5, F.lit("a guest")).otherwise(F.concat(F.lit("nation_"), F.col("evaluator_ord").cast("string")))
+    return c.select(F.lit("shuffle_blind").alias("mode"), judge.alias("evaluator"), "evaluator_ord", "q_ord", written.alias("model"), F.col("model_ord").alias("position"), "cell")
+
+
+def question_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question file for each conversation, whose turns are entries of every form."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.coalesce(F.min("text"), F.lit("")).alias("t"), F.coalesce(F.min("role"), F.lit("none")).alias("role"))
+    quoted = lambda x: F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    entry = (
+        F.when(F.col("turn") % 4 == 0, F.to_json(F.struct(F.col("role").alias("category"), F.col("t").alias("question"))))
+        .when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.col("t").alias("question"))))
+        .when(F.col("turn") % 4 == 2, quoted(F.col("t")))
+        .otherwise(quoted(F.concat(F.lit("Error: "), F.col("t"))))
+    )
+    lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))).alias("es"))
+    body = F.concat(F.lit("["), F.array_join(F.col("es.e"), ","), F.lit("]"))
+    body = F.when(F.col("conv_id") % 2 == 1, F.concat(F.lit('{"questions":'), body, F.lit("}"))).otherwise(body)
+    text = F.concat(F.lit('{"revision":"r1","questions_by_model":{"m'), (F.col("conv_id") % 5).cast("string"), F.lit('":'), body, F.lit("}}"))
+    return lists.select(F.col("conv_id").cast("string").alias("file"), text.alias("text"))
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each customer, whose second table has a row for each of the customer's orders."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("p"), F.substring("o_orderpriority", 1, 1).alias("k"))
+    line = F.concat(F.lit("| order "), F.col("o_orderkey").cast("string"), F.lit(" | "), "k", F.lit(" ("), "p", F.lit(") | "), F.when(F.col("k") == "5", "none").otherwise(F.concat("k", F.lit(" (9.5)"))), F.lit(" |"))
+    lists = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))).alias("ls"))
+    head = "# Report\n\n| Model | Other |\n|---|---|\n| none | 1 (1.0) |\n\n## Rankings\n\n| Model    | Overall | Recent |\n|----------|--------:|--------|\n"
+    tail = "\n\nSome words | with bars.\n| Model | Overall | Late |\n| late | 1 (2.0) | 2 (3.0) |\n"
+    return lists.select(F.col("o_custkey").cast("string").alias("file"), F.concat(F.lit(head), F.array_join(F.col("ls.l"), "\n"), F.lit(tail)).alias("text"))
+
+
 def drawn(*parts: str) -> int:
     return int(hashlib.md5("|".join(parts).encode()).hexdigest()[:8], 16)
 
@@ -146,7 +206,7 @@ _drawn_sql = lambda parts: f"('0x' || substr(md5(concat({parts})), 1, 8))::bigin
 #: The same tables as DuckDB common table expressions.
 SQL = f"""WITH f_models AS (SELECT cast(n_nationkey AS int) AS ordinal, n_name AS name, r_name AS provider, cast(0.25 + n_nationkey * 0.25 AS double) AS in_per_m, cast(1 + n_nationkey AS double) AS out_per_m
   FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < {N_MODELS}),
-f_questions AS (SELECT cast(o_orderkey AS int) AS q_ord, concat('Q', o_orderkey::varchar) AS question, o_orderpriority AS category, concat('NATION_', (o_custkey % {N_MODELS})::varchar) AS source_model FROM orders WHERE o_orderkey < {N_QUESTIONS}),
+f_questions AS (SELECT cast(o_orderkey % {N_QUESTIONS} AS int) AS q_ord, concat('Q', (o_orderkey % {N_QUESTIONS})::varchar) AS question, arg_min(o_orderpriority, o_orderkey) AS category, concat('NATION_', (arg_min(o_custkey, o_orderkey) % {N_MODELS})::varchar) AS source_model FROM orders GROUP BY o_orderkey % {N_QUESTIONS}),
 f_scores AS (SELECT CASE l_returnflag WHEN 'A' THEN 'shuffle_only' WHEN 'N' THEN 'blind_only' ELSE 'shuffle_blind' END AS mode,
   concat('NATION_', ((l_suppkey * 7 + l_linenumber) % {N_MODELS})::varchar) AS evaluator, cast((l_suppkey * 7 + l_linenumber) % {N_MODELS} AS int) AS evaluator_ord,
   concat('Q', (l_orderkey % {N_QUESTIONS})::varchar) AS question, cast(l_orderkey % {N_QUESTIONS} AS int) AS q_ord, concat('NATION_', (l_partkey % {N_MODELS})::varchar) AS model, cast(l_partkey % {N_MODELS} AS int) AS model_ord,

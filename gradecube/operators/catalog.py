@@ -7,36 +7,91 @@ from pyspark.sql import functions as F
 
 #: Categories of one benchmark in the engine's terms; others are factual knowledge.
 CATEGORY_MAP = {
-    "reasoning/logic": ["Logical Falsehood", "Statistics", "Indexical Error: Identity", "Indexical Error: Location", "Indexical Error: Time", "Indexical Error: Other", "Confusion: People", "Confusion: Places", "Confusion: Other"],
-    "creative/open-ended": ["Subjective", "Proverbs"],
-    "practical how-to": ["Nutrition", "Health"],
-    "current events (needs recent info)": ["Politics", "Misinformation"],
+    "Logical Falsehood": "reasoning/logic",
+    "Statistics": "reasoning/logic",
+    "Indexical Error: Identity": "reasoning/logic",
+    "Indexical Error: Location": "reasoning/logic",
+    "Indexical Error: Time": "reasoning/logic",
+    "Indexical Error: Other": "reasoning/logic",
+    "Confusion: People": "reasoning/logic",
+    "Confusion: Places": "reasoning/logic",
+    "Confusion: Other": "reasoning/logic",
+    "Subjective": "creative/open-ended",
+    "Proverbs": "creative/open-ended",
+    "Nutrition": "practical how-to",
+    "Health": "practical how-to",
+    "Politics": "current events (needs recent info)",
+    "Misinformation": "current events (needs recent info)",
 }
 DEFAULT_CATEGORY = "factual knowledge"
 #: Groups of subjects, by domain first, then broad ones.
 SUBJECT_GROUPS = {
-    "medical": "clinical_knowledge medical_genetics anatomy professional_medicine college_biology virology nutrition human_aging",
-    "law": "professional_law international_law jurisprudence moral_disputes moral_scenarios",
-    "computer_science": "college_computer_science high_school_computer_science computer_security machine_learning",
-    "math": "abstract_algebra college_mathematics high_school_mathematics elementary_mathematics high_school_statistics econometrics",
-    "physics": "college_physics high_school_physics conceptual_physics astronomy",
-    "chemistry": "college_chemistry high_school_chemistry",
-    "biology": "college_biology high_school_biology anatomy virology medical_genetics",
-    "history": "high_school_european_history high_school_us_history high_school_world_history prehistory",
-    "psychology": "high_school_psychology professional_psychology human_sexuality human_aging",
-    "economics": "econometrics high_school_macroeconomics high_school_microeconomics management marketing business_ethics",
-    "philosophy": "philosophy formal_logic logical_fallacies moral_disputes moral_scenarios world_religions",
-    "STEM": "abstract_algebra anatomy astronomy college_biology college_chemistry college_computer_science college_mathematics college_physics computer_security conceptual_physics electrical_engineering elementary_mathematics machine_learning high_school_biology high_school_chemistry high_school_computer_science high_school_mathematics high_school_physics high_school_statistics virology",
-    "Humanities": "high_school_european_history high_school_us_history high_school_world_history philosophy prehistory world_religions logical_fallacies formal_logic",
-    "Social Sciences": "econometrics high_school_geography high_school_government_and_politics high_school_macroeconomics high_school_microeconomics high_school_psychology human_sexuality public_relations security_studies sociology us_foreign_policy",
-    "Professional": "business_ethics clinical_knowledge college_medicine management marketing medical_genetics professional_accounting professional_law professional_medicine professional_psychology international_law jurisprudence",
-    "Other": "global_facts human_aging miscellaneous moral_disputes moral_scenarios nutrition",
+    "medical": [
+        "clinical_knowledge", "medical_genetics", "anatomy", "professional_medicine", "college_biology", "virology",
+        "nutrition", "human_aging",
+    ],
+    "law": [
+        "professional_law", "international_law", "jurisprudence", "moral_disputes", "moral_scenarios",
+    ],
+    "computer_science": [
+        "college_computer_science", "high_school_computer_science", "computer_security", "machine_learning",
+    ],
+    "math": [
+        "abstract_algebra", "college_mathematics", "high_school_mathematics", "elementary_mathematics",
+        "high_school_statistics", "econometrics",
+    ],
+    "physics": [
+        "college_physics", "high_school_physics", "conceptual_physics", "astronomy",
+    ],
+    "chemistry": [
+        "college_chemistry", "high_school_chemistry",
+    ],
+    "biology": [
+        "college_biology", "high_school_biology", "anatomy", "virology", "medical_genetics",
+    ],
+    "history": [
+        "high_school_european_history", "high_school_us_history", "high_school_world_history", "prehistory",
+    ],
+    "psychology": [
+        "high_school_psychology", "professional_psychology", "human_sexuality", "human_aging",
+    ],
+    "economics": [
+        "econometrics", "high_school_macroeconomics", "high_school_microeconomics", "management", "marketing",
+        "business_ethics",
+    ],
+    "philosophy": [
+        "philosophy", "formal_logic", "logical_fallacies", "moral_disputes", "moral_scenarios", "world_religions",
+    ],
+    "STEM": [
+        "abstract_algebra", "anatomy", "astronomy", "college_biology", "college_chemistry",
+        "college_computer_science", "college_mathematics", "college_physics", "computer_security",
+        "conceptual_physics", "electrical_engineering", "elementary_mathematics", "machine_learning",
+        "high_school_biology", "high_school_chemistry", "high_school_computer_science", "high_school_mathematics",
+        "high_school_physics", "high_school_statistics", "virology",
+    ],
+    "Humanities": [
+        "high_school_european_history", "high_school_us_history", "high_school_world_history", "philosophy",
+        "prehistory", "world_religions", "logical_fallacies", "formal_logic",
+    ],
+    "Social Sciences": [
+        "econometrics", "high_school_geography", "high_school_government_and_politics", "high_school_macroeconomics",
+        "high_school_microeconomics", "high_school_psychology", "human_sexuality", "public_relations",
+        "security_studies", "sociology", "us_foreign_policy",
+    ],
+    "Professional": [
+        "business_ethics", "clinical_knowledge", "college_medicine", "management", "marketing", "medical_genetics",
+        "professional_accounting", "professional_law", "professional_medicine", "professional_psychology",
+        "international_law", "jurisprudence",
+    ],
+    "Other": [
+        "global_facts", "human_aging", "miscellaneous", "moral_disputes", "moral_scenarios", "nutrition",
+    ],
 }
 
 
 def subject_groups(spark: SparkSession) -> DataFrame:
     """grp, subject, ord: a row a subject of each group, in the order groups are looked up."""
-    rows = [(g, s, k) for k, (g, ss) in enumerate(SUBJECT_GROUPS.items()) for s in ss.split()]
+    rows = [(g, s, k) for k, (g, ss) in enumerate(SUBJECT_GROUPS.items()) for s in ss]
     return spark.createDataFrame(rows, "grp string, subject string, ord int")
 
 
@@ -47,14 +102,12 @@ def normal_subject(name: Column) -> Column:
 def of_group(rows: DataFrame, name: str, subject: str = "subject") -> DataFrame:
     """Rows whose subject is in the group, by name without regard to case; an unknown group has none."""
     found = next((g for g in SUBJECT_GROUPS if g.lower() == name.lower()), None)
-    return rows.where(F.col(subject).isin(SUBJECT_GROUPS[found].split())) if found else rows.where("false")
+    return rows.where(F.col(subject).isin(SUBJECT_GROUPS[found])) if found else rows.where("false")
 
 
 def mapped_category(category: Column) -> Column:
-    out = F.lit(DEFAULT_CATEGORY)
-    for name, own in CATEGORY_MAP.items():
-        out = F.when(category.isin(own), name).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for kv in CATEGORY_MAP.items() for x in kv])
+    return F.coalesce(F.element_at(known, category), F.lit(DEFAULT_CATEGORY))
 
 
 def valid_choices(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import coercion
+from . import names
 from .scores import is_peer
 
 START, K, SCALE, SEED = 1500.0, 32.0, 400.0, 42
@@ -31,6 +33,23 @@ def matches(cube: DataFrame, seed: int = SEED) -> DataFrame:
     return j.select("mode", "evaluator_ord", "q_ord", "a", "b", outcome.alias("outcome"), F.md5(F.concat_ws("|", F.lit(str(seed)), "evaluator_ord", "q_ord", "a", "b")).alias("ord"))
 
 
+def resolved(raw: DataFrame, roster: DataFrame) -> DataFrame:
+    """A cube (mode, evaluator, evaluator_ord, q_ord, model, model_ord, score) of raw cells under the elo policy.
+
+    raw: mode, evaluator, evaluator_ord, q_ord, model, position, cell, with names as judges wrote them; roster: name,
+    ordinal. Models that no one of the roster is meant by drop out, and so do cells without a whole number; of cells
+    that mean one model the last by position counts. A judge who is not of the roster is nobody's self.
+    """
+    written = raw.select(F.col("model").alias("name")).unionByName(raw.select(F.col("evaluator").alias("name")))
+    known = names.matched(written, roster).where("model IS NOT NULL").join(roster.select(F.col("name").alias("model"), "ordinal"), "model")
+    cells = raw.withColumn("score", coercion.elo(F.col("cell"))).where("score IS NOT NULL")
+    cells = cells.withColumnRenamed("model", "written").join(known.select(F.col("name").alias("written"), "model", F.col("ordinal").alias("model_ord")), "written")
+    cells = cells.join(known.select(F.col("name").alias("evaluator"), F.col("model").alias("judge")), "evaluator", "left")
+    judge = F.coalesce("judge", "evaluator")
+    last = F.max_by("score", "position").alias("score")
+    return cells.groupBy("mode", judge.alias("evaluator"), "evaluator_ord", "q_ord", "model", "model_ord").agg(last)
+
+
 def tallies(m: DataFrame) -> DataFrame:
     """Wins, losses, ties and the win rate of each model of each mode."""
     both = m.select("mode", F.col("a").alias("model_ord"), "outcome").unionByName(m.select("mode", F.col("b").alias("model_ord"), (1.0 - F.col("outcome")).alias("outcome")))

@@ -68,23 +68,37 @@ def validation_report(cube: DataFrame, accuracies: DataFrame, name: str) -> str:
     return f"# {name}\n\n" + "\n\n".join(f"## {title}\n\n{table(df)}" for title, df in parts) + "\n"
 
 
-def parsed_table(df: DataFrame, names: tuple[str, ...] = ()) -> list[list[str]]:
-    """The cells of the first table whose header holds the names, from a report read as text lines (column value).
+def table_rows(reports: DataFrame, names: tuple[str, ...] = (), holding: str = "") -> DataFrame:
+    """file, header, row, cells of the first table of each report (file, text) whose header line holds all the names.
 
-    The table ends at its first line that is none of its own; a report is a small file, which one task reads in order.
+    A report is one row, whose lines are walked in their order within it. The table ends at its first line that does
+    not begin with a bar; the rule under the header is none of its rows, nor is a line without `holding`. Empty cells
+    drop out. A report without such a table has no rows.
     """
-    out: list[list[str]] = []
-    for r in df.select("value", F.monotonically_increasing_id().alias("k")).orderBy("k").select("value").collect():
-        line = (r.value or "").strip()
-        if not line.startswith("|"):
-            if out:
-                break
-            continue
-        cells = [c.strip() for c in line.strip("|").split("|")]
-        if (out and set(line) <= set("|-: ")) or (not out and not all(any(n in c for c in cells) for n in names)):
-            continue
-        out.append([c for c in cells if c])
-    return out
+    cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    barred = lambda line: F.ltrim(line).startswith("|")
+
+    def heads(line: Column) -> Column:
+        found = barred(line)
+        for n in names:
+            found = found & F.contains(line, F.lit(n))
+        return found
+
+    lines = reports.select("file", F.split("text", r"\r?\n").alias("lines"))
+    at = F.array_position(F.transform("lines", heads), F.lit(True)).cast("int")
+    found = lines.withColumn("at", at).where("at > 0").select("file", F.element_at("lines", F.col("at")).alias("head"), F.slice("lines", F.col("at") + 1, F.size("lines")).alias("rest"))
+    stop = F.array_position(F.transform("rest", lambda x: ~barred(x)), F.lit(True)).cast("int")
+    body = F.when(stop > 0, F.slice("rest", F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(F.col("rest"))
+    body = F.filter(body, lambda x: ~x.rlike(r"^[|:\- ]+$") & F.contains(x, F.lit(holding)))
+    rows = found.select("file", cells(F.col("head")).alias("header"), F.posexplode(body).alias("row", "line"))
+    return rows.select("file", "header", "row", cells(F.col("line")).alias("cells"))
+
+
+def table_cells(rows: DataFrame) -> DataFrame:
+    """file, row, name (the row's first cell), column, cell and score of rows with their header, as table_rows() gives them."""
+    named = F.arrays_zip(F.slice("header", 2, F.greatest(F.size("header") - 1, F.lit(0))).alias("column"), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))).alias("cell"))
+    c = rows.select("file", "row", F.get("cells", F.lit(0)).alias("name"), F.explode(named).alias("c")).select("file", "row", "name", "c.column", "c.cell")
+    return c.where("column IS NOT NULL AND cell IS NOT NULL").withColumn("score", ranked_score(F.col("cell")))
 
 
 def ranked_score(cell: Column) -> Column:

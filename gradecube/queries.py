@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import coercion, prompts, special, stats, text
 from .operators import agreement, benchmark, catalog, costs, elo, incremental, inference, names, questions, rules, sampling, scores
-from .plans import phases, single, views
-from .sources import folders
+from .plans import phases, report, single, views
+from .sources import folders, json_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -133,7 +133,7 @@ def category_pivot(s, d):
 
 @query("SELECT s.model, q.category, round(avg(score), 4) AS mean, grouping(q.category)::int AS g FROM peer s JOIN f_questions q ON s.question = q.question GROUP BY GROUPING SETS ((s.model, q.category), (s.model))")
 def category_overall_sets(s, d):
-    j = scores.peer_cells(fx.scores(s, d)).join(F.broadcast(fx.questions(s, d).select("question", "category")), "question")
+    j = scores.peer_cells(fx.scores(s, d)).join(fx.questions(s, d).select("question", "category"), "question")
     return j.groupingSets([("model", "category"), ("model",)], "model", "category").agg(F.round(F.avg("score"), 4).alias("mean"), F.grouping("category").cast("int").alias("g"))
 
 
@@ -668,14 +668,7 @@ def shuffled_choices(s, d):
 
 
 # rules
-PHRASES = ["A block on a plane at an angle of incline 30 degrees with friction", "A car must accelerate to reach a velocity", "Sound exits one medium and enters a denser one", "A fire hose has a nozzle with water velocity", "The patient has high blood pressure", "The pendulum has a period of two seconds", "Freud described attachment", "An ideal gas law question at constant volume", "Which folkways does a society hold", "The coefficient of kinetic friction is 0.2", "Who held the world record in 1886", "A lens of focal length 10", "Hormones act on cells"]
-ANSWER_SETS = [["10 m/s", "20 m/s", "5 m/s", "1 m/s"], ["yes", "no", "both", "neither"]]
-RULE_ROWS = ", ru AS (SELECT q_ord, (" + repr(PHRASES) + ")[q_ord % 13 + 1] AS question, CASE WHEN q_ord % 2 = 0 THEN " + repr(ANSWER_SETS[0]) + " ELSE " + repr(ANSWER_SETS[1]) + " END AS choices, CASE WHEN q_ord % 4 = 3 THEN 'anatomy' ELSE 'college_medicine' END AS subject FROM f_questions), rx AS (SELECT *, lower(concat_ws(' ', question, array_to_string(choices, ' '))) AS x, array_to_string(choices, ' ') AS cs FROM ru)\n"
-
-
-def _rule_rows(s, d):
-    o = F.col("q_ord")
-    return fx.questions(s, d).select("q_ord", F.get(F.array(*map(F.lit, PHRASES)), o % 13).alias("question"), F.when(o % 2 == 0, F.array(*map(F.lit, ANSWER_SETS[0]))).otherwise(F.array(*map(F.lit, ANSWER_SETS[1]))).alias("choices"), F.when(o % 4 == 3, "anatomy").otherwise("college_medicine").alias("subject"))
+RULE_ROWS = fx.SUBJECT_SQL + ", rx AS (SELECT *, lower(concat_ws(' ', question, array_to_string(choices, ' '))) AS x, array_to_string(choices, ' ') AS cs FROM f_subject)\n"
 
 
 def q(x: str) -> str:
@@ -691,17 +684,17 @@ PURE = "coalesce(" + ", ".join(f"CASE WHEN {re_sql('x', p)} AND ({'true' if 'inc
 
 @query(RULE_ROWS + f", fd AS (SELECT *, {PURE} AS description FROM rx), f2 AS (SELECT *, CASE WHEN description IS NOT NULL THEN 'PHYSICS' WHEN subject = 'college_medicine' AND ({' OR '.join(f'regexp_matches(x, {q(p)})' for p in rules.MCAT)}) AND NOT regexp_matches(x, {q(rules.MEDICAL_SHORT)}) THEN 'PHYSICS (MCAT-style)' END AS finding FROM fd) SELECT q_ord, subject, finding, description FROM f2 WHERE finding IS NOT NULL")
 def rule_findings(s, d):
-    return rules.findings(_rule_rows(s, d)).select("q_ord", "subject", "finding", "description")
+    return rules.findings(fx.subject_questions(s, d)).select("q_ord", "subject", "finding", "description")
 
 
 @query(RULE_ROWS + ", ri AS (SELECT *, coalesce(" + ", ".join(f"CASE WHEN {re_sql('x', p)} THEN {q(v)} END" for p, v in rules.INDICATORS) + f") AS indicator FROM rx WHERE NOT {re_sql('x', rules.MEDICAL)}) SELECT q_ord, subject, indicator FROM ri WHERE indicator IS NOT NULL")
 def rule_first_match(s, d):
-    return rules.indicators(_rule_rows(s, d)).select("q_ord", "subject", "indicator")
+    return rules.indicators(fx.subject_questions(s, d)).select("q_ord", "subject", "indicator")
 
 
-@query(RULE_ROWS + "SELECT q_ord, question FROM rx WHERE NOT (" + " OR ".join(f"contains(x, {q(t)})" for t in rules.TERMS) + ")")
+@query(RULE_ROWS + "SELECT q_ord, question FROM rx WHERE NOT (" + " OR ".join(f"contains(x, {q(t.lower())})" for t in rules.TERMS) + ")")
 def rule_no_term(s, d):
-    return rules.without_terms(_rule_rows(s, d)).select("q_ord", "question")
+    return rules.without_terms(fx.subject_questions(s, d)).select("q_ord", "question")
 
 
 CLASSED = RULE_ROWS + ", kc AS (SELECT *, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(x, {q(k)})' for k in ks)} THEN {q(n)}" for n, ks in rules.CLASSES) + " ELSE 'OTHER' END AS class FROM rx)\n"
@@ -709,48 +702,41 @@ CLASSED = RULE_ROWS + ", kc AS (SELECT *, CASE " + " ".join(f"WHEN {' OR '.join(
 
 @query(CLASSED + "SELECT q_ord, class FROM kc")
 def keyword_category(s, d):
-    return rules.classified(_rule_rows(s, d)).select("q_ord", "class")
+    return rules.classified(fx.subject_questions(s, d)).select("q_ord", "class")
 
 
 @query(CLASSED + ", kk AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY q_ord) AS k FROM kc) SELECT class, count(*) AS n, round(count(*) * 100.0::double / (SELECT count(*) FROM kc), 2) AS percent, string_agg(q_ord::varchar, ',' ORDER BY q_ord) FILTER (k <= 3) AS examples, greatest(0, count(*) - 3)::bigint AS more FROM kk GROUP BY 1")
 def class_report(s, d):
-    return rules.report(rules.classified(_rule_rows(s, d)), "class")
+    return rules.report(rules.classified(fx.subject_questions(s, d)), "class")
 
 
 @query(RULE_ROWS + ", tp AS (SELECT coalesce(" + ", ".join(f"CASE WHEN {re_sql('x', '|'.join(f'(?:{p})' for p in ps))} THEN {q(n)} END" for n, ps in rules.TOPICS) + f") AS topic FROM rx WHERE subject = 'college_medicine' AND NOT {re_sql('x', rules.MEDICAL)}) SELECT topic, count(*) AS n FROM tp WHERE topic IS NOT NULL GROUP BY 1")
 def topic_counts(s, d):
-    return rules.topics(_rule_rows(s, d)).groupBy("topic").agg(F.count("*").alias("n"))
+    return rules.topics(fx.subject_questions(s, d)).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 # dimensions and work
-SUBJECTS = ["anatomy", "college_medicine", "virology", "econometrics", "high_school_physics", "philosophy", "professional_law", "machine_learning"]
-
-
-def _subjects(s, d):
-    return fx.questions(s, d).select("q_ord", F.get(F.array(*map(F.lit, SUBJECTS)), F.col("q_ord") % 8).alias("subject"))
-
-
-SUBJECT = f", sj AS (SELECT q_ord, ({SUBJECTS!r})[q_ord % 8 + 1] AS subject FROM f_questions), sg AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{x}')" for g, xs in catalog.SUBJECT_GROUPS.items() for x in xs.split()) + ") v(grp, subject))\n"
+SUBJECT = fx.SUBJECT_SQL + ", sg AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{x}')" for g, xs in catalog.SUBJECT_GROUPS.items() for x in xs) + ") v(grp, subject))\n"
 
 
-@query(SUBJECT + "SELECT grp, count(*) AS n, count(DISTINCT subject) AS subjects FROM sj JOIN sg USING (subject) GROUP BY 1")
+@query(SUBJECT + "SELECT grp, count(*) AS n, count(DISTINCT subject) AS subjects FROM f_subject JOIN sg USING (subject) GROUP BY 1")
 def subject_group_counts(s, d):
-    j = _subjects(s, d).join(F.broadcast(catalog.subject_groups(s)), "subject")
+    j = fx.subject_questions(s, d).join(catalog.subject_groups(s), "subject")
     return j.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
 
 
-@query(SUBJECT + "SELECT q_ord, subject FROM sj SEMI JOIN (SELECT subject FROM sg WHERE lower(grp) = 'medical') g USING (subject)")
+@query(SUBJECT + "SELECT q_ord, subject FROM f_subject SEMI JOIN (SELECT subject FROM sg WHERE lower(grp) = 'medical') g USING (subject)")
 def subject_subset(s, d):
-    return catalog.of_group(_subjects(s, d), "Medical")
+    return catalog.of_group(fx.subject_questions(s, d), "Medical").select("q_ord", "subject")
 
 
 TRUTHFUL = ["Statistics", "Proverbs", "Health", "Politics", "History", "Confusion: Other", "Law"]
 
 
-@query(f", tc AS (SELECT q_ord, ({TRUTHFUL!r})[q_ord % 7 + 1] AS own FROM f_questions) SELECT q_ord, CASE " + " ".join(f"WHEN own IN ({', '.join(repr(x) for x in xs)}) THEN '{n}'" for n, xs in catalog.CATEGORY_MAP.items()) + f" ELSE '{catalog.DEFAULT_CATEGORY}' END AS category FROM tc")
+@query(fx.SUBJECT_SQL + f", tc AS (SELECT q_ord, ({TRUTHFUL!r})[length(question) % 7 + 1] AS own FROM f_subject) SELECT q_ord, CASE " + " ".join(f"WHEN own = {x!r} THEN '{n}'" for x, n in catalog.CATEGORY_MAP.items()) + f" ELSE '{catalog.DEFAULT_CATEGORY}' END AS category FROM tc")
 def mapped_categories(s, d):
-    own = F.get(F.array(*map(F.lit, TRUTHFUL)), F.col("q_ord") % 7)
-    return fx.questions(s, d).select("q_ord", catalog.mapped_category(own).alias("category"))
+    own = F.get(F.array(*map(F.lit, TRUTHFUL)), F.length("question") % 7)
+    return fx.subject_questions(s, d).select("q_ord", catalog.mapped_category(own).alias("category"))
 
 
 @query("SELECT q_ord, CASE WHEN q_ord % 3 = 0 THEN 0 ELSE 1 END::int AS correct_index FROM f_questions WHERE q_ord % 3 <> 2")
@@ -941,3 +927,25 @@ def evaluation_phase(s, d):
     asked_of, roster_ = fx.talk_questions(s, d), fx.region_models(s, d)
     cells = phases.evaluations(asked_of, phase_answers(s, d)[0], roster_, folders.scratch(s, "cells"), "r1", fx.Canned)
     return cells.select("mode", "evaluator", "question_id", "model", "score", "error")
+
+
+# names as judges write them, files of any form, reports
+@query(", w AS (SELECT *, (q_ord + model_ord + evaluator_ord) % 6 AS kind FROM f_cells), n AS (SELECT evaluator_ord, q_ord, model_ord AS position, CASE kind WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE model_ord END AS m, json_extract(cell, '$.score') AS v FROM w WHERE json_type(cell) = 'OBJECT'), "
+"s AS (SELECT evaluator_ord, q_ord, m, position, CASE WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN v::double WHEN json_type(v) = 'BOOLEAN' THEN (v::boolean)::int::double WHEN json_type(v) = 'VARCHAR' AND regexp_full_match(trim(v->>'$'), '[0-9]+') THEN trim(v->>'$')::double END AS score FROM n WHERE m IS NOT NULL), "
+"c AS (SELECT evaluator_ord, q_ord, m, arg_max(score, position) AS score FROM s WHERE score IS NOT NULL GROUP BY 1, 2, 3 HAVING evaluator_ord = 5 OR m <> evaluator_ord) "
+"SELECT a.evaluator_ord, a.q_ord, a.m AS a, b.m AS b, CASE WHEN a.score > b.score THEN 1.0 WHEN a.score < b.score THEN 0.0 ELSE 0.5 END::double AS outcome FROM c a JOIN c b ON a.evaluator_ord = b.evaluator_ord AND a.q_ord = b.q_ord AND a.m < b.m")
+def elo_raw_matches(s, d):
+    known = roster(s, d).select(F.col("model").alias("name"), F.col("model_ord").alias("ordinal"))
+    return elo.matches(elo.resolved(fx.raw_cells(s, d), known)).select("evaluator_ord", "q_ord", "a", "b", "outcome")
+
+
+@query("""SELECT conv_id::varchar AS file, concat('m', conv_id % 5) AS source_model, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::int AS j, CASE turn % 4 WHEN 0 THEN coalesce(min(role), 'none') ELSE 'general' END AS category, coalesce(min(text), '') AS question
+FROM conversations GROUP BY conv_id, turn QUALIFY turn % 4 <> 3 AND NOT (turn % 4 = 2 AND coalesce(min(text), '') LIKE 'Error%')""", tables=False)
+def mixed_questions(s, d):
+    return json_files.mixed_questions(fx.question_files(s, d)).select("file", "source_model", "j", "category", "question")
+
+
+@query("""WITH o AS (SELECT o_custkey::varchar AS file, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::int AS "row", concat('order ', o_orderkey) AS name, o_totalprice::decimal(15,2)::varchar AS p, substr(o_orderpriority, 1, 1) AS k FROM orders)
+SELECT file, "row", name, 'Overall' AS "column", concat(k, ' (', p, ')') AS cell, p::double AS score FROM o UNION ALL SELECT file, "row", name, 'Recent', CASE k WHEN '5' THEN 'none' ELSE concat(k, ' (9.5)') END, CASE WHEN k <> '5' THEN 9.5 END FROM o""", tables=False)
+def report_cells(s, d):
+    return report.table_cells(report.table_rows(fx.report_files(s, d), ("Model", "Overall"), "("))

@@ -35,6 +35,32 @@ def questions(df: DataFrame) -> DataFrame:
     return last.select("question", "x.source_model", "x.category", "o")
 
 
+def whole(spark: SparkSession, path: str) -> DataFrame:
+    """file and text of the files under a path, each a row."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def mixed_questions(files: DataFrame) -> DataFrame:
+    """file, revision, i, source_model, j, category, question of question files (file, text) of any form.
+
+    A model's entry is a list, or an object that wraps one as "questions"; of the list, objects with a question have
+    their category or "general", texts are general questions unless they begin with Error, and anything else drops out.
+    i and j are the places of model and question in the file; a file that is no JSON has no rows.
+    """
+    parsed = F.from_json("text", "revision string, questions_by_model map<string,string>")
+    m = files.select("file", parsed.alias("p")).select("file", "p.revision", F.posexplode(F.map_entries("p.questions_by_model")).alias("i", "m"))
+    value = F.try_parse_json("m.value")
+    wrapped = F.schema_of_variant(value).startswith("OBJECT")
+    entries = F.when(wrapped, F.try_variant_get(value, "$.questions", "array<variant>")).otherwise(F.try_variant_get(value, "$", "array<variant>"))
+    q = m.select("file", "revision", "i", F.col("m.key").alias("source_model"), F.posexplode(entries).alias("j", "q"))
+    kind = F.schema_of_variant("q")
+    asked = F.try_variant_get("q", "$.question", "string")
+    text = F.when(kind == "STRING", F.try_variant_get("q", "$", "string"))
+    category = F.when(kind.startswith("OBJECT"), F.try_variant_get("q", "$.category", "string"))
+    question = F.when(kind.startswith("OBJECT"), asked).when(~text.startswith("Error"), text)
+    return q.select("file", "revision", "i", "source_model", "j", F.coalesce(category, F.lit("general")).alias("category"), question.alias("question")).where("question IS NOT NULL")
+
+
 def answers(df: DataFrame) -> DataFrame:
     s = df.select(F.posexplode("questions").alias("q_ord", "q")).select("q_ord", "q.text", F.explode("q.answers").alias("model", "a"))
     return s.select("q_ord", F.col("text").alias("question"), "model", "a.*").withColumn("refused", F.coalesce("refused", F.trim("text") == ""))

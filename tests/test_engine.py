@@ -208,11 +208,16 @@ def test_report(spark):
     models = spark.createDataFrame([(f"m{k}", "P" if k % 2 else "Q") for k in range(5)], "name string, provider string")
     md = report.report(c, qs, models)
     assert md.count("## ") == 16 and "| m3" in md and "## Elo" in md
-    lines = spark.createDataFrame([(x,) for x in report.table(scores.peer_rankings(c)).split("\n")], "value string")
-    assert report.parsed_table(lines)[0][:2] == ["rank", "model"]
-    text = "| a | b |\n|---|---|\n| 1 | 2 |\n\ntext\n| Model | Overall | x |\n|:--|--:|---|\n| m1 | 1 (8.72) |  |\n| m2 | 2 (7.5) | - |\nend\n| m3 | 9 |"
-    found = report.parsed_table(spark.createDataFrame([(x,) for x in text.split("\n")], "value string").coalesce(1), ("Model", "Overall"))
-    assert found == [["Model", "Overall", "x"], ["m1", "1 (8.72)"], ["m2", "2 (7.5)", "-"]]
+    own = spark.createDataFrame([("a", report.table(scores.peer_rankings(c)))], "file string, text string")
+    first = report.table_rows(own).orderBy("row").collect()
+    assert first[0].header[:2] == ["rank", "model"] and [r.cells[0] for r in first] == ["1", "2", "3", "4", "5"]
+    text = "| a | b |\n|---|---|\n| 1 | 2 |\n\ntext\n| Model | Overall | x |\r\n|:--|--:|---|\n| m1 | 1 (8.72) |  |\n| m2 | 2 (7.5) | - |\nend\n| m3 | 9 |"
+    many = spark.createDataFrame([("x", text), ("y", "no table"), ("z", None), ("", ""), ("last", "| Model | Overall |"), ("late", "t\n| Model | Overall |\n| m | (2) |\n")], "file string, text string")
+    found = {(r.file, r.row): (r.header, r.cells) for r in report.table_rows(many, ("Model", "Overall")).collect()}
+    head = ["Model", "Overall", "x"]
+    assert found == {("x", 0): (head, ["m1", "1 (8.72)"]), ("x", 1): (head, ["m2", "2 (7.5)", "-"]), ("late", 0): (head[:2], ["m", "(2)"])}
+    got = {(r.name, r.column): (r.cell, r.score) for r in report.table_cells(report.table_rows(many, ("Model", "Overall"), "(")).collect()}
+    assert got == {("m1", "Overall"): ("1 (8.72)", 8.72), ("m2", "Overall"): ("2 (7.5)", 7.5), ("m2", "x"): ("-", None), ("m", "Overall"): ("(2)", 2.0)}
     cells = spark.createDataFrame([("1 (8.72)",), ("-",), (None,)], "c string")
     assert [r[0] for r in cells.select(report.ranked_score(cells.c)).collect()] == [8.72, None, None]
     acc = spark.createDataFrame([(f"m{k}", k, 5 + k, 10, 50.0 + 10 * k, 5.0 + k) for k in range(5)], "model string, model_ord int, correct long, total long, accuracy double, mean double")
@@ -275,3 +280,47 @@ def test_health_and_search(spark):
     got = {r.question: r for r in responders.searched(qs, lambda: search).collect()}
     assert got["good"].success and got["good"].grounding == "x" * 250 + "\nshort"
     assert not got["bad"].success and got["bad"].grounding == ""
+
+
+def test_names_by_pieces(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abAB-1", k=rnd.randint(1, 7)))
+    roster = list(dict.fromkeys(word() for _ in range(40)))
+    given = [word() for _ in range(60)] + [f"[{roster[3]}]", f" {roster[5].upper()} ", "", "[ ]", "zz", None]
+
+    def plain(name):
+        if name is None:
+            return None
+        clean = name.strip("[] \t\n")
+        return clean if clean in roster else next((r for r in roster if clean.lower() in r.lower()), None)
+
+    r = spark.createDataFrame([(n, k) for k, n in enumerate(roster)], "name string, ordinal int")
+    df = names.matched(spark.createDataFrame([(n,) for n in given + given[:5]], "name string"), r)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {x.name: x.model for x in df.collect()} == {n: plain(n) for n in given}
+    assert names.matched(spark.createDataFrame([(n,) for n in given], "name string"), r.limit(0)).where("model IS NOT NULL").count() == 0
+
+
+def test_cells_of_names_as_written(spark):
+    from gradecube.operators import elo
+
+    r = spark.createDataFrame([("gpt-5", 0), ("claude", 1), ("gem", 2)], "name string, ordinal int")
+    raw = [("s", "GPT", 0, 7, m, k, c) for k, (m, c) in enumerate([("[claude]", '{"score": 4}'), ("gpt-5", '{"score": 9}'), ("clau", '{"score": "6"}'), ("claude", '{"score": "6.5"}'), ("nobody", '{"score": 1}'), ("gem", '{"score": 8}')])]
+    raw += [("s", "guest", 1, 7, "gpt-5", 0, '{"score": 3}'), ("s", "guest", 1, 7, "gem", 1, '{"score": 3}')]
+    df = spark.createDataFrame(raw, "mode string, evaluator string, evaluator_ord int, q_ord int, model string, position int, cell string")
+    got = sorted((x.evaluator, x.model, x.score) for x in elo.resolved(df, r).collect())
+    assert got == [("gpt-5", "claude", 6.0), ("gpt-5", "gem", 8.0), ("gpt-5", "gpt-5", 9.0), ("guest", "gem", 3.0), ("guest", "gpt-5", 3.0)]
+    met = sorted((x.evaluator_ord, x.a, x.b, x.outcome) for x in elo.matches(elo.resolved(df, r)).collect())
+    assert met == [(0, 1, 2, 0.0), (1, 0, 2, 0.5)]
+
+
+def test_mixed_question_files(spark, tmp_path):
+    files = {
+        "a.json": {"revision": "r", "questions_by_model": {"z": [{"question": "q1"}, "plain", "Error: none", {"category": "c", "question": "Error is what?"}, 7, {"other": 1}, None], "b": {"questions": [{"category": None, "question": "q2"}]}, "c": "nothing", "d": []}},
+        "b.json": {"revision": "s", "questions_by_model": {"m": ["x"]}},
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(json.dumps(body, indent=1))
+    (tmp_path / "c.json").write_text("no JSON")
+    got = sorted((r.file, r.revision, r.i, r.source_model, r.j, r.category, r.question) for r in json_files.mixed_questions(json_files.whole(spark, str(tmp_path))).collect())
+    assert got == [("a.json", "r", 0, "z", 0, "general", "q1"), ("a.json", "r", 0, "z", 1, "general", "plain"), ("a.json", "r", 0, "z", 3, "c", "Error is what?"), ("a.json", "r", 1, "b", 0, "general", "q2"), ("b.json", "s", 0, "m", 0, "general", "x")]
