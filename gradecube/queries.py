@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import coercion, prompts, special, stats, text
 from .operators import agreement, benchmark, catalog, costs, elo, incremental, inference, names, questions, rules, sampling, scores
-from .plans import phases, report, single, views
+from .plans import analysis, phases, report, single, views
 from .sources import folders, json_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -949,3 +949,24 @@ def mixed_questions(s, d):
 SELECT file, "row", name, 'Overall' AS "column", concat(k, ' (', p, ')') AS cell, p::double AS score FROM o UNION ALL SELECT file, "row", name, 'Recent', CASE k WHEN '5' THEN 'none' ELSE concat(k, ' (9.5)') END, CASE WHEN k <> '5' THEN 9.5 END FROM o""", tables=False)
 def report_cells(s, d):
     return report.table_cells(report.table_rows(fx.report_files(s, d), ("Model", "Overall"), "("))
+
+
+# the analysis of a validation as a document
+_WILSON = lambda sign, p="(correct::double / total)", n="total::double": f"(({p} + {Z} * {Z} / (2 * {n})) / (1 + {Z} * {Z} / {n}) {sign} {Z} * sqrt({p} * (1 - {p}) / {n} + {Z} * {Z} / (4 * {n} * {n})) / (1 + {Z} * {Z} / {n}))"
+
+
+@query(PT + f""", co AS ({CORR}), dm AS (SELECT cp.*, correct, total, abs(peer_rank - truth_rank) AS off, peer - truth AS diff FROM cp JOIN (SELECT model, correct, total FROM ac) a USING (model)),
+al AS (SELECT count(*) AS n_models, max(total) AS questions, count(*) FILTER (off < 0.5) AS exact, count(*) FILTER (off <= 1.5) AS within_1, round(avg(off), 4) AS mean_diff, max(off) AS max_diff, arg_max(model, (diff, -model_ord)) AS over_rated, arg_min(model, (diff, model_ord)) AS under_rated,
+  round(avg(accuracy), 4) AS mean_accuracy, round(stddev_pop(accuracy), 4) AS sd_accuracy FROM dm)
+SELECT model, round(peer, 4) AS peer, truth, accuracy, peer_rank, truth_rank, round(diff, 4) AS diff, round(greatest(0, {_WILSON("-")}), 4) AS truth_low, round(least(1, {_WILSON("+")}), 4) AS truth_high, al.*, pearson, spearman,
+  round(CASE WHEN n < 4 OR abs(pearson) >= 1 THEN pearson ELSE tanh(atanh(pearson) - {Z} / sqrt(n - 3)) END, 4) AS low, round(CASE WHEN n < 4 OR abs(pearson) >= 1 THEN pearson ELSE tanh(atanh(pearson) + {Z} / sqrt(n - 3)) END, 4) AS high
+FROM dm CROSS JOIN al CROSS JOIN co""")
+def validation_document(s, d):
+    """The document is written, read back by a second call that need not make it, and shown a row a model."""
+    folder = folders.scratch(s, "analysis")
+    inputs = [f"{d}/lineitem.parquet", f"{d}/orders.parquet"]
+    for _ in range(2):
+        doc = analysis.kept(s, folder, inputs, lambda: analysis.document(_compared(s, d), "r1"), "Validation")
+    c = analysis.comparison(doc)
+    figures = [F.col(f"agreement.{x}").alias(x) for x in ("exact", "within_1", "mean_diff", "max_diff")] + [F.col(f"correlation.{x}").alias(x) for x in ("pearson", "spearman", "low", "high")]
+    return c.select("model", "peer", "truth", "accuracy", "peer_rank", "truth_rank", "diff", "truth_low", "truth_high", "n_models", "questions", *figures, F.col("over_rated.model").alias("over_rated"), F.col("under_rated.model").alias("under_rated"), F.col("accuracies.mean").alias("mean_accuracy"), F.col("accuracies.sd").alias("sd_accuracy"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import coercion
+from ..operators.scores import BASE
 
 
 def load(spark: SparkSession, folder: str, base: str, revision: str, schema: str) -> DataFrame:
@@ -66,6 +67,24 @@ def answers(df: DataFrame) -> DataFrame:
     return s.select("q_ord", F.col("text").alias("question"), "model", "a.*").withColumn("refused", F.coalesce("refused", F.trim("text") == ""))
 
 
+def has_modes(files: DataFrame) -> bool:
+    """Whether any of the evaluation files (file, text) tells its modes apart, by the merged schema of all."""
+    merged = files.agg(F.schema_of_variant_agg(F.try_parse_json("text")).alias("s")).first()[0]
+    return "evaluations_by_mode: OBJECT" in (merged or "")
+
+
+def evaluation_files(files: DataFrame) -> DataFrame:
+    """file, revision, timestamp, complete, evaluations_by_mode of evaluation files (file, text) of either form.
+
+    A file without modes holds the evaluations of the blind, shuffled one; a file that has both is taken by its modes.
+    A file that is no JSON, or has neither, drops out.
+    """
+    cells = "map<string,map<string,string>>"
+    p = files.select("file", F.from_json("text", f"revision string, timestamp string, complete boolean, evaluations_by_mode map<string,{cells}>, evaluations {cells}").alias("p")).select("file", "p.*")
+    one = F.when(F.col("evaluations").isNotNull(), F.create_map(F.lit(BASE), F.col("evaluations")))
+    return p.withColumn("evaluations_by_mode", F.coalesce("evaluations_by_mode", one)).drop("evaluations").where("evaluations_by_mode IS NOT NULL")
+
+
 def score_facts(df: DataFrame, policy: str = "lenient", modes: list[str] | None = None) -> DataFrame:
     """The score cube: revision, mode, evaluator, question, model with their orders, the raw cell and its score under a policy.
 

@@ -324,3 +324,71 @@ def test_mixed_question_files(spark, tmp_path):
     (tmp_path / "c.json").write_text("no JSON")
     got = sorted((r.file, r.revision, r.i, r.source_model, r.j, r.category, r.question) for r in json_files.mixed_questions(json_files.whole(spark, str(tmp_path))).collect())
     assert got == [("a.json", "r", 0, "z", 0, "general", "q1"), ("a.json", "r", 0, "z", 1, "general", "plain"), ("a.json", "r", 0, "z", 3, "c", "Error is what?"), ("a.json", "r", 1, "b", 0, "general", "q2"), ("b.json", "s", 0, "m", 0, "general", "x")]
+
+
+def test_document_is_taken_while_current(spark, tmp_path):
+    from gradecube.plans import analysis
+
+    rows = [(f"m{k}", k, 9.0 - k, 10 - k, 8.5 - k * 0.7, 80.0 - 7 * k, 8 - k, 10, k + 1, float(k + 1)) for k in range(5)]
+    c = spark.createDataFrame(rows, "model string, model_ord int, peer double, n long, truth double, accuracy double, correct long, total long, peer_rank long, truth_rank double").withColumn("rank_diff", F.col("peer_rank") - F.col("truth_rank"))
+    source, folder = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a.json").write_text("{}")
+    made = []
+
+    def make(name):
+        made.append(name)
+        return analysis.document(c, name)
+
+    get = lambda name: analysis.kept(spark, folder, [str(source), str(tmp_path / "gone")], lambda: make(name), "Test").first()
+    assert get("one").revision == "one" and get("two").revision == "one" and made == ["one"]
+    later = __import__("time").time() + 60
+    __import__("os").utime(source / "a.json", (later, later))
+    doc = get("three")
+    assert doc.revision == "three" and made == ["one", "three"]
+    assert doc.n_models == 5 and doc.correlation.pearson == 1.0 and doc.agreement.exact == 5 and doc.comparison[0].model == "m0"
+    assert doc.over_rated.model == "m0" and doc.under_rated.model == "m4"
+    text = "\n".join(r.value for r in spark.read.text(f"{folder}/report", wholetext=True).collect())
+    assert text.startswith("# Test") and "Pearson r 1.0000" in text and text.count("m3 ") == 2 and "strongly correlates" in text
+    assert analysis.document(c.limit(0), "none").count() == 0
+
+
+def test_evaluation_files_of_either_form(spark, tmp_path):
+    cells = {"e1": {"q": {"m1": {"score": 7}, "m2": {"score": "8"}}}}
+    bodies = {"old": {"revision": "a", "evaluations": cells}, "new": {"revision": "b", "evaluations_by_mode": {"shuffle_only": cells, "shuffle_blind": cells}}}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(body))
+    (tmp_path / "bad.json").write_text("[")
+    files = json_files.whole(spark, str(tmp_path))
+    facts = json_files.score_facts(json_files.evaluation_files(files)).collect()
+    assert sorted((r.revision, r.mode, r.model, r.score) for r in facts) == [("a", "shuffle_blind", "m1", 7.0), ("a", "shuffle_blind", "m2", 8.0)] + [("b", m, x, s) for m in ("shuffle_blind", "shuffle_only") for x, s in (("m1", 7.0), ("m2", 8.0))]
+    assert json_files.has_modes(files) and not json_files.has_modes(files.where("file = 'old.json'")) and not json_files.has_modes(files.limit(0))
+
+
+def test_rankings_of_a_session_follow_corrections(spark, tmp_path):
+    schema = "mode string, evaluator string, question string, model string, score double, version long"
+    rnd = random.Random(2)
+    names = ["a", "b", "c"]
+    cell = lambda v, s=None: (rnd.choice(["shuffle_blind", "shuffle_only"]), rnd.choice(names), rnd.choice(["q1", "q2"]), rnd.choice(names), s if s is not None else rnd.choice([None, *map(float, range(1, 11))]), v)
+    batches = [[cell(v * 100 + k) for k in range(25)] for v in range(3)]
+    batches[2] += [(*batches[0][0][:4], 1.0, -1), (*batches[1][1][:4], 10.0, 999), (*batches[1][2][:4], None, 998)]
+    source = tmp_path / "in"
+    source.mkdir()
+    out = {}
+
+    def sink(df, _):
+        for r in df.collect():
+            out[r.question, r.mode, r.rank] = (r.model, r.peer, r.self)
+
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        q = live.session_rankings(stream, names).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen = spark.createDataFrame([r for b in batches[: k + 1] for r in b], schema)
+        cube_ = live.latest(seen)
+        for mode in ("shuffle_blind", "shuffle_only"):
+            want = {(r.question, mode, r.rank): (r.model, r.peer, r.self) for r in single.question_scores(cube_, names, mode).collect()}
+            got = {key: v for key, v in out.items() if key[1] == mode}
+            assert got.keys() >= want.keys()
+            assert {key: tuple(round(x, 9) if isinstance(x, float) else x for x in got[key]) for key in want} == {key: tuple(round(x, 9) if isinstance(x, float) else x for x in v) for key, v in want.items()}
