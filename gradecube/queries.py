@@ -33,6 +33,18 @@ def roster(s: SparkSession, d: str) -> DataFrame:
     return s.range(fx.N_MODELS).select(F.concat(F.lit("NATION_"), F.col("id").cast("string")).alias("model"), F.col("id").cast("int").alias("model_ord"))
 
 
+def t_two_sided_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom, by its finite sums of powers of the cosine."""
+    cos2, sin = f"({df} / ({df} + ({t}) * ({t})))", f"(abs({t}) / sqrt({df} + ({t}) * ({t})))"
+    even = f"{sin} * coalesce(list_sum(list_transform(range(({df} // 2)::bigint), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0)) * pow({cos2}, j))), 0)"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({df})) + {sin} * sqrt({cos2}) * coalesce(list_sum(list_transform(range((({df} - 1) // 2)::bigint), lambda j: exp(lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5)) * pow({cos2}, j))), 0))"
+    return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def pearson_p_sql(r: str, n: str) -> str:
+    return f"CASE WHEN {n} >= 3 THEN CASE WHEN abs({r}) >= 1 THEN 0 ELSE {t_two_sided_sql(f'{r} * sqrt(({n} - 2) / (1 - {r} * {r}))', f'({n} - 2)')} END END"
+
+
 ROSTER = ", roster AS (SELECT concat('NATION_', i::varchar) AS model, i::int AS model_ord FROM range(12) t(i))\n"
 STATS = """, st AS (SELECT model, model_ord, avg(score) FILTER (evaluator <> model) AS peer, coalesce(stddev_samp(score) FILTER (evaluator <> model), 0) AS sd, count(*) FILTER (evaluator <> model) AS n,
   coalesce(avg(score) FILTER (evaluator = model), 0) AS self, count(*) FILTER (evaluator = model) AS n_self, avg(score) AS raw FROM f_scores WHERE mode = 'shuffle_blind' GROUP BY 1, 2)
@@ -319,15 +331,19 @@ def provider_means(s, d):
     return inference.provider_means(fx.scores(s, d), _named_models(s, d))
 
 
-@query(PROVIDER + """, rr AS (SELECT provider, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM pv), gg AS (SELECT provider, count(*)::double AS c, sum(rk)::double AS sr FROM rr GROUP BY 1 HAVING count(*) >= 2),
+KRUSKAL = PROVIDER + """, rr AS (SELECT provider, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM pv), gg AS (SELECT provider, count(*)::double AS c, sum(rk)::double AS sr FROM rr GROUP BY 1 HAVING count(*) >= 2),
 tt AS (SELECT sum(c::double * c * c - c) AS ties FROM (SELECT score, count(*) AS c FROM pv GROUP BY 1)), hh AS (SELECT sum(c) AS n, count(*) AS k, sum(sr * sr / c) AS ss FROM gg HAVING count(*) >= 2),
 h2 AS (SELECT n, k, (12.0 / (n * (n + 1)) * ss - 3 * (n + 1)) / nullif(1 - ties / (n * n * n - n), 0) AS h FROM hh CROSS JOIN tt)
-SELECT round(h, 6) AS h, k - 1 AS df, n::bigint AS n, round(h / (n - 1), 8) AS eta2 FROM h2""")
+"""
+
+
+@query(KRUSKAL + "SELECT round(h, 6) AS h, k - 1 AS df, n::bigint AS n, round(h / (n - 1), 8) AS eta2 FROM h2")
 def provider_kruskal_h(s, d):
     return inference.kruskal(fx.scores(s, d), _named_models(s, d))
 
 
-@query()
+@query(KRUSKAL + """, h3 AS (SELECT round(h, 6) AS h, k - 1 AS df FROM h2)
+SELECT h, df, round(1 - list_sum(list_transform(range(400), lambda j: exp((df / 2.0 + j) * ln(h / 2) - h / 2 - lgamma(df / 2.0 + j + 1)))), 8) AS p FROM h3""")
 def provider_kruskal_p(s, d):
     k = inference.kruskal(fx.scores(s, d), _named_models(s, d))
     return k.select("h", "df", F.round(special.chi2_p("h", F.col("df").cast("double")), 8).alias("p"))
@@ -557,7 +573,8 @@ def fisher_ci(s, d):
     return benchmark.correlated_with_ci(_compared(s, d))
 
 
-@query()
+@query(STATS + f""", cr AS (SELECT df, list_reduce(list_transform(range(120), lambda x: [0.0, 1000000.0]::double[]), lambda a, b: CASE WHEN {t_two_sided_sql("((a[1] + a[2]) / 2)", "df")} > 0.05 THEN [(a[1] + a[2]) / 2, a[2]] ELSE [a[1], (a[1] + a[2]) / 2] END) AS ends FROM (SELECT DISTINCT greatest(n - 1, 1) AS df FROM st) x),
+hw AS (SELECT model, peer, CASE WHEN n > 1 THEN (ends[1] + ends[2]) / 2 * sd / sqrt(n) ELSE 0 END AS half FROM st JOIN cr ON df = greatest(n - 1, 1) WHERE n > 0) SELECT model, round(peer - half, 2) AS low, round(peer + half, 2) AS high FROM hw""")
 def t_ci(s, d):
     return benchmark.score_intervals(fx.scores(s, d))
 
@@ -577,7 +594,8 @@ def explained_variance(s, d):
     return benchmark.fit_quality(_compared(s, d)).drop("conclusion")
 
 
-@query()
+@query(PT + f""", co AS ({CORR}), cl AS (SELECT n, pearson, {pearson_p_sql("pearson", "n")} AS p, (SELECT count(DISTINCT truth) FROM cp) AS truths FROM co)
+SELECT n, pearson, round(pearson * pearson, 6) AS r2, CASE WHEN pearson >= 0.7 AND p < 0.05 THEN 'strongly correlates' WHEN pearson >= 0.5 AND p < 0.05 THEN 'moderate correlation' WHEN truths = 1 THEN 'cannot determine' ELSE 'weak/no correlation' END AS conclusion FROM cl""")
 def validation_conclusion(s, d):
     return benchmark.fit_quality(_compared(s, d))
 
@@ -592,9 +610,10 @@ def peer_truth_correlation(s, d):
     return benchmark.correlated(_compared(s, d))
 
 
-@query()
+@query(PT + f""", co AS ({CORR}) SELECT n, pearson, round({pearson_p_sql("pearson", "n")}, 8) AS pearson_p, spearman, round({pearson_p_sql("spearman", "n")}, 8) AS spearman_p FROM co""")
 def pearson_p(s, d):
-    return benchmark.correlated_with_p(_compared(s, d))
+    p = benchmark.correlated_with_p(_compared(s, d))
+    return p.select("n", "pearson", F.round("pearson_p", 8).alias("pearson_p"), "spearman", F.round("spearman_p", 8).alias("spearman_p"))
 
 
 @query(COMPARED + "SELECT model, truth, truth_rank FROM cp")
