@@ -43,8 +43,8 @@ LARGE_PARTS, GROUPS = (2, 3, 4, 8), 64
 MOST_COLUMNS = 3000
 #: Id after each document.
 END = 0
-#: Words whose ids a worker remembers, and characters of a text that it splits at once.
-REMEMBERED, STRETCH = 400_000, 1 << 20
+#: Words whose ids a worker remembers, texts whose words it holds at once, and characters of a text that it splits at once.
+REMEMBERED, TEXTS, STRETCH = 1_000_000, 512, 1 << 20
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: How the byte-level vocabulary parts a text of the Latin characters above, ASCII digits, signs and white space; other
 #: texts go to the tokenizer whole.
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, with_ids: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, ids = TaskContext.get().partitionId(), [0] * (capacity + 1), ids_of(path)
-        for b in batches:
+        for b in (own.slice(k, TEXTS) for own in batches for k in range(0, own.num_rows, TEXTS)):
             row, piece, start, length, crc, ks, cut = [], [], [], [], [], [], []
             for i, own in enumerate(ids.of([t or "" for t in b.column(1).to_pylist()])):
                 own += array.array("I", [END]).tobytes()
