@@ -28,10 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read again, which cuts its lineage."""
     path = f"{shared_folder(df.sparkSession)}/gradecube-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

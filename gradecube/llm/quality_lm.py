@@ -22,17 +22,19 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ORDER = 4
+ORDER = 5
 #: What stands before the start of a text.
 START = "\x02"
 #: At most so many n-grams are sent to the executors.
-HEAD = 1 << 16
-#: Documents above this quantile of the trusted documents' perplexity in their language, times the margin, go.
-QUANTILE, MARGIN = 0.99, 1.05
-#: A text goes only if its perplexity is so many standard errors above the limit.
-DEVIATIONS = 2.0
-#: A language has a quantile of its own from so many trusted documents.
-FEWEST = 20
+HEAD = 1 << 18
+#: Documents above this quantile of the held-out trusted documents' perplexity in their language go.
+QUANTILE = 0.99
+#: The limit may be raised by a factor, and a text spared unless it is so many standard errors above it.
+MARGIN, DEVIATIONS = 1.0, 0.0
+#: One in so many trusted texts sets the limits and is not trained on, for a text that was has a lower perplexity.
+HELD = 8
+#: A language's limit is drawn towards that of all as if by so many more documents with the quantile of all.
+POOLED = 20
 #: Characters worked on at a time.
 PIECE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -210,17 +212,17 @@ def backed_off(grams: DataFrame, model: Model) -> DataFrame:
     return t.select("g", F.coalesce("p", F.col("w") * F.lit(model.unseen)).alias("p"))
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs but for text, with perplexity and low: what it is DEVIATIONS standard errors lower; null without text."""
+def perplexities(docs: DataFrame, model: Model, deviations: float) -> DataFrame:
+    """The columns of docs but for text, with perplexity and low: what it is so many standard errors lower; null without text."""
     keep = [c for c in docs.columns if c != "text"]
-    own = stored(summed(docs.select(*keep, F.monotonically_increasing_id().alias("_row"), "text"), model.head))
+    own = stored(summed(docs.select(*keep, F.monotonically_increasing_id().alias("_row"), "text"), model.head), "zstd")
     rest = own.select("_row", F.inline("rest"))
     loss = backed_off(stored(rest.select("g").distinct()), model).select("g", (-F.log("p")).alias("x"))
     others = rest.join(loss, "g").groupBy("_row").agg(F.sum(F.col("n") * F.col("x")).alias("_l"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("_s"))
     n = F.nullif(F.col("size"), F.lit(0))
     mean = (F.col("loss") + F.coalesce("_l", F.lit(0.0))) / n
     spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("square") + F.coalesce("_s", F.lit(0.0))) / n - mean * mean) / n)
-    return own.drop("rest").join(others, "_row", "left").select(*keep, F.exp(mean).alias("perplexity"), F.exp(mean - DEVIATIONS * spread).alias("low"))
+    return own.drop("rest").join(others, "_row", "left").select(*keep, F.exp(mean).alias("perplexity"), F.exp(mean - deviations * spread).alias("low"))
 
 
 @contextlib.contextmanager
@@ -236,47 +238,59 @@ def prefiltered(spark: SparkSession) -> Iterator[None]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all documents labelled with quality 1, and these documents: lang, text."""
+    """The model of the documents labelled with quality 1 but for those held out, and the latter: lang, text.
+
+    Copies of a text are held out together. Where one of both parts would be empty, all are in both.
+    """
     good = labels.where("quality = 1").select("doc_id")
     texts = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     with prefiltered(docs.sparkSession):
-        trusted = stored(texts.join(good.hint("merge"), "doc_id", "left_semi").select("lang", "text"))  # labels grow with the input, so they are never broadcast
-    grams, contexts, unseen = kneser_ney(stored(gram_counts(trusted)))
+        trusted = stored(texts.join(good.hint("merge"), "doc_id", "left_semi").select("lang", "text", held_out(F.col("text")).alias("held")))  # labels grow with the input, so they are never broadcast
+    filled = trusted.where("text <> ''").agg(F.count_if("held"), F.count_if(~F.col("held"))).first()
+    trained, held = (trusted.where("NOT held"), trusted.where("held")) if all(filled) else (trusted, trusted)
+    grams, contexts, unseen = kneser_ney(stored(gram_counts(trained)))
     head = docs.sparkSession.sparkContext.broadcast(head_of(grams[ORDER], HEAD))
-    return Model(grams, contexts, unseen, head), trusted
+    return Model(grams, contexts, unseen, head), held.select("lang", "text")
+
+
+def held_out(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(HELD)) == 0
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float, deviations: float) -> DataFrame:
     """The columns of docs but for text, with perplexity and kept; docs: text, lang without nulls and others, labels as in quality_lm."""
-    model, trusted = fit(docs, labels)
-    ppl = stored(perplexities(trusted, model).where("perplexity IS NOT NULL"))
+    model, held = fit(docs, labels)
+    ppl = stored(perplexities(held, model, 0.0).where("perplexity IS NOT NULL"))
     q = F.percentile_approx("perplexity", quantile, 100_000)
-    limits = stored(ppl.groupBy("lang").agg((q * margin).alias("_limit"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).select("lang", "_limit"))
     overall = ppl.agg(q).first()[0]
-    all_limit = F.lit(overall * margin if overall is not None else math.inf)
-    scored = perplexities(docs, model).join(limits, "lang", "left")
-    return scored.withColumn("kept", F.coalesce(F.col("low") <= F.coalesce("_limit", all_limit), F.lit(False))).drop("_limit", "low")
+    own = stored(ppl.groupBy("lang").agg(F.ln(q).alias("_own"), F.count("*").alias("_n")))
+    scored = perplexities(docs, model, deviations)
+    if overall is None:
+        return scored.withColumn("kept", F.col("perplexity").isNotNull()).drop("low")
+    n, shared = F.coalesce("_n", F.lit(0)), F.lit(math.log(overall))
+    limit = F.exp((n * F.coalesce("_own", F.lit(0.0)) + POOLED * shared) / (n + POOLED)) * margin
+    return scored.join(own, "lang", "left").withColumn("kept", F.coalesce(F.col("low") <= limit, F.lit(False))).drop("_own", "_n", "low")
 
 
-def quality_lm(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def quality_lm(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, deviations: float = DEVIATIONS) -> DataFrame:
     """doc_id, lang, perplexity (a character) and kept of each document.
 
     docs: doc_id, text, lang; labels: doc_id, quality; other columns are not read. Null and empty texts have no
-    perplexity and are not kept. A null lang counts as a language of its own, as an empty one; languages with few
-    trusted documents have the limit of all. A document is kept unless its perplexity is over the quantile of its
-    language's trusted documents times the margin by DEVIATIONS standard errors, which spares short texts. Without
-    trusted documents all texts with a character are kept. Repeated rows each give a row and count as often in
-    training. Empty tables give no rows.
+    perplexity and are not kept. A null lang counts as a language of its own, as an empty one. A document is kept
+    unless its perplexity is over the quantile of its language's held-out trusted documents, which is drawn towards the
+    quantile of all where these are few; margin and deviations loosen that, at 1 and 0 they do nothing. Without trusted
+    documents all texts with a character are kept. Repeated rows each give a row and count as often in training. Empty
+    tables give no rows.
     """
     own = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("lang").cast("string").alias("own_lang"), F.col("text").cast("string").alias("text"))
-    return judged(own, labels, quantile, margin).select("doc_id", F.col("own_lang").alias("lang"), "perplexity", "kept")
+    return judged(own, labels, quantile, margin, deviations).select("doc_id", F.col("own_lang").alias("lang"), "perplexity", "kept")
 
 
-def kept_only(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def kept_only(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, deviations: float = DEVIATIONS) -> DataFrame:
     """The rows of docs that quality_lm keeps, as they are; the verdict depends on text and lang alone."""
     text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
     key = F.sha2(F.concat(F.octet_length(lang).cast("string"), F.lit(" "), lang, text), 256)
     rows = docs.select(F.col("doc_id"), lang.alias("lang"), key.alias("key"), F.col("text").cast("string").alias("text"))
-    gone = judged(rows, labels, quantile, margin).where("NOT kept").select(F.col("key").alias("_key")).distinct()
+    gone = judged(rows, labels, quantile, margin, deviations).where("NOT kept").select(F.col("key").alias("_key")).distinct()
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
     return marked.join(stored(gone), "_key", "left_anti").select("_row.*")

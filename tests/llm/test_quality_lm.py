@@ -44,8 +44,8 @@ def losses(p, t):
     return np.array([-math.log(p(s[i : i + Q.ORDER])) for i in range(len(t))])
 
 
-@pytest.mark.parametrize("head", [0, 40, 1 << 16])
-def test_whole_documents_match_brute_force(spark, monkeypatch, head):
+@pytest.mark.parametrize(("head", "margin", "deviations"), [(0, 1.0, 0.0), (40, 1.0, 0.0), (1 << 16, 1.05, 2.0)])
+def test_whole_documents_match_brute_force(spark, monkeypatch, head, margin, deviations):
     """Perplexities, limits and verdicts, however much of the model is sent to the executors."""
     monkeypatch.setattr(Q, "HEAD", head)
     monkeypatch.setattr(Q, "PIECE", 37)
@@ -59,25 +59,26 @@ def test_whole_documents_match_brute_force(spark, monkeypatch, head):
     rows += [(200, None, "en"), (201, "", "ru"), (7, rows[7][1], rows[7][2]), (None, "abc de", "xx")]
     labels = [(k, 1 if k % 3 else 0) for k in range(0, 120)]
     docs = spark.createDataFrame([(i, t, la, 1.5, "r") for i, t, la in rows], "doc_id long, text string, lang string, perplexity double, rest string")
-    out = Q.quality_lm(docs, spark.createDataFrame(labels, "doc_id long, quality int"), quantile=0.8, margin=1.0).collect()
+    out = Q.quality_lm(docs, spark.createDataFrame(labels, "doc_id long, quality int"), 0.8, margin, deviations).collect()
     good = {i for i, q in labels if q == 1}
     trusted = [(t or "", la or "") for i, t, la in rows if i in good]
-    p, symbols = brute([t for t, _ in trusted])
+    held = {r.t for r in spark.createDataFrame([(t,) for t, _ in trusted], "t string").where(Q.held_out(Q.F.col("t"))).collect()}
+    assert 5 < len(held) < len(trusted) / 2
+    p, symbols = brute([t for t, _ in trusted if t not in held])
     assert abs(sum(p("bcd"[1 - Q.ORDER :] + c) for c in [*symbols, "\x00"]) - 1) < 1e-9
     ppl = lambda t: math.exp(losses(p, t).mean()) if t else None
     quantile = lambda v: sorted(v)[max(0, math.ceil(0.8 * len(v)) - 1)]
     by = {}
     for t, la in trusted:
-        if t:
+        if t in held and t:
             by.setdefault(la, []).append(ppl(t))
     overall = quantile([x for v in by.values() for x in v])
-    limits = {la: quantile(v) for la, v in by.items() if len(v) >= Q.FEWEST}
-    assert len(limits) >= 2
+    pooled = lambda v: math.exp((len(v) * math.log(quantile(v) if v else 1) + Q.POOLED * math.log(overall)) / (len(v) + Q.POOLED)) * margin
     want = Counter()
     for i, t, la in rows:
         x = losses(p, t or "")
-        low = math.exp(x.mean() - Q.DEVIATIONS * x.std() / math.sqrt(len(x))) if len(x) else None
-        want[i, la, round(ppl(t), 6) if t else None, low is not None and low <= limits.get(la or "", overall)] += 1
+        low = math.exp(x.mean() - deviations * x.std() / math.sqrt(len(x))) if len(x) else None
+        want[i, la, round(ppl(t), 6) if t else None, low is not None and low <= pooled(by.get(la or "", []))] += 1
     got = Counter((r.doc_id, r.lang, None if r.perplexity is None else round(r.perplexity, 6), r.kept) for r in out)
     assert got == want and len({k[3] for k in want}) == 2
 
