@@ -22,6 +22,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST, SEEN, RATIO = 6, 5, 5
 #: The rarest bigrams of a word that are joined: one edit destroys two, so one of three is left.
 RAREST = 3
+#: So many bigrams are sent to all tasks, more are joined by shuffle; Latin letters make 8,100.
+FEW_BIGRAMS = 1 << 15
 
 
 def typed(word: Column, doc_id: Column, every: int) -> Column:
@@ -44,7 +46,9 @@ def words_of(docs: DataFrame, least: int = LEAST, seen: int = SEEN, slip_every:
 def rarest_bigrams(words: DataFrame) -> DataFrame:
     """word, n, at (from 1): the places of the three rarest bigrams of each word, ties by bigram and place."""
     grams = words.select("word", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, 2))).alias("at", "gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("f"))
+    common = stored(grams.groupBy("gram").agg(F.count("*").alias("f")))
+    if common.count() <= FEW_BIGRAMS:
+        common = F.broadcast(common)
     first = F.slice(F.sort_array(F.collect_list(F.struct("f", "gram", "at"))), 1, RAREST)
     rare = grams.join(common, "gram").groupBy("word", "n").agg(first.alias("rare"))
     return rare.select("word", "n", F.explode("rare.at").alias("pos")).select("word", "n", (F.col("pos") + 1).alias("at"))
