@@ -95,6 +95,11 @@ def talk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "question", category.alias("category"))
 
 
+def talk_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, question, choices: each user turn of the conversations, its first four words being the choices and the first the right one."""
+    return talk_questions(spark, sf_dir).select("question_id", "question", F.slice(F.split("question", " "), 1, 4).alias("choices"))
+
+
 def region_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A roster of five models, each of a provider of its own."""
     key = F.col("r_regionkey")
@@ -182,6 +187,9 @@ class Canned:
         x = drawn(model_id, prompt)
         if x % 16 == 0:
             raise ValueError("invalid request")
+        if prompt.startswith("Pick the right choice"):
+            letter = "ABCD"[x % 4]
+            return [letter, f"({letter})", f"The answer is {letter}.", f"ABCD? I choose {letter}"][x // 4 % 4] if x % 16 != 1 else " "
         return " " if x % 16 == 1 else f"The answer is {x % 100}."
 
     def grades(self, model_id: str, prompt: str) -> str:

@@ -11,6 +11,10 @@ GRADE = 'Grade each response to the question from 1 to 10 for being right, compl
 MATH = "Solve the problem step by step and end with the line #### <number>.\n\n%s"
 CHOICE = "Pick the right choice and reply with its letter only.\n\n%s\n\n%s"
 
+MATH_GRADE = 'Check each solution of the problem and grade it from 1 to 10: right answers with sound steps highest, right answers with flawed steps lower, wrong ones by what they got right.\n\nQuestion: %s\n\n%s\n\nReply with JSON: {"<label>": {"score": <1-10>, "reason": "..."}}'
+CHOICE_GRADE = 'Work out the right choice yourself, then grade each response from 1 to 10 for its choice and its reasons.\n\nQuestion: %s\n\nChoices:\n%s\n\n%s\n\nReply with JSON: {"<label>": {"score": <1-10>, "reason": "..."}}'
+ANALYSIS = "Below is a report on models that graded each other. Write an analysis with figures from it: the ranking, the best models, outliers and biases, patterns in speed, cost and categories, doubts, which model to use for what, and five headlines.\n\n%s"
+
 
 def question_prompt(n: int, categories: Column) -> Column:
     return F.format_string(QUESTION, F.lit(n), F.array_join(categories, ", "))
@@ -35,6 +39,22 @@ def grading_prompt(question: Column, labelled: Column) -> Column:
     return F.format_string(GRADE, question, responses_block(labelled))
 
 
+def math_grading_prompt(question: Column, labelled: Column) -> Column:
+    return F.format_string(MATH_GRADE, question, responses_block(labelled))
+
+
+def choice_grading_prompt(question: Column, choices: Column, labelled: Column) -> Column:
+    return F.format_string(CHOICE_GRADE, question, choices_block(choices), responses_block(labelled))
+
+
+def choice_prompt(question: Column, choices: Column) -> Column:
+    return F.format_string(CHOICE, question, choices_block(choices))
+
+
+def analysis_prompt(report: Column) -> Column:
+    return F.format_string(ANALYSIS, report)
+
+
 def choices_block(choices: Column) -> Column:
     """Lines "A. first", "B. second" and so on."""
     return F.array_join(F.transform(choices, lambda c, i: F.concat(F.char(F.lit(65) + i), F.lit(". "), c)), "\n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import special, stats
 from ..functions.text import model_answer, numbers_match
 from .inference import correlation, mid_rank
-from .scores import BASE, peer_cells, peer_stats, rank_by
+from .scores import BASE, NAMES, PLACES, mode_stats, peer_cells, peer_stats, rank_by
 
 
 def graded(answers: DataFrame, gold: DataFrame) -> DataFrame:
@@ -95,6 +95,16 @@ def ablation(cube: DataFrame, acc: DataFrame, least: int = 3) -> DataFrame:
     return j.select("n", "peer_r", "self_r", "peer_rho", "self_rho", F.round(F.col("peer_r") - F.col("self_r"), 6).alias("gain_r"), F.round(F.col("peer_rho") - F.col("self_rho"), 6).alias("gain_rho"))
 
 
+def ablation_by_model(cube: DataFrame, acc: DataFrame) -> DataFrame:
+    """Peer and self mean of each model with a right answer, and its self, name and position bias, null where a mode or its self scores are missing."""
+    s = mode_stats(cube)
+    mean = lambda mode, name: s.where(F.col("mode") == mode).where(F.col("peer_n") > 0).select("model", F.col("peer_mean").alias(name))
+    own = s.where((F.col("mode") == BASE) & (F.col("self_n") > 0)).select("model", F.col("self_mean").alias("self"))
+    j = mean(BASE, "peer").join(acc.where("mean > 0").select("model", F.col("mean").alias("truth")), "model").join(own, "model", "left").join(mean(NAMES, "named"), "model", "left").join(mean(PLACES, "placed"), "model", "left")
+    less = lambda c, name: F.round(F.col(c) - F.col("peer"), 4).alias(name)
+    return j.select("model", F.round("peer", 4).alias("peer"), F.round("self", 4).alias("self"), "truth", less("self", "self_bias"), less("named", "name_bias"), less("placed", "position_bias"))
+
+
 def reasoning_modes(answers: DataFrame) -> DataFrame:
     """Characters shown for each token paid: few of them tell of hidden reasoning."""
     g = answers.groupBy("model").agg(F.avg("out_tok").alias("t"), F.avg(F.length("text")).alias("c"))

@@ -110,6 +110,32 @@ def mapped_category(category: Column) -> Column:
     return F.coalesce(F.element_at(known, category), F.lit(DEFAULT_CATEGORY))
 
 
+#: Levels of difficulty, and the colour of a model that has none of its own.
+DIFFICULTIES = ["easy", "medium", "hard"]
+NO_COLOUR = "#666666"
+
+
+def of_difficulty(rows: DataFrame, levels: list[str]) -> DataFrame:
+    """Rows of these levels (column difficulty); unknown levels are ignored, and if none is known all rows stay."""
+    known = [x for x in levels if x in DIFFICULTIES]
+    return rows.where(F.col("difficulty").isin(known)) if known else rows
+
+
+def toggled(excluded: DataFrame, models: DataFrame, name: str) -> DataFrame:
+    """The excluded names (name) after one more switch of a model: one that was out is in again, one of the roster that was in is out, others change nothing."""
+    one = models.where(F.col("name") == name).select("name").distinct()
+    return excluded.select("name").distinct().join(one, "name", "left_anti").unionByName(one.join(excluded, "name", "left_anti"))
+
+
+def without(models: DataFrame, excluded: DataFrame) -> DataFrame:
+    return models.join(excluded.select("name"), "name", "left_anti")
+
+
+def colour(model: Column, colours: dict[str, str]) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in colours.items() for x in kv]) if colours else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.element_at(known, model), F.lit(NO_COLOUR))
+
+
 def valid_choices(rows: DataFrame) -> DataFrame:
     """Multiple-choice rows (choices, labels) that have a right answer, with its place from 0."""
     ok = (F.size("choices") > 0) & (F.size("labels") > 0) & F.array_contains("labels", 1)

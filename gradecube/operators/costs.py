@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import safe
@@ -54,11 +54,15 @@ def efficiency(peer: DataFrame, answers: DataFrame, models: DataFrame, exponent:
     return j.select(rank_by(F.desc("efficiency"), F.col("model_ord")).alias("rank"), "model", F.round("peer", 4).alias("peer"), F.round(F.col("c") * 100, 4).alias("cents"), "efficiency")
 
 
-def estimated_input(answers: DataFrame, questions: DataFrame, web: bool = False) -> DataFrame:
-    """Mean estimated input tokens over the questions a model answered: a quarter of the characters, 50, and 2000 with a search."""
+def estimated_input(answers: DataFrame, questions: DataFrame, web: Column | bool = False) -> DataFrame:
+    """Mean estimated input tokens over the questions a model answered: a quarter of the characters, 50, and 2000 with a search.
+
+    web: whether there was a search, for the run or, as a column of answers, for each answer.
+    """
     q = questions.select("q_ord", "question")
-    tokens = estimated_tokens(F.col("question")) + 50 + (2000 if web else 0)
-    return answers.where(F.trim("text") != "").join(q, "q_ord").groupBy("model").agg(F.floor(F.avg(tokens)).cast("long").alias("tokens"))
+    tokens = estimated_tokens(F.col("question")) + 50 + F.col("_search")
+    search = F.when(web if isinstance(web, Column) else F.lit(web), 2000).otherwise(0)
+    return answers.withColumn("_search", search).where(F.trim("text") != "").join(q, "q_ord").groupBy("model").agg(F.floor(F.avg(tokens)).cast("long").alias("tokens"))
 
 
 def searches(log: DataFrame, provider: str = "tavily") -> DataFrame:

@@ -30,3 +30,8 @@ def top(stats: DataFrame, by: str, highest: bool, n: int = 5) -> DataFrame:
 
 def medians(stats: DataFrame) -> DataFrame:
     return stats.agg(F.round(F.median("mean"), 4).alias("median_mean"), F.round(F.median("sd"), 4).alias("median_sd"))
+
+
+def autopsy_rows(asked: DataFrame) -> DataFrame:
+    """source_model, category, question and id, its first fifty characters, of questions as json_files reads them."""
+    return asked.select("source_model", "category", "question", F.substring("question", 1, 50).alias("id"))

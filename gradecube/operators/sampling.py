@@ -12,56 +12,48 @@ def key(*parts: Column | str, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
-def filled_quotas(available: dict[str, int], target: int) -> dict[str, int]:
-    """Quotas as water fills vessels: the highest whole level whose volume is within the target, the rest to the first strata above it."""
-    volume = lambda level: sum(min(n, level) for n in available.values())
-    low, high = 0, max(available.values(), default=0)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if volume(middle) <= target else (low, middle - 1)
-    deeper = [s for s, n in available.items() if n > low]
-    extra = set(deeper[: max(0, target - volume(low))])
-    return {s: min(n, low) + (s in extra) for s, n in available.items()}
-
-
-def even_quotas(available: dict[str, int], target: int) -> dict[str, int]:
-    """Even shares with the remainder to the first strata; what small strata leave is not handed on."""
-    share, rest = divmod(target, max(len(available), 1))
-    return {s: min(n, share + (k < rest)) for k, (s, n) in enumerate(available.items())}
-
-
-def strata(rows: DataFrame, stratum: str) -> dict[str, int]:
-    """Rows of each stratum, by name; strata are few."""
-    return {r[0]: r[1] for r in rows.groupBy(stratum).agg(F.count("*").alias("n")).orderBy(stratum).collect()}
-
-
-def quota_table(rows: DataFrame, stratum: str, target: int) -> DataFrame:
-    available = strata(rows, stratum)
-    taken = filled_quotas(available, target)
-    return rows.sparkSession.createDataFrame([(s, available[s], taken[s]) for s in available], f"{stratum} string, available long, taken long")
-
-
-def sampled(rows: DataFrame, stratum: str, id_: str, quotas: dict[str, int], seed: int = SEED) -> DataFrame:
-    """The first rows of each stratum in md5 order, as many as its quota."""
-    q = rows.sparkSession.createDataFrame(list(quotas.items()) or [("", 0)], f"{stratum} string, _quota long")
+def quota_table(rows: DataFrame, stratum: str, target: int, even: bool = False) -> DataFrame:
+    """stratum, available and taken of each stratum, from its count by windows over the strata, which are few.
+
+    Filled as water fills vessels: every stratum up to one level, the highest whole one whose volume is within the
+    target, and one more from the first strata by name above it. Even: equal shares, one more from the first by name;
+    what small strata leave is not handed on.
+    """
+    s = rows.groupBy(stratum).agg(F.count("*").alias("available"))
+    every = Window.partitionBy()
+    if even:
+        name = F.row_number().over(Window.orderBy(stratum))
+        share, rest = F.floor(F.lit(target) / F.count("*").over(every)), F.lit(target) % F.count("*").over(every)
+        return s.select(stratum, "available", F.least("available", share + (name <= rest).cast("long")).cast("long").alias("taken"))
+    up = Window.orderBy("available", stratum)
+    below = F.sum("available").over(up.rowsBetween(Window.unboundedPreceding, -1))
+    left = F.count("*").over(every) - F.row_number().over(up) + 1
+    s = s.withColumn("_level", F.floor(F.greatest(F.lit(0), F.lit(target) - F.coalesce(below, F.lit(0))) / left))
+    level = F.coalesce(F.max(F.when(F.col("_level") < F.col("available"), F.col("_level"))).over(every), F.max("available").over(every))
+    s = s.withColumn("_base", F.least("available", level)).withColumn("_deep", F.col("available") > F.col("_base"))
+    rest = F.lit(target) - F.sum("_base").over(every)
+    first = F.row_number().over(Window.partitionBy("_deep").orderBy(stratum)) <= rest
+    return s.select(stratum, "available", (F.col("_base") + (F.col("_deep") & first).cast("long")).cast("long").alias("taken"))
+
+
+def sampled(rows: DataFrame, stratum: str, id_: str, quotas: DataFrame, seed: int = SEED) -> DataFrame:
+    """The first rows of each stratum in md5 order, as many as its quota (stratum, taken)."""
     w = Window.partitionBy(stratum).orderBy(key(F.col(id_).cast("string"), seed=seed))
-    return rows.join(F.broadcast(q), stratum).withColumn("_k", F.row_number().over(w)).where("_k <= _quota").drop("_k", "_quota")
+    q = quotas.select(stratum, F.col("taken").alias("_quota"))
+    return rows.join(q, stratum).withColumn("_k", F.row_number().over(w)).where("_k <= _quota").drop("_k", "_quota")
 
 
 def stratified(rows: DataFrame, stratum: str, id_: str, target: int, even: bool = False) -> DataFrame:
-    return sampled(rows, stratum, id_, (even_quotas if even else filled_quotas)(strata(rows, stratum), target))
+    return sampled(rows, stratum, id_, quota_table(rows, stratum, target, even))
 
 
 def spread(rows: DataFrame, stratum: str, id_: str, target: int) -> DataFrame:
     """One row of each of target strata in md5 order if strata outnumber the target, else even shares; then cut to the target in md5 order."""
-    available = strata(rows, stratum)
-    if target < len(available):
-        import hashlib
-
-        names = sorted(available, key=lambda s: hashlib.md5(f"{SEED}|{s}".encode()).hexdigest())[:target]
-        return sampled(rows, stratum, id_, dict.fromkeys(names, 1))
-    got = sampled(rows, stratum, id_, even_quotas(available, target))
-    return got.orderBy(key(F.col(id_).cast("string"))).limit(target)
+    shares = quota_table(rows, stratum, target, even=True)
+    first = F.row_number().over(Window.orderBy(key(F.col(stratum).cast("string")))) <= target
+    many = F.count("*").over(Window.partitionBy()) > target
+    quotas = shares.select(stratum, F.when(many, first.cast("long")).otherwise(F.col("taken")).alias("taken"))
+    return sampled(rows, stratum, id_, quotas).orderBy(key(F.col(id_).cast("string"))).limit(target)
 
 
 def blind_labels(cells: DataFrame, group: list[str], model: str) -> DataFrame:

@@ -50,6 +50,20 @@ def judge_generosity(cube: DataFrame, mode: str = BASE) -> DataFrame:
     return g.select(rank_by(F.desc("given"), F.col("evaluator_ord")).alias("rank"), "evaluator", *[F.round(c, 4).alias(c) for c in ("given", "sd", "sd_pop")], "n")
 
 
+def of_roster(rows: DataFrame, roster: DataFrame, column: str = "model") -> DataFrame:
+    """The rows whose model is of the roster (column model)."""
+    return rows.join(roster.select(F.col("model").alias(column)).distinct(), column, "left_semi")
+
+
+def peer_rows(cube: DataFrame, samples: DataFrame) -> DataFrame:
+    """Rank, peer mean and deviation, number of scores, mean answer time, self mean (0 if none), self bias and raw mean; models with a peer score.
+
+    samples: model, seconds; calls that took no time failed and do not count, a model without others has a time of 0.
+    """
+    t = samples.groupBy("model").agg(F.coalesce(F.avg(F.when(F.col("seconds") > 0, F.col("seconds"))), F.lit(0.0)).alias("seconds"))
+    return peer_rankings(cube).join(t, "model", "left").withColumn("seconds", F.round(F.coalesce("seconds", F.lit(0.0)), 4))
+
+
 def mode_stats(cube: DataFrame) -> DataFrame:
     """Of each mode and model: mean, deviation (n), standard error (n - 1) and number of peer and of self scores."""
     out = []

@@ -19,12 +19,15 @@ from ..sources.providers import Client, asked
 
 ANSWERS = "question_id string, model string, text string, in_tok long, out_tok long, cost double, seconds double, error string, refused boolean, revision string, batch int"
 CELLS = "evaluator string, question_id string, model string, score_raw string, score double, seconds double, error string, revision string, mode string"
+QUESTIONS = "source_model string, ordinal int, j int, category string, question string, seconds double, revision string, attempt int"
 #: Ways of showing answers to a judge: whether they are shuffled, whether names are hidden.
 MODES = {"shuffle_only": (True, False), "blind_only": (False, True), "shuffle_blind": (True, True)}
 #: A category with this word needs a search.
 SEARCHED = "current"
 #: Characters of a question that are searched for.
 QUERY = 400
+#: Results of a search that are kept, and characters of each.
+RESULTS, EXCERPT = 5, 250
 
 
 def committed(spark: SparkSession, path: str, schema: str, revision: str) -> DataFrame:
@@ -45,30 +48,65 @@ def providers_of(models: DataFrame) -> list[str]:
     return [r[0] for r in models.select("provider").distinct().where("provider IS NOT NULL").collect()]
 
 
-def fetched(questions: DataFrame, connect: Callable[[str], Client], engine: str, cost: float, limits: dict[str, int] | None = None) -> DataFrame:
+def fetched(questions: DataFrame, connect: Callable[[str], Client], engine: str, cost: float, limits: dict[str, int] | None = None, results: int = RESULTS) -> DataFrame:
     """question_id, category, skipped, success, grounding, seconds, cost: a search for each question whose category needs one.
 
-    success is null where none was tried; a search that fails or finds nothing leaves no grounding and costs nothing.
+    engine: the search engine, whose client gives a line for its own answer and each result, best first; so many are
+    kept, cut to EXCERPT characters. success is null where none was tried; a search that fails or finds nothing leaves
+    no grounding and costs nothing.
     """
     need = F.contains(F.lower("category"), F.lit(SEARCHED))
     tried = questions.where(need).select("question_id", "category", F.lit(engine).alias("provider"), F.lit(engine).alias("model_id"), F.left("question", F.lit(QUERY)).alias("prompt"))
     found = asked(tried, [engine], connect, limits)
     good = F.col("error").isNull() & (F.trim("text") != "")
-    found = found.select("question_id", "category", F.lit(False).alias("skipped"), good.alias("success"), F.when(good, F.col("text")).alias("grounding"), "seconds", F.when(good, F.lit(cost)).otherwise(F.lit(0.0)).alias("cost"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    said = F.array_join(F.transform(F.slice(lines, 1, results), lambda x: F.left(x, F.lit(EXCERPT))), " ")
+    found = found.select("question_id", "category", F.lit(False).alias("skipped"), good.alias("success"), F.when(good, said).alias("grounding"), "seconds", F.when(good, F.lit(cost)).otherwise(F.lit(0.0)).alias("cost"))
     rest = questions.where(~F.coalesce(need, F.lit(False))).select("question_id", "category", F.lit(True).alias("skipped"), F.lit(None).cast("boolean").alias("success"), F.lit(None).cast("string").alias("grounding"), F.lit(0.0).alias("seconds"), F.lit(0.0).alias("cost"))
     return found.unionByName(rest)
 
 
+def question_attempts(models: DataFrame, prompt: Column, path: str, revision: str, connect: Callable[[str], Client], most: int, attempts: int = 6, limits: dict[str, int] | None = None) -> Iterator[int]:
+    """Every model makes up questions; yields the number of each attempt after its commit.
+
+    A reply's list of objects, bare or wrapped as "questions", is taken, its first `most` objects with a question; a
+    model without any is asked again in the next attempt, which makes up for failed calls too.
+    """
+    spark, providers = models.sparkSession, providers_of(models)
+    for k in range(attempts):
+        have = committed(spark, path, QUESTIONS, revision).select("source_model").distinct()
+        missing = models.join(have, models["name"] == have["source_model"], "left_anti")
+        if not missing.head(1):
+            return
+        replies = asked(missing.select(F.col("name").alias("source_model"), "ordinal", "provider", "model_id", prompt.alias("prompt")), providers, connect, limits)
+        value = extracted_json(F.col("text"))
+        entries = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$.questions", "array<variant>")).otherwise(F.try_variant_get(value, "$", "array<variant>"))
+        good = F.slice(F.filter(entries, lambda v: F.schema_of_variant(v).startswith("OBJECT") & F.try_variant_get(v, "$.question", "string").isNotNull()), 1, most)
+        rows = replies.select("source_model", "ordinal", "seconds", F.posexplode(good).alias("j", "q"))
+        category = F.coalesce(F.try_variant_get("q", "$.category", "string"), F.lit("general"))
+        out = rows.select("source_model", "ordinal", "j", category.alias("category"), F.try_variant_get("q", "$.question", "string").alias("question"), "seconds", F.lit(revision).alias("revision"), F.lit(k).alias("attempt"))
+        commit(out, path, "attempt")
+        yield k
+
+
+def made_questions(models: DataFrame, prompt: Column, path: str, revision: str, connect: Callable[[str], Client], most: int, **how) -> DataFrame:
+    """The questions of a revision, after asking the models that have none yet; a model that failed every time has no row."""
+    for _ in question_attempts(models, prompt, path, revision, connect, most, **how):
+        pass
+    return committed(models.sparkSession, path, QUESTIONS, revision)
+
+
 def answer_batches(questions: DataFrame, models: DataFrame, path: str, revision: str, connect: Callable[[str], Client], grounding: DataFrame | None = None, batches: int = 8, limits: dict[str, int] | None = None, again: bool = False) -> Iterator[int]:
     """Every model answers every question; yields the number of each batch after its commit.
 
-    questions: question_id, question; models: name, provider, model_id, in_per_m, out_per_m; grounding: question_id,
+    questions: question_id and question, or a prompt of their own in its place; models: name, provider, model_id, in_per_m, out_per_m; grounding: question_id,
     grounding. Batches are dealt by question. What is committed is not asked again; with again, what ended in an error
     is. An answer without text is a refusal, a failed call an answer that says so, without tokens or cost.
     """
     spark, providers = questions.sparkSession, providers_of(models)
     text = questions.join(grounding.select("question_id", "grounding"), "question_id", "left") if grounding is not None else questions.withColumn("grounding", F.lit(None).cast("string"))
-    tasks = text.select("question_id", prompts.answer_prompt(F.col("question"), F.col("grounding")).alias("prompt"), F.pmod(F.xxhash64("question_id"), F.lit(batches)).cast("int").alias("batch"))
+    prompt = prompts.grounded(F.col("prompt"), F.col("grounding")) if "prompt" in questions.columns else prompts.answer_prompt(F.col("question"), F.col("grounding"))
+    tasks = text.select("question_id", prompt.alias("prompt"), F.pmod(F.xxhash64("question_id"), F.lit(batches)).cast("int").alias("batch"))
     tasks = tasks.crossJoin(models.select(F.col("name").alias("model"), "provider", "model_id", "in_per_m", "out_per_m"))
     for k in range(batches):
         done = committed(spark, path, ANSWERS, revision).where(F.col("batch") == k)
@@ -102,8 +140,9 @@ def answer_totals(given: DataFrame, grounding: DataFrame | None = None) -> DataF
     return t.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("model")).alias("model"), "calls", "in_tok", "out_tok", "llm_cost", extra.alias("search_cost"), F.round(F.col("llm_cost") + extra, 4).alias("total_cost"), "refused", "errors")
 
 
-def shown(questions: DataFrame, given: DataFrame, models: DataFrame, shuffle: bool, blind: bool) -> DataFrame:
-    """question_id, question, labelled: the answers of all models (N/A where there is none) in the order and under the labels of a mode."""
+def shown(questions: DataFrame, given: DataFrame, models: DataFrame, shuffle: bool, blind: bool, most: int | None = None) -> DataFrame:
+    """question_id, question, labelled: the answers of all models (N/A where there is none) in the order and under the labels of a mode, cut to so many characters."""
+    given = given.withColumn("text", F.left("text", F.lit(most))) if most else given
     grid = questions.select("question_id", "question").crossJoin(models.select(F.col("name").alias("model"), "ordinal"))
     text = grid.join(given.select("question_id", "model", "text"), ["question_id", "model"], "left")
     order = key(F.col("question_id"), F.col("model")) if shuffle else F.lpad(F.col("ordinal").cast("string"), 9, "0")
@@ -113,10 +152,10 @@ def shown(questions: DataFrame, given: DataFrame, models: DataFrame, shuffle: bo
     return rows.select("question_id", "question", F.transform("r", lambda x, i: F.struct(label(x, i).alias("label"), x["text"].alias("text"), x["model"].alias("model"))).alias("labelled"))
 
 
-def read_cells(reply: Column, labelled: Column) -> Column:
+def read_cells(reply: Column, labelled: Column, exact: bool = False) -> Column:
     """An array of (model, cell) from a reply: its JSON object's entries, labels put back to models.
 
-    A label is looked up as it stands, else the first that holds it or is held by it is taken. Of entries for one model
+    A label is looked up as it stands, else, unless exact, the first that holds it or is held by it is taken. Of entries for one model
     an exact label wins, then the greatest; a reply without an object gives null.
     """
     value = extracted_json(reply)
@@ -125,7 +164,7 @@ def read_cells(reply: Column, labelled: Column) -> Column:
     def model_of(label: Column) -> Column:
         same = F.filter(labelled, lambda x: x["label"] == label)
         near = F.filter(labelled, lambda x: F.contains(x["label"], label) | F.contains(label, x["label"]))
-        return F.coalesce(F.get(same, F.lit(0)), F.get(near, F.lit(0)))
+        return F.get(same, F.lit(0)) if exact else F.coalesce(F.get(same, F.lit(0)), F.get(near, F.lit(0)))
 
     found = F.transform(entries, lambda e: F.struct(model_of(e["key"])["model"].alias("model"), (model_of(e["key"])["label"] == e["key"]).alias("exact"), e["key"].alias("label"), e["value"].alias("cell")))
     found = F.filter(found, lambda c: c["model"].isNotNull())
@@ -133,24 +172,25 @@ def read_cells(reply: Column, labelled: Column) -> Column:
     return F.transform(F.filter(found, lambda c: ~F.exists(found, lambda d: better(c, d))), lambda c: F.struct(c["model"].alias("model"), c["cell"].alias("cell")))
 
 
-def evaluation_modes(questions: DataFrame, given: DataFrame, models: DataFrame, path: str, revision: str, connect: Callable[[str], Client], grounding: DataFrame | None = None, limits: dict[str, int] | None = None, policy: str = "lenient") -> Iterator[str]:
+def evaluation_modes(questions: DataFrame, given: DataFrame, models: DataFrame, path: str, revision: str, connect: Callable[[str], Client], grounding: DataFrame | None = None, limits: dict[str, int] | None = None, policy: str = "lenient", prompt: Callable[[DataFrame], Column] | None = None, most: int | None = None, exact: bool = False) -> Iterator[str]:
     """Every model grades the answers to every question in each mode; yields the name of each mode after its commit.
 
     A cell is a row; a call that failed, or a reply without grades, is a row with an error and no model. Modes that are
-    committed are left out. grounding: question_id, grounding, put before the prompt.
+    committed are left out. grounding: question_id, grounding, put before the prompt. prompt: made from the questions'
+    rows (with labelled) in place of the usual one; most: characters of an answer that are shown; exact: as read_cells().
     """
     spark, providers = questions.sparkSession, providers_of(models)
     for mode, (shuffle, blind) in MODES.items():
         if committed(spark, path, CELLS, revision).where(F.col("mode") == mode).head(1):
             continue
-        rows = shown(questions, given, models, shuffle, blind)
-        text = prompts.grading_prompt(F.col("question"), F.col("labelled"))
+        rows = shown(questions, given, models, shuffle, blind, most).drop("question").join(questions, "question_id")
+        text = prompt(rows) if prompt else prompts.grading_prompt(F.col("question"), F.col("labelled"))
         if grounding is not None:
             rows = rows.join(grounding.select("question_id", "grounding"), "question_id", "left")
             text = prompts.grounded(text, F.col("grounding"))
         tasks = rows.select("question_id", "labelled", text.alias("prompt")).crossJoin(models.select(F.col("name").alias("evaluator"), "provider", "model_id"))
         replies = asked(tasks, providers, connect, limits)
-        cells = replies.withColumn("cells", read_cells(F.col("text"), F.col("labelled")))
+        cells = replies.withColumn("cells", read_cells(F.col("text"), F.col("labelled"), exact))
         none = F.when(F.col("cells").isNull() | (F.size("cells") == 0), F.coalesce("error", F.lit("no grades in the reply")))
         flat = cells.select("evaluator", "question_id", none.alias("error"), "seconds", F.explode_outer("cells").alias("c"))
         out = flat.select("evaluator", "question_id", "c.model", F.col("c.cell").alias("score_raw"), coercion.POLICIES[policy](F.col("c.cell")).alias("score"), "seconds", "error", F.lit(revision).alias("revision"), F.lit(mode).alias("mode"))

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompts import analysis_prompt
+from ..functions.text import bar
 from ..operators import agreement, benchmark, costs, elo, inference, questions, scores
+from ..sources.providers import Client, asked
+from .phases import MODES
+
+METHOD = (
+    "Every model answers every question and grades all answers in three modes: shuffled with names, hidden in fixed order, and shuffled and hidden, "
+    "which is the baseline. Peer scores leave out a model's grades of itself. Name bias is the shuffled mode less the baseline, position bias the fixed "
+    "order less the baseline, self bias a model's own grade less its peers'. Elo starts at 1500 and moves by at most 32 a match; the efficiency is a power "
+    "of the peer score over the cost in cents. Intervals are of 95 %; three stars stand for p under 0.001, two under 0.01, one under 0.05."
+)
 
 
-def table(df: DataFrame, right: tuple[str, ...] = ()) -> str:
-    """A Markdown table, columns as wide as their widest cell. df is a finished summary of a few rows."""
+def table(df: DataFrame, right: tuple[str, ...] = (), centre: tuple[str, ...] = ()) -> str:
+    """A Markdown table, columns as wide as their widest cell, to the left unless named. df is a finished summary of a few rows."""
     rows = [["-" if v is None else f"{v:.2f}" if isinstance(v, float) else f"{v:,}" if isinstance(v, int) else str(v) for v in r] for r in df.collect()]
     widths = [max([3, len(c), *(len(r[k]) for r in rows)]) for k, c in enumerate(df.columns)]
-    pad = lambda v, k: v.rjust(widths[k]) if df.columns[k] in right else v.ljust(widths[k])
+    pad = lambda v, k: v.rjust(widths[k]) if df.columns[k] in right else v.center(widths[k]) if df.columns[k] in centre else v.ljust(widths[k])
     line = lambda cells: "| " + " | ".join(pad(v, k) for k, v in enumerate(cells)) + " |"
-    rule = "|" + "|".join("-" * (w + 1) + (":" if df.columns[k] in right else "-") for k, w in enumerate(widths)) + "|"
+    rule = "|" + "|".join((":" if c in centre else "-") + "-" * w + (":" if c in right or c in centre else "-") for c, w in zip(df.columns, widths, strict=True)) + "|"
     return "\n".join([line(df.columns), rule, *map(line, rows)])
 
 
@@ -47,7 +60,29 @@ def report(cube: DataFrame, qs: DataFrame, models: DataFrame, answers: DataFrame
         parts.append(("Efficiency", costs.efficiency(scores.peer_stats(cube).select("model", "model_ord", "peer"), answers, models)))
     if samples is not None:
         parts.append(("Run times", costs.timing(samples).orderBy("model")))
-    return "\n\n".join(f"## {title}\n\n{table(df)}" for title, df in parts) + "\n"
+    if cube.select("mode").distinct().count() == len(MODES):
+        parts.append(("Name bias", scores.biases_with_errors(cube).orderBy(F.desc("name_bias"), "model")))
+    parts.append(("Significance of home advantage", inference.marked(home).orderBy("model")))
+    parts.append(("Peer scores as bars", scores.peer_rankings(cube).orderBy("rank").select("model", bar(F.col("peer")).alias("bar"), "peer")))
+    if answers is not None:
+        parts.append(("Refusals", costs.refused(answers).groupBy("model").agg(F.count("*").alias("refused")).orderBy(F.desc("refused"), "model")))
+    if samples is not None:
+        parts.append(("Failures", costs.failed(samples).orderBy("model")))
+    return "\n\n".join([*(f"## {title}\n\n{table(df)}" for title, df in parts), f"## Method\n\n{METHOD}"]) + "\n"
+
+
+def judge_report(answers: DataFrame, models: DataFrame, cube: DataFrame, written: str, judge: str, connect: Callable[[str], Client], limits: dict[str, int] | None = None) -> str:
+    """Costs, efficiency and estimated input of the models, and what one of them as judge says of a written report.
+
+    models: name, provider, model_id, ordinal, in_per_m, out_per_m. A judge that is not of the models, or whose call
+    fails, leaves its part with the reason.
+    """
+    peer = scores.peer_stats(cube).select("model", "model_ord", "peer")
+    parts = [("Costs of answers", costs.cost_table(answers, models)), ("Score and cost", costs.efficiency(peer, answers, models).orderBy("rank"))]
+    asked_of = models.where(F.col("name") == judge).limit(1).select("provider", "model_id", analysis_prompt(F.lit(written)).alias("prompt"))
+    said = asked(asked_of, [r[0] for r in asked_of.select("provider").collect()], connect, limits).select("text", "error").first()
+    text = "no such model" if said is None else said.error if said.text is None else said.text
+    return f"# Analysis by {judge}\n\n{text}\n\n" + "\n\n".join(f"## {title}\n\n{table(df)}" for title, df in parts) + "\n"
 
 
 def validation_report(cube: DataFrame, accuracies: DataFrame, name: str) -> str:

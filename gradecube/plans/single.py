@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import coercion
 from ..operators.scores import BASE
 
 
@@ -30,3 +31,11 @@ def question_name_bias(cube: DataFrame, names: list[str], mode: str = "shuffle_o
     base = question_scores(cube, names).select("question", "model", F.col("peer").alias("blind"))
     s = question_scores(cube, names, mode).join(base, ["question", "model"], "left")
     return s.select("question", "rank", "model", F.round("peer", 4).alias("score"), F.round(F.col("blind") - F.col("peer"), 4).alias("name_bias"))
+
+
+def session_facts(sessions: DataFrame, names: list[str], mode: str = BASE, question: str = "q1", policy: str = "lenient") -> DataFrame:
+    """The cube of a session of one question from sessions (evaluator, scores: a map of model to JSON cell); evaluators without scores drop out."""
+    place = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))])
+    cells = sessions.where("size(scores) > 0").select("evaluator", F.explode("scores").alias("model", "cell"))
+    score = coercion.POLICIES[policy](F.col("cell")).alias("score")
+    return cells.select(F.lit(mode).alias("mode"), "evaluator", F.element_at(place, F.col("evaluator")).alias("evaluator_ord"), F.lit(question).alias("question"), F.lit(0).alias("q_ord"), "model", F.element_at(place, F.col("model")).alias("model_ord"), score)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import coercion, prompts, special, stats, text
 from .operators import agreement, benchmark, catalog, costs, elo, incremental, inference, names, questions, rules, sampling, scores
-from .plans import analysis, phases, report, single, views
+from .plans import analysis, phases, report, single, validation, views
 from .sources import folders, json_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -989,3 +989,32 @@ def validation_document(s, d):
     c = analysis.comparison(doc)
     figures = [F.col(f"agreement.{x}").alias(x) for x in ("exact", "within_1", "mean_diff", "max_diff")] + [F.col(f"correlation.{x}").alias(x) for x in ("pearson", "spearman", "low", "high")]
     return c.select("model", "peer", "truth", "accuracy", "peer_rank", "truth_rank", "diff", "truth_low", "truth_high", "n_models", "questions", *figures, F.col("over_rated.model").alias("over_rated"), F.col("under_rated.model").alias("under_rated"), F.col("accuracies.mean").alias("mean_accuracy"), F.col("accuracies.sd").alias("sd_accuracy"))
+
+
+@query(f""", cq AS (SELECT question_id, question, list(c ORDER BY md5(concat_ws('|', '42', question_id, c))) AS cs, any_value(first) AS first FROM (SELECT question_id, question, unnest(string_split(question, ' ')[1:4]) AS c, string_split(question, ' ')[1] AS first FROM f_talk) x GROUP BY 1, 2),
+cp AS (SELECT question_id, chr((64 + list_position(cs, first))::int) AS letter, concat('Pick the right choice and reply with its letter only.', chr(10), chr(10), question, chr(10), chr(10), array_to_string(list_transform(cs, lambda c, i: concat(chr((64 + i)::int), '. ', c)), chr(10))) AS prompt FROM cq),
+cr AS (SELECT question_id, name AS model, letter, {fx._drawn_sql("name, '|', prompt")} AS x FROM cp CROSS JOIN f_regions),
+cm AS (SELECT *, CASE WHEN x % 16 IN (0, 1) THEN '?' ELSE 'ABCD'[x % 4 + 1] END AS meant FROM cr)
+SELECT question_id, model, letter, meant, meant = letter AS correct, CASE WHEN x % 16 = 0 THEN 'invalid request' END AS error FROM cm""")
+def choice_phase(s, d):
+    asked_of = validation.choice_questions(fx.talk_choices(s, d))
+    given = validation.choice_answers(asked_of, fx.region_models(s, d), folders.scratch(s, "choices"), "r1", fx.Canned, letters="cascade", batches=4)
+    return given.select("question_id", "model", "letter", "meant", "correct", "error")
+
+
+# rows of single operators
+@query(STATS + ", tm AS (SELECT model, coalesce(avg(seconds) FILTER (seconds > 0), 0) AS seconds FROM f_timings GROUP BY 1) SELECT row_number() OVER (ORDER BY peer DESC, model_ord) AS rank, model, round(peer, 4) AS peer, round(sd, 4) AS sd, round(self, 4) AS self, round(self - peer, 4) AS self_minus_peer, round(raw, 4) AS raw, n, round(coalesce(seconds, 0), 4) AS seconds FROM st LEFT JOIN tm USING (model) WHERE n > 0")
+def peer_rows(s, d):
+    return scores.peer_rows(fx.scores(s, d), fx.timings(s, d))
+
+
+@query(MODES + GRADED.lstrip() + ", bm AS (SELECT m.model, b.pm AS peer, CASE WHEN b.sn > 0 THEN b.sm END AS self, mean AS truth, a.pm AS named, p.pm AS placed FROM ac m JOIN ms b ON b.model = m.model AND b.mode = 'shuffle_blind' LEFT JOIN ms a ON a.model = m.model AND a.mode = 'shuffle_only' LEFT JOIN ms p ON p.model = m.model AND p.mode = 'blind_only' WHERE mean > 0) "
+"SELECT model, round(peer, 4) AS peer, round(self, 4) AS self, truth, round(self - peer, 4) AS self_bias, round(named - peer, 4) AS name_bias, round(placed - peer, 4) AS position_bias FROM bm")
+def ablation_by_model(s, d):
+    return benchmark.ablation_by_model(fx.scores(s, d), _accuracy(s, d))
+
+
+@query("""SELECT concat('m', conv_id % 5) AS source_model, CASE turn % 4 WHEN 0 THEN coalesce(min(role), 'none') ELSE 'general' END AS category, coalesce(min(text), '') AS question, substr(coalesce(min(text), ''), 1, 50) AS id
+FROM conversations GROUP BY conv_id, turn HAVING turn % 4 <> 3 AND NOT (turn % 4 = 2 AND coalesce(min(text), '') LIKE 'Error%')""", tables=False)
+def autopsy_rows(s, d):
+    return questions.autopsy_rows(json_files.mixed_questions(fx.question_files(s, d)))

@@ -185,3 +185,77 @@ def test_no_questions(spark, questions, models, tmp_path):
     none = phases.answers(questions.limit(0), models, str(tmp_path / "n"), "r1", fx.Canned)
     assert none.count() == 0 and phases.answer_totals(none).count() <= 1
     assert phases.evaluations(questions.limit(0), none, models, str(tmp_path / "m"), "r1", fx.Canned).count() == 0
+
+
+class Shy(fx.Canned):
+    """Makes up questions, each model in its own way; one fails at first, one always."""
+
+    def ask(self, model_id, prompt):
+        path = os.path.join(self.folder, model_id)
+        tries = len(os.listdir(path)) if os.path.isdir(path) else 0
+        os.makedirs(path, exist_ok=True)
+        open(os.path.join(path, uuid.uuid4().hex), "w").close()
+        if model_id == "a2" and tries < 2:
+            return ("No idea.", 1, 1) if tries else ('{"questions": []}', 1, 1)
+        if model_id == "b1":
+            raise ValueError("invalid request")
+        text = '[{"question": "q1"}, "loose", {"category": "c", "question": "q2"}, {"question": "q3"}]'
+        return (text if model_id == "a1" else f'Here: ```json\n{{"questions": {text}}}\n```'), 1, 1
+
+
+def test_questions_are_asked_for_until_there_are_some(spark, models, tmp_path):
+    folder = str(tmp_path / "calls")
+    os.makedirs(folder)
+
+    def connect(provider):
+        client = Shy(provider)
+        client.folder = folder
+        return client
+
+    from pyspark.sql import functions as F
+
+    got = phases.made_questions(models, F.lit("Write two."), str(tmp_path / "q"), "r1", connect, 2, attempts=4).collect()
+    want = [("a1", 0, 0, "general", "q1"), ("a1", 0, 1, "c", "q2"), ("a2", 2, 0, "general", "q1"), ("a2", 2, 1, "c", "q2")]
+    assert sorted((r.source_model, r.attempt, r.j, r.category, r.question) for r in got) == want
+    assert {m: len(os.listdir(os.path.join(folder, m))) for m in os.listdir(folder)} == {"a1": 1, "a2": 3, "b1": 4}
+
+
+def test_multiple_choice_from_questions_to_cells(spark, models, tmp_path):
+    from gradecube.plans import validation
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(str(k), f"Question {k}?", [f"right {k}", "no", "never", f"wrong {k}"], 2) for k in range(30)], "question_id string, question string, choices array<string>, correct_index int")
+    asked_of = validation.choice_questions(rows)
+    for r in asked_of.collect():
+        assert r.choices["ABCD".index(r.letter)] == f"right {r.question_id}" and f"{r.letter}. right {r.question_id}" in r.prompt
+    assert {r.letter for r in validation.choice_questions(rows, shuffle=False).collect()} == {"C"}
+    given = validation.choice_answers(asked_of, models, str(tmp_path / "a"), "r1", fx.Canned, letters="cascade", batches=2)
+    out = given.collect()
+    assert len(out) == 90 and {r.meant for r in out} == set("ABCD?") and all(r.meant == "?" for r in out if r.error or not r.text.strip())
+    acc = {r.model: r for r in validation.accuracy(given).collect()}
+    assert all(acc[m].correct == sum(r.correct for r in out if r.model == m) and acc[m].total == 30 for m in acc)
+    few = asked_of.limit(3)
+    long = given.withColumn("text", F.repeat(F.lit("x"), 900))
+    seen = phases.shown(few, long, models, False, True, validation.SHOWN).first().labelled
+    assert [x.label for x in seen] == ["Response A", "Response B", "Response C"] and {len(x.text) for x in seen} == {500}
+    cells = validation.choice_evaluations(few, given, models, str(tmp_path / "c"), "r1", fx.Canned).collect()
+    assert {r.mode for r in cells} == set(phases.MODES) and sum(r.score is not None for r in cells) > 20
+
+
+def test_only_exact_labels(spark):
+    from pyspark.sql import functions as F
+
+    labelled = F.expr("array(named_struct('label', 'Response A', 'text', 't', 'model', 'm1'))")
+    df = spark.createDataFrame([('{"A": {"score": 1}}',), ('{"Response A": 2}',)], "t string")
+    assert [r[0] for r in df.select(F.size(phases.read_cells(F.col("t"), labelled, exact=True))).collect()] == [0, 1]
+
+
+def test_a_search_keeps_its_first_results(spark):
+    class Long(fx.Canned):
+        def found(self, prompt):
+            return "\n".join(["answer", "", "y" * 400, *map(str, range(9))])
+
+    q = spark.createDataFrame([("1", "Who?", "CURRENT events"), ("2", "Why?", None), ("3", "What?", "history")], "question_id string, question string, category string")
+    out = {r.question_id: r for r in phases.fetched(q, Long, "search", 0.01, results=3).collect()}
+    assert out["1"].grounding == "answer " + "y" * 250 + " 0" and out["1"].success and out["1"].cost == 0.01
+    assert out["2"].skipped and out["3"].skipped and out["2"].success is None and out["3"].grounding is None
