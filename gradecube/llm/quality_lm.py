@@ -26,7 +26,7 @@ ORDER = 5
 #: What stands before the start of a text.
 START = "\x02"
 #: At most so many n-grams are sent to the executors.
-HEAD = 1 << 18
+HEAD = 1 << 17
 #: Documents above this quantile of the held-out trusted documents' perplexity in their language go.
 QUANTILE = 0.99
 #: The limit may be raised by a factor, and a text spared unless it is so many standard errors above it.
@@ -174,7 +174,7 @@ def summed(texts: DataFrame, head: Broadcast) -> DataFrame:
         for b in batches:
             n = b.num_rows
             size, loss, square = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            rest: list[list[dict]] = [[] for _ in range(n)]
+            owners, names, counts = [np.zeros(0, np.int64)], [pa.array([], pa.string())], [np.zeros(0, np.int64)]
             for x, at, owner in gathered((i, t.as_py() or "") for i, t in enumerate(b.column(b.num_columns - 1))):
                 values, first, of = np.unique(gram_hashes(x)[at], return_index=True, return_inverse=True)
                 place = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
@@ -187,13 +187,17 @@ def summed(texts: DataFrame, head: Broadcast) -> DataFrame:
                 if len(new):
                     number = np.zeros(len(values), np.int64)
                     number[new] = np.arange(len(new))
-                    names = gram_strings(x, at[first[new]])
                     out = ~met[of]
                     pairs, count = np.unique(owner[out] * len(new) + number[of[out]], return_counts=True)
-                    for p, c in zip(pairs.tolist(), count.tolist(), strict=True):
-                        rest[p // len(new)].append({"g": names[p % len(new)], "n": c})
-            kind = pa.list_(pa.struct([("g", pa.string()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size), pa.array(loss), pa.array(square), pa.array(rest, kind)], names=[*b.schema.names[:-1], "size", "loss", "square", "rest"])
+                    owners.append(pairs // len(new))
+                    names.append(pa.array(gram_strings(x, at[first[new]]), pa.string()).take(pa.array(pairs % len(new))))
+                    counts.append(count)
+            owner = np.concatenate(owners)
+            order = pa.array(np.argsort(owner, kind="stable"))
+            rows = pa.StructArray.from_arrays([pa.concat_arrays(names).take(order), pa.array(np.concatenate(counts)).take(order)], names=["g", "n"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(ends), rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size), pa.array(loss), pa.array(square), rest], names=[*b.schema.names[:-1], "size", "loss", "square", "rest"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text"]
     return texts.select(*[c for c in texts.columns if c != "text"], "text").mapInArrow(run, ", ".join([*kept, "size long", "loss double", "square double", "rest array<struct<g:string,n:long>>"]))
