@@ -2,7 +2,8 @@
 
 Numbers, addresses and secrets go through a keyed permutation of all strings of their format, so that one entity
 has one surrogate everywhere and two entities never share one. Names get names of the same gender and script, made
-from syllables. All distinct entities then pass a check: where two of a type share a surrogate, or a surrogate is
+from syllables: one for a name whatever the title before it, of the gender that most of its titles in the corpus tell.
+All distinct entities then pass a check: where two of a type share a surrogate, or a surrogate is
 itself an entity of the corpus, later ones try again: in their format first, then, as it may be full, in a longer one,
 and in the end by a marked digest, so that the check always ends.
 """
@@ -10,6 +11,7 @@ and in the end by a marked digest, so that the check always ends.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,7 +24,8 @@ from pyspark.sql import types as T
 from .common import stored
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])")
+EMAIL = re.compile(r"(?<![\w.%+-])[^\W_][\w.%+-]*@(?:(?:[^\W_]|-)+\.)+[^\W\d_]{2,24}(?![\w-])")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.[0-9])")
 IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
 PHONE = re.compile(r"(?<![\w+.])0[1-9](?:[ .-][0-9]{2}){4}(?![\w]|[.-][0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-][0-9]{1,4}){3,6}(?![\w]|[.-][0-9])|(?<![\w+.,-])0[0-9]{9,10}(?![\w]|[.,-][0-9])|(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?(?![\w])|(?<![\w+])\+[0-9]{8,15}(?![\w])")
@@ -67,8 +70,8 @@ def permuted(x: int, n: int, key: bytes, tweak: str) -> int:
 
 
 def permuted_text(text: str, key: bytes, tweak: str, hexadecimal: bool = False) -> str:
-    """text with each ASCII letter and digit moved within its class by one permutation of all texts of that format."""
-    alphabets = [HEX if hexadecimal and c in HEX else DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else c for c in text]
+    """text with each letter and ASCII digit moved within its class by one permutation of all texts of that format."""
+    alphabets = [HEX if hexadecimal and c in HEX else DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else c if c.isascii() else neighbours(c) for c in text]
     x, n = 0, 1
     for c, alphabet in zip(text, alphabets, strict=True):
         x, n = x * len(alphabet) + alphabet.index(c), n * len(alphabet)
@@ -80,6 +83,14 @@ def permuted_text(text: str, key: bytes, tweak: str, hexadecimal: bool = False)
     return "".join(reversed(out))
 
 
+def neighbours(c: str) -> str:
+    """The letters of one case that stand near a letter outside ASCII; anything else alone."""
+    if not c.isalpha():
+        return c
+    near = [chr(x) for x in range(ord(c) & ~63, (ord(c) | 63) + 1)]
+    return "".join(x for x in near if x.isalpha() and x.islower() == c.islower() and len(x.lower()) == 1)
+
+
 def luhn(digits: str) -> int:
     """What is missing from a number whose check digit is left out."""
     total = sum(int(d) if k % 2 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
@@ -101,6 +112,14 @@ def ip_kind(o: list[int]) -> str:
     return "special" if o[0] in (0, 127) or o[0] >= 224 else "public"
 
 
+def ip6(text: str) -> str | None:
+    """The short form of an IPv6 address with at least four digits; nothing for other texts with colons."""
+    try:
+        return str(ipaddress.IPv6Address(text)) if sum(c != ":" for c in text) > 3 else None
+    except ValueError:
+        return None
+
+
 def iban_check(country: str, body: str) -> str:
     number = "".join(str(int(c, 36)) for c in body + country + "00")
     return f"{98 - int(number) % 97:02d}"
@@ -140,6 +159,9 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
             x = permuted(x, 1 << 32, key, tweak)
             if ip_kind(out := list(x.to_bytes(4, "big"))) == ip_kind(o):
                 return ".".join(map(str, out))
+    if kind == "ip6":
+        head, _, rest = canonical.partition(":")
+        return head + ":" + permuted_text(rest, key, tweak + head, hexadecimal=True)
     if kind == "card":
         if valid_card(canonical):
             body = canonical[0] + permuted_text(canonical[1:-1], key, tweak + canonical[0])
@@ -177,7 +199,7 @@ def laid_out(kind: str, original: str, value: str) -> str:
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(c for c in value if c.isalnum())
         return "".join(next(chars) if c.isalnum() else c for c in original)
-    if kind == "email":
+    if kind in ("email", "ip6"):
         return value.upper() if original.isupper() else value
     if kind.startswith(("given", "family")):
         return value.upper() if original.isupper() and len(original) > 1 else value.capitalize() if original[0].isupper() else value
@@ -191,6 +213,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         out += [(m.start(), m.end(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
     if "=" in text or ":" in text:
         out += [(m.start(1), m.end(1), "secret", m.group(1)) for m in SECRET.finditer(text)]
+    if "::" in text or text.count(":") > 6:
+        out += [(m.start(), m.end(), "ip6", form) for m in IP6.finditer(text) if (form := ip6(m.group()))]
     if re.search("[0-9]", text):
         out += [(m.start(), m.end(), "secret", m.group()) for m in KEY.finditer(text)]
         out += [(m.start(), m.end(), "ip", ".".join(map(str, octets(m.group())))) for m in IP.finditer(text) if octets(m.group())]
@@ -220,74 +244,112 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def names(text: str) -> list[tuple[int, int, str, str]]:
-    """Names after a form of address, and the same names wherever they stand in the text."""
+    """Names after a form of address, and the same names wherever they stand in the text, capitalised or in capitals.
+
+    The kind of a given name tells the gender of its first title here; words in small letters are not taken for names.
+    """
     known: dict[str, str] = {}
     for m in NAME.finditer(text):
         parts = [p for p in m.group(2).split(" ") if p[0].isupper()]
         if not parts or len(parts) < len(m.group(2).split(" ")[:1]):
             continue
-        known[parts[-1]] = "family"
+        known[parts[-1].lower()] = "family"
         if len(parts) > 1:
-            known.setdefault(parts[0], "given-" + TITLES[m.group(1)])
+            known.setdefault(parts[0].lower(), "given-" + TITLES[m.group(1)])
     if not known:
         return []
-    again = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(known, key=len, reverse=True)) + r")(?!\w)")
-    return [(m.start(), m.end(), known[m.group()], m.group().lower()) for m in again.finditer(text)]
+    again = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(known, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
+    return [(m.start(), m.end(), known[low], low) for m in again.finditer(text) if m.group()[0].isupper() and (low := m.group().lower()) in known]
+
+
+def titled(text: str) -> dict[str, list[int]]:
+    """How often each given name of a text follows a title for a man, and one for a woman."""
+    out: dict[str, list[int]] = {}
+    for m in NAME.finditer(text):
+        parts = [p for p in m.group(2).split(" ") if p[0].isupper()]
+        if len(parts) > 1:
+            votes = out.setdefault(parts[0].lower(), [0, 0])
+            votes[0] += TITLES[m.group(1)] == "m"
+            votes[1] += TITLES[m.group(1)] == "f"
+    return out
+
+
+def plain_kind(kind: str) -> str:
+    """The kind without a gender, by which entities are told apart: a name that is a family name anywhere is one person's all the same."""
+    return "name" if kind.startswith(("given", "family")) else kind
 
 
 def distinct_entities(docs: DataFrame) -> DataFrame:
-    """kind and canonical form of every entity of the corpus, once."""
+    """kind, canonical form, shape and mixed of every entity of the corpus, once.
+
+    The shape of a name is a family name if it ever stands as one, else a given name of the gender that more of its
+    titles tell, or of none; that of anything else is its kind. mixed: some text may take it for another shape.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list({(k, c) for t in b.column(0) for _, _, k, c in entities(t.as_py() or "")})
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["kind", "canonical"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, canonical string").distinct()
+            found: dict[tuple[str, str, str], list[int]] = {}
+            for t in b.column(0):
+                text = t.as_py() or ""
+                own = entities(text)
+                votes = titled(text) if any(k.startswith("given") for _, _, k, _ in own) else {}
+                for k, c in {(k, c) for _, _, k, c in own}:
+                    sums = found.setdefault((plain_kind(k), c, k), [0, 0])
+                    if k.startswith("given"):
+                        sums[0] += votes.get(c, [0, 0])[0]
+                        sums[1] += votes.get(c, [0, 0])[1]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[j] for x in found], pa.string()) for j in range(3)), *(pa.array([v[j] for v in found.values()], pa.int64()) for j in range(2))], names=["kind", "canonical", "shape", "men", "women"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, canonical string, shape string, men long, women long")
+    men, women = F.sum("men"), F.sum("women")
+    gender = F.when(men > women, "given-m").when(women > men, "given-f").otherwise("given-n")
+    family = F.max(F.col("shape") == "family")
+    shape = F.when(F.col("kind") != "name", F.col("kind")).when(family, "family").otherwise(gender)
+    return rows.groupBy("kind", "canonical").agg(shape.alias("shape"), (F.count_distinct("shape") > 1).alias("mixed"))
 
 
 def with_surrogates(table: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, forms, attempts = (c.to_pylist() for c in b.columns)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([surrogate(k, c, a, key) for k, c, a in zip(kinds, forms, attempts, strict=True)], pa.string())], names=["kind", "canonical", "attempt", "surrogate"])
+            _, forms, shapes, _, attempts = (c.to_pylist() for c in b.columns)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([surrogate(k, c, a, key) for k, c, a in zip(shapes, forms, attempts, strict=True)], pa.string())], names=["kind", "canonical", "shape", "mixed", "attempt", "surrogate"])
 
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table.select("kind", "canonical", "attempt").repartition(tasks, "kind", "canonical").mapInArrow(run, "kind string, canonical string, attempt int, surrogate string")
+    return table.select("kind", "canonical", "shape", "mixed", "attempt").repartition(tasks, "kind", "canonical").mapInArrow(run, "kind string, canonical string, shape string, mixed boolean, attempt int, surrogate string")
 
 
 def checked_attempts(docs: DataFrame, key: bytes) -> DataFrame:
-    """kind, canonical, attempt of the entities whose first surrogate clashed; in the end no two of a type share one, nor is one an entity.
+    """kind, canonical, shape, attempt of the entities that a text cannot settle alone: those whose first surrogate clashed, and names of mixed shape.
 
-    All names are one type, whatever their kind. An entity that has tried MARKED times has a digest of 96 bits, which
-    is no entity, so there are at most MARKED rounds.
+    In the end no two of a kind share a surrogate, nor is one an entity of it; all names are one kind. An entity that
+    has tried MARKED times has a digest of 96 bits, which is no entity, so there are at most MARKED rounds.
     """
-    of_type = F.when(F.col("kind").rlike("^(given|family)"), "name").otherwise(F.col("kind")).alias("type")
     found = stored(distinct_entities(docs))
     table = stored(with_surrogates(found.withColumn("attempt", F.lit(0)), key))
     for _ in range(MARKED):
-        typed = table.select("*", of_type)
-        own = F.struct("attempt", "kind", "canonical")
-        holders = typed.groupBy("type", "surrogate").agg(F.min(own).alias("holder"), F.count("*").alias("n")).where("n > 1")
-        twice = typed.join(holders, ["type", "surrogate"]).where(own != F.col("holder")).select("kind", "canonical")
-        taken = typed.join(found.select(of_type, F.col("canonical").alias("surrogate")).distinct(), ["type", "surrogate"], "left_semi").select("kind", "canonical")
+        folded = table.withColumn("low", F.when(F.col("kind") == "name", F.lower("surrogate")).otherwise(F.col("surrogate")))
+        own = F.struct("attempt", "canonical")
+        holders = folded.groupBy("kind", "low").agg(F.min(own).alias("holder"), F.count("*").alias("n")).where("n > 1")
+        twice = folded.join(holders, ["kind", "low"]).where(own != F.col("holder")).select("kind", "canonical")
+        taken = folded.join(found.select("kind", F.col("canonical").alias("low")), ["kind", "low"], "left_semi").select("kind", "canonical")
         again = stored(twice.unionByName(taken).distinct())
         if not again.head(1):
             break
         moved = with_surrogates(table.join(again, ["kind", "canonical"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
         table = stored(table.join(again, ["kind", "canonical"], "left_anti").unionByName(moved))
-    return table.where("attempt > 0").select("kind", "canonical", "attempt")
+    return table.where("attempt > 0 OR mixed").select("kind", "canonical", "shape", "attempt")
 
 
-def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int], memo: dict) -> tuple[str, list[dict]]:
+def replaced(text: str, key: bytes, settled: dict[tuple[str, str], tuple[str, int]], memo: dict) -> tuple[str, list[dict]]:
+    """The new text and its surrogates; settled: shape and attempt of the (kind, canonical) that the corpus decides."""
     out, at, spans, size = [], 0, [], 0
     for s, e, kind, canonical in entities(text):
-        attempt = attempts.get((kind, canonical), 0)
-        value = memo.get((kind, canonical, attempt))
+        shape, attempt = settled.get((plain_kind(kind), canonical), (kind, 0))
+        value = memo.get((shape, canonical, attempt))
         if value is None:
             if len(memo) > 200_000:
                 memo.clear()
-            value = memo[kind, canonical, attempt] = surrogate(kind, canonical, attempt, key)
+            value = memo[shape, canonical, attempt] = surrogate(shape, canonical, attempt, key)
         new = laid_out(kind, text[s:e], value)
         out += [text[at:s], new]
         size += s - at
@@ -301,11 +363,12 @@ def pseudonymised(docs: DataFrame, key: bytes, only_text: bool = False) -> DataF
     """docs with text replaced and, unless only_text, the column entities: kind, start and end of each surrogate in the new text.
 
     Input: text, and any other columns, which pass unchanged (one named entities is replaced). Detected are
-    e-mail and IPv4 addresses, phone, card, social security and bank account numbers, keys, tokens and passwords,
-    and names after a form of address, with their later mentions in the text. Null texts stay null, empty ones
+    e-mail addresses in any script, IPv4 and IPv6 addresses, phone, card, social security and bank account numbers, keys, tokens and passwords,
+    and names after a form of address, with their other mentions in the text, capitalised or in capitals. Null texts stay null, empty ones
     empty; texts of any length are read whole; repeated rows get equal surrogates. Empty tables give no rows.
     A card keeps its first digit and check sum, a phone number its country code, an IP address its kind of range,
-    a name its gender, script and case; every layout is kept. Where a format has too few free values, e-mail addresses
+    a name its script, case and the gender that most of its titles in the corpus tell; every layout is kept, but IPv6
+    addresses come in their short form. Where a format has too few free values, e-mail addresses
     and secrets get longer, and what still clashes is replaced by a digest in brackets. Numbers of ten or more digits
     without a break, a plus or a leading 0 are not taken for phone numbers.
     """
@@ -327,7 +390,7 @@ def pseudonymised(docs: DataFrame, key: bytes, only_text: bool = False) -> DataF
             texts, spans = [], []
             for i, t in enumerate(b.column(at)):
                 text = t.as_py()
-                own = {(x["kind"], x["canonical"]): x["attempt"] for x in extra[i].as_py() or []} if extra is not None else {}
+                own = {(x["kind"], x["canonical"]): (x["shape"], x["attempt"]) for x in extra[i].as_py() or []} if extra is not None else {}
                 new, found = replaced(text, key, own, memo) if text is not None else (None, [])
                 texts.append(new)
                 spans.append(found)
@@ -342,12 +405,12 @@ def _with_attempts(rows: DataFrame, clashes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(d, k, c) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, c in {(k, c) for _, _, k, c in entities(t or "")}]
+            found = [(d, k, c) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, c in {(plain_kind(k), c) for _, _, k, c in entities(t or "")}]
             yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.string()) for j in range(3)], names=["digest", "kind", "canonical"])
 
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     holds = rows.select(digest.alias("digest"), F.col("text").cast("string")).mapInArrow(run, "digest string, kind string, canonical string").distinct()
-    lists = holds.join(clashes, ["kind", "canonical"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("list"))
+    lists = holds.join(clashes, ["kind", "canonical"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "canonical", "shape", "attempt")).alias("list"))
     name = "_attempts"
     while name in rows.columns:
         name += "_"

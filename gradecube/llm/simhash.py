@@ -569,8 +569,8 @@ def bit_counts_by_word(fps: DataFrame) -> list[tuple[int, np.ndarray]]:
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one for each group of texts alike in their word shingles by at least the similarity.
 
-    Kept is the row with the least doc_id of its group (rows without one come last, equal rows leave one). Texts that
-    are the same meet in one row before any join. Null and empty texts are alike and leave one. Columns pass
+    Kept is the row with the least doc_id of its group (rows without one come last, equal rows leave one; of rows that
+    share id and text, the one whose other columns have the least hash). Texts that are the same meet in one row before any join. Null and empty texts are alike and leave one. Columns pass
     unchanged whatever their names; empty tables give no rows.
     """
     own = stored(wide_fingerprints(docs, size))
@@ -586,6 +586,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     roots = components(similar_links(fps.select("node", "fp"), similarity, texts, size))
     named = fps.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("x")).select(F.col("x.digest").alias("_digest"), F.coalesce(F.col("x.first.id").cast("string"), F.lit("\0")).alias("_id"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest, doc_id)
-    one = marked.join(kept, ["_digest", "_id"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_digest", "_id").orderBy(F.lit(0))))
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and f.dataType.typeName() not in ("map", "variant")]
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(*others).alias("_hash"), digest, doc_id)
+    one = marked.join(kept, ["_digest", "_id"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_digest", "_id").orderBy("_hash")))
     return one.where("_k = 1").select("_row.*")
