@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_train
+from .common import in_train, stored
 
 #: At most this many labelled rows of each class are learnt from: those with the least hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
@@ -249,7 +249,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     labelled twice counts as toxic if either label is 1; null labels are not learnt from. Without labels of both
     classes every score is the share of toxic labels (0 without any). Repeated rows each give a row.
     """
-    rows = labelled(docs, labels)
+    rows = stored(labelled(docs, labels))
     terms, stems = learn_terms(rows)
     got = [(r.key, r.features) for r in apply_features(rows.select("toxic", "text"), terms, stems, None).collect()] if terms or stems else []
     if got:
