@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 ORDER = 5
 #: What stands before the start of a text.
@@ -146,6 +146,8 @@ def kneser_ney(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataF
             contexts[k] = stored(t.groupBy("c").agg(*sums).select("c", "total", (F.col("mass") / F.col("total")).alias("b")))
             t = t.join(contexts[k], "c").join(grams[k - 1].select(F.col("g").alias("low"), F.col("p").alias("q")), "low")
         grams[k] = stored(t.select("g", "n", (own + F.col("b") * F.col("q")).alias("p")))
+        if k < ORDER:
+            dropped(levels[k])
     return grams, contexts, unseen
 
 
@@ -221,7 +223,9 @@ def perplexities(docs: DataFrame, model: Model, deviations: float) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     own = stored(summed(docs.select(*keep, F.monotonically_increasing_id().alias("_row"), "text"), model.head), "zstd")
     rest = own.select("_row", F.inline("rest"))
-    loss = backed_off(stored(rest.select("g").distinct()), model).select("g", (-F.log("p")).alias("x"))
+    new = stored(rest.select("g").distinct())
+    loss = stored(backed_off(new, model).select("g", (-F.log("p")).alias("x")))
+    dropped(new)
     others = rest.join(loss, "g").groupBy("_row").agg(F.sum(F.col("n") * F.col("x")).alias("_l"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("_s"))
     n = F.nullif(F.col("size"), F.lit(0))
     mean = (F.col("loss") + F.coalesce("_l", F.lit(0.0))) / n
@@ -242,7 +246,7 @@ def prefiltered(spark: SparkSession) -> Iterator[None]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the documents labelled with quality 1 but for those held out, and the latter: lang, text.
+    """The model of the documents labelled with quality 1 but for those held out, and the latter, stored: lang, text.
 
     Copies of a text are held out together. Where one of both parts would be empty, all are in both.
     """
@@ -252,9 +256,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
         trusted = stored(texts.join(good.hint("merge"), "doc_id", "left_semi").select("lang", "text", held_out(F.col("text")).alias("held")))  # labels grow with the input, so they are never broadcast
     filled = trusted.where("text <> ''").agg(F.count_if("held"), F.count_if(~F.col("held"))).first()
     trained, held = (trusted.where("NOT held"), trusted.where("held")) if all(filled) else (trusted, trusted)
-    grams, contexts, unseen = kneser_ney(stored(gram_counts(trained)))
+    counts = stored(gram_counts(trained))
+    apart = stored(held.select("lang", "text"))
+    dropped(trusted)
+    grams, contexts, unseen = kneser_ney(counts)
+    dropped(counts)
     head = docs.sparkSession.sparkContext.broadcast(head_of(grams[ORDER], HEAD))
-    return Model(grams, contexts, unseen, head), held.select("lang", "text")
+    return Model(grams, contexts, unseen, head), apart
 
 
 def held_out(text: Column) -> Column:
@@ -265,6 +273,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float, d
     """The columns of docs but for text, with perplexity and kept; docs: text, lang without nulls and others, labels as in quality_lm."""
     model, held = fit(docs, labels)
     ppl = stored(perplexities(held, model, 0.0).where("perplexity IS NOT NULL"))
+    dropped(held)
     q = F.percentile_approx("perplexity", quantile, 100_000)
     overall = ppl.agg(q).first()[0]
     own = stored(ppl.groupBy("lang").agg(F.ln(q).alias("_own"), F.count("*").alias("_n")))
