@@ -2,7 +2,7 @@
 
 A cell is an object with a field "score", or a bare value. strict: numbers and booleans of objects and bare values;
 lenient: of objects, and strings of digits and dots; elo: of objects, and strings of digits; cast: whatever a cast to
-a floating number takes.
+a floating number takes; none: numbers and booleans as they are, while a string is an error.
 """
 
 from __future__ import annotations
@@ -45,4 +45,9 @@ def cast(cell: Column) -> Column:
     return F.coalesce(number, F.when(~text.rlike(r"[dDfF]\s*$") | F.lower(text).isin("inf", "-inf", "+inf"), text.try_cast("double")))
 
 
-POLICIES = {"lenient": lenient, "elo": elo, "strict": strict, "cast": cast}
+def none(cell: Column) -> Column:
+    _, _, number, text, _ = _parts(cell)
+    return F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("a score is a text: "), text)).cast("double")).otherwise(number)
+
+
+POLICIES = {"lenient": lenient, "elo": elo, "strict": strict, "cast": cast, "none": none}

@@ -99,7 +99,7 @@ def made_questions(models: DataFrame, prompt: Column, path: str, revision: str,
 def answer_batches(questions: DataFrame, models: DataFrame, path: str, revision: str, connect: Callable[[str], Client], grounding: DataFrame | None = None, batches: int = 8, limits: dict[str, int] | None = None, again: bool = False) -> Iterator[int]:
     """Every model answers every question; yields the number of each batch after its commit.
 
-    questions: question_id and question, or a prompt of their own in its place; models: name, provider, model_id, in_per_m, out_per_m; grounding: question_id,
+    questions: question_id, one row each and none null, and question, or a prompt of their own in its place; models: name, provider, model_id, in_per_m, out_per_m; grounding: question_id,
     grounding. Batches are dealt by question. What is committed is not asked again; with again, what ended in an error
     is. An answer without text is a refusal, a failed call an answer that says so, without tokens or cost.
     """
@@ -140,11 +140,11 @@ def answer_totals(given: DataFrame, grounding: DataFrame | None = None) -> DataF
     return t.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("model")).alias("model"), "calls", "in_tok", "out_tok", "llm_cost", extra.alias("search_cost"), F.round(F.col("llm_cost") + extra, 4).alias("total_cost"), "refused", "errors")
 
 
-def shown(questions: DataFrame, given: DataFrame, models: DataFrame, shuffle: bool, blind: bool, most: int | None = None) -> DataFrame:
-    """question_id, question, labelled: the answers of all models (N/A where there is none) in the order and under the labels of a mode, cut to so many characters."""
+def shown(questions: DataFrame, given: DataFrame, models: DataFrame, shuffle: bool, blind: bool, most: int | None = None, answered: bool = False) -> DataFrame:
+    """question_id, question, labelled: the answers of all models (N/A where there is none) in the order and under the labels of a mode, cut to so many characters; answered: only of models that have one."""
     given = given.withColumn("text", F.left("text", F.lit(most))) if most else given
     grid = questions.select("question_id", "question").crossJoin(models.select(F.col("name").alias("model"), "ordinal"))
-    text = grid.join(given.select("question_id", "model", "text"), ["question_id", "model"], "left")
+    text = grid.join(given.select("question_id", "model", "text"), ["question_id", "model"], "inner" if answered else "left")
     order = key(F.col("question_id"), F.col("model")) if shuffle else F.lpad(F.col("ordinal").cast("string"), 9, "0")
     rows = text.groupBy("question_id", "question").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "model", F.coalesce("text", F.lit("N/A")).alias("text")))).alias("r"))
     letters = lambda i: F.when(i < 26, F.char(F.lit(65) + i)).otherwise(F.concat(F.char(F.lit(64) + F.floor(i / 26)), F.char(F.lit(65) + i % 26)))
@@ -172,23 +172,26 @@ def read_cells(reply: Column, labelled: Column, exact: bool = False) -> Column:
     return F.transform(F.filter(found, lambda c: ~F.exists(found, lambda d: better(c, d))), lambda c: F.struct(c["model"].alias("model"), c["cell"].alias("cell")))
 
 
-def evaluation_modes(questions: DataFrame, given: DataFrame, models: DataFrame, path: str, revision: str, connect: Callable[[str], Client], grounding: DataFrame | None = None, limits: dict[str, int] | None = None, policy: str = "lenient", prompt: Callable[[DataFrame], Column] | None = None, most: int | None = None, exact: bool = False) -> Iterator[str]:
+def evaluation_modes(questions: DataFrame, given: DataFrame, models: DataFrame, path: str, revision: str, connect: Callable[[str], Client], grounding: DataFrame | None = None, limits: dict[str, int] | None = None, policy: str = "lenient", prompt: Callable[[DataFrame], Column] | None = None, most: int | None = None, exact: bool = False, modes: list[str] | None = None, answered: bool = False) -> Iterator[str]:
     """Every model grades the answers to every question in each mode; yields the name of each mode after its commit.
 
     A cell is a row; a call that failed, or a reply without grades, is a row with an error and no model. Modes that are
     committed are left out. grounding: question_id, grounding, put before the prompt. prompt: made from the questions'
-    rows (with labelled) in place of the usual one; most: characters of an answer that are shown; exact: as read_cells().
+    rows (with labelled) in place of the usual one; most: characters of an answer that are shown; exact: as read_cells(); modes: only these; answered: only models with an
+    answer are shown, and judge.
     """
     spark, providers = questions.sparkSession, providers_of(models)
     for mode, (shuffle, blind) in MODES.items():
-        if committed(spark, path, CELLS, revision).where(F.col("mode") == mode).head(1):
+        if (modes and mode not in modes) or committed(spark, path, CELLS, revision).where(F.col("mode") == mode).head(1):
             continue
-        rows = shown(questions, given, models, shuffle, blind, most).drop("question").join(questions, "question_id")
+        rows = shown(questions, given, models, shuffle, blind, most, answered).drop("question").join(questions, "question_id")
         text = prompt(rows) if prompt else prompts.grading_prompt(F.col("question"), F.col("labelled"))
         if grounding is not None:
             rows = rows.join(grounding.select("question_id", "grounding"), "question_id", "left")
             text = prompts.grounded(text, F.col("grounding"))
         tasks = rows.select("question_id", "labelled", text.alias("prompt")).crossJoin(models.select(F.col("name").alias("evaluator"), "provider", "model_id"))
+        if answered:
+            tasks = tasks.where(F.exists("labelled", lambda x: x["model"] == F.col("evaluator")))
         replies = asked(tasks, providers, connect, limits)
         cells = replies.withColumn("cells", read_cells(F.col("text"), F.col("labelled"), exact))
         none = F.when(F.col("cells").isNull() | (F.size("cells") == 0), F.coalesce("error", F.lit("no grades in the reply")))
@@ -203,3 +206,16 @@ def evaluations(questions: DataFrame, given: DataFrame, models: DataFrame, path:
     for _ in evaluation_modes(questions, given, models, path, revision, connect, **how):
         pass
     return committed(questions.sparkSession, path, CELLS, revision)
+
+
+def session(question: DataFrame, models: DataFrame, folder: str, revision: str, connect: Callable[[str], Client], modes: list[str] | None = None, limits: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Answers and cells of a session, whose questions (question_id, question) are one or a few.
+
+    A model that failed or left its answer blank is not shown to judges, nor asked to be one. Without modes all are run.
+    """
+    given = answers(question, models, f"{folder}/answers", revision, connect, batches=1, limits=limits)
+    good = given.where("error IS NULL AND NOT refused")
+    spark, path = question.sparkSession, f"{folder}/cells"
+    for _ in evaluation_modes(question, good, models, path, revision, connect, limits=limits, modes=modes, answered=True):
+        pass
+    return given, committed(spark, path, CELLS, revision)

@@ -450,3 +450,10 @@ def test_judge_report_and_alignment(spark):
     qs = spark.createDataFrame([(f"q{k}", "cat", f"m{k % 5}") for k in range(8)], "question string, category string, source_model string")
     full = report.report(c, qs, models, answers, spark.createDataFrame([("m1", 0.0), ("m2", 3.0)], "model string, seconds double"))
     assert "## Refusals" in full and "## Failures" in full and "| m0" in full
+
+
+def test_scores_as_they_are(spark):
+    df = spark.createDataFrame([('{"score": 7}',), ("8.5",), ('{"reason": "x"}',), (None,), ('{"score": true}',)], "c string")
+    assert [r[0] for r in df.select(coercion.none(F.col("c"))).collect()] == [7.0, 8.5, None, None, 1.0]
+    with pytest.raises(Exception, match="a score is a text: 7"):
+        spark.createDataFrame([('{"score": "7"}',)], "c string").select(coercion.none(F.col("c"))).collect()

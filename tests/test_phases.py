@@ -259,3 +259,21 @@ def test_a_search_keeps_its_first_results(spark):
     out = {r.question_id: r for r in phases.fetched(q, Long, "search", 0.01, results=3).collect()}
     assert out["1"].grounding == "answer " + "y" * 250 + " 0" and out["1"].success and out["1"].cost == 0.01
     assert out["2"].skipped and out["3"].skipped and out["2"].success is None and out["3"].grounding is None
+
+
+def test_a_session_leaves_out_who_did_not_answer(spark, models, tmp_path):
+    class Quiet(fx.Canned):
+        def answer(self, model_id, prompt):
+            if model_id == "a2":
+                raise ValueError("invalid request")
+            return " " if model_id == "b1" and "blank" in prompt else f"Answer of {model_id}."
+
+        def grades(self, model_id, prompt):
+            assert "N/A" not in prompt and "Answer of a2" not in prompt
+            return json.dumps({label: {"score": 8} for label in __import__("re").findall(r"^--- (.+) ---$", prompt, __import__("re").M)})
+
+    q = spark.createDataFrame([("q", "What?"), ("r", "A blank?")], "question_id string, question string")
+    given, cells = phases.session(q, models, str(tmp_path), "r1", Quiet, modes=["shuffle_blind"])
+    assert {(r.question_id, r.model): (r.error, r.refused) for r in given.collect()}["q", "a2"] == ("invalid request", False)
+    got = sorted((r.mode, r.question_id, r.evaluator, r.model, r.score) for r in cells.collect())
+    assert got == [("shuffle_blind", "q", e, m, 8.0) for e in ("a1", "b1") for m in ("a1", "b1")] + [("shuffle_blind", "r", "a1", "a1", 8.0)]
