@@ -35,8 +35,10 @@ MARGIN, DEVIATIONS = 1.0, 0.0
 HELD = 8
 #: A language's limit is drawn towards that of all as if by so many more documents with the quantile of all.
 POOLED = 20
-#: Characters worked on at a time.
-PIECE = 1 << 20
+#: Characters worked on at a time, and n-grams that a task counts before it hands them on.
+PIECE, COUNTED = 1 << 18, 1 << 18
+#: Texts whose n-grams outside the head a task holds at once.
+TEXTS = 2000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,7 +95,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             _, first, n = np.unique(gram_hashes(x)[at], return_index=True, return_counts=True)
             for g, c in zip(gram_strings(x, at[first]), n.tolist(), strict=True):
                 known[g] = known.get(g, 0) + c
-            if len(known) > 500_000:
+            if len(known) > COUNTED:
                 yield out()
                 known = {}
         yield out()
@@ -173,7 +175,7 @@ def summed(texts: DataFrame, head: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, losses = head.value
-        for b in batches:
+        for b in (own.slice(k, TEXTS) for own in batches for k in range(0, own.num_rows, TEXTS)):
             n = b.num_rows
             size, loss, square = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             owners, names, counts = [np.zeros(0, np.int64)], [pa.array([], pa.string())], [np.zeros(0, np.int64)]
