@@ -29,12 +29,14 @@ START = "\x02"
 HEAD = 1 << 17
 #: Documents above this quantile of the held-out trusted documents' perplexity in their language go.
 QUANTILE = 0.99
-#: The limit may be raised by a factor, and a text spared unless it is so many standard errors above it.
-MARGIN, DEVIATIONS = 1.0, 0.0
+#: The limit is raised by a factor, and a text spared unless it is so many standard errors above it; 1 and 0 give the plain rule.
+MARGIN, DEVIATIONS = 1.05, 2.0
 #: One in so many trusted texts sets the limits and is not trained on, for a text that was has a lower perplexity.
 HELD = 8
 #: A language's limit is drawn towards that of all as if by so many more documents with the quantile of all.
 POOLED = 20
+#: A quantile of few documents is too low, so a limit is raised by so many standard errors of their mean log perplexity.
+ERRORS = 2.0
 #: Characters worked on at a time, and n-grams that a task counts before it hands them on.
 PIECE, COUNTED = 1 << 18, 1 << 18
 #: Texts whose n-grams outside the head a task holds at once.
@@ -276,15 +278,17 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float, d
     model, held = fit(docs, labels)
     ppl = stored(perplexities(held, model, 0.0).where("perplexity IS NOT NULL"))
     dropped(held)
-    q = F.percentile_approx("perplexity", quantile, 100_000)
+    q, x = F.percentile_approx("perplexity", quantile, 100_000), F.ln("perplexity")
     overall = ppl.agg(q).first()[0]
-    own = stored(ppl.groupBy("lang").agg(F.ln(q).alias("_own"), F.count("*").alias("_n")))
+    own = stored(ppl.groupBy("lang").agg(F.ln(q).alias("_own"), F.count("*").alias("_n"), (F.var_pop(x) * F.count("*")).alias("_squares")))
     scored = perplexities(docs, model, deviations)
     if overall is None:
         return scored.withColumn("kept", F.col("perplexity").isNotNull()).drop("low")
+    every, squares = own.agg(F.sum("_n"), F.sum("_squares")).first()
     n, shared = F.coalesce("_n", F.lit(0)), F.lit(math.log(overall))
-    limit = F.exp((n * F.coalesce("_own", F.lit(0.0)) + POOLED * shared) / (n + POOLED)) * margin
-    return scored.join(own, "lang", "left").withColumn("kept", F.coalesce(F.col("low") <= limit, F.lit(False))).drop("_own", "_n", "low")
+    error = F.lit(math.sqrt(squares / every)) / F.sqrt(F.least(F.lit(every), n + POOLED))
+    limit = F.exp((n * F.coalesce("_own", F.lit(0.0)) + POOLED * shared) / (n + POOLED) + ERRORS * error) * margin
+    return scored.join(own, "lang", "left").withColumn("kept", F.coalesce(F.col("low") <= limit, F.lit(False))).drop("_own", "_n", "_squares", "low")
 
 
 def quality_lm(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, deviations: float = DEVIATIONS) -> DataFrame:
@@ -293,7 +297,7 @@ def quality_lm(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, m
     docs: doc_id, text, lang; labels: doc_id, quality; other columns are not read. Null and empty texts have no
     perplexity and are not kept. A null lang counts as a language of its own, as an empty one. A document is kept
     unless its perplexity is over the quantile of its language's held-out trusted documents, which is drawn towards the
-    quantile of all where these are few; margin and deviations loosen that, at 1 and 0 they do nothing. Without trusted
+    quantile of all and raised by ERRORS standard errors, both of which matter only where these are few; margin and deviations loosen that, at 1 and 0 they do nothing. Without trusted
     documents all texts with a character are kept. Repeated rows each give a row and count as often in training. Empty
     tables give no rows.
     """

@@ -73,7 +73,10 @@ def test_whole_documents_match_brute_force(spark, monkeypatch, head, margin, dev
         if t in held and t:
             by.setdefault(la, []).append(ppl(t))
     overall = quantile([x for v in by.values() for x in v])
-    pooled = lambda v: math.exp((len(v) * math.log(quantile(v) if v else 1) + Q.POOLED * math.log(overall)) / (len(v) + Q.POOLED)) * margin
+    every = sum(map(len, by.values()))
+    sd = math.sqrt(sum(np.var(np.log(v)) * len(v) for v in by.values()) / every)
+    error = lambda v: sd / math.sqrt(min(every, len(v) + Q.POOLED))
+    pooled = lambda v: math.exp((len(v) * math.log(quantile(v) if v else 1) + Q.POOLED * math.log(overall)) / (len(v) + Q.POOLED) + Q.ERRORS * error(v)) * margin
     want = Counter()
     for i, t, la in rows:
         x = losses(p, t or "")
