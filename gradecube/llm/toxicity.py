@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ STEM_LENGTHS, LEAST_FAMILY = (4, 5, 6), 4
 #: Terms and words shorter than this match without edits; longer ones with one edit or swap, and from LONG_LENGTH on with two edits.
 FUZZY_LENGTH, LONG_LENGTH = 5, 10
 WINDOW = 6
+#: The words of so many texts are looked up together.
+TOGETHER = 256
 TOKEN = re.compile(r"[^\W_]+")
 LEET = str.maketrans("0134578@$", "oieastbas")
 RUNS = re.compile(r"(.)\1{2,}")
@@ -36,46 +38,45 @@ QUOTED, REPORTED, ADDRESSED = 0.25, 0.5, 1.25
 
 
 class Lexicon:
-    """A trie of terms and stems; find() intersects it with the Levenshtein automaton of a word."""
+    """A trie of terms and stems; find() intersects it with the Levenshtein automaton of a word.
+
+    The automaton walks only the part of the trie that holds terms as near as asked by near_pairs(), for many words at once.
+    """
 
     NONE = (0, 0.0)
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]) -> None:
-        self.root: dict = {}
-        self.memo: dict[str, tuple[int, float]] = {}
-        #: A word one edit from a term has either the term's first half in front or its second half at the end.
-        long = [t for t in terms if len(t) >= FUZZY_LENGTH]
-        self.heads = {(len(t), t[: len(t) // 2]) for t in long}
-        self.tails = {(len(t), t[len(t) // 2 :]) for t in long}
-        #: A word two edits from a term has one third of it in place, give or take two letters.
-        self.thirds = {(len(t), k, part) for t in terms if len(t) >= LONG_LENGTH for k, part in enumerate(thirds(t, len(t)))}
-        for end, entries in (("$end", terms), ("$stem", stems)):
-            for entry, gain in entries.items():
-                node = self.root
-                for c in entry:
-                    node = node.setdefault(c, {})
-                node[end] = gain
+        self.terms, self.memo = terms, {}
+        self.root = trie({"$end": terms, "$stem": stems})
+        self.by_edits = {1: Spelled([t for t in terms if len(t) >= FUZZY_LENGTH]), 2: Spelled([t for t in terms if len(t) >= LONG_LENGTH])}
 
     def find(self, word: str) -> tuple[int, float]:
         """Kind and gain: 3 for a term, 2 for a word that starts with a stem, 1 for one edit from a term, else 0."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            found = self.memo[word] = self._find(word)
-        return found
-
-    def _find(self, word: str) -> tuple[int, float]:
-        found = self._exact(word)
-        if found[0]:
-            return found
-        plain = RUNS.sub(r"\1", word.translate(LEET)) if not word.isalpha() or RUNS.search(word) else word
-        if plain != word and (found := self._exact(plain))[0]:
-            return 1, found[1]
-        gain = self._fuzzy(self.root, plain, 0, 0, 0, 1) if self._near(plain) else 0.0
-        if not gain and self._near_twice(plain):
-            gain = self._fuzzy(self.root, plain, 0, 0, 0, 2)
-        return (1, gain) if gain else self.NONE
+        if word not in self.memo:
+            self.look_up([word])
+        return self.memo[word]
+
+    def look_up(self, words: Iterable[str]) -> None:
+        """Find words, so that find() remembers them."""
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        unknown: dict[str, list[str]] = {}
+        for word in words:
+            if word in self.memo:
+                continue
+            found = self._exact(word)
+            if not found[0]:
+                plain = RUNS.sub(r"\1", word.translate(LEET)) if not word.isalpha() or RUNS.search(word) else word
+                if plain != word and (found := self._exact(plain))[0]:
+                    found = 1, found[1]
+                elif len(plain) >= FUZZY_LENGTH:
+                    unknown.setdefault(plain, []).append(word)
+            self.memo[word] = found if found[0] else self.NONE
+        for most, shortest in ((1, FUZZY_LENGTH), (2, LONG_LENGTH - 2)):
+            for plain, near in near_pairs([w for w in unknown if len(w) >= shortest], self.by_edits[most], most).items():
+                gain = self._fuzzy(trie({"$end": {t: self.terms[t] for t in near}}), plain, 0, 0, 0, most)
+                if gain:
+                    self.memo.update((word, (1, gain)) for word in unknown.pop(plain))
 
     def _exact(self, word: str) -> tuple[int, float]:
         node, stem = self.root, self.NONE
@@ -87,24 +88,6 @@ class Lexicon:
                 stem = (2, node["$stem"])
         return (3, node["$end"]) if "$end" in node else stem
 
-    def _near(self, word: str) -> bool:
-        n, h = len(word), len(word) // 2
-        if n < FUZZY_LENGTH:
-            return False
-        if any((m, word[: m // 2]) in self.heads or (m, word[m // 2 - m :]) in self.tails for m in (n - 1, n, n + 1)):
-            return True
-        return self._exact(word[: h - 1] + word[h] + word[h - 1] + word[h + 1 :])[0] == 3  # a swap across the halves
-
-    def _near_twice(self, word: str) -> bool:
-        n = len(word)
-        if n < LONG_LENGTH - 2 or not self.thirds:
-            return False
-        for m in range(n - 2, n + 3):
-            t, last = m // 3, m - 2 * (m // 3)
-            if (m, 0, word[:t]) in self.thirds or (m, 2, word[-last:]) in self.thirds or any((m, 1, word[t + k : 2 * t + k]) in self.thirds for k in range(-2, 3)):
-                return True
-        return False
-
     def _fuzzy(self, node: dict, word: str, at: int, edits: int, depth: int, most: int) -> float:
         """The best gain within so many edits (a swap is one, where only one is allowed). The automaton's state is (at, edits); it walks the trie from node."""
         n = len(word)
@@ -126,8 +109,85 @@ class Lexicon:
         return best
 
 
-def thirds(text: str, m: int) -> tuple[str, str, str]:
-    return text[: m // 3], text[m // 3 : 2 * (m // 3)], text[2 * (m // 3) :]
+def trie(kinds: dict[str, dict[str, float]]) -> dict:
+    """A trie of entries, whose gains stand at their ends under the name of their kind."""
+    root: dict = {}
+    for end, entries in kinds.items():
+        for entry, gain in entries.items():
+            node = root
+            for c in entry:
+                node = node.setdefault(c, {})
+            node[end] = gain
+    return root
+
+
+class Spelled:
+    """Words ordered by length: their lengths, letters (a row each, filled up with zeros) and 64-bit signatures.
+
+    A signature has a bit for each first, second ... occurrence of a letter, so one edit changes two bits at most.
+    """
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = sorted(words, key=len)
+        self.length = np.fromiter(map(len, self.words), dtype=np.int64, count=len(words))
+        letters = np.frombuffer("".join(self.words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        own = np.repeat(np.arange(len(words)), self.length)
+        self.letters = np.zeros((len(words), int(self.length.max(initial=0))), dtype=np.uint32)
+        self.letters[own, np.arange(len(own)) - np.repeat(np.cumsum(self.length) - self.length, self.length)] = letters
+        key = np.sort(own << 21 | letters)
+        at = np.arange(len(key))
+        nth = at - np.maximum.accumulate(np.where(np.diff(key, prepend=-1) != 0, at, 0))
+        bit = ((key & 0x1FFFFF) * 64 + np.minimum(nth, 63)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
+        self.signature = np.zeros(len(words), dtype=np.uint64)
+        np.bitwise_or.at(self.signature, key >> 21, np.uint64(1) << bit)
+
+
+def near_pairs(words: list[str], terms: Spelled, most: int, block: int = 1 << 22) -> dict[str, list[str]]:
+    """For each word the terms within so many edits (a swap is one, where only one is allowed); words without any are left out.
+
+    Words meet terms by length and signature; what meets is settled by the edit distance in a band around the diagonal.
+    """
+    out: dict[str, list[str]] = {}
+    spelled = Spelled(words)
+    for n in np.unique(spelled.length):
+        lo, hi = np.searchsorted(terms.length, [n - most, n + most + 1])
+        start, end = np.searchsorted(spelled.length, [n, n + 1])
+        step = max(1, block // max(1, hi - lo))
+        for at in range(start, end if lo < hi else start, step):
+            differ = np.bitwise_count(spelled.signature[at : min(end, at + step), None] ^ terms.signature[None, lo:hi])
+            w, t = np.nonzero(differ <= 2 * most)
+            same_letters = differ[w, t] == 0
+            w, t = w + at, t + lo
+            edits = banded(spelled.letters[w, :n], terms.letters[t], terms.length[t])
+            keep = edits <= most
+            if most == 1:
+                keep |= (edits == 2) & same_letters & (terms.length[t] == n)
+            for i, k in zip(w[keep].tolist(), t[keep].tolist(), strict=True):
+                out.setdefault(spelled.words[i], []).append(terms.words[k])
+    return out
+
+
+def banded(a: np.ndarray, b: np.ndarray, length: np.ndarray, band: int = 2) -> np.ndarray:
+    """The edit distances of rows of a and rows of b, which have the given lengths, where they are at most band; else more."""
+    n, far = a.shape[1], np.uint8(100)
+    wide = np.zeros((len(b), max(n, b.shape[1]) + 2 * band + 1), dtype=np.uint32)
+    wide[:, band : band + b.shape[1]] = b  # column j + band has letter j of b, from 0
+    last = [np.full(len(a), d if d >= 0 else far, dtype=np.uint8) for d in range(-band, band + 1)]
+    for i in range(1, n + 1):
+        row: list[np.ndarray] = []
+        for k in range(2 * band + 1):
+            j = i + k - band
+            if j < 0:
+                row.append(np.full(len(a), far, dtype=np.uint8))
+                continue
+            cell = last[k] + (a[:, i - 1] != wide[:, j - 1 + band]) if j else np.full(len(a), min(i, far), dtype=np.uint8)
+            if j and k < 2 * band:
+                cell = np.minimum(cell, last[k + 1] + np.uint8(1))
+            if j and k:
+                cell = np.minimum(cell, row[-1] + np.uint8(1))
+            row.append(np.minimum(cell, far))
+        last = row
+    return np.stack(last)[np.clip(length - n + band, 0, 2 * band), np.arange(len(a))]
 
 
 def quoted_spans(text: str) -> list[tuple[int, int]]:
@@ -147,22 +207,34 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Sums over the hits of a text of gain times context weight, for terms, stems and misspellings; then the number of hits."""
-    low = (text or "").lower()
-    found = TOKEN.findall(low)
+    return features_of([text], lexicon)[0]
+
+
+def features_of(texts: list[str | None], lexicon: Lexicon) -> list[list[float]]:
+    """features() of each text; their words are looked up together."""
+    lows = [(t or "").lower() for t in texts]
+    founds = [TOKEN.findall(low) for low in lows]
+    lexicon.look_up(set().union(*founds))
+    return [hits(low, found, lexicon) for low, found in zip(lows, founds, strict=True)]
+
+
+def hits(low: str, found: list[str], lexicon: Lexicon) -> list[float]:
+    """features() of a text in small letters, whose words are found."""
     kinds = {w: k for w in set(found) if (k := lexicon.find(w))[0]}
     out = [0.0, 0.0, 0.0, 0.0]
     if not kinds:
         return out
     spans = quoted_spans(low)
+    starts = [m.start() for m in TOKEN.finditer(low)] if spans else []
     s = 0
-    for i, m in enumerate(TOKEN.finditer(low)):
-        if m.group() not in kinds:
+    for i, word in enumerate(found):
+        if word not in kinds:
             continue
-        kind, gain = kinds[m.group()]
-        while s < len(spans) and spans[s][1] <= m.start():
+        kind, gain = kinds[word]
+        while s < len(spans) and spans[s][1] <= starts[i]:
             s += 1
         window = found[max(0, i - WINDOW) : i] + found[i + 1 : i + 1 + WINDOW]
-        weight = QUOTED if s < len(spans) and spans[s][0] <= m.start() else 1.0
+        weight = QUOTED if s < len(spans) and spans[s][0] <= starts[i] else 1.0
         weight *= REPORTED if any(w in REPORT for w in window) else ADDRESSED if any(w in ADDRESS for w in window) else 1.0
         out[3 - kind] += gain * weight
         out[3] += 1
@@ -224,7 +296,7 @@ def apply_features(df: DataFrame, terms: dict[str, float], stems: dict[str, floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms, stems)
         for b in batches:
-            f = [features(t.as_py(), lexicon) for t in b.column(1)]
+            f = [x for at in range(0, b.num_rows, TOGETHER) for x in features_of(b.column(1).slice(at, TOGETHER).to_pylist(), lexicon)]
             if weights is None:
                 cols = [pa.array(f, pa.list_(pa.float64()))]
             else:

@@ -40,6 +40,29 @@ def test_automaton_matches_edit_distance():
     assert kinds >= {(3, True), (1, True), (1, False), (0, False)}
 
 
+def test_words_looked_up_together_walk_little_of_a_lexicon_of_families(monkeypatch):
+    rnd = random.Random(5)
+    draw = lambda: rnd.choice(["loweis", "vequar", "achlich", "lostra"]) + "".join(rnd.choices("aeinrstu", k=rnd.randint(2, 7)))
+    terms = {draw(): float(k + 1) for k in range(300)}
+    lexicon, steps, walk = T.Lexicon(terms, {}), [0], T.Lexicon._fuzzy
+
+    def counted(*args):
+        steps[0] += 1
+        return walk(*args)
+
+    monkeypatch.setattr(T.Lexicon, "_fuzzy", counted)
+    words = sorted({draw() for _ in range(1500)} | {"".join(rnd.choices("aeinrstu", k=rnd.randint(3, 14))) for _ in range(500)})
+    words = [w for w in words if not T.RUNS.search(w)]
+    T.features_of([" ".join(words[k::7]) for k in range(7)], lexicon)
+    far = 0
+    for w in words:
+        one = max((g for t, g in terms.items() if min(len(t), len(w)) >= T.FUZZY_LENGTH and abs(len(t) - len(w)) < 2 and edits(w, t, True) <= 1), default=0.0)
+        two = max((g for t, g in terms.items() if len(t) >= T.LONG_LENGTH and abs(len(t) - len(w)) < 3 and edits(w, t) <= 2), default=0.0)
+        assert lexicon.find(w) == ((3, terms[w]) if w in terms else (1, one or two) if one or two else (0, 0.0)), w
+        far += not (one or two)
+    assert far > 500 and steps[0] < 200 * (len(words) - far)  # 930 with the whole trie walked
+
+
 def test_spelling_and_context():
     lexicon = T.Lexicon({"idiot": 5.0}, {"lowei": 4.0})
     assert lexicon.find("1d10t") == (1, 5.0) and lexicon.find("idiooot") == (1, 5.0) and lexicon.find("idoit") == (1, 5.0)
