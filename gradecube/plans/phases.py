@@ -152,24 +152,34 @@ def shown(questions: DataFrame, given: DataFrame, models: DataFrame, shuffle: bo
     return rows.select("question_id", "question", F.transform("r", lambda x, i: F.struct(label(x, i).alias("label"), x["text"].alias("text"), x["model"].alias("model"))).alias("labelled"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often it is used, also for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def read_cells(reply: Column, labelled: Column, exact: bool = False) -> Column:
     """An array of (model, cell) from a reply: its JSON object's entries, labels put back to models.
 
     A label is looked up as it stands, else, unless exact, the first that holds it or is held by it is taken. Of entries for one model
     an exact label wins, then the greatest; a reply without an object gives null.
     """
-    value = extracted_json(reply)
-    entries = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.map_entries(F.from_json(F.to_json(value), "map<string,string>")))
-
     def model_of(label: Column) -> Column:
         same = F.filter(labelled, lambda x: x["label"] == label)
         near = F.filter(labelled, lambda x: F.contains(x["label"], label) | F.contains(label, x["label"]))
         return F.get(same, F.lit(0)) if exact else F.coalesce(F.get(same, F.lit(0)), F.get(near, F.lit(0)))
 
-    found = F.transform(entries, lambda e: F.struct(model_of(e["key"])["model"].alias("model"), (model_of(e["key"])["label"] == e["key"]).alias("exact"), e["key"].alias("label"), e["value"].alias("cell")))
-    found = F.filter(found, lambda c: c["model"].isNotNull())
-    better = lambda c, d: (c["model"] == d["model"]) & (F.struct(d["exact"], d["label"]) > F.struct(c["exact"], c["label"]))
-    return F.transform(F.filter(found, lambda c: ~F.exists(found, lambda d: better(c, d))), lambda c: F.struct(c["model"].alias("model"), c["cell"].alias("cell")))
+    def entries(value: Column) -> Column:
+        return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.map_entries(F.from_json(F.to_json(value), "map<string,string>")))
+
+    def placed(e: Column) -> Column:
+        return once(model_of(e["key"]), lambda m: F.struct(m["model"].alias("model"), (m["label"] == e["key"]).alias("exact"), e["key"].alias("label"), e["value"].alias("cell")))
+
+    def best(found: Column) -> Column:
+        better = lambda c, d: (c["model"] == d["model"]) & (F.struct(d["exact"], d["label"]) > F.struct(c["exact"], c["label"]))
+        return F.filter(found, lambda c: ~F.exists(found, lambda d: better(c, d)))
+
+    found = F.filter(F.transform(once(extracted_json(reply), entries), placed), lambda c: c["model"].isNotNull())
+    return F.transform(once(found, best), lambda c: F.struct(c["model"].alias("model"), c["cell"].alias("cell")))
 
 
 def evaluation_modes(questions: DataFrame, given: DataFrame, models: DataFrame, path: str, revision: str, connect: Callable[[str], Client], grounding: DataFrame | None = None, limits: dict[str, int] | None = None, policy: str = "lenient", prompt: Callable[[DataFrame], Column] | None = None, most: int | None = None, exact: bool = False, modes: list[str] | None = None, answered: bool = False) -> Iterator[str]:

@@ -912,7 +912,10 @@ def raised_digits(s, d):
 def phase_answers(s, d):
     """Answers to every user turn after searches, and the searches."""
     asked_of = fx.talk_questions(s, d)
-    log = phases.fetched(asked_of, fx.Canned, "search", 0.008)
+    found = phases.fetched(asked_of, fx.Canned, "search", 0.008)
+    at = folders.scratch(s, "searches")
+    found.write.parquet(at)  # or each batch would search again
+    log = s.read.schema(found.schema).parquet(at)
     return phases.answers(asked_of, fx.region_models(s, d), folders.scratch(s, "answers"), "r1", fx.Canned, grounding=log, batches=4), log
 
 

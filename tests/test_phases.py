@@ -8,6 +8,7 @@ import uuid
 
 import pytest
 from gradecube import fixtures as fx
+from gradecube import queries
 from gradecube.plans import phases
 from gradecube.sources import providers
 from pyspark import cloudpickle
@@ -277,3 +278,28 @@ def test_a_session_leaves_out_who_did_not_answer(spark, models, tmp_path):
     assert {(r.question_id, r.model): (r.error, r.refused) for r in given.collect()}["q", "a2"] == ("invalid request", False)
     got = sorted((r.mode, r.question_id, r.evaluator, r.model, r.score) for r in cells.collect())
     assert got == [("shuffle_blind", "q", e, m, 8.0) for e in ("a1", "b1") for m in ("a1", "b1")] + [("shuffle_blind", "r", "a1", "a1", 8.0)]
+
+
+def test_a_reply_is_parsed_once_whatever_it_holds(spark):
+    from pyspark.sql import functions as F
+
+    labelled = "array(" + ", ".join(f"named_struct('label', 'Response {x}', 'text', '', 'model', 'm{x}')" for x in "ABCDE") + ")"
+    df = spark.createDataFrame([('{"A": 1, "Response A": 2, "Response B": {"score": 3}, "Z": 4}',), (None,), ("none",)], "t string")
+    cells = df.select(phases.read_cells(F.col("t"), F.expr(labelled)).alias("c"))
+    assert [r.c and sorted(map(tuple, r.c)) for r in cells.collect()] == [[("mA", "2"), ("mB", '{"score":3}')], None, None]
+    plan = cells._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_answers_of_all_batches_take_one_search_a_question(spark, monkeypatch, tmp_path):
+    folder = tmp_path / "asked"
+    folder.mkdir()
+
+    class Counted(queries.fx.Canned):
+        def found(self, prompt):
+            (folder / uuid.uuid4().hex).touch()
+            return super().found(prompt)
+
+    monkeypatch.setattr(queries.fx, "Canned", Counted)
+    _, log = queries.phase_answers(spark, "/root/testdata/sf0.001")
+    assert len(list(folder.iterdir())) == log.where("NOT skipped").count() > 0
