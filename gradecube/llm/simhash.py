@@ -390,8 +390,16 @@ def similar_links(fps: DataFrame, similarity: float, texts: Callable[[DataFrame]
             dropped(sizes)
             return out
         tried, most, roots = tried.unionByName(named), 4 * most, stored(components(out))
-        again = rows.join(left, "key").select("key", "part", "node").join(roots, "node", "left")
-        rows = opened(again.select("key", "part", "node", F.coalesce("root", "node").alias("root")))
+        rows = opened(rooted(rows.join(left, "key"), roots))
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (key, part, node) with the root of each node, itself if it has none.
+
+    A text is in as many buckets as there are partitions, so roots meet texts, a row each, and not their buckets.
+    """
+    texts = rows.groupBy("node").agg(F.collect_list(F.struct("key", "part")).alias("at")).join(roots, "node", "left")
+    return texts.select(F.inline("at"), "node", F.coalesce("root", "node").alias("root"))
 
 
 def opened(rows: DataFrame) -> DataFrame:
@@ -407,7 +415,7 @@ def apart(crowd: DataFrame, roots: DataFrame, fps: DataFrame, similarity: float)
     SPLIT_RECALL, up to LEVELS times; what is large even then goes out in pairs of blocks, which meet every pair.
     """
     columns = ["key", "part", "node", "root"]
-    rows = opened(crowd.join(roots, "node", "left").select("key", "part", "node", F.coalesce("root", "node").alias("root")))
+    rows = opened(rooted(crowd, roots))
     out, large = rows.where(F.col("c") <= TASK_LIMIT), rows.where(F.col("c") > TASK_LIMIT)
     split = large.select("node", "part")
     for level in range(LEVELS):
@@ -503,7 +511,7 @@ def nearest(rows: DataFrame, split: DataFrame, fps: DataFrame, parts: Parts, n_b
             held = [tuple(x[edges[-1] :] for x in (key, part, node, root, fp, parted))] if b is not None else []
 
     parted = split.groupBy("node").agg(F.collect_set("part").alias("parted"))
-    dealt = rows.join(fps, "node").join(parted, "node", "left").select("key", "part", "node", "root", "fp", "parted").repartition("key").sortWithinPartitions("key")
+    dealt = rows.join(fps.join(parted, "node", "left"), "node").select("key", "part", "node", "root", "fp", "parted").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long, left long")
 
 

@@ -147,6 +147,26 @@ def test_probes_of_radius_one_reach_single_texts_and_large_buckets(spark, monkey
     assert linked(spark, fps) == {(0, 0), (1, 0), *((k, k) for k in (2, 3, 4, 5)), *((k + 20, k) for k in (2, 3, 4, 5))}
 
 
+def test_outer_joins_take_a_row_a_text_however_large_a_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "wide_plan", lambda *_: [([(j, b) for b in range(8)], 0) for j in range(12)])
+    rnd = random.Random(9)
+    first, other = ([rnd.getrandbits(64) for _ in range(simhash.WORDS)] for _ in range(2))
+    other[:12] = first[:12]
+    far = lambda x: [w ^ sum(1 << b for b in rnd.sample(range(64), 8)) if j >= 12 else w for j, w in enumerate(x)]
+    fps = [x for _ in range(60) for x in (far(first), far(other))]
+    kind, taken = type(spark.range(1)), []
+    join = kind.join
+
+    def counted(self, other, on=None, how=None):
+        if how == "left":
+            taken.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(kind, "join", counted)
+    assert linked(spark, fps) == {(k, k % 2) for k in range(120)}
+    assert taken and max(taken) <= 120  # each text is in 12 buckets
+
+
 def test_exact_similarity_decides(spark):
     rnd = random.Random(6)
     rows, want = [], set()
