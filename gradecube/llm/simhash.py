@@ -403,9 +403,15 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def opened(rows: DataFrame) -> DataFrame:
-    """rows (key, part, node, root) of buckets that hold two roots, with the size c of the bucket."""
+    """rows (key, part, node, root) of buckets that hold two roots, with the size c of the bucket.
+
+    The rows are read twice and stored for that, so that they are made once.
+    """
+    rows = stored(rows.select("key", "part", "node", "root"))
     two = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "c")
-    return stored(rows.select("key", "part", "node", "root").join(two, "key"))
+    out = stored(rows.join(two, "key"))
+    dropped(rows)
+    return out
 
 
 def apart(crowd: DataFrame, roots: DataFrame, fps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -167,6 +167,36 @@ def test_outer_joins_take_a_row_a_text_however_large_a_group(spark, monkeypatch)
     assert taken and max(taken) <= 120  # each text is in 12 buckets
 
 
+def test_rows_of_buckets_are_made_once_and_grow_with_the_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "wide_plan", lambda *_: [([(j, b) for b in range(8)], 0) for j in range(4)])
+    monkeypatch.setattr(simhash, "TASK_LIMIT", 16)
+    made = {}
+
+    def counting(name, kind):
+        make, n = getattr(simhash, name), spark.sparkContext.accumulator(0)
+        made[name] = n
+
+        def count(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+
+        monkeypatch.setattr(simhash, name, lambda *args: make(*args).select("key", "part", "node", "root").mapInArrow(count, kind))
+
+    counting("rooted", "key long, part int, node long, root long")
+    counting("subdivided", "key long, part int, node long, root long")
+    monkeypatch.setattr(simhash, "LEVELS", 1)
+    ways = next(k for k in itertools.count(1) if simhash.found(simhash.SPLIT_BITS, k, 0.8) >= simhash.SPLIT_RECALL)
+    rnd = random.Random(9)
+    for size in (20, 40):
+        first, other = ([rnd.getrandbits(64) for _ in range(simhash.WORDS)] for _ in range(2))
+        other[:4] = first[:4]
+        before = {k: n.value for k, n in made.items()}
+        assert linked(spark, [x for _ in range(size // 2) for x in (first, other)]) == {(k, k % 2) for k in range(size)}
+        rows = 4 * (size - 1)  # all but the lead, each in 4 buckets
+        assert {k: n.value - before[k] for k, n in made.items()} == {"rooted": rows, "subdivided": ways * rows}
+
+
 def test_exact_similarity_decides(spark):
     rnd = random.Random(6)
     rows, want = [], set()
